@@ -14,7 +14,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -195,7 +194,7 @@ def pack(docs: DataFrame, tokenizer_path: str, max_len: int = 2048, group_docs:
     cut = materialize(pieces(docs, tokenizer_path, max_len), "pieces")
     groups = max(1, round(cut.filter("start = 0").count() / group_docs))
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key, pdf):
         pdf = pdf.sort_values(["length", "doc_id", "start", "ids_crc32"], ascending=[False, True, True, True], kind="stable")
         bins, offsets = first_fit_decreasing(pdf["length"].to_numpy(), max_len)
         return pdf[["doc_id", "start", "length", "ids_crc32", "doc_tokens"]].assign(sequence_id=int(key[0]) * 2**32 + bins, offset=offsets)

@@ -19,5 +19,11 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op7_packing,)}
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spotframe.llm.simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op7_packing, op9_simhash)}
 ORACLES: dict[str, str] = {}
