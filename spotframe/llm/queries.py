@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from spotframe.llm.common import table
 
@@ -25,5 +26,13 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op7_packing, op9_simhash)}
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spotframe.llm.suffixes import deduplicate
+
+    out = deduplicate(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op5_suffix_dedup, op7_packing, op9_simhash)}
 ORACLES: dict[str, str] = {}
