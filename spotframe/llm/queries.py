@@ -14,6 +14,13 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spotframe.llm.langid import identify, train
+
+    docs = table(spark, sf_dir, "documents")
+    return identify(docs, train(docs))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from spotframe.llm.packing import pack
 
@@ -34,5 +41,5 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op5_suffix_dedup, op7_packing, op9_simhash)}
+QUERIES = {f.__name__: f for f in (op5_suffix_dedup, op6_langid, op7_packing, op9_simhash)}
 ORACLES: dict[str, str] = {}
