@@ -41,5 +41,21 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op5_suffix_dedup, op6_langid, op7_packing, op9_simhash)}
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spotframe.llm.secrets import scan, train
+
+    docs = table(spark, sf_dir, "documents")
+    found = scan(docs, train(docs)).drop("text")
+
+    def said(spans):
+        return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))))
+
+    def n(kind):
+        return F.size(F.filter("findings", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    base = F.filter("findings", lambda s: s["kind"] != "cnn")
+    return found.select("doc_id", n("assign"), n("access"), n("hex"), F.sha2(said(base), 256).alias("base_sha256"), said(F.col("findings")).alias("spans"), n("cnn"))
+
+
+QUERIES = {f.__name__: f for f in (op5_suffix_dedup, op6_langid, op7_packing, op9_simhash, op10_secrets)}
 ORACLES: dict[str, str] = {}
