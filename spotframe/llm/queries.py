@@ -27,6 +27,24 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spotframe.llm.licenses import scan
+
+    at = F.transform("base", lambda x: x["at"]).alias("at")
+    labels = F.transform("base", lambda x: x["label"])
+    rows = scan(table(spark, sf_dir, "documents")).select("doc_id", "n_words", at, labels.alias("own"), F.transform("found", lambda x: x["label"]).alias("more"), F.array_max(F.transform("found", lambda x: x["score"])).alias("best"))
+    return rows.select(
+        "doc_id",
+        "n_words",
+        F.size("at").cast("long").alias("n_base"),
+        F.array_min("at").cast("long").alias("first_word"),
+        F.array_max("at").cast("long").alias("last_word"),
+        F.array_join(F.array_sort(F.array_distinct("own")), ",").alias("base_labels"),
+        F.array_join(F.array_sort(F.array_distinct(F.concat("own", "more"))), ",").alias("labels"),
+        F.greatest(F.coalesce("best", F.lit(0.0)), F.when(F.size("at") > 0, 0.8).otherwise(0.0)).alias("score"),
+    )
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from spotframe.llm.simhash import near_duplicates
 
@@ -57,5 +75,5 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", n("assign"), n("access"), n("hex"), F.sha2(said(base), 256).alias("base_sha256"), said(F.col("findings")).alias("spans"), n("cnn"))
 
 
-QUERIES = {f.__name__: f for f in (op5_suffix_dedup, op6_langid, op7_packing, op9_simhash, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op5_suffix_dedup, op6_langid, op7_packing, op8_licenses, op9_simhash, op10_secrets)}
 ORACLES: dict[str, str] = {}
