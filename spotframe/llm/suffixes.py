@@ -162,18 +162,19 @@ def suffix_order(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.
     return order, same
 
 
-def _repeats(texts: list[bytes], length: int) -> list[np.ndarray]:
-    """Of each text: the places of its windows that occur again in any of the texts."""
+def _repeats(texts: list[bytes], length: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Of each text: the places of its windows that occur again in any of the texts, and of those that occur nowhere before."""
     sizes = np.array([len(t) for t in texts], dtype=np.int64)
     data = np.frombuffer(b"".join(texts) + bytes(length + 8), dtype=np.uint8)
     windows, first = sizes - length + 1, np.cumsum(sizes) - sizes
     text = np.repeat(np.arange(len(texts)), windows)
     place = np.arange(len(text)) - np.repeat(np.cumsum(windows) - windows, windows)
     order, same = suffix_order(data, first[text] + place, length)
-    again = np.zeros(len(order), dtype=bool)
+    again, new = np.zeros(len(order), dtype=bool), np.zeros(len(order), dtype=bool)
     again[order] = same | np.concatenate([same[1:], [False]])
-    hit = np.flatnonzero(again)
-    return np.split(place[hit], np.searchsorted(text[hit], np.arange(1, len(texts))))
+    new[order] = ~same
+    of_text = lambda x: np.split(place[x], np.searchsorted(text[x], np.arange(1, len(texts))))
+    return of_text(np.flatnonzero(again)), of_text(np.flatnonzero(new))
 
 
 def _match(batches, length: int, most: int = 1 << 21):
@@ -181,22 +182,23 @@ def _match(batches, length: int, most: int = 1 << 21):
     from xxhash import xxh3_128_digest
 
     def flush(rows):
-        found = _repeats([r[3] for r in rows], length)
-        out = {k: [] for k in ("h", "d", "a", "b", "digest")}
+        found, new = _repeats([r[3] for r in rows], length)
+        out = {k: [] for k in ("h", "d", "a", "b", "digest", "met")}
 
         def add(*x):
             for k, v in zip(out, x, strict=True):
                 out[k].append(v)
 
-        for (h, parts, d, text), hit in zip(rows, found, strict=True):
+        for (h, parts, d, text), hit, first in zip(rows, found, new, strict=True):
             if len(hit):
                 cut = np.flatnonzero(np.diff(hit) > 1)
                 for a, b in zip(hit[np.concatenate([[0], cut + 1])].tolist(), hit[np.concatenate([cut, [len(hit) - 1]])].tolist(), strict=True):
-                    add(h, d, a, b + length, None)
-            if parts > 1:  # other parts need every window; one that matched here is sent too
-                for a in range(len(text) - length + 1):
-                    add(h, d, a, a + length, xxh3_128_digest(text[a : a + length]))
-        types = {"h": pa.int64(), "d": pa.int64(), "a": pa.int32(), "b": pa.int32(), "digest": pa.binary()}
+                    add(h, d, a, b + length, None, True)
+            if parts > 1:  # for the other parts, one of each equal window
+                met = set(hit.tolist())
+                for a in first.tolist():
+                    add(h, d, a, a + length, xxh3_128_digest(text[a : a + length]), a in met)
+        types = {"h": pa.int64(), "d": pa.int64(), "a": pa.int32(), "b": pa.int32(), "digest": pa.binary(), "met": pa.bool_()}
         return pa.RecordBatch.from_pydict({k: pa.array(out[k], t) for k, t in types.items()})
 
     rows, n, last = [], 0, None
@@ -250,11 +252,12 @@ def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
             yield pa.RecordBatch.from_pydict({k: pa.array(out[k], t) for k, t in types.items()})
 
     texts = fetched.mapInArrow(fetch, "h long, part long, parts int, d long, text binary").repartition("h", "part").sortWithinPartitions("h", "part", "d")
-    matched = materialize(texts.mapInArrow(lambda batches: _match(batches, length), "h long, d long, a int, b int, digest binary"), "matches")
+    matched = materialize(texts.mapInArrow(lambda batches: _match(batches, length), "h long, d long, a int, b int, digest binary, met boolean"), "matches")
     across = matched.filter("digest is not null")
     twice = across.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1").select("digest")
     whole = classes.filter("c > 1").select("h", "d", F.lit(0).alias("a"), F.col("rep.len").alias("b"))
-    spans = whole.unionByName(matched.filter("digest is null").drop("digest")).unionByName(across.join(twice, "digest").drop("digest"))
+    span = ["h", "d", "a", "b"]
+    spans = whole.unionByName(matched.filter("digest is null").select(span)).unionByName(across.filter("not met").join(twice, "digest").select(span))
     placed = segs.join(spans, ["h", "d"]).select("key", (F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("b")).alias("b"))
     known = seen.filter("kind = 0").select("key", F.col("start").alias("a"), (F.col("start") + F.col("len")).alias("b"))
     return placed.unionByName(known).groupBy("key").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
