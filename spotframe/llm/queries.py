@@ -51,6 +51,26 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spotframe.llm.warc import archive
+
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.col("url").alias("uri"), F.col("html").alias("payload"))
+    return archive(spark, pages).select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP1_SQL = """
+WITH p AS (
+  SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+), g AS (
+  SELECT payload_digest, max(page_id) AS first FROM p WHERE payload_bytes >= 1000 GROUP BY 1
+)
+SELECT page_id, payload_bytes, p.payload_digest,
+  CASE WHEN payload_bytes >= 1000 AND page_id < first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND page_id < first THEN first END AS refers_to
+FROM p LEFT JOIN g USING (payload_digest)
+"""
+
+
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     from spotframe.llm.chat import format_windows, read_windows
 
@@ -125,5 +145,5 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", n("assign"), n("access"), n("hex"), F.sha2(said(base), 256).alias("base_sha256"), said(F.col("findings")).alias("spans"), n("cnn"))
 
 
-QUERIES = {f.__name__: f for f in (op4_chat, op5_suffix_dedup, op6_langid, op7_packing, op8_licenses, op9_simhash, op10_secrets)}
-ORACLES: dict[str, str] = {"op4_chat": OP4_SQL}
+QUERIES = {f.__name__: f for f in (op1_warc, op4_chat, op5_suffix_dedup, op6_langid, op7_packing, op8_licenses, op9_simhash, op10_secrets)}
+ORACLES: dict[str, str] = {"op1_warc": OP1_SQL, "op4_chat": OP4_SQL}
