@@ -71,6 +71,12 @@ FROM p LEFT JOIN g USING (payload_digest)
 """
 
 
+def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spotframe.llm.neighbours import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     from spotframe.llm.chat import format_windows, read_windows
 
@@ -145,5 +151,5 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", n("assign"), n("access"), n("hex"), F.sha2(said(base), 256).alias("base_sha256"), said(F.col("findings")).alias("spans"), n("cnn"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op4_chat, op5_suffix_dedup, op6_langid, op7_packing, op8_licenses, op9_simhash, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op1_warc, op3_neighbours, op4_chat, op5_suffix_dedup, op6_langid, op7_packing, op8_licenses, op9_simhash, op10_secrets)}
 ORACLES: dict[str, str] = {"op1_warc": OP1_SQL, "op4_chat": OP4_SQL}
