@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from spotframe.llm.common import materialize
 
 GRAM = 32
-GROUP = 512
+GROUP = 4096
 CHUNK = 1 << 20
 SEGMENT = "kind int, deal long, h long, d long, c int, key binary, start int, len int"
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]

@@ -33,7 +33,7 @@ def words(rng, n):
     return " ".join(rng.choice(["the", "of", "anble", "thtion", "é", "ñoll", "er"], n).tolist())
 
 
-@pytest.mark.parametrize("group", [512, 3])
+@pytest.mark.parametrize("group", [4096, 3])
 def test_planted(spark, group, monkeypatch):
     monkeypatch.setattr(suffixes, "GROUP", group)
     rng = np.random.default_rng(3)
