@@ -57,4 +57,4 @@ def test_anisotropic_codes_keep_large_products_better(monkeypatch):
         books = neighbours.fit_books(x)
         codes = np.ascontiguousarray(neighbours.encode(x, books).T)
         gaps.append(np.mean([abs(neighbours.scan(codes[:, i : i + 1], neighbours.tables(x[i : i + 1], books)[0])[0] - 1) for i in range(200)]))
-    assert gaps[1] < gaps[0] < 0.1
+    assert gaps[1] < 0.8 * gaps[0]
