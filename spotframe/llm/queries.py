@@ -71,6 +71,16 @@ FROM p LEFT JOIN g USING (payload_digest)
 """
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document with leaks: the items, the best score and the best overlap."""
+    from spotframe.llm.decontamination import contaminated
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = contaminated(docs, table(spark, sf_dir, "benchmark")).filter(F.size("leaks") > 0)
+    of = lambda field: F.transform("leaks", lambda x: x[field])
+    return rows.select("doc_id", of("item_id").alias("item_ids"), F.array_max(of("score")).alias("score"), F.array_max(of("overlap")).alias("overlap"))
+
+
 def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     from spotframe.llm.neighbours import nearest
 
@@ -151,5 +161,5 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", n("assign"), n("access"), n("hex"), F.sha2(said(base), 256).alias("base_sha256"), said(F.col("findings")).alias("spans"), n("cnn"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op3_neighbours, op4_chat, op5_suffix_dedup, op6_langid, op7_packing, op8_licenses, op9_simhash, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_decontamination, op3_neighbours, op4_chat, op5_suffix_dedup, op6_langid, op7_packing, op8_licenses, op9_simhash, op10_secrets)}
 ORACLES: dict[str, str] = {"op1_warc": OP1_SQL, "op4_chat": OP4_SQL}
