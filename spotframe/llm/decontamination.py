@@ -1,16 +1,18 @@
 """Benchmark decontamination: BM25 over an inverted index of test items with block-max WAND, then a check of overlaps.
 
-Every document is cut into passages of twice as many words as the longest item has, each half over the next, whole texts
-throughout; each passage is a query. Scores
+Every document is cut into passages half as long again as the longest item, so close that any run of that length is whole
+in one of them, whole texts throughout; each passage is a query. Scores
 are shares of what an item's own text would get, so one threshold holds for items of any length. The index keeps each
-word's postings in blocks with the block's largest impact; the word's largest impacts bound what a passage can reach, and
-passages (nearly all) that stay below the threshold are left at once. The rest walk their postings by document-at-a-time
-WAND, skip blocks that can't reach the threshold, and give every item above it.
+word's postings in blocks with the block's largest impact. Items are also cut into up to ``RANGES`` ranges: the largest impacts
+of a passage's words in a range, and for common words the most that they give any item of the range together, bound what
+its items can reach; by running sums all passages of a text are bounded at once, and those (nearly all) that stay below the
+threshold in every range are left. The rest walk their postings by document-at-a-time WAND, skip blocks that can't reach
+the threshold, and give every item above it.
 
 An item is found in a document if a share ``OVERLAP`` of the five-word shingles of its question, and of its answer (its last
 sentence; where it has one sentence, all is question), are in the passage.
 
-Items are taken in blocks of at most ``ITEMS`` items and ``ITEM_BYTES`` of text: one index each is broadcast, one pass over the documents each.
+An index has at most ``ITEMS`` items; the indexes of at most ``ITEM_BYTES`` of text are broadcast together, for one pass over the documents.
 """
 
 import math
@@ -24,8 +26,8 @@ from pyspark.sql import functions as F
 
 K1, B = 1.2, 0.75
 THRESHOLD, OVERLAP, SHINGLE = 0.6, 0.8, 5
-BLOCK = 16
-ITEMS, ITEM_BYTES = 20_000, 32 << 20
+BLOCK, RANGES, COMMON = 16, 64, 0.3
+ITEMS, ITEM_BYTES = 1024, 4 << 20
 WORD = re.compile(r"\w+")
 
 
@@ -60,6 +62,8 @@ class Index:
     bound: np.ndarray  # largest impact of a word
     block_bound: list[list[float]]  # of a word's blocks of postings
     block_last: list[list[int]]  # the last item of each
+    range_bound: np.ndarray  # words (and a row of zeros for all others) x ranges of items; zero for common words
+    range_common: np.ndarray  # what the common words can give to an item of each range
     longest: int
     names: list  # item ids
     checks: list[tuple[set, set]]  # shingles of question and answer
@@ -89,8 +93,18 @@ def build(rows: list[tuple[int, str]]) -> Index:
     first = np.concatenate([[0], np.cumsum([len(p) for p in postings])]).astype(np.int64)
     flat = [x for p in postings for x in p]
     blocks = [[p[i : i + BLOCK] for i in range(0, len(p), BLOCK)] for p in postings]
+    per = max(4, -(-n // RANGES))
+    ranges = max(1, -(-n // per))
+    bounds, common, given = np.zeros((len(vocabulary) + 1, ranges), dtype=np.float32), np.zeros(ranges), np.zeros(n)
+    for t in sorted(range(len(vocabulary)), key=lambda t: -len(postings[t])):
+        more = np.array([i for i, _ in postings[t]]), np.array([s for _, s in postings[t]])
+        if (given[more[0]] + more[1]).max() <= COMMON:
+            given[more[0]] += more[1]
+        else:
+            np.maximum.at(bounds[t], more[0] // per, more[1])
+    np.maximum.at(common, np.arange(n) // per, given)
     checks = [tuple(shingles(w) for w in question_and_answer(t)) for _, t, _ in rows]
-    return Index(vocabulary, first, np.array([i for i, _ in flat], dtype=np.int64), np.array([s for _, s in flat]), np.array([max(s for _, s in p) for p in postings]), [[max(s for _, s in b) for b in w] for w in blocks], [[b[-1][0] for b in w] for w in blocks], max((len(w) for *_, w in rows), default=0), [i for i, *_ in rows], checks)
+    return Index(vocabulary, first, np.array([i for i, _ in flat], dtype=np.int64), np.array([s for _, s in flat]), np.array([max(s for _, s in p) for p in postings]), [[max(s for _, s in b) for b in w] for w in blocks], [[b[-1][0] for b in w] for w in blocks], bounds, common, max((len(w) for *_, w in rows), default=0), [i for i, *_ in rows], checks)
 
 
 def wand(index: Index, terms: list[int], threshold: float) -> list[tuple[int, float]]:
@@ -145,49 +159,52 @@ def wand(index: Index, terms: list[int], threshold: float) -> list[tuple[int, fl
     return out
 
 
-def passages(n: int, size: int) -> list[tuple[int, int]]:
-    """Spans of ``size`` words, each half over the next: a run of half of ``size`` words is whole in one of them."""
-    step = max(1, size // 2)
-    return [(a, min(n, a + size)) for a in range(0, max(1, n - step), step)] if n else []
+def passages(n: int, longest: int) -> np.ndarray:
+    """First and last word (exclusive) of passages that hold every run of ``longest`` words of ``n``."""
+    step = max(1, longest // 2)
+    first = np.arange(0, max(1, n - longest + step), step) if n else np.array([], dtype=np.int64)
+    return np.stack([first, np.minimum(n, first + longest + step)], axis=1)
 
 
-def find(index: Index, text: str, threshold: float = THRESHOLD) -> list[tuple[int, float, float]]:
+def find(index: Index, words: list[str], threshold: float = THRESHOLD, chunk: int = 1 << 16) -> list[tuple[int, float, float]]:
     """(item, best score, overlap) of the items found in a text; overlap is the lesser of question's and answer's."""
-    if not index.names:
+    if not index.names or not words:
         return []
-    words = words_of(text)
-    size = 2 * max(index.longest, SHINGLE)
+    longest = max(index.longest, SHINGLE)
     ids = np.fromiter(map(index.vocabulary.get, words, [-1] * len(words)), dtype=np.int64, count=len(words))
-    # bounds of all passages at once: the largest impacts of their words, repeats included, so never too small
-    total = np.concatenate([[0.0], np.cumsum(np.where(ids >= 0, index.bound[ids], 0.0))])
     found: dict[int, tuple[float, float]] = {}
-    for a, b in passages(len(words), size):
-        if total[b] - total[a] < threshold - 1e-6:
-            continue
-        terms = np.unique(ids[a:b])
-        terms = terms[terms >= 0]
-        if index.bound[terms].sum() < threshold - 1e-6:
-            continue
-        runs: dict[int, set] = {}
-        for item, score in wand(index, terms.tolist(), threshold):
-            question, answer = index.checks[item]
-            n = len(next(iter(question)))  # five, or all words of a shorter item
-            have = runs[n] = runs.get(n) or shingles(words[a:b], n)
-            overlap = min(len(question & have) / len(question), len(answer & have) / len(answer) if answer else 1.0)
-            if overlap >= OVERLAP and overlap >= found.get(item, (0, 0))[1]:
-                found[item] = (max(score, found.get(item, (0, 0))[0]), overlap)
+    spans = passages(len(words), longest)
+    per = max(1, chunk // longest)
+    for k in range(0, len(spans), per):
+        part = spans[k : k + per]
+        base, end = part[0, 0], part[-1, 1]
+        total = np.zeros((end - base + 1, index.range_bound.shape[1]))
+        np.cumsum(index.range_bound[ids[base:end]], axis=0, out=total[1:])
+        could = (total[part[:, 1] - base] - total[part[:, 0] - base] + index.range_common >= threshold - 1e-4).any(axis=1)
+        for a, b in part[could].tolist():
+            terms = np.unique(ids[a:b])
+            runs: dict[int, set] = {}
+            for item, score in wand(index, terms[terms >= 0].tolist(), threshold):
+                question, answer = index.checks[item]
+                n = len(next(iter(question)))  # five, or all words of a shorter item
+                have = runs[n] = runs.get(n) or shingles(words[a:b], n)
+                overlap = min(len(question & have) / len(question), len(answer & have) / len(answer) if answer else 1.0)
+                if overlap >= OVERLAP and overlap >= found.get(item, (0, 0))[1]:
+                    found[item] = (max(score, found.get(item, (0, 0))[0]), overlap)
     return [(k, *v) for k, v in sorted(found.items())]
 
 
-def item_blocks(benchmark: DataFrame) -> list[list[tuple[int, str]]]:
-    """The items in blocks of bounded count and bytes, read one partition after the other; equal items count once."""
+def item_blocks(benchmark: DataFrame) -> list[list[list[tuple[int, str]]]]:
+    """The items in groups of bounded bytes of lists of bounded count, read one partition after the other; equal items count once."""
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text IS NOT NULL").distinct()
-    out, n = [[]], 0
+    out, n = [[[]]], 0
     for r in rows.toLocalIterator():
-        if out[-1] and (len(out[-1]) >= ITEMS or n + len(r["text"]) > ITEM_BYTES):
-            out.append([])
+        if n and n + len(r["text"]) > ITEM_BYTES:
+            out.append([[]])
             n = 0
-        out[-1].append((r["item_id"], r["text"]))
+        elif len(out[-1][-1]) >= ITEMS:
+            out[-1].append([])
+        out[-1][-1].append((r["item_id"], r["text"]))
         n += len(r["text"])
     return out
 
@@ -204,15 +221,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     docs = docs.drop("leaks").withColumn("leaks", F.array().cast(leak))
     schema = docs.schema
     for block in item_blocks(benchmark):
-        shared = spark.sparkContext.broadcast(build(block))
+        shared = spark.sparkContext.broadcast([build(items) for items in block])
 
         def run(batches, shared=shared):
-            index = shared.value
+            indexes = shared.value
+
+            def leaks(text):
+                words = words_of(text)
+                return [{"item_id": x.names[k], "score": s, "overlap": o} for x in indexes for k, s, o in find(x, words, threshold)]
+
             for b in batches:
-                if "text" not in b.schema.names:
-                    raise ValueError("documents have a column text")
                 before = b.column("leaks").to_pylist()
-                new = [[{"item_id": index.names[k], "score": s, "overlap": o} for k, s, o in find(index, t, threshold)] if t else [] for t in b.column("text").to_pylist()]
+                new = [leaks(t) if t else [] for t in b.column("text").to_pylist()]
                 columns = [pa.array([(x or []) + y for x, y in zip(before, new, strict=True)], kind) if n == "leaks" else b.column(n) for n in b.schema.names]
                 yield pa.RecordBatch.from_arrays(columns, names=b.schema.names)
 
