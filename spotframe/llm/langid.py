@@ -170,39 +170,57 @@ def train(docs: DataFrame) -> Model:
     return fit([r["text"] for r in rows], [r["lang"] for r in rows])
 
 
-def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, held_out, lang_pred, score) per row of ``docs``; score is the mean probability of lang_pred.
-
-    Null texts and texts without a letter are ``und`` with score 0, as is everything under a model without labels. A null
-    doc_id isn't held out. Repeated rows and empty tables give as many rows; other columns aren't read.
+def predict(model: Model, text: pa.Array) -> tuple[list[str], np.ndarray]:
+    """Language and score of each of a batch of texts."""
+    lists = pc.utf8_split_whitespace(pc.utf8_lower(text.fill_null("")))
+    words = lists.flatten().dictionary_encode()
+    names = words.dictionary
+    letters = pc.match_substring_regex(names, r"\pL").to_numpy(zero_copy_only=False)
+    index = words.indices.to_numpy()
+    sizes = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+    n, k = len(text), max(1, len(model.labels))
+    total, count = np.zeros((n, k)), np.zeros(n)
+    if model.labels and len(index):
+        owner = np.repeat(np.arange(n), sizes)
+
+        def visit(at, p):
+            counted = letters[index[at]]
+            total[owner[at]] += p * counted[:, None]
+            count[owner[at]] += counted
+
+        model.posteriors(model.scores(names.to_pylist()), index, sizes, visit)
+    best = total.argmax(axis=1)
+    said = [model.labels[g] if c else UNKNOWN for g, c in zip(best.tolist(), count.tolist(), strict=True)] if model.labels else [UNKNOWN] * n
+    return said, np.clip(total[np.arange(n), best] / np.maximum(count, 1), 0, 1)
+
+
+def annotate(docs: DataFrame, model: Model) -> DataFrame:
+    """``docs`` with columns lang_pred and score (columns of these names are replaced); score is the mean probability.
+
+    Null texts and texts without a letter are ``und`` with score 0, as is everything under a model without labels.
+    Repeated rows and empty tables give as many rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    docs = docs.drop("lang_pred", "score")
+    schema = docs.withColumn("lang_pred", F.lit("")).withColumn("score", F.lit(0.0)).schema
+    for f in schema.fields:
+        f.nullable = True
 
     def run(batches):
-        model = shared.value
         for b in batches:
-            text = b.column("text").fill_null("")
-            lists = pc.utf8_split_whitespace(pc.utf8_lower(text))
-            words = lists.flatten().dictionary_encode()
-            names = words.dictionary
-            letters = pc.match_substring_regex(names, r"\pL").to_numpy(zero_copy_only=False)
-            index = words.indices.to_numpy()
-            sizes = np.diff(lists.offsets.to_numpy()).astype(np.int64)
-            n, k = len(text), max(1, len(model.labels))
-            total, count = np.zeros((n, k)), np.zeros(n)
-            if model.labels and len(index):
-                owner = np.repeat(np.arange(n), sizes)
-
-                def visit(at, p):
-                    counted = letters[index[at]]
-                    total[owner[at]] += p * counted[:, None]  # noqa: B023
-                    count[owner[at]] += counted  # noqa: B023
-
-                model.posteriors(model.scores(names.to_pylist()), index, sizes, visit)
-            best = total.argmax(axis=1)
-            said = [model.labels[g] if c else UNKNOWN for g, c in zip(best.tolist(), count.tolist(), strict=True)] if model.labels else [UNKNOWN] * n
-            score = np.clip(total[np.arange(n), best] / np.maximum(count, 1), 0, 1)
-            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "held_out": b.column("held_out"), "lang_pred": pa.array(said, pa.string()), "score": pa.array(score)})
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+            said, score = predict(shared.value, b.column("text"))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(said, pa.string()), pa.array(score, pa.float64())], names=[*b.schema.names, "lang_pred", "score"])
+
+    return docs.withColumn("text", F.col("text").cast("string")).mapInArrow(run, schema)
+
+
+def identify(docs: DataFrame, model: Model) -> DataFrame:
+    """(doc_id, held_out, lang_pred, score) per row of ``docs``, as ``annotate``; a null doc_id isn't held out. Other columns aren't read."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out().alias("held_out"))
+    return annotate(rows, model).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def accept(docs: DataFrame, model: Model, least_score: float = 0.25) -> DataFrame:
+    """The rows of ``docs`` that have a language, in its columns; a null lang is filled with the predicted one."""
+    rows = annotate(docs.select("*"), model).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score))
+    return rows.withColumn("lang", F.coalesce("lang", "lang_pred")).select(docs.columns)

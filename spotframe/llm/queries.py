@@ -149,7 +149,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from spotframe.llm.secrets import scan, train
 
     docs = table(spark, sf_dir, "documents")
-    found = scan(docs, train(docs)).drop("text")
+    found = scan(docs, train(docs))
 
     def said(spans):
         return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))))

@@ -204,30 +204,63 @@ def train(docs: DataFrame) -> Network:
     return fit([r["text"] for r in rows])
 
 
+def findings_of(net: Network, texts: list[str | None]) -> list[list[tuple[int, int, int, float]]]:
+    """(start, number of the kind, stop, score) of each text's findings, by start, then kind."""
+    spans, wins = [], []
+    for t in texts:
+        base = base_spans(t or "")
+        spans.append(base + more_candidates(t or "", base))
+        if spans[-1]:
+            wins.append(windows(t, spans[-1]))
+    scores = iter(net.probabilities(np.concatenate(wins)).tolist() if wins else [])
+    scored = [sorted([(a, k, z, next(scores)) for a, k, z in own]) for own in spans]
+    return [[x for x in own if x[1] < 3 or x[3] >= net.threshold] for own in scored]
+
+
 def scan(docs: DataFrame, net: Network) -> DataFrame:
-    """(doc_id, text, findings) per row; findings are structs (kind, start, stop, score), by start, then kind.
+    """(doc_id, findings) per row; findings are structs (kind, start, stop, score), by start, then kind.
 
-    Places are code points, stop exclusive. Null text counts as empty and comes back as null. Whole texts are read, of any
-    length; repeated rows give repeated rows; an empty table gives none; other columns are not read.
+    Places are code points, stop exclusive. Null text counts as empty. Whole texts are read, of any length; repeated rows
+    give repeated rows; an empty table gives none; other columns are not read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(net)
     kind_type = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("stop", pa.int32()), ("score", pa.float64())]))
 
     def run(batches):
-        net = shared.value
         for b in batches:
-            texts, spans, wins = b.column("text").to_pylist(), [], []
-            for t in texts:
-                base = base_spans(t or "")
-                spans.append(base + more_candidates(t or "", base))
-                if spans[-1]:
-                    wins.append(windows(t, spans[-1]))
-            scores = iter(net.probabilities(np.concatenate(wins)).tolist() if wins else [])
-            out = []
-            for own in spans:
-                scored = sorted([(a, k, z, next(scores)) for a, k, z in own])
-                out.append([{"kind": KINDS[k], "start": a, "stop": z, "score": p} for a, k, z, p in scored if k < 3 or p >= net.threshold])
-            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "text": b.column("text"), "findings": pa.array(out, kind_type)})
+            out = [[{"kind": KINDS[k], "start": a, "stop": z, "score": p} for a, k, z, p in own] for own in findings_of(shared.value, b.column("text").to_pylist())]
+            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "findings": pa.array(out, kind_type)})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, text string, findings array<struct<kind:string,start:int,stop:int,score:double>>")
+    return rows.mapInArrow(run, "doc_id long, findings array<struct<kind:string,start:int,stop:int,score:double>>")
+
+
+def redact(docs: DataFrame, net: Network, mark: str = "<secret>") -> DataFrame:
+    """``docs`` with every finding in ``text`` replaced by ``mark`` (findings that overlap or touch by one) and n_chars, if it is there, of the new text.
+
+    Texts without findings, null ones too, stay as they are, and so do their other columns.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(net)
+
+    def run(batches):
+        for b in batches:
+            texts = b.column("text").to_pylist()
+            changed = {}
+            for r, own in enumerate(findings_of(shared.value, texts)):
+                if own:
+                    out, reach = [], 0
+                    for a, _, z, _ in own:
+                        if a > reach or not out:
+                            out += [texts[r][reach:a], mark]
+                        reach = max(reach, z)
+                    changed[r] = "".join(out) + texts[r][reach:]
+            columns = list(b.columns)
+            if changed:
+                names = b.schema.names
+                columns[names.index("text")] = pa.array([changed.get(r, t) for r, t in enumerate(texts)], pa.string())
+                if "n_chars" in names:
+                    k = names.index("n_chars")
+                    columns[k] = pa.array([len(changed[r]) if r in changed else n for r, n in enumerate(columns[k].to_pylist())], b.schema.field("n_chars").type)
+            yield pa.RecordBatch.from_arrays(columns, names=b.schema.names)
+
+    return docs.withColumn("text", F.col("text").cast("string")).mapInArrow(run, docs.withColumn("text", F.col("text").cast("string")).schema)

@@ -15,7 +15,8 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spotframe.llm.common import materialize
@@ -47,15 +48,15 @@ def fingerprint(text: str, n_words: int = 4) -> int:
     return int.from_bytes(np.packbits(2 * counts > len(pairs)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, n_words: int = 4) -> DataFrame:
-    """(doc_id, fp) per row of ``docs``, fp as a signed long; null text counts as empty."""
+def fingerprints(docs: DataFrame, n_words: int = 4, mark: Column | None = None) -> DataFrame:
+    """(doc_id, mark, fp) per row of ``docs``, fp as a signed long; null text counts as empty."""
 
     def run(batches):
         for b in batches:
             fps = [fingerprint(t or "", n_words) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "fp": pa.array(np.array(fps, dtype=np.uint64).view(np.int64))})
+            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "mark": b.column("mark"), "fp": pa.array(np.array(fps, dtype=np.uint64).view(np.int64))})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.lit(0).cast("long") if mark is None else mark).alias("mark"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, mark long, fp long")
 
 
 def _syndromes() -> np.ndarray:
@@ -176,6 +177,15 @@ def links(fps: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     return dealt.mapInArrow(lambda batches: _compare(batches, threshold), "a long, b long")
 
 
+def groups(fps: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """(fp, root, component_id) for the fingerprints of a table (doc_id, fp)."""
+    classes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
+    roots = materialize(components(links(classes, threshold)), "components")
+    own = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    ids = own.groupBy("root").agg(F.min("least").alias("component_id"))
+    return materialize(own.join(ids, "root").select("fp", "root", "component_id"), "groups")
+
+
 def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, n_words: int = 4) -> DataFrame:
     """(doc_id, fingerprint, component_id) per row of ``docs``; component_id is the smallest doc_id reachable.
 
@@ -183,9 +193,18 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, n_words: int =
     null. Texts without words have fingerprint 0 and are linked like any other. An empty table gives no rows.
     """
     fps = materialize(fingerprints(docs, n_words), "fingerprints")
-    classes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
-    roots = materialize(components(links(classes, threshold)), "components")
-    own = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    ids = own.groupBy("root").agg(F.min("least").alias("component_id"))
-    whole = materialize(own.join(ids, "root").select("fp", "component_id"), "classes")
-    return fps.join(whole, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return fps.join(groups(fps, threshold), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, threshold: int = THRESHOLD, n_words: int = 4) -> DataFrame:
+    """One row of each group of near-duplicates, in the columns of ``docs``: that with the smallest doc_id.
+
+    Null ids come last, ties go by a hash of the text; of rows that agree in both one is kept. The choice is made on small
+    rows, at most one a group and task before the shuffle.
+    """
+    mark = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    fps = materialize(fingerprints(docs, n_words, mark), "fingerprints")
+    first = F.row_number().over(W.partitionBy("root").orderBy(F.asc_nulls_last("doc_id"), "mark"))
+    kept = fps.join(groups(fps, threshold), "fp").withColumn("place", first).filter(F.col("place") == 1).select(F.col("doc_id").alias("_doc"), F.col("mark").alias("_mark"))
+    rows = docs.withColumn("_mark", mark).join(kept.withColumnRenamed("_mark", "_own"), F.col("_doc").eqNullSafe(F.col("doc_id").cast("long")) & (F.col("_mark") == F.col("_own")))
+    return rows.dropDuplicates(["_doc", "_mark"]).select(docs.columns)
