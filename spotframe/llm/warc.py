@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spotframe.llm.common import scratch
+from spotframe.llm.common import materialize, scratch
 
 MANIFEST = "shard int, roll int, temporary string, path string, records long, bytes long, sha1 string"
 RECORD = "id long, uri string, record_type string, refers_to long, payload_digest string, payload_bytes long, payload binary"
@@ -65,11 +65,13 @@ def mark_revisits(pages: DataFrame, least_bytes: int = 1000) -> DataFrame:
     """Adds payload, payload_bytes, payload_digest, record_type and refers_to to rows (id, uri, payload).
 
     Of equal payloads of ``least_bytes`` or more the row with the largest id is the response (all rows of that id are, if
-    it is repeated), the others revisit it; null ids count as smallest. Only payloads that occur twice or more are joined.
+    it is repeated), the others revisit it; null ids count as smallest. Only payloads that occur twice or more are joined;
+    they are written first, so that Spark knows their size: if it is small, payloads aren't shuffled for the join.
     """
     known = pages.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("payload_digest", F.sha1("payload"))
     large = F.col("payload_bytes") >= least_bytes
     again = known.filter(large).groupBy("payload_digest").agg(F.count("*").alias("n"), F.max("id").alias("first")).filter("n > 1 AND first IS NOT NULL").drop("n")
+    again = materialize(again, "repeated-payloads")
     return known.join(again, "payload_digest", "left").select("id", "uri", "payload", "payload_bytes", "payload_digest", F.when(large & ~F.col("first").eqNullSafe(F.col("id")), F.col("first")).alias("refers_to")).withColumn("record_type", F.when(F.col("refers_to").isNull(), "response").otherwise("revisit"))
 
 
