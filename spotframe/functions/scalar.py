@@ -58,7 +58,7 @@ def histogram_similarity(a: Column, b: Column, metric: str) -> Column:
     if metric == "chisquare":
         return array_sum(F.zip_with(a, b, lambda x, y: F.when(x != 0, (x - y) * (x - y) / x).otherwise(0.0)))
     if metric == "intersection":
-        return array_sum(F.zip_with(a, b, F.least))
+        return array_sum(F.zip_with(a, b, lambda x, y: F.least(x, y)))
     overlap = array_sum(F.zip_with(a, b, lambda x, y: F.sqrt(x * y)))
     return F.sqrt(F.greatest(F.lit(0.0), 1 - F.try_divide(overlap, F.sqrt(array_sum(a) * array_sum(b)))))
 
