@@ -178,6 +178,19 @@ def triplet_loss(triplets: DataFrame, embeddings: DataFrame, margin: float = 0.5
     return out.withColumn("loss", F.greatest(gap + margin, F.lit(0.0))).select("anchor", "positive", "negative", "loss")
 
 
+def hash_places(rows: DataFrame, key: str, seed: int) -> DataFrame:
+    """Adds place, from 0, in an order by hash of the key.
+
+    The order's first three digits part the rows into 4096 buckets; a place is the rank in the bucket plus the rows of the
+    buckets before, so no task orders all rows.
+    """
+    rows = rows.withColumn("_h", hash_order(F.col(key), seed=seed)).withColumn("_b", F.substring("_h", 1, 3))
+    counts = rows.groupBy("_b").agg(F.count("*").alias("_n"))
+    base = counts.withColumn("_base", F.sum("_n").over(W.orderBy("_b")) - F.col("_n")).drop("_n")
+    rank = F.row_number().over(W.partitionBy("_b").orderBy("_h", key)) - 1
+    return rows.withColumn("_rank", rank).join(F.broadcast(base), "_b").withColumn("place", F.col("_base") + F.col("_rank")).drop("_h", "_b", "_base", "_rank")
+
+
 def _pick(rows: DataFrame, size: int | Column, k: Column, seed: int) -> Column:
     """A place from 0 to size - 1 by hash of (id, k)."""
     return F.conv(F.substring(hash_order(F.col("id"), k, seed=seed), 1, 12), 16, 10).cast("long") % size
@@ -194,7 +207,7 @@ def mine_triplets(anchors: DataFrame, negatives: DataFrame, n: int, low: float,
     stats = per.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m", "s"))), lambda x: F.struct(x["m"].alias("m"), x["s"].alias("s"))).alias("stats"))
     scale = lambda df: df.crossJoin(F.broadcast(stats)).withColumn("params", F.zip_with("params", "stats", lambda v, s: F.when(s["s"] == 0, 0.0).otherwise((v - s["m"]) / s["s"]))).drop("stats")
     a, b = scale(anchors), scale(negatives)
-    b = b.withColumn("place", F.row_number().over(W.orderBy("id")) - 1).select("place", F.col("name").alias("negative"), F.col("params").alias("other"))
+    b = hash_places(b, "id", seed + 1).select("place", F.col("name").alias("negative"), F.col("params").alias("other"))
     total = negatives.count()
     tried = a.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(tries - 1)))).withColumn("place", _pick(a, total, F.col("k"), seed))
     rows = tried.join(b, "place").withColumn("distance", vector_distance(F.col("params"), F.col("other")))
@@ -231,7 +244,7 @@ def mine_real_triplets(rows: DataFrame, t: int, seed: int) -> DataFrame:
 
 def difference_pairs(rows: DataFrame, n_sample: int, n_other: int, seed: int) -> DataFrame:
     """(id, other, difference, distance2): sampled rows (id, features, params) against sampled others."""
-    order = rows.withColumn("place", F.row_number().over(W.orderBy(hash_order(F.col("id"), seed=seed), "id")) - 1).filter(F.col("place") < max(n_sample, n_other))
+    order = hash_places(rows, "id", seed).filter(F.col("place") < max(n_sample, n_other))
     a = order.filter(F.col("place") < n_sample).withColumn("to", F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))))
     b = order.select(F.col("place").alias("to"), F.col("id").alias("other"), F.col("features").alias("f"), F.col("params").alias("p"))
     pairs = a.join(b, "to").filter("id <> other")
@@ -242,7 +255,7 @@ def train_val_split(triplets: DataFrame, key: str, epoch: int, batch: int, seed:
     """The first ``epoch`` rows of a hashed order, in batches; the last ones (a hundredth, but one) are for validation."""
     if triplets.count() < epoch:
         raise ValueError("there are fewer rows than an epoch takes")
-    rows = triplets.withColumn("place", F.row_number().over(W.orderBy(hash_order(F.col(key), seed=seed), key)) - 1).filter(F.col("place") < epoch)
+    rows = hash_places(triplets, key, seed).filter(F.col("place") < epoch)
     train = max(round(epoch / batch * 0.99), 1)
     return rows.withColumn("batch", F.floor(F.col("place") / batch)).withColumn("part", F.when(F.col("batch") < train, "train").otherwise("val")).drop("place")
 
