@@ -154,7 +154,7 @@ def write(pages: DataFrame, folder: str, shard_bytes: int = 64 << 20, roll_bytes
                     raise FileNotFoundError(f"neither {old} nor {new}")
             yield b
 
-    ranged = rows.withColumn("shard", shard_of(F.struct("uri", F.col("id").cast("string").alias("id"), "payload_digest"))).repartition("shard").sortWithinPartitions("shard", *order)
+    ranged = rows.withColumn("shard", shard_of(F.struct("uri", F.col("id").cast("string").alias("id"), "payload_digest"))).repartition(shards, "shard").sortWithinPartitions("shard", *order)
     ranged.mapInArrow(pack, MANIFEST).write.parquet(f"{folder}/claims")
     claims = spark.read.parquet(f"{folder}/claims")
     claims.mapInArrow(commit, MANIFEST).write.parquet(f"{folder}/manifest")
