@@ -194,22 +194,22 @@ def predict(model: Model, text: pa.Array) -> tuple[list[str], np.ndarray]:
     return said, np.clip(total[np.arange(n), best] / np.maximum(count, 1), 0, 1)
 
 
-def annotate(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with columns lang_pred and score (columns of these names are replaced); score is the mean probability.
+def annotate(docs: DataFrame, model: Model, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``docs`` with the predicted language and its mean probability in two columns (any of these names are replaced).
 
     Null texts and texts without a letter are ``und`` with score 0, as is everything under a model without labels.
     Repeated rows and empty tables give as many rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    docs = docs.drop("lang_pred", "score")
-    schema = docs.withColumn("lang_pred", F.lit("")).withColumn("score", F.lit(0.0)).schema
+    docs = docs.drop(*names)
+    schema = docs.withColumn(names[0], F.lit("")).withColumn(names[1], F.lit(0.0)).schema
     for f in schema.fields:
         f.nullable = True
 
     def run(batches):
         for b in batches:
             said, score = predict(shared.value, b.column("text"))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(said, pa.string()), pa.array(score, pa.float64())], names=[*b.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(said, pa.string()), pa.array(score, pa.float64())], names=[*b.schema.names, *names])
 
     return docs.withColumn("text", F.col("text").cast("string")).mapInArrow(run, schema)
 
@@ -222,5 +222,5 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 def accept(docs: DataFrame, model: Model, least_score: float = 0.25) -> DataFrame:
     """The rows of ``docs`` that have a language, in its columns; a null lang is filled with the predicted one."""
-    rows = annotate(docs.select("*"), model).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score))
-    return rows.withColumn("lang", F.coalesce("lang", "lang_pred")).select(docs.columns)
+    rows = annotate(docs, model, ("_predicted", "_score")).filter((F.col("_predicted") != UNKNOWN) & (F.col("_score") >= least_score))
+    return rows.withColumn("lang", F.coalesce("lang", "_predicted")).select(docs.columns)

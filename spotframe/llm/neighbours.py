@@ -105,12 +105,14 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row whose id is divisible by ``every`` its ``k`` nearest other rows.
 
     Nearest first, ties to the smaller id; all candidates, if there are fewer. Rows without id and vectors that are null, empty, zero or
-    hold null or non-finite components take no part; vectors of another length than the most common one are an error.
+    hold null or non-finite components take no part, nor do those of another length than the most common (ties: the longer).
     Rows that repeat an id with another vector are candidates under that id too, but never neighbours of the query with that
     id; a repeated query id asks with its smallest vector, repeated rows count once. An empty table gives no rows.
     """
     spark = vectors.sparkSession
     rows = usable(vectors)
+    dims = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
+    rows = rows.filter(F.size("v") == (dims["d"] if dims else 0))
     # the window's limit holds before the shuffle too, so a very common vector leaves few rows
     few = rows.withColumn("place", F.dense_rank().over(W.partitionBy("v").orderBy("vec_id"))).filter(F.col("place") <= k + 1)
     classes = materialize(few.groupBy("v").agg(F.sort_array(F.collect_set("vec_id")).alias("ids")), "vectors")

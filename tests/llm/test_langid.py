@@ -63,6 +63,9 @@ def test_odd_rows(spark):
     out = langid.identify(df, langid.train(df)).collect()
     assert len(out) == 8
     assert {r.doc_id for r in out if r.lang_pred == "und"} == {2, 3, 4}
+    clash = df.withColumn("score", langid.F.lit("mine"))
+    kept = langid.accept(clash, langid.train(df)).collect()
+    assert kept[0].__fields__ == clash.columns and {r.score for r in kept} == {"mine"} and {r.doc_id for r in kept} == {1, 6, 7, None}
     empty = df.filter("doc_id > 100")
     assert langid.identify(empty, langid.train(empty)).collect() == []
     assert {r.lang_pred for r in langid.identify(df, langid.train(empty)).collect()} == {"und"}

@@ -44,6 +44,8 @@ def test_odd_rows(spark):
     rows += [(1000 + i * 7, [0.5, 0.5, 0.5]) for i in range(40)]
     df = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<double>, ids string")
     assert got(neighbours.nearest(df)) == brute(rows)
+    ragged = df.unionByName(spark.createDataFrame([(150, [1.0, 2.0], "x"), (151, [1.0], "x")], df.schema))
+    assert got(neighbours.nearest(ragged)) == brute(rows)
     few = df.filter("vec_id in (0, 1)")
     assert got(neighbours.nearest(few)) == {0: [(-1.0, 1)]}
     assert got(neighbours.nearest(df.filter("vec_id < 0"))) == {}
