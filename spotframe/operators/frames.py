@@ -183,3 +183,43 @@ def circularity(labels: DataFrame) -> DataFrame:
     per = b.groupBy(*key).agg(F.sum(weight).alias("p"), F.first("area").alias("area"))
     p = F.when(F.col("p") == 0, 0.5).otherwise(F.col("p"))
     return per.select(*key, (4 * 3.141592653589793 * F.col("area") / (p * p)).alias("circularity"))
+
+
+def fit_labelled_objects(frames: DataFrame, labels: DataFrame, n: int | None = None, seed: int = 0, rad_xy: int = 10, rad_z: int = 2) -> DataFrame:
+    """Fits at the centroids of labelled objects, of ``n`` hashed ones if given; fit_no is the label."""
+    from spotframe.functions.scalar import hash_order
+    from spotframe.operators.voxels import centroids
+
+    peaks = centroids(labels).withColumn("fit_no", F.col("label").cast("long"))
+    if n is not None:
+        peaks = peaks.orderBy(hash_order(F.col("stack_id"), F.col("t"), F.col("label"), seed=seed)).limit(n)
+    return fit_peaks(peaks.select("stack_id", "t", "fit_no", "z", "x", "y"), frames, rad_xy, rad_z)
+
+
+def bead_boxes(frames: DataFrame, voxels: DataFrame, threshold: float, lengths: tuple[int, int, int], sigma: float = 1.0) -> DataFrame:
+    """(stack_id, t, label, dz, dx, dy, value) from 0 to 1 around the centre of mass of each part above the threshold; boxes that leave the image go."""
+    from spotframe.operators.voxels import POINT, normalize_minmax, spot_boxes
+
+    parts = segment_frames(frames, lambda a: kn.connected_components(kn.gaussian_filter(a, sigma) > threshold))
+    mass = parts.join(voxels.filter("c = 0").select(*POINT, "value"), POINT).groupBy("stack_id", "t", "label")
+    center = mass.agg(*[F.rint(F.try_divide(F.sum(F.col(k) * F.col("value")), F.sum("value"))).alias(k) for k in "zxy"])
+    boxes = spot_boxes(center, voxels, 0, lengths, float("-inf"), "label")
+    whole = boxes.groupBy("stack_id", "t", "label").agg(F.min("value").alias("low")).filter(F.col("low") > float("-inf"))
+    return normalize_minmax(boxes.join(whole.drop("low"), ["stack_id", "t", "label"]), ["stack_id", "t", "label"])
+
+
+def mask_foci(voxels: DataFrame, labels: DataFrame, size: tuple[int, int], sigma: float = 1.0, grow: int = 3) -> DataFrame:
+    """(stack_id, t, x, y) of bright bodies: smoothed z maximum above Otsu's threshold of the pixels in a nucleus, dilated by a square."""
+    from spotframe.operators.voxels import dilate, otsu_threshold, project
+
+    flat = project(voxels.filter("c = 0"), "z").withColumn("z", F.lit(0))
+    smooth = to_voxel_rows(filter_frames(to_frames(flat.select("stack_id", "c", "t", "z", "x", "y", "value")), "gaussian", (0, sigma, sigma)))
+    inside = smooth.join(labels.select("stack_id", "t", "x", "y").distinct(), ["stack_id", "t", "x", "y"], "left_semi")
+    bright = inside.join(otsu_threshold(inside, ["stack_id", "t"]), ["stack_id", "t"]).filter("value > threshold")
+    return dilate(bright.select("stack_id", "t", "z", "x", "y", F.lit(1).alias("label")), (1, grow, grow), (1, *size)).select("stack_id", "t", "x", "y")
+
+
+def to_voxel_rows(frames: DataFrame) -> DataFrame:
+    from spotframe.sources.frames import to_voxels
+
+    return to_voxels(frames, ["stack_id", "t"])

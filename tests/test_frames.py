@@ -152,3 +152,39 @@ def test_text_round_trips(spark, tmp_path):
     t = spark.createDataFrame([("a", "b", "c")], "anchor string, positive string, negative string")
     src.write_triplets(t, str(tmp_path / "x"))
     assert src.read_triplets(spark, str(tmp_path / "x")).collect() == t.collect()
+
+
+def voxel_table(spark, a):
+    return spark.createDataFrame([(0, 0, 0, *map(int, p), float(a[tuple(p)])) for p in np.ndindex(a.shape)], "stack_id long, c int, t int, z int, x int, y int, value double")
+
+
+def test_beads_and_foci(spark):
+    a = np.zeros((9, 24, 24))
+    for c in ((4, 6, 6), (4, 16, 15), (1, 22, 3)):  # the last one's box leaves the image
+        a[tuple(slice(x - 1, x + 2) for x in c)] = 50
+        a[c] = 100
+    v = voxel_table(spark, a)
+    out = fr.bead_boxes(frame_table(spark, [a]), v, 20.0, (5, 5, 5)).collect()
+    assert len(out) == 2 * 125 and all((r.value == 1) == (r.dz == r.dx == r.dy == 0) for r in out)
+    nucleus = spark.createDataFrame([(0, 0, 4, x, y, 1) for x in range(2, 12) for y in range(2, 12)], "stack_id long, t int, z int, x int, y int, label int")
+    foci = {(r.x, r.y) for r in fr.mask_foci(v, nucleus, (24, 24), 0.5, 3).collect()}
+    assert (6, 6) in foci and (16, 15) not in foci and len(foci) < 50
+
+
+def test_fits_of_labelled_objects(spark):
+    grid = np.stack(np.meshgrid(np.arange(7.0), np.arange(20.0), np.arange(20.0), indexing="ij"), -1).reshape(-1, 3)
+    a = kn.gaussian_values(np.array([[100.0, 3, 9, 10, 1, 1.5, 1.5]]), grid).reshape(7, 20, 20)
+    labels = label_table(spark, [(a > 50).astype(int)])
+    (r,) = fr.fit_labelled_objects(frame_table(spark, [a]), labels, 1, 3, 6, 3).collect()
+    assert (r.fit_no, r.z, r.x, r.y) == (1, 3, 9, 10) and r.height == pytest.approx(100, rel=0.01) and r.width_x == pytest.approx(1.5, rel=0.02)
+
+
+def test_stitched_movies(spark):
+    from spotframe.operators.calib import stitch_labels
+
+    rows = lambda t, labels: [(0, t, 0, k, 0, label) for k, label in enumerate(labels)]
+    schema = "stack_id long, t int, z int, x int, y int, label int"
+    a, b = spark.createDataFrame(rows(0, [4, 7]), schema), spark.createDataFrame(rows(0, [1, 2, 3]), schema)
+    m = vx.match_labels(a, b, ["stack_id", "t"])
+    out = {(r.t, r.x): r.label for r in stitch_labels(a, b, 5, m).collect()}
+    assert out == {(0, 0): 4, (0, 1): 7, (5, 0): 4, (5, 1): 7, (5, 2): 8}
