@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from spotframe.functions.scalar import hash_order, vector_distance
 
+TRIPLET_BLOCK = 256  # negatives a block of the rounds for anchors that are short
+
 
 def combine(sets: dict[str, DataFrame]) -> DataFrame:
     """Tables one after the other, tagged by name."""
@@ -201,7 +203,9 @@ def mine_triplets(anchors: DataFrame, negatives: DataFrame, n: int, low: float,
 
     Anchors have id, name, positive, params; negatives id, name, params. Parameters are z-scored by the negatives' mean and
     deviation; the band goes from the ``low`` to the ``high`` percentile of distances between up to ``sample`` anchors and sampled
-    negatives. Each anchor tries ``tries`` hashed places in the negatives; an anchor may get fewer than ``n``.
+    negatives. Each anchor tries ``tries`` hashed places in the negatives. Those short of ``n`` go on through the negatives in
+    hashed order, from a place of their own, by blocks whose number grows fourfold a round, till they have ``n`` or have met
+    all; so an anchor gets fewer only if no more negatives are in its band.
     """
     per = negatives.select(F.posexplode("params").alias("i", "v")).groupBy("i").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s"))
     stats = per.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m", "s"))), lambda x: F.struct(x["m"].alias("m"), x["s"].alias("s"))).alias("stats"))
@@ -213,9 +217,27 @@ def mine_triplets(anchors: DataFrame, negatives: DataFrame, n: int, low: float,
     rows = tried.join(b, "place").withColumn("distance", vector_distance(F.col("params"), F.col("other")))
     first = rows.filter(F.pmod(F.xxhash64("id"), F.lit(max(1, anchors.count() // sample))) == 0)
     cuts = first.agg(F.expr(f"percentile(distance, {low})").alias("lo"), F.expr(f"percentile(distance, {high})").alias("hi"))
-    kept = rows.crossJoin(F.broadcast(cuts)).filter("distance >= lo AND distance <= hi AND distance <> 0").dropDuplicates(["id", "place"])
+    lo, hi = cuts.first()
+    if lo is None:
+        return rows.limit(0).select(F.col("name").alias("anchor"), "positive", "negative", "distance")
+    fields = ["id", "name", "positive", "place", "negative", "distance", "k"]
+    got = rows.filter(F.col("distance").between(lo, hi) & (F.col("distance") != 0)).withColumn("k", F.col("k").cast("long")).dropDuplicates(["id", "place"]).select(fields).persist()
+    blocks = b.groupBy(F.floor(F.col("place") / TRIPLET_BLOCK).alias("block")).agg(F.collect_list(F.struct("place", "negative", "other")).alias("rows"))
+    n_blocks, done, width = -(-total // TRIPLET_BLOCK), 0, 1
+    while done < n_blocks:
+        have = got.groupBy("id").agg(F.count("*").alias("have"))
+        short = a.join(have, "id", "left").filter(F.coalesce("have", F.lit(0)) < n)
+        if short.isEmpty():
+            break
+        last = min(n_blocks, done + width)
+        asked = short.withColumn("step", F.explode(F.sequence(F.lit(done), F.lit(last - 1)))).withColumn("block", (_pick(short, n_blocks, F.lit("start"), seed) + F.col("step")) % n_blocks)
+        far = lambda x: F.struct(x["place"].alias("place"), x["negative"].alias("negative"), vector_distance(F.col("params"), x["other"]).alias("distance"))
+        inside = F.filter(F.transform("rows", far), lambda x: x["distance"].between(lo, hi) & (x["distance"] != 0))
+        met = asked.join(blocks, "block").select("id", "name", "positive", "step", F.explode(inside).alias("x")).select("id", "name", "positive", "x.*", (F.lit(tries) + F.col("step") * TRIPLET_BLOCK + F.col("x.place") % TRIPLET_BLOCK).cast("long").alias("k"))
+        fresh = met.join(got.select("id", "place"), ["id", "place"], "left_anti").withColumn("r", F.row_number().over(W.partitionBy("id").orderBy("k"))).filter(F.col("r") <= n)
+        got, done, width = got.unionByName(fresh.select(fields)).persist(), last, width * 4
     order = F.row_number().over(W.partitionBy("id").orderBy("k"))
-    return kept.withColumn("r", order).filter(F.col("r") <= n).select(F.col("name").alias("anchor"), "positive", "negative", "distance")
+    return got.withColumn("r", order).filter(F.col("r") <= n).select(F.col("name").alias("anchor"), "positive", "negative", "distance")
 
 
 def mine_real_triplets(rows: DataFrame, t: int, seed: int) -> DataFrame:

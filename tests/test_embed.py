@@ -49,6 +49,26 @@ def test_triplets_by_distance_band(spark):
         assert all(r.positive == "p" + r.anchor[1:] and r.anchor != r.negative for r in out)
 
 
+def test_triplets_of_short_anchors_against_all_pairs(spark):
+    rng = np.random.default_rng(6)
+    p = np.concatenate([rng.normal(0, 1, (700, 3)), rng.normal(0, 1, (20, 3)) + 9])
+    rows = spark.createDataFrame([(i, f"s{i}", v.tolist(), f"p{i}") for i, v in enumerate(p)], "id long, name string, params array<double>, positive string")
+    z = (p - p.mean(axis=0)) / p.std(axis=0)
+    d = np.sqrt(((z[:, None] - z[None]) ** 2).sum(axis=2))
+    out = em.mine_triplets(rows, rows, 5, 0.0, 0.03, 1, tries=3).collect()
+    by = {}
+    for r in out:
+        by.setdefault(int(r.anchor[1:]), {})[int(r.negative[1:])] = r.distance
+        assert r.distance == pytest.approx(d[int(r.anchor[1:]), int(r.negative[1:])], abs=1e-9)
+    assert sum(map(len, by.values())) == len(out)
+    # the cuts are percentiles of the tried pairs: those of the seed
+    tried = em.mine_triplets(rows, rows, 720, 0.0, 0.03, 1, tries=3)
+    every = [r.distance for r in tried.collect()]
+    eligible = ((d > 1e-12) & (d >= min(every) - 1e-9) & (d <= max(every) + 1e-9)).sum(axis=1)
+    assert len(every) == eligible.sum() and (eligible < 5).any() and (eligible > 5).any()
+    assert [len(by.get(i, {})) for i in range(720)] == np.minimum(eligible, 5).tolist()
+
+
 def test_real_triplets(spark):
     names = [(i, f"s{i % 3}_st{i % 2}_n{i % 5}_{i}.pkl") for i in range(90)] + [(900, "s9_st9_n0_0.pkl")]
     rows = sp.parse_real_names(spark.createDataFrame(names, "id long, name string"))
