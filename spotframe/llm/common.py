@@ -1,4 +1,4 @@
-"""What the operators of this subpackage share: tables, the shared folder, skew-safe joins."""
+"""What the operators of this subpackage share: tables, the shared folder, names of helper columns."""
 
 from __future__ import annotations
 
@@ -37,15 +37,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def n_parts(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
-def salted_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", salts: int = 16) -> DataFrame:
-    """Join a side with hot keys (``left``) to one row per key (``right``), each hot key dealt over ``salts`` tasks.
-
-    Rows of ``right`` are repeated ``salts`` times, a constant factor; null keys match nothing.
-    """
-    spread = left.withColumn("_salt", F.pmod(F.xxhash64(*[c for c in left.columns if c != key]), F.lit(salts)).cast("int"))
-    copies = right.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
-    return spread.join(copies, [key, "_salt"], how).drop("_salt")
+def fresh(df: DataFrame, n: int) -> tuple[str, ...]:
+    """``n`` names for helper columns that ``df`` has none of."""
+    taken = {c.lower() for c in df.columns}
+    free = (f"_h{k}" for k in range(len(taken) + n))
+    return tuple(x for x in free if x not in taken)[:n]
