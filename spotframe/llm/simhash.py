@@ -15,8 +15,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spotframe.llm.common import materialize
@@ -48,15 +47,15 @@ def fingerprint(text: str, n_words: int = 4) -> int:
     return int.from_bytes(np.packbits(2 * counts > len(pairs)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, n_words: int = 4, mark: Column | None = None) -> DataFrame:
-    """(doc_id, mark, fp) per row of ``docs``, fp as a signed long; null text counts as empty."""
+def fingerprints(docs: DataFrame, n_words: int = 4) -> DataFrame:
+    """(doc_id, fp) per row of ``docs``, fp as a signed long; null text counts as empty."""
 
     def run(batches):
         for b in batches:
             fps = [fingerprint(t or "", n_words) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "mark": b.column("mark"), "fp": pa.array(np.array(fps, dtype=np.uint64).view(np.int64))})
+            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "fp": pa.array(np.array(fps, dtype=np.uint64).view(np.int64))})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.lit(0).cast("long") if mark is None else mark).alias("mark"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, mark long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
 def _syndromes() -> np.ndarray:
@@ -70,10 +69,15 @@ def _syndromes() -> np.ndarray:
 
 def anchors_of(fps: np.ndarray, homes_only: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row of the fingerprint, anchor and whether it is the home, for every anchor within distance 2 of a segment."""
+    values = [((fps.view(np.uint64) >> np.uint64(first)) & np.uint64((1 << bits) - 1)).astype(np.int64) for first, bits in SEGMENTS]
+    return anchors_of_segments(values, [bits for _, bits in SEGMENTS], homes_only)
+
+
+def anchors_of_segments(values: list[np.ndarray], widths: list[int], homes_only: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``anchors_of``, of the values of all segments (``INNER`` bits or more each) of some fingerprints."""
     syndrome, rows, anchors, homes = _syndromes(), [], [], []
     one = np.int64(1)
-    for s, (first, bits) in enumerate(SEGMENTS):
-        v = ((fps.view(np.uint64) >> np.uint64(first)) & np.uint64((1 << bits) - 1)).astype(np.int64)
+    for s, (v, bits) in enumerate(zip(values, widths, strict=True)):
         syn = syndrome[v & ((1 << INNER) - 1)]
         home = np.where(syn > 0, v ^ (one << np.maximum(syn - 1, 0)), v)
         spread, index = np.int64(s) << 32, np.arange(len(v))
@@ -113,68 +117,90 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[far], nodes[label[far]]
 
 
-def _compare(batches, threshold: int, chunk: int = 1 << 20):
-    """Rows come by anchor and block, those at home first. The homes of the last group are kept for the next batch."""
-    kept_key, kept = None, np.array([], dtype=np.int64)
+def meetings(batches, names: list[str], chunk: int = 1 << 20):
+    """Of each batch its columns ``names`` and an iterator over (left, right): the rows of pairs that meet, ``left`` at home.
+
+    Rows come by anchor and block, those at home first. The homes of the last group are kept for the next batch, where
+    they stand before its rows; at most ``chunk`` pairs, or the homes of one row, are made at a time.
+    """
+    kept_key, kept = None, {}
+
+    def pairs(rows, times, first, group):
+        stop, at = np.cumsum(times), 0
+        while at < len(rows):
+            to = max(at + 1, int(np.searchsorted(stop, (stop[at - 1] if at else 0) + chunk, "right")))
+            r, t = rows[at:to], times[at:to]
+            right = np.repeat(r, t)
+            yield np.arange(len(right)) - np.repeat(np.cumsum(t) - t, t) + first[group[right]], right
+            at = to
+
     for batch in batches:
         if not batch.num_rows:
             continue
         key = np.stack([batch.column("anchor").to_numpy(), batch.column("block").to_numpy().astype(np.int64)], axis=1)
-        fp, home = batch.column("fp").to_numpy(), batch.column("home").to_numpy(zero_copy_only=False)
+        columns = {c: batch.column(c).to_numpy() for c in names}
+        home, old = batch.column("home").to_numpy(zero_copy_only=False), 0
         if kept_key is not None and (key[0] == kept_key).all():
-            key, fp = np.concatenate([np.repeat(kept_key[None], len(kept), axis=0), key]), np.concatenate([kept, fp])
-            home, old = np.concatenate([np.ones(len(kept), dtype=bool), home]), len(kept)
-        else:
-            old = 0
+            old = len(kept[names[0]])
+            key = np.concatenate([np.repeat(kept_key[None], old, axis=0), key])
+            columns = {c: np.concatenate([kept[c], columns[c]]) for c in names}
+            home = np.concatenate([np.ones(old, dtype=bool), home])
         first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(axis=1)]))
-        size = np.diff([*first, len(fp)])
+        size = np.diff([*first, len(key)])
         n_home = np.add.reduceat(home.astype(np.int64), first)
-        kept_key, kept = key[-1], fp[first[-1] : first[-1] + n_home[-1]]
+        kept_key, kept = key[-1], {c: v[first[-1] : first[-1] + n_home[-1]] for c, v in columns.items()}
         group = np.repeat(np.arange(len(first)), size)
-        rows = np.flatnonzero((n_home[group] > 0) & (np.arange(len(fp)) >= old))
-        times = n_home[group[rows]]
-        stop = np.cumsum(times)
-        got_a, got_b, at = [], [], 0
-        while at < len(rows):
-            to = max(at + 1, int(np.searchsorted(stop, (stop[at - 1] if at else 0) + chunk, "right")))
-            r, t = rows[at:to], times[at:to]
-            right = np.repeat(r, t)
-            left = np.arange(len(right)) - np.repeat(np.cumsum(t) - t, t) + first[group[right]]
-            x, y = fp[left], fp[right]
+        rows = np.flatnonzero((n_home[group] > 0) & (np.arange(len(key)) >= old))
+        yield columns, pairs(rows, n_home[group[rows]], first, group)
+
+
+def _compare(batches, threshold: int):
+    for columns, pairs in meetings(batches, ["fp"]):
+        got_a, got_b = [], []
+        for left, right in pairs:
+            x, y = columns["fp"][left], columns["fp"][right]
             near = (np.bitwise_count((x ^ y).view(np.uint64)) <= threshold) & (x != y)
             if near.any():
                 a, b = _forest(x[near], y[near])
                 got_a.append(a)
                 got_b.append(b)
-            at = to
         if got_a:
             a, b = _forest(np.concatenate(got_a), np.concatenate(got_b))
             yield pa.RecordBatch.from_pydict({"a": pa.array(a), "b": pa.array(b)})
 
 
+def dealt(rows: DataFrame, spread, schema: str) -> DataFrame:
+    """Rows by anchor and block, those at home first, as ``meetings`` wants them.
+
+    ``spread(batches, homes_only)`` makes of ``rows`` those sent to anchors (columns of ``schema`` and home). Anchors with more
+    than ``BLOCK`` at home are cut into blocks, each with its own homes and all that come.
+    """
+    sent = rows.mapInArrow(lambda batches: spread(batches, False), f"{schema}, home boolean")
+    at_home = rows.mapInArrow(lambda batches: spread(batches, True), f"{schema}, home boolean")
+    names = [c.split(" ")[0] for c in schema.split(", ")]
+    hot = materialize(at_home.groupBy("anchor").count().filter(F.col("count") > BLOCK).select("anchor", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")), "hot-anchors")
+    if hot.isEmpty():
+        out = sent.withColumn("block", F.lit(0))
+    else:
+        blocks = F.coalesce("blocks", F.lit(1))
+        own = F.pmod(F.xxhash64(*names[1:]), blocks).cast("int")
+        out = sent.join(hot, "anchor", "left").withColumn("own", own).withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("home", F.col("home") & (F.col("block") == F.col("own")))
+    return out.select(*names, "block", "home").repartition("anchor", "block").sortWithinPartitions("anchor", "block", F.desc("home"))
+
+
 def links(fps: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """Links (a, b) between different fingerprints whose components are those of all links at ``threshold`` or fewer bits."""
     if threshold > 5:
         raise ValueError("three segments of covering radius 1 meet every link of up to 5 bits, not more")
 
-    def spread(batches, homes_only=False):
+    def spread(batches, homes_only):
         for b in batches:
             fp = b.column("fp").to_numpy()
             if len(fp):
                 rows, anchors, homes = anchors_of(fp, homes_only)
                 yield pa.RecordBatch.from_pydict({"anchor": pa.array(anchors), "fp": pa.array(fp[rows]), "home": pa.array(homes)})
 
-    sent = fps.select("fp").mapInArrow(spread, "anchor long, fp long, home boolean")
-    at_home = fps.select("fp").mapInArrow(lambda batches: spread(batches, True), "anchor long, fp long, home boolean")
-    hot = materialize(at_home.groupBy("anchor").count().filter(F.col("count") > BLOCK).select("anchor", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")), "hot-anchors")
-    if hot.isEmpty():
-        dealt = sent.withColumn("block", F.lit(0))
-    else:
-        blocks = F.coalesce("blocks", F.lit(1))
-        own = F.pmod(F.xxhash64("fp"), blocks).cast("int")
-        dealt = sent.join(hot, "anchor", "left").withColumn("own", own).withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("home", F.col("home") & (F.col("block") == F.col("own")))
-    dealt = dealt.select("anchor", "block", "fp", "home").repartition("anchor", "block").sortWithinPartitions("anchor", "block", F.desc("home"))
-    return dealt.mapInArrow(lambda batches: _compare(batches, threshold), "a long, b long")
+    return dealt(fps.select("fp"), spread, "anchor long, fp long").mapInArrow(lambda batches: _compare(batches, threshold), "a long, b long")
 
 
 def groups(fps: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
@@ -194,17 +220,3 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, n_words: int =
     """
     fps = materialize(fingerprints(docs, n_words), "fingerprints")
     return fps.join(groups(fps, threshold), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_one(docs: DataFrame, threshold: int = THRESHOLD, n_words: int = 4) -> DataFrame:
-    """One row of each group of near-duplicates, in the columns of ``docs``: that with the smallest doc_id.
-
-    Null ids come last, ties go by a hash of the text; of rows that agree in both one is kept. The choice is made on small
-    rows, at most one a group and task before the shuffle.
-    """
-    mark = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    fps = materialize(fingerprints(docs, n_words, mark), "fingerprints")
-    first = F.row_number().over(W.partitionBy("root").orderBy(F.asc_nulls_last("doc_id"), "mark"))
-    kept = fps.join(groups(fps, threshold), "fp").withColumn("place", first).filter(F.col("place") == 1).select(F.col("doc_id").alias("_doc"), F.col("mark").alias("_mark"))
-    rows = docs.withColumn("_mark", mark).join(kept.withColumnRenamed("_mark", "_own"), F.col("_doc").eqNullSafe(F.col("doc_id").cast("long")) & (F.col("_mark") == F.col("_own")))
-    return rows.dropDuplicates(["_doc", "_mark"]).select(docs.columns)
