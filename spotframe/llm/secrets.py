@@ -1,13 +1,15 @@
 """Secret scans: rules, and a character convolutional network over every candidate with its context.
 
-Three rules give findings that always stay. Every other token of ``LEAST`` characters or more that has a letter and a digit
-is a candidate; a network with one convolution over the characters before, in and after it gives a calibrated probability,
-and candidates above a threshold become findings of kind ``cnn``. The network gives the rules' findings a score too.
-
-It is fitted in numpy on the driver, on a sample of at most ``TRAIN_DOCS`` documents of at most ``TRAIN_CHARS`` characters:
-the rules' findings there are the labelled findings, other tokens the negatives; as rules see few forms, ``MADE`` secrets and
-``MADE`` harmless tokens of other forms are set into contexts of the sample. A third of the examples is held back: on them
-the scores are calibrated (Platt), and the threshold is the largest that keeps a recall of ``RECALL``.
+Three rules give findings that always stay. Every other run of ``LEAST`` or more characters of keys, addresses and words is a
+candidate, whatever it is made of; so are the parts of such runs outside of the rules' findings, and shorter values that follow a name of a
+secret. A network with one convolution over the characters before, in and after a candidate gives a calibrated probability, and
+candidates above a threshold become findings of kind ``cnn``. The network gives the rules' findings a score too.
+
+It is fitted in numpy on the driver, on a sample of at most ``TRAIN_DOCS`` documents of at most ``TRAIN_CHARS`` characters each and
+``TRAIN_BYTES`` bytes together: the rules' findings there are the labelled findings, the other candidates, found as in a scan, the
+negatives; as rules see few forms, ``MADE`` secrets and ``MADE`` harmless tokens of other forms are set into places of the sample.
+Each third document is held back with all that stands in it: on these the scores are calibrated (Platt), with candidates in
+the balance of real text, and the threshold is the largest that keeps a recall of ``RECALL``. ``Network.report`` has what was measured.
 """
 
 from __future__ import annotations
@@ -22,13 +24,16 @@ from pyspark.sql import functions as F
 
 KINDS = ("assign", "access", "hex", "cnn")
 LEAST, BEFORE, INSIDE, AFTER = 12, 28, 44, 12
-TRAIN_DOCS, TRAIN_CHARS, MADE, RECALL = 1500, 100_000, 1200, 0.98
+TRAIN_DOCS, TRAIN_CHARS, TRAIN_BYTES, MADE, RECALL = 1500, 100_000, 8 << 20, 1800, 0.95
+NEGATIVES, MADE_WEIGHT = 6, 0.05  # of a document, for training; of a made example, for calibration
 EMBED, WIDTH, FILTERS, HIDDEN = 8, 5, 24, 24
 
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")  # runs are taken whole, so shorter ones never match a part
-TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z+/_=-]*+[0-9][A-Za-z0-9+/_=-]*+")
+RUN = re.compile(r"[A-Za-z0-9+/_.=$!%&*#~^?@:-]{12,}")
+KEY = re.compile(r"[A-Za-z_][A-Za-z0-9_.-]*[:=]+(?![:=/])")  # a name before a value in the same run
+VALUE = re.compile(r"(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|auth|credential)[\"']?[ \t]{0,3}[:=][ \t]{0,3}[\"']?([A-Za-z0-9+/_.=$!%&*#~^?@:-]{6,})", re.IGNORECASE | re.ASCII)
 NAMES = ("password", "passwd", "secret", "token", "api")
 
 
@@ -45,16 +50,33 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def more_candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Tokens with a letter and a digit that no finding of a rule touches."""
-    out, k, reach = [], 0, 0
-    for m in TOKEN.finditer(text):
+    """Runs, and short values after a name of a secret, without what the rules' findings cover; sorted, none touches another."""
+    spans = []
+    for m in RUN.finditer(text):
         a, b = m.span()
-        if b - a < LEAST or not re.search("[A-Za-z]", m.group()):
-            continue
-        while k < len(base) and base[k][0] < b:
-            reach, k = max(reach, base[k][2]), k + 1
-        if reach <= a:
+        while b > a and text[b - 1] in ".:?!":
+            b -= 1
+        name = KEY.match(text, a, b)
+        if name and b - name.end() >= LEAST // 2:
+            a = name.end()
+        spans.append((a, b, LEAST if not name else LEAST // 2))
+    low = text.lower() if len(spans) or "=" in text or ":" in text else ""
+    if low and any(n in low for n in ("pass", "pwd", "secret", "token", "api", "auth", "credential")):
+        spans += [(*m.span(1), LEAST // 2) for m in VALUE.finditer(text)]
+        spans.sort()
+    out, k, reach = [], 0, 0
+    for a, b, least in spans:
+        a = max(a, reach)
+        while k < len(base) and base[k][2] <= a:
+            k += 1
+        j = k
+        while j < len(base) and base[j][0] < b:
+            if base[j][0] - a >= least:
+                out.append((a, 3, base[j][0]))
+            a, j = max(a, base[j][2]), j + 1
+        if b - a >= least:
             out.append((a, 3, b))
+        reach = max(reach, b)
     return out
 
 
@@ -75,6 +97,7 @@ class Network:
     slope: float = 1.0
     shift: float = 0.0
     threshold: float = 0.5
+    report: dict[str, float] | None = None  # of the documents held back: recall of rules' and made secrets, share of real and made harmless candidates taken
 
     @staticmethod
     def new(seed: int) -> Network:
@@ -96,8 +119,11 @@ class Network:
     def logits(self, x: np.ndarray, batch: int = 512) -> np.ndarray:
         return np.concatenate([self.forward(x[k : k + batch])[0] for k in range(0, len(x), batch)]) if len(x) else np.zeros(0)
 
+    def calibrated(self, z: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.slope * z + self.shift, -30, 30)))
+
     def probabilities(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * self.logits(x) + self.shift, -30, 30)))
+        return self.calibrated(self.logits(x))
 
     def gradients(self, x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
         w = self.weights
@@ -130,67 +156,105 @@ def _made(rng: np.random.Generator, secret: bool) -> tuple[str, str]:
     low, up, num = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
     if secret:
         n = int(rng.integers(16, 64))
-        token = pick([take(low + up + num, n), take(low + up + num + "+/", n) + pick(["", "=", "=="]), take(low + num, n), pick(["ghp_", "sk-", "xoxb-", "glpat-"]) + take(low + up + num, n), take("0123456789ABCDEF", n)])
-        return pick(["", "", "key: ", "auth=", "Bearer ", "credential = \"", "pwd=", "client_secret: ", "private_key = '"]), token
+        word = lambda: take(low, int(rng.integers(3, 8)))
+        token = pick([
+            take(low + up + num, n), take(low + up + num + "+/", n) + pick(["", "=", "=="]), take(low + num, n), pick(["ghp_", "sk-", "xoxb-", "glpat-", "pk_live_"]) + take(low + up + num, n), take("0123456789ABCDEF", n),
+            "eyJ" + take(low + up + num, 17) + "." + take(low + up + num + "_-", n) + "." + take(low + up + num + "_-", 32), take(low + up, int(rng.integers(16, 40))), take(low + up + "/", int(rng.integers(24, 44))), take(low + up + num + "$!%&*#~^?@", int(rng.integers(12, 30))),
+        ])
+        lead = pick(["", "", "", "key: ", "auth=", "Bearer ", "credential = \"", "pwd=", "client_secret: ", "private_key = '", "export KEY="])
+        if rng.random() < 0.25:  # passwords, app passwords and number keys are told by what stands before them
+            token = pick([f"{word()}{pick('$!%&*#@')}{take(num, 2)}{word()}{pick('$!%&*#@')}{take(num, 1)}", f"{word().title()}{take(num, 1)}{word()}{pick('&$#@!')}{take(num, 1)}{word()}{word().title()}!", take(low, 16), take(num, int(rng.integers(16, 28)))])
+            lead = pick(["password: ", "pwd=", "pwd: ", "passwd: ", "secret key: ", "api key: ", "credential = \"", "auth="])
+        return lead, token
     word = lambda: take(low, int(rng.integers(2, 9)))
     token = pick([
-        f"{word()}-{word()}-{int(rng.integers(1, 2100))}", f"{word()}_{word()}_{int(rng.integers(10))}", f"{take(up, 2)}-{take(num, 10)}", f"{word()}/{word()}/{take(num, 4)}/{word()}",
+        f"{word()}-{word()}-{int(rng.integers(1, 2100))}", f"{word()}_{word()}_{int(rng.integers(10))}", f"{take(up, 2)}-{take(num, 10)}", f"{word()}/{word()}/{take(num, 4)}/{word()}", f"{word()}{word()}{word()}{word()}", f"{word()}-{word()}-{word()}-{word()}",
         f"{take(num, 4)}-{take(num, 2)}-{take(num, 2)}T{take(num, 2)}", f"{word()}{word()}{take(num, 2)}", f"{word().title()}{word().title()}{take(num, 1)}", f"{word()}+{take(num, 10)}", f"v{take(num, 1)}-{word()}-{word()}", f"{word()}={take(num, 8)}",
+        f"http://{word()}.example/{word()}/{word()}.html", f"https://www.{word()}.org/{word()}?page={take(num, 2)}", f"{word()}.{word()}@{word()}.com", take(num, int(rng.integers(12, 17))), pick("-=*#_.~") * int(rng.integers(12, 40)), f"{word()}.{word()}.{word()}{word()}()".rstrip("()"), f"{word().upper()}{word().upper()}{word().upper()}", f"/{word()}/{word()}/{word()}.{word()[:3]}",
     ])
-    return pick(["", "", "http://x.example/", "id: ", "see ", "page=", "version "]), token
+    return pick(["", "", "", "", "http://x.example/", "id: ", "see ", "page=", "version ", "name: ", "file="]), token
+
+
+@dataclass
+class Examples:
+    """Windows with labels of one part of the sample. Real ones stand in its texts, made ones are set into places of them."""
 
+    real: np.ndarray
+    labels: np.ndarray
+    made: np.ndarray
+    made_labels: np.ndarray
 
-def examples(texts: list[str], seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
-    """Windows and labels: findings of the rules, other long tokens, and made ones in contexts of the texts."""
+
+def examples(texts, seed: int = 11, share: tuple[int, int] = (1, 3)) -> tuple[Examples, Examples]:
+    """Of the documents for training and of those held back (``share``: one of three); texts are read once and not kept."""
     rng = np.random.default_rng(seed)
-    x, y = [], []
-    for t in texts:
+    parts = []
+    for _ in range(2):
+        parts.append({"x": [np.zeros((0, BEFORE + INSIDE + AFTER), dtype=np.uint8)], "y": [], "places": []})
+    for n, t in enumerate(texts):
+        held = n % share[1] < share[0]
+        own = parts[held]
         base = base_spans(t)
-        others = [(m.start(), 3, m.end()) for m in re.finditer(r"[A-Za-z0-9+/_.=@-]{12,}", t)]
-        others = [o for o in others if not any(a < o[2] and o[0] < b for a, _, b in base)]
-        others = [others[i] for i in rng.permutation(len(others))[:3]]
-        x.append(windows(t, base[:20] + others))
-        y += [1] * len(base[:20]) + [0] * len(others)
-    texts = [t for t in texts if t] or ["of the"]
-    for secret in (True, False):
-        for _ in range(MADE):
-            t, (lead, token) = texts[int(rng.integers(len(texts)))], _made(rng, secret)
-            blanks = [m.start() for m in re.finditer(r"\s", t[:4000])] or [0]
-            at = blanks[int(rng.integers(len(blanks)))]
-            head = f"{t[:at]} {lead}"
-            x.append(windows(f"{head}{token} {t[at:]}", [(len(head), 3, len(head) + len(token))]))
-            y.append(int(secret))
-    return np.concatenate(x), np.array(y, dtype=np.float32)
-
-
-def fit(texts: list[str], seed: int = 11, epochs: int = 10) -> Network:
-    x, y = examples(texts, seed)
+        others = more_candidates(t, base)
+        if not held:  # of those held back all count, as in real text
+            others = [others[i] for i in sorted(rng.permutation(len(others))[:NEGATIVES].tolist())]
+        own["x"].append(windows(t, base[:20] + others))
+        own["y"] += [1] * len(base[:20]) + [0] * len(others)
+        blanks = [m.start() for m in re.finditer(r"\s", t)] or [0]
+        for at in rng.choice(blanks, 2):
+            own["places"].append((t[max(0, at - 2 * BEFORE) : at], t[at : at + 2 * AFTER]))
+    out = []
+    for part, made in zip(parts, (MADE, MADE // 2), strict=True):
+        places, x, y = part["places"] or [("of the", "of")], [np.zeros((0, BEFORE + INSIDE + AFTER), dtype=np.uint8)], []
+        for secret in (True, False):
+            for _ in range(made):
+                (before, after), (lead, token) = places[int(rng.integers(len(places)))], _made(rng, secret)
+                head = f"{before} {lead}"
+                x.append(windows(f"{head}{token} {after}", [(len(head), 3, len(head) + len(token))]))
+                y.append(int(secret))
+        out.append(Examples(np.concatenate(part["x"]), np.array(part["y"], dtype=np.float32), np.concatenate(x), np.array(y, dtype=np.float32)))
+    return out[0], out[1]
+
+
+def fit(texts, seed: int = 11, epochs: int = 7) -> Network:
+    """A network of any iterable of texts."""
+    train_part, held = examples(texts, seed)
+    ruled = np.repeat(train_part.real[train_part.labels == 1], 4, axis=0)  # few, so they count more
+    x, y = np.concatenate([train_part.real, ruled, train_part.made]), np.concatenate([train_part.labels, np.ones(len(ruled), dtype=np.float32), train_part.made_labels])
     rng = np.random.default_rng(seed)
-    order = rng.permutation(len(x))
-    held, used = order[: len(x) // 3], order[len(x) // 3 :]
+    used = rng.permutation(len(x))
     net = Network.new(seed)
     m = {k: np.zeros_like(v) for k, v in net.weights.items()}
     v = {k: np.zeros_like(a) for k, a in net.weights.items()}
     step = 0
-    for _ in range(epochs):
+    for epoch in range(epochs):
+        rate = 0.004 if epoch < epochs - 2 else 0.001
         for k in range(0, len(used), 64):
             at = rng.permutation(used)[:64] if k + 64 > len(used) else used[k : k + 64]
             step += 1
             for name, g in net.gradients(x[at], y[at]).items():  # Adam
                 m[name] = 0.9 * m[name] + 0.1 * g
                 v[name] = 0.999 * v[name] + 0.001 * g * g
-                net.weights[name] -= 0.004 * (m[name] / (1 - 0.9**step)) / (np.sqrt(v[name] / (1 - 0.999**step)) + 1e-8)
+                net.weights[name] -= rate * (m[name] / (1 - 0.9**step)) / (np.sqrt(v[name] / (1 - 0.999**step)) + 1e-8)
         rng.shuffle(used)
-    z, t = net.logits(x[held]), y[held]
+    z, t = net.logits(np.concatenate([held.real, held.made])), np.concatenate([held.labels, held.made_labels])
+    weight = np.concatenate([np.ones(len(held.labels)), np.full(len(held.made_labels), MADE_WEIGHT)])
+    weight /= weight.sum()
     slope, shift = 1.0, 0.0
-    for _ in range(200):  # Platt scaling, by gradient on standardised scores
+    for _ in range(300):  # Platt scaling, by gradient on standardised scores
         p = 1 / (1 + np.exp(-np.clip(slope * z + shift, -30, 30)))
-        slope -= 0.1 * float(((p - t) * z).mean()) / max(1.0, float((z * z).mean()) / 4)
-        shift -= 0.1 * float((p - t).mean())
+        slope -= 0.5 * float((weight * (p - t) * z).sum()) / max(1.0, float((weight * z * z).sum()) / 4)
+        shift -= 0.5 * float((weight * (p - t)).sum())
     net.slope, net.shift = max(slope, 1e-3), shift
-    found = np.sort(net.probabilities(x[held])[t == 1])
-    if len(found):
-        net.threshold = float(found[int((1 - RECALL) * len(found))])
+    p, n = net.calibrated(z), len(held.labels)
+    found = np.sort(p[t == 1])
+    net.threshold = float(found[int((1 - RECALL) * len(found))])
+    taken = p >= net.threshold
+    mean = lambda v: float(v.mean()) if len(v) else 0.0
+    net.report = {
+        "rules": int((held.labels == 1).sum()), "recall_rules": mean(taken[:n][held.labels == 1]), "recall_made": mean(taken[n:][held.made_labels == 1]),
+        "harmless": int((held.labels == 0).sum()), "false_real": mean(taken[:n][held.labels == 0]), "false_made": mean(taken[n:][held.made_labels == 0]), "threshold": net.threshold,
+    }
     return net
 
 
@@ -200,8 +264,17 @@ def train(docs: DataFrame) -> Network:
     share = min(1.0, 1.5 * TRAIN_DOCS / max(known.count(), 1))
     mark = F.xxhash64(F.length("text"), "text", "doc_id")
     picked = known.filter((F.length("text") <= TRAIN_CHARS) & (F.pmod(mark, F.lit(1 << 20)) < int(share * (1 << 20)) + 1))
-    rows = picked.groupBy(mark.alias("mark")).agg(F.min("text").alias("text")).orderBy("mark").limit(TRAIN_DOCS).collect()
-    return fit([r["text"] for r in rows])
+    rows = picked.groupBy(mark.alias("mark")).agg(F.min("text").alias("text")).orderBy("mark").limit(TRAIN_DOCS)
+
+    def sample():
+        size = 0
+        for r in rows.toLocalIterator():
+            size += len(r["text"].encode("utf-8", "replace"))
+            if size > TRAIN_BYTES:
+                return
+            yield r["text"]
+
+    return fit(sample())
 
 
 def findings_of(net: Network, texts: list[str | None]) -> list[list[tuple[int, int, int, float]]]:
@@ -238,7 +311,8 @@ def scan(docs: DataFrame, net: Network) -> DataFrame:
 def redact(docs: DataFrame, net: Network, mark: str = "<secret>") -> DataFrame:
     """``docs`` with every finding in ``text`` replaced by ``mark`` (findings that overlap or touch by one) and n_chars, if it is there, of the new text.
 
-    Texts without findings, null ones too, stay as they are, and so do their other columns.
+    Texts without findings, null ones too, stay as they are, and so do their other columns, whatever their names. Whole texts are
+    read, of any length; repeated rows are changed alike; an empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
