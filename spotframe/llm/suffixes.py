@@ -1,18 +1,21 @@
 """Exact-substring deduplication with suffix arrays over all documents.
 
 A byte goes if a string of ``length`` bytes that covers it starts anywhere else too. Two such equal strings hold the same
-smallest k-gram (by hash, the first of equals) at the same place, so each document is cut into segments: the bytes of all
-windows with one smallest k-gram. Windows can only be equal in segments with that k-gram's hash ``h`` in common:
+smallest k-gram (by hash, the first of equals) at the same place, so each document is cut into segments: the bytes of a run of
+windows with one smallest k-gram's hash. Windows can only be equal in segments with that hash ``h`` in common:
 
 1. a map finds the segments (about one in 85 bytes) and, in its batch, the equal ones; of these one goes on, the others'
    spans are known to repeat. Segments whose ``h`` occurs once are dropped in one shuffle of small rows (no text);
-2. equal segments fall together (pre-aggregated), so a group of copies is one class. Classes alone with their ``h`` are done;
-3. the text of the other classes is fetched and suffix arrays are built over batches of whole groups: suffixes are sorted by
-   their first ``length`` bytes, ties by position; a suffix whose predecessor (the previous smaller position) or successor in
-   that order agrees in ``length`` bytes repeats;
-4. groups of more than ``GROUP`` classes are split; windows with no match in their part meet those of the other parts by digest.
-
-No group is ever held whole in one task, nothing is collected by the driver.
+2. equal segments fall together (pre-aggregated), so a group of copies is one class. Classes alone with their ``h`` are done,
+   unless the segment has its k-gram at several places, so that it may hold a window twice;
+3. the text of the other classes is fetched and suffix arrays are built over batches of whole groups, with the lengths of common
+   prefixes. From the previous and the next smaller position in suffix order comes the longest-previous-factor array, the longest
+   match of each suffix with an earlier one; from the previous and next greater position its mirror, with a later one. A window goes if
+   either reaches ``length``;
+4. groups of more than ``GROUP`` classes or ``GROUP_BYTES`` bytes are split; windows with no match in their part meet those of
+   the other parts by digest.
+
+Digests only group what is equal. No group is ever held whole in one task, nothing is collected by the driver.
 """
 
 from __future__ import annotations
@@ -25,9 +28,10 @@ from pyspark.sql import functions as F
 from spotframe.llm.common import materialize
 
 GRAM = 32
-GROUP = 4096
+GROUP, GROUP_BYTES = 4096, 1 << 21
 CHUNK = 1 << 20
-SEGMENT = "kind int, deal long, h long, d long, c int, key binary, start int, len int"
+PLACE = np.uint64(22)  # bits of a place in a chunk: hashes are compared by the others, whatever the chunk
+SEGMENT = "kind int, deal long, h long, d long, c int, m int, key binary, start int, len int"
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 
 
@@ -41,39 +45,54 @@ def _words(data: np.ndarray) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(data, 8).copy().view(">u8")[:, 0].astype(np.uint64)
 
 
-def segments(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Text, first byte, bytes and k-gram hash of every segment of texts of ``length`` bytes or more."""
+def pieces(texts: list[bytes], length: int) -> list[tuple[int, int, bytes]]:
+    """Text, first byte and bytes of pieces of at most ``CHUNK`` window starts; those of a text overlap by ``length - 1`` bytes."""
+    out = []
+    for i, t in enumerate(texts):
+        for at in range(0, max(1, len(t) - length + 1), CHUNK):
+            out.append((i, at, t[at : at + CHUNK + length - 1] if at or len(t) > CHUNK + length - 1 else t))
+    return out
+
+
+def segments(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text, first byte, bytes, k-gram hash and whether it has that k-gram at several places, of every segment of texts of ``length`` bytes or more.
+
+    A segment is a run of windows whose smallest k-grams have one hash. Which k-gram is a window's smallest hangs on its bytes
+    alone. Long texts are cut into pieces, so a run may come as several segments.
+    """
     out = []
-    at = 0
-    while at < len(texts):
+    parts, at = pieces(texts, length), 0
+    while at < len(parts):
         to, n = at, 0
-        while to < len(texts) and (to == at or n + len(texts[to]) <= CHUNK):
-            n += len(texts[to])
+        while to < len(parts) and (to == at or n + len(parts[to][2]) <= CHUNK):
+            n += len(parts[to][2])
             to += 1
-        sizes = np.array([len(t) for t in texts[at:to]], dtype=np.int64)
+        sizes = np.array([len(t) for _, _, t in parts[at:to]], dtype=np.int64)
         if n >= length:
-            data = np.frombuffer(b"".join(texts[at:to]), dtype=np.uint8)
+            data = np.frombuffer(b"".join(t for _, _, t in parts[at:to]), dtype=np.uint8)
             w = _words(data)
             g = len(data) - GRAM + 1
             gram = _mix(w[:g] * _ODD[0] + w[8 : 8 + g] * _ODD[1] + w[16 : 16 + g] * _ODD[2] + w[24 : 24 + g] * _ODD[3])
-            bits = np.uint64(max(1, int(g).bit_length()))
-            low = ((gram >> bits) << bits) | np.arange(g, dtype=np.uint64)
+            low = ((gram >> PLACE) << PLACE) | np.arange(g, dtype=np.uint64)
             width, span = length - GRAM + 1, 1
             while 2 * span <= width:
                 low, span = np.minimum(low[:-span], low[span:]), 2 * span
             if span < width:
                 low = np.minimum(low[: len(low) - (width - span)], low[width - span :])
-            place = (low & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+            place = (low & ((np.uint64(1) << PLACE) - np.uint64(1))).astype(np.int64)
+            low = gram[place]
             ends = np.cumsum(sizes)
-            doc = np.repeat(np.arange(len(sizes)), sizes)[: len(place)]
-            ok = np.flatnonzero(np.arange(len(place)) + length <= ends[doc])
+            piece = np.repeat(np.arange(len(sizes)), sizes)[: len(low)]
+            ok = np.flatnonzero(np.arange(len(low)) + length <= ends[piece])
             if len(ok):
-                new = np.flatnonzero(np.concatenate([[True], (place[ok][1:] != place[ok][:-1]) | (doc[ok][1:] != doc[ok][:-1])]))
+                new = np.flatnonzero(np.concatenate([[True], (low[ok][1:] != low[ok][:-1]) | (piece[ok][1:] != piece[ok][:-1])]))
                 first, last = ok[new], ok[np.concatenate([new[1:] - 1, [len(ok) - 1]])]
-                out.append((doc[first] + at, first - (ends - sizes)[doc[first]], last - first + length, gram[place[first]]))
+                text, begin = (np.array([p[k] for p in parts[at:to]], dtype=np.int64) for k in (0, 1))
+                own = piece[first]
+                out.append((text[own], first - (ends - sizes)[own] + begin[own], last - first + length, low[first], place[first] != place[last]))
         at = to
     if not out:
-        return tuple(np.array([], dtype=np.int64) for _ in range(3)) + (np.array([], dtype=np.uint64),)
+        return tuple(np.array([], dtype=np.int64) for _ in range(3)) + (np.array([], dtype=np.uint64), np.array([], dtype=bool))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
@@ -81,7 +100,7 @@ def _batch_segments(keys: list[bytes], texts: list[bytes], length: int) -> pa.Re
     """Kind 0: spans that repeat inside the batch, joined; 1: one segment of a class, the first with its h; 2: others with its h."""
     from xxhash import xxh3_64_intdigest
 
-    doc, start, size, gram = segments(texts, length)
+    doc, start, size, gram, merged = segments(texts, length)
     d = np.array([xxh3_64_intdigest(texts[t][s : s + n]) for t, s, n in zip(doc.tolist(), start.tolist(), size.tolist(), strict=True)], dtype=np.uint64)
     order = np.lexsort((d, gram))
     new_h = np.concatenate([[True], gram[order][1:] != gram[order][:-1]])[: len(order)]
@@ -111,7 +130,9 @@ def _batch_segments(keys: list[bytes], texts: list[bytes], length: int) -> pa.Re
             "deal": cat(np.arange(n0), np.where(kind == 1, h, h ^ (d[one] | 1)), pa.int64()),
             "h": cat(zero, h, pa.int64()),
             "d": cat(zero, d[one], pa.int64()),
-            "c": cat(zero, np.minimum(times, 2) + 2 * many_h, pa.int32()),
+            # a segment with its k-gram at several places may hold a window twice, so it goes on as if its h came again
+            "c": cat(zero, np.minimum(times, 2) + 2 * (many_h | merged[one]), pa.int32()),
+            "m": cat(zero, merged[one], pa.int32()),
             "key": pa.array([keys[i] for i in r_doc.tolist()] + [keys[i] for i in doc[one].tolist()], pa.binary()),
             "start": cat(r_a, start[one], pa.int32()),
             "len": cat(r_b - r_a, size[one], pa.int32()),
@@ -142,13 +163,17 @@ def _met_again(batches):
         yield b.filter(pa.array(keep))
 
 
-def suffix_order(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """The starts in the order of their first ``length`` bytes (ties by position), and which agree with their predecessor.
+def suffix_array(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes at ``starts`` in the order of their first ``length`` bytes (ties by position), as numbers of ``starts``, and the
+    length, up to ``length``, of the prefix that each has in common with the one before it in that order.
 
     Ranks of 8 bytes are doubled; those of two overlapping parts give ``length``. ``data`` ends with ``length`` more bytes.
     """
-    rank, span = np.unique(_words(data), return_inverse=True)[1].astype(np.int64), 8
+    words = _words(data)
+    rank, span = np.unique(words, return_inverse=True)[1].astype(np.int64), 8
+    levels = []
     while span < length:
+        levels.append((span, rank.astype(np.int32)))
         step = min(span, length - span)
         n = len(rank) - step
         pair = (rank[:n] << 32) | rank[step:]
@@ -159,7 +184,50 @@ def suffix_order(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.
         rank = np.empty(len(order), dtype=np.int64)
         rank[order] = np.cumsum(~same)
         span += step
-    return order, same
+    common = np.zeros(len(order), dtype=np.int32)
+    common[same] = length
+    at = np.flatnonzero(~same)[1:]
+    x, y = starts[order[at - 1]], starts[order[at]]
+    got = np.zeros(len(at), dtype=np.int64)
+    for step, ranks in reversed(levels):  # spans of half the length and less; the longest may fit once and a part of it again
+        for _ in range(1 + (2 * step < length and step == levels[-1][0])):
+            hit = np.flatnonzero((got + step <= length) & (ranks[np.minimum(x + got, len(ranks) - 1)] == ranks[np.minimum(y + got, len(ranks) - 1)]))
+            got[hit] += step
+    last = words[np.minimum(x + got, len(words) - 1)] ^ words[np.minimum(y + got, len(words) - 1)]
+    for bits in (32, 16, 8):
+        zero = (last >> np.uint64(64 - bits)) == 0
+        got += np.where(zero, bits // 8, 0)
+        last = np.where(zero, last << np.uint64(bits), last)
+    common[at] = np.minimum(got, length)
+    return order, common
+
+
+def longest_factors(order: np.ndarray, common: np.ndarray, later: bool = False) -> np.ndarray:
+    """Of each suffix the longest prefix that it has in common with one at an earlier position (or ``later``): the LPF array.
+
+    The nearest suffix before, and after, in suffix order with a smaller (greater) position shares the most. Both are found by
+    jumps: a suffix that isn't one hands on its own candidate, and the least common prefix on the way goes with it.
+    """
+    n = len(order)
+    place = -order if later else order
+    out = np.zeros(n, dtype=np.int32)
+    for back in (False, True):
+        p = place[::-1] if back else place
+        shared = np.concatenate([[0], common[1:][::-1]]) if back else common  # with the neighbour at k - 1
+        to, least = np.arange(-1, n - 1), shared.astype(np.int32).copy()
+        open_ = np.arange(1, n)
+        open_ = open_[p[to[open_]] > p[open_]]
+        while len(open_):
+            via = to[open_]
+            new_to, new_least = to[via], np.minimum(least[open_], least[via])
+            to[open_], least[open_] = new_to, np.where(new_to >= 0, new_least, 0)
+            open_ = open_[(new_to >= 0) & (new_least > 0)]
+            open_ = open_[p[to[open_]] > p[open_]]
+        least = np.where((to >= 0) & (p[np.maximum(to, 0)] < p), least, 0)
+        np.maximum(out, least[::-1] if back else least, out=out)
+    by_place = np.zeros(n, dtype=np.int32)
+    by_place[order] = out
+    return by_place
 
 
 def _repeats(texts: list[bytes], length: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
@@ -169,12 +237,11 @@ def _repeats(texts: list[bytes], length: int) -> tuple[list[np.ndarray], list[np
     windows, first = sizes - length + 1, np.cumsum(sizes) - sizes
     text = np.repeat(np.arange(len(texts)), windows)
     place = np.arange(len(text)) - np.repeat(np.cumsum(windows) - windows, windows)
-    order, same = suffix_order(data, first[text] + place, length)
-    again, new = np.zeros(len(order), dtype=bool), np.zeros(len(order), dtype=bool)
-    again[order] = same | np.concatenate([same[1:], [False]])
-    new[order] = ~same
+    order, common = suffix_array(data, first[text] + place, length)
+    before = longest_factors(order, common) >= length
+    again = before | (longest_factors(order, common, later=True) >= length)
     of_text = lambda x: np.split(place[x], np.searchsorted(text[x], np.arange(1, len(texts))))
-    return of_text(np.flatnonzero(again)), of_text(np.flatnonzero(new))
+    return of_text(np.flatnonzero(again)), of_text(np.flatnonzero(~before))
 
 
 def _match(batches, length: int, most: int = 1 << 21):
@@ -233,8 +300,11 @@ def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
     found = docs.select("key", "text").mapInArrow(cut, SEGMENT).repartition("deal").sortWithinPartitions("kind", "h")
     seen = materialize(found.mapInArrow(_met_again, SEGMENT).drop("deal"), "segments")
     segs = seen.filter("kind > 0").withColumn("c", F.pmod(F.col("c") - 1, F.lit(2)) + 1)
-    classes = materialize(segs.groupBy("h", "d").agg(F.sum("c").alias("c"), F.min(F.struct("key", "start", "len")).alias("rep")), "classes")
-    several = classes.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").withColumn("parts", F.ceil(F.col("n") / GROUP).cast("int"))
+    classes = materialize(segs.groupBy("h", "d").agg(F.sum("c").alias("c"), F.max("m").alias("m"), F.min(F.struct("key", "start", "len")).alias("rep")), "classes")
+    # a class alone with its h goes on if it may hold a window twice
+    size = F.col("rep.len").cast("long")
+    several = classes.groupBy("h").agg(F.count("*").alias("n"), F.sum(size).alias("bytes"), F.max("m").alias("m")).filter("n > 1 OR m > 0")
+    several = several.select("h", F.least(F.greatest(F.ceil(F.col("n") / GROUP), F.ceil(F.col("bytes") / GROUP_BYTES)), "n").cast("int").alias("parts"))
     wanted = classes.join(several, "h").select("h", F.pmod(F.xxhash64("d"), "parts").alias("part"), "parts", "d", "rep.*")
     by_text = wanted.groupBy("key").agg(F.collect_list(F.struct("h", "part", "parts", "d", "start", "len")).alias("segs"))
     fetched = docs.select("key", "text").join(by_text, "key")
@@ -278,8 +348,8 @@ def deduplicate(docs: DataFrame, length: int = 200) -> DataFrame:
     """(doc_id, kept, n_bytes, spans) per row: the bytes left of its UTF-8 text, and the maximal removed runs.
 
     Null text counts as empty; texts shorter than ``length`` bytes are kept. Every copy goes, the first included; strings
-    are judged on the input. Repeated rows are documents of their own, so they remove each other. Further columns are
-    not read. An empty table gives no rows.
+    are judged on the input, so ties don't arise. Repeated rows are documents of their own, so they remove each other. Texts of
+    any length are taken whole, in pieces that overlap. Further columns are not read. An empty table gives no rows.
     """
     if length < 2 * GRAM:
         raise ValueError(f"length must be {2 * GRAM} or more")

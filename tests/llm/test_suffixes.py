@@ -55,12 +55,57 @@ def test_table(spark, sf):
     assert got(spark, rows) == plain(rows, 200)
 
 
-def test_suffix_order():
-    rng = np.random.default_rng(0)
-    data = rng.integers(97, 99, 3000).astype(np.uint8)
-    padded = np.concatenate([data, np.zeros(300, dtype=np.uint8)])
-    starts = np.arange(0, 2900, 3)
-    order, same = suffixes.suffix_order(padded, starts, 70)
-    want = sorted(range(len(starts)), key=lambda i: (bytes(padded[starts[i] : starts[i] + 70]), i))
+@pytest.mark.parametrize("length", [65, 70, 128, 200, 300])
+def test_suffix_array_and_factors(length):
+    rng = np.random.default_rng(length)
+    data = np.concatenate([rng.integers(97, 99, 1500).astype(np.uint8), np.tile(np.frombuffer(b"abcde", dtype=np.uint8), 80)])
+    data = np.concatenate([data, data[200:700], np.zeros(length + 8, dtype=np.uint8)])
+    starts = np.arange(0, len(data) - 2 * length, 3)
+    order, common = suffixes.suffix_array(data, starts, length)
+    text = [bytes(data[s : s + length]) for s in starts]
+    want = sorted(range(len(starts)), key=lambda i: (text[i], i))
     assert order.tolist() == want
-    assert same.tolist() == [False] + [bytes(padded[starts[a] : starts[a] + 70]) == bytes(padded[starts[b] : starts[b] + 70]) for a, b in zip(want, want[1:])]
+
+    def both(a, b):
+        return next((k for k in range(length) if a[k] != b[k]), length)
+
+    assert common.tolist() == [0] + [both(text[a], text[b]) for a, b in zip(want, want[1:])]
+    few = range(0, len(starts), 7)
+    before, after = suffixes.longest_factors(order, common), suffixes.longest_factors(order, common, later=True)
+    for i in few:
+        assert before[i] == max((both(text[i], text[j]) for j in range(i)), default=0)
+        assert after[i] == max((both(text[i], text[j]) for j in range(i + 1, len(starts))), default=0)
+
+
+def test_long_texts_against_short_ones(spark):
+    """Texts over the size of a chunk share passages with short texts, also over the cuts between their pieces."""
+    rng = np.random.default_rng(9)
+    letters = np.array(list("abcdefghijklmnop qrstuv"))
+    long = "".join(rng.choice(letters, 2_300_000).tolist())
+    short = [(i, "x" * 50 + long[at : at + 400] + "y" * 50) for i, at in enumerate((0, suffixes.CHUNK - 200, suffixes.CHUNK - 1, 2 * suffixes.CHUNK - 150, 1_500_000, 2_299_600))]
+    rows = [(100, long), (101, long[:1_200_000][::-1]), *short]
+    assert got(spark, rows) == plain(rows, 200)
+
+
+def test_one_letter(spark):
+    """A run of one letter is few segments, not one for each byte."""
+    doc, start, size, _, merged = suffixes.segments([b"a" * 2_000_000, b"ab" * 300_000], 200)
+    assert len(doc) < 10 and size.sum() > 2_600_000 and merged.all()
+    rows = [(1, "z" * 2_000_000), (2, "the end " + "z" * 250), (3, "ab" * 300_000), (4, "q" * 200), (5, "abc" * 66 + "ab"), (6, "abc" * 66 + "abc")]
+    out = {r[0]: r[2:4] for r in got(spark, rows)}
+    assert out == {1: (2_000_000, 1), 2: (250, 1), 3: (600_000, 1), 4: (0, 0), 5: (200, 1), 6: (200, 1)} and out[6] == (200, 1)
+
+
+def test_parts_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "GROUP_BYTES", 3000)
+    rows = [(k, "w" * (500 + k)) for k in range(12)] + [(20 + k, "of the " * (40 + k)) for k in range(9)]
+    assert got(spark, rows) == plain(rows, 200)
+
+
+def test_segments_do_not_hang_on_the_chunk():
+    rng = np.random.default_rng(4)
+    text = rng.integers(97, 123, 5000).astype(np.uint8).tobytes()
+    filler = rng.integers(97, 123, 900_000).astype(np.uint8).tobytes()
+    alone = set(zip(*(x.tolist() for x in suffixes.segments([text], 200)[1:]), strict=True))
+    beside = suffixes.segments([filler, text], 200)
+    assert alone == {r[1:] for r in zip(*(x.tolist() for x in beside), strict=True) if r[0] == 1}
