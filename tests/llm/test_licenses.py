@@ -36,6 +36,11 @@ def test_rules(spark):
         "SPDX-License-Identifier: GPL-2.0-or-later\n": {"gpl-2.0-or-later"},
         "Licensed under CC BY-NC 4.0. All rights reserved": {"cc-by-nc-4.0", "proprietary"},
         "Released under the MIT License. mitten": {"mit"},
+        "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0.": {"mpl-2.0"},
+        "SPDX-License-Identifier: (MIT OR Apache-2.0)": {"spdx-either"},
+        "SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0": {"spdx-exception"},
+        "Neither the name of the X Group nor the names of its contributors may be used to endorse or promote products": {"bsd-3-clause"},
+        "This library is free software; you can redistribute it and/or modify it": {"lgpl"},
         "no such words": set(),
     }
     rows = list(enumerate(texts))
@@ -58,3 +63,49 @@ def test_table_and_repeats(spark, sf):
 
 def test_there_are_hundreds_of_rules():
     assert len(licenses.rules()) > 200
+
+
+def test_suppression_against_all_pairs(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(4)
+    rows = [(0, [(0, -14, -50, "wide", 1.0, 0), (3, -11, -90, "mid", 1.0, 2), (6, -8, -80, "low", 1.0, 1)])]
+    levels = [30, 50, 70, 90]
+    for k in range(1, 60):
+        hits = []
+        for _ in range(rng.randrange(0, 40)):
+            a, n, p = rng.randrange(60), rng.randrange(1, 30), rng.randrange(4)
+            hits.append((a, -a - n, -levels[p], rng.choice("xyz"), 0.5, p))
+        rows.append((k, hits))
+    df = spark.createDataFrame(rows, f"id long, hits array<{licenses.HIT}>")
+    for r in df.select("id", licenses.suppress(F.col("hits"), 4).alias("kept")).collect():
+        hits = sorted(rows[r.id][1])
+        want = []
+        for i, (a, b, p, label, score, level) in enumerate(hits):
+            over = [j for j, (c, d, q, *_) in enumerate(hits) if j != i and c <= a and -d >= -b and -q >= -p and ((c, d, q) != (a, b, p) or j < i)]
+            if not over:
+                want.append((a, b, p, label, score, level))
+        assert [tuple(x) for x in r.kept] == want
+
+
+def test_rules_on_table_against_python(spark, sf):
+    """The whole of the method: every rule tried on every text, then suppression by comparing all pairs."""
+    rules = [(r, re.compile(r.pattern)) for r in licenses.rules()]
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    docs += [(90_000 + k, f"Released under the {t} License, version 2.0 or later; all rights reserved. SPDX-License-Identifier: MIT") for k, t in enumerate(("Apache", "GNU General Public", "Mozilla Public", "MIT"))]
+    seen = 0
+    for r in run(spark, docs):
+        low = "".join(c.lower() if "A" <= c <= "Z" else c for c in dict(docs)[r.doc_id] or "")
+        hits = sorted((m.start(), -m.end(), -rule.priority, rule.label) for rule, p in rules for m in p.finditer(low) if m.end() > m.start())
+        want = [x for i, x in enumerate(hits) if not any(j != i and y[0] <= x[0] and y[1] <= x[1] and y[2] <= x[2] and (y[:3] != x[:3] or j < i) for j, y in enumerate(hits))]
+        assert [(f.start, -f.stop, -f.priority, f.label) for f in r.found] == want
+        seen += len(want)
+    assert seen > 10
+
+
+def test_very_long_text(spark):
+    text = "x " * 300_000 + "MIT License " + "y " * 300_000
+    (r,) = run(spark, [(1, text)])
+    assert (r.n_words, [b.at for b in r.base], [f.label for f in r.found]) == (600_002, [300_000], ["mit"])
