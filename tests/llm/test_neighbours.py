@@ -28,16 +28,41 @@ def recall(have, want):
     return np.mean([len({v for _, v in have.get(q, [])} & {v for _, v in w}) / len(w) for q, w in want.items()])
 
 
-def test_recall_against_brute_force(spark, sf, monkeypatch):
-    monkeypatch.setattr(neighbours, "BLOCK", 128)
-    monkeypatch.setattr(neighbours, "KEEP", 16)
-    rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
-    have, want = got(neighbours.nearest(spark.read.parquet(f"{sf}/embeddings.parquet"))), brute(rows)
-    assert recall(have, want) >= 0.95
+def test_recall_of_the_shipped_settings(spark):
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = [(r.vec_id, r.embedding) for r in df.collect()]
+    have, want = got(neighbours.nearest(df)), brute(rows)
+    assert recall(have, want) >= 0.98
     exact = {q: dict((v, s) for s, v in w) for q, w in brute(rows, k=len(rows)).items()}
     assert all(exact[q][v] == s for q, w in have.items() for s, v in w)
 
 
+def test_dense_group(spark):
+    """A third of the rows around one point, closer to each other than the codes can tell, and multiples of one vector."""
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(6000, 64))
+    centre = rng.normal(size=64)
+    x[:1200] = centre + 0.3 * rng.normal(size=(1200, 64))
+    x[1200:2000] = centre + 0.02 * rng.normal(size=(800, 64))
+    x[2000:2100] = centre * np.arange(1, 101)[:, None]
+    ids = rng.permutation(6000)
+    rows = [(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    have, want = got(neighbours.nearest(df)), brute(rows)
+    assert recall(have, want) >= 0.98
+    inside = {int(i) for i in ids[:2000]}
+    assert recall(have, {q: w for q, w in want.items() if q in inside}) >= 0.95
+
+
+def test_extreme_magnitudes(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(120, 8))
+    plain = [(i, v.tolist()) for i, v in enumerate(x)]
+    odd = [(i, (v * 2.0 ** (0, 660, -700, -1000)[i % 4]).tolist()) for i, v in enumerate(x)]
+    run = lambda rows: got(neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")))
+    assert run(odd) == run(plain) == brute(plain)
+
+
 def test_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0, 0.0]), (1, [2.0, 0.0, -0.0]), (2, [1.0, 1.0, 0.0]), (50, [0.0, 1.0, 0.0]), (50, [0.0, 1.0, 0.0]), (3, None), (4, [0.0, 0.0, 0.0]), (5, [nan, 1.0, 0.0]), (6, [inf, 1.0, 0.0]), (7, [None, 1.0, 0.0]), (None, [1.0, 0.0, 0.0]), (100, [0.0, 0.0, 0.0]), (8, []), (9, [1.0, 0.0, 0.0])]
@@ -51,12 +76,32 @@ def test_odd_rows(spark):
     assert got(neighbours.nearest(df.filter("vec_id < 0"))) == {}
 
 
-def test_anisotropic_codes_keep_large_products_better(monkeypatch):
-    x = neighbours.unit(np.random.default_rng(0).normal(size=(2000, 16)))
+def test_anisotropic_codes_keep_the_products_of_near_neighbours():
+    """Errors of the products of queries with their nearest rows fall against the plain loss, on whole vectors."""
+    x = neighbours.unit(np.random.default_rng(0).normal(size=(4000, 64)))
+    q = neighbours.unit(x[:200] + 0.12 * np.random.default_rng(1).normal(size=(200, 64)))
     gaps = []
-    for eta in (1.0, neighbours.ETA):
-        monkeypatch.setattr(neighbours, "ETA", eta)
-        books = neighbours.fit_books(x)
-        codes = np.ascontiguousarray(neighbours.encode(x, books).T)
-        gaps.append(np.mean([abs(neighbours.scan(codes[:, i : i + 1], neighbours.tables(x[i : i + 1], books)[0])[0] - 1) for i in range(200)]))
-    assert gaps[1] < 0.8 * gaps[0]
+    for eta in (1.0, neighbours.weight_of(64)):
+        books = neighbours.fit_books(x, eta)
+        codes, left = neighbours.encode(x, books, eta)
+        codes = np.ascontiguousarray(codes.T)
+        table = neighbours.tables(q, books)
+        gaps.append(np.mean([abs(neighbours.scan(codes[:, i : i + 1], table[i])[0] - x[i] @ q[i]) for i in range(200)]))
+    assert neighbours.weight_of(64) > 2 and gaps[1] < 0.85 * gaps[0]
+
+
+def test_descent_does_not_raise_the_loss():
+    x = neighbours.unit(np.random.default_rng(3).normal(size=(500, 10)))
+    eta = 5.0
+    books = neighbours.fit_books(x, eta)
+    parts = neighbours.cut(x)
+
+    def loss(sweeps):
+        codes, along = neighbours.codes_of(parts, books, eta, sweeps)
+        r = x - np.concatenate([books[s][codes[:, s]] for s in range(len(books))], axis=1)
+        assert np.allclose((r * x).sum(axis=1), along)
+        return (r**2).sum(axis=1) + (eta - 1) * along**2
+
+    assert (loss(3) <= loss(2) + 1e-12).all() and loss(4).mean() < loss(1).mean()
+    codes, left = neighbours.encode(x, books, eta)
+    assert codes.shape == (500, 3) and (left > 0).all()
