@@ -2,7 +2,7 @@
 
 Records are put in order of (uri, id, payload digest) and cut into ranges (shards). The cuts come from a sample that is picked
 by a hash of the key alone, so they don't depend on partitions, machines or attempts, and any uri may be as common as it
-likes. Each task writes its ranges as gzip members, one a record, and starts another file when the compressed size passes ``roll_bytes``.
+likes. Each task writes one range as gzip members, one a record, and starts another file when the compressed size passes ``roll_bytes``.
 A task writes files with temporary names and returns one manifest row a file; the manifest is written with Spark's own
 commit, so it names the files of those task attempts alone that counted. A second job renames just these (a file that has
 its final name already is left), then the manifest is read back. Files of lost or repeated attempts keep their temporary
@@ -27,6 +27,8 @@ from spotframe.llm.common import materialize, scratch
 
 MANIFEST = "shard int, roll int, temporary string, path string, records long, bytes long, sha1 string"
 RECORD = "id long, uri string, record_type string, refers_to long, payload_digest string, payload_bytes long, payload binary"
+SCHEMES = {"s3a": "s3", "s3n": "s3", "abfss": "abfs"}  # Spark's names of stores, and Arrow's
+MOST_SHARDS = 1 << 15
 DATE = "2024-01-01T00:00:00Z"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {}\r\n\r\n"
 
@@ -58,25 +60,34 @@ def file_system(path: str):
         return fs.LocalFileSystem(), path
     if path.startswith("file:"):
         return fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
-    return fs.FileSystem.from_uri(path)
+    scheme, _, rest = path.partition("://")
+    return fs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}://{rest}")
 
 
-def mark_revisits(pages: DataFrame, least_bytes: int = 1000) -> DataFrame:
-    """Adds payload, payload_bytes, payload_digest, record_type and refers_to to rows (id, uri, payload).
+def keys_of(pages: DataFrame) -> DataFrame:
+    """(uri, id, payload_digest, payload_bytes) of rows (id, uri, payload), written to the shared folder: payloads are read once for all that follows."""
+    return materialize(pages.select("uri", "id", F.sha1("payload").alias("payload_digest"), F.octet_length("payload").cast("long").alias("payload_bytes")), "warc-keys")
+
+
+def mark_revisits(pages: DataFrame, keys: DataFrame, least_bytes: int = 1000) -> DataFrame:
+    """Adds payload_bytes, payload_digest, record_type and refers_to to rows (id, uri, payload) with these ``keys``.
 
     Of equal payloads of ``least_bytes`` or more the row with the largest id is the response (all rows of that id are, if
     it is repeated), the others revisit it; null ids count as smallest. Only payloads that occur twice or more are joined;
     they are written first, so that Spark knows their size: if it is small, payloads aren't shuffled for the join.
     """
-    known = pages.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("payload_digest", F.sha1("payload"))
     large = F.col("payload_bytes") >= least_bytes
-    again = known.filter(large).groupBy("payload_digest").agg(F.count("*").alias("n"), F.max("id").alias("first")).filter("n > 1 AND first IS NOT NULL").drop("n")
+    again = keys.filter(large).groupBy("payload_digest").agg(F.count("*").alias("n"), F.max("id").alias("first")).filter("n > 1 AND first IS NOT NULL").drop("n")
     again = materialize(again, "repeated-payloads")
+    known = pages.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("payload_digest", F.sha1("payload"))
     return known.join(again, "payload_digest", "left").select("id", "uri", "payload", "payload_bytes", "payload_digest", F.when(large & ~F.col("first").eqNullSafe(F.col("id")), F.col("first")).alias("refers_to")).withColumn("record_type", F.when(F.col("refers_to").isNull(), "response").otherwise("revisit"))
 
 
-def cut_points(keys: DataFrame, rows: int, shards: int, per_shard: int = 32) -> list[tuple]:
-    """The first keys of all shards but the first: of about ``shards * per_shard`` sampled keys, each ``per_shard``-th."""
+def cut_points(keys: DataFrame, rows: int, shards: int, per_shard: int = 8) -> list[tuple]:
+    """The first keys of all shards but the first: of about ``shards * per_shard`` sampled keys, each ``per_shard``-th.
+
+    ``MOST_SHARDS`` bounds what comes to the driver.
+    """
     step = max(1, rows // (shards * per_shard))
     sample = keys.filter(F.pmod(F.xxhash64(*keys.columns), F.lit(step)) == 0).collect()
     ordered = sorted({key_of(*r) for r in sample})
@@ -93,14 +104,18 @@ def write(pages: DataFrame, folder: str, shard_bytes: int = 64 << 20, roll_bytes
     """Write rows (id, uri, payload as text) into ``folder``; returns its manifest, a row a file (``MANIFEST``).
 
     Null payloads count as empty; null ids and uris have none in their headers. Shards have about ``shard_bytes`` of payload
-    each, or less, so that there are ``least_shards`` of them; equal keys share a shard. An empty table gives no files.
+    each, or less, so that there are ``least_shards`` of them, or more, if there would be over ``MOST_SHARDS``; files roll anyhow.
+    Repeated rows are records of their own; equal keys share a shard. Payloads of any length are written whole, one in memory at
+    a time besides its batch. Other columns, of any names, aren't read. An empty table gives no files.
     """
     spark = pages.sparkSession
-    rows = mark_revisits(pages.select(F.col("id").cast("long").alias("id"), F.col("uri").cast("string").alias("uri"), F.coalesce(F.col("payload").cast("string"), F.lit("")).alias("payload")))
-    total, count = pages.agg(F.sum(F.octet_length("payload")), F.count("*")).first()
-    shards = max(least_shards, -(-(total or 0) // shard_bytes))
+    pages = pages.select(F.col("id").cast("long").alias("id"), F.col("uri").cast("string").alias("uri"), F.coalesce(F.col("payload").cast("string"), F.lit("")).alias("payload"))
+    keys = keys_of(pages)
+    rows = mark_revisits(pages, keys)
+    total, count = keys.agg(F.sum("payload_bytes"), F.count("*")).first()
+    shards = min(MOST_SHARDS, max(least_shards, -(-(total or 0) // shard_bytes)))
     order = ["uri", "id", "payload_digest"]
-    cuts = spark.sparkContext.broadcast(cut_points(rows.select(*order), count, shards))
+    cuts = spark.sparkContext.broadcast(cut_points(keys.select(*order), count, shards))
 
     @F.pandas_udf("int")
     def shard_of(keys: pd.DataFrame) -> pd.Series:
@@ -154,7 +169,7 @@ def write(pages: DataFrame, folder: str, shard_bytes: int = 64 << 20, roll_bytes
                     raise FileNotFoundError(f"neither {old} nor {new}")
             yield b
 
-    ranged = rows.withColumn("shard", shard_of(F.struct("uri", F.col("id").cast("string").alias("id"), "payload_digest"))).repartition(shards, "shard").sortWithinPartitions("shard", *order)
+    ranged = rows.withColumn("shard", shard_of(F.struct("uri", F.col("id").cast("string").alias("id"), "payload_digest"))).repartitionById(shards, "shard").sortWithinPartitions("shard", *order)
     ranged.mapInArrow(pack, MANIFEST).write.parquet(f"{folder}/claims")
     claims = spark.read.parquet(f"{folder}/claims")
     claims.mapInArrow(commit, MANIFEST).write.parquet(f"{folder}/manifest")
@@ -192,8 +207,11 @@ def parse(stream) -> list[tuple]:
         yield number(fields["WARC-Record-ID"]), uri, fields["WARC-Type"], number(fields.get("WARC-Refers-To")), digest, int(fields["X-Payload-Length"]), payload
 
 
-def read(manifest: DataFrame, batch_bytes: int = 16 << 20) -> DataFrame:
-    """All records of the files of a manifest (``RECORD``), payload null for revisits. Files are read as streams, one task a file or more."""
+def read(manifest: DataFrame, batch_bytes: int = 16 << 20, task_bytes: int = 64 << 20) -> DataFrame:
+    """All records of the files of a manifest (``RECORD``), payload null for revisits.
+
+    Files are read as streams, one after the other; a task has about ``task_bytes`` of them, less if that leaves cores idle.
+    """
     names = [f.split(" ")[0] for f in RECORD.split(", ")]
     types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
 
@@ -215,7 +233,9 @@ def read(manifest: DataFrame, batch_bytes: int = 16 << 20) -> DataFrame:
                 if rows:
                     yield batch(rows)
 
-    return manifest.select("path").repartition("path").mapInArrow(run, RECORD)
+    size, files = manifest.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.count("*")).first()
+    tasks = max(1, min(files, max(-(-size // task_bytes), 2 * manifest.sparkSession.sparkContext.defaultParallelism)))
+    return manifest.select("path", F.pmod(F.col("shard") + F.col("roll"), F.lit(tasks)).cast("int").alias("task")).repartitionById(tasks, "task").select("path").mapInArrow(run, RECORD)
 
 
 def archive(spark: SparkSession, pages: DataFrame) -> DataFrame:

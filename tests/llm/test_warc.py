@@ -63,3 +63,20 @@ def test_empty(spark, tmp_path):
 def test_pages(spark, sf, tmp_path):
     rows = [(r.page_id, r.url, r.html) for r in spark.read.parquet(f"{sf}/pages.parquet").collect()]
     assert as_rows(warc.read(warc.write(frame(spark, rows), str(tmp_path / "w")))) == want(rows)
+
+
+def test_read_back_in_several_tasks(spark, tmp_path):
+    rows = [(k, f"http://{k % 7}/{k}", f"page {k} " * 50) for k in range(400)]
+    manifest = warc.write(frame(spark, rows), str(tmp_path / "w"))
+    out = warc.read(manifest)
+    assert as_rows(out) == want(rows)
+    assert out.rdd.getNumPartitions() == min(manifest.count(), 2 * spark.sparkContext.defaultParallelism) > 4
+    records = [f.records for f in manifest.collect()]
+    assert max(records) < 40  # of 400 in 48 shards
+
+
+def test_schemes():
+    from pyarrow import fs
+
+    assert isinstance(warc.file_system("/a/b")[0], fs.LocalFileSystem) and warc.file_system("file:///a/b")[1] == "/a/b"
+    assert warc.SCHEMES["s3a"] == "s3"
