@@ -31,20 +31,23 @@ def tokens(text: Column) -> Column:
     return F.size(F.regexp_extract_all(text, F.lit(f"({TOKEN})"), F.lit(0))).cast("long") + MARKUP
 
 
-def format_windows(turns: DataFrame, budget: int = 1024, history: int = 192) -> DataFrame:
+def format_windows(turns: DataFrame, budget: int = 1024, history: int = 192, counts: str | None = None) -> DataFrame:
     """(conv_id, window, formatted, mask, fresh, n_tokens, over_budget), windows from 1.
 
     ``formatted`` marks turns as START role, newline, text, END, the role URL-encoded and the text escaped; ``mask`` has
     (start, length), in code points of ``formatted``, of each assistant text that isn't repeated; ``fresh`` tells for each
     turn whether it is there for the first time. A null role or text counts as empty, a null turn comes first, a null
     conv_id is a conversation; rows of one turn go by role, then text, and repeated rows are turns of their own. A system
-    turn is kept for all windows if it is the first. Other columns aren't read; an empty table gives no rows.
+    turn is kept for all windows if it is the first. Tokens are words and single marks (``TOKEN``), a stand-in for those of
+    a model; a column ``counts`` of ``turns`` gives others. Texts of any length and conversations of any number of turns are taken
+    whole. Other columns, of any names, aren't read; an empty table gives no rows.
     """
-    rows = turns.select("conv_id", "turn", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    n = tokens(F.coalesce(F.col("text").cast("string"), F.lit(""))) if counts is None else F.col(counts).cast("long") + MARKUP
+    rows = turns.select("conv_id", "turn", n.alias("n"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     conv = W.partitionBy("conv_id")
     by_turn = conv.orderBy("turn", "role", "text")
     so_far = by_turn.rowsBetween(W.unboundedPreceding, W.currentRow)
-    rows = rows.withColumn("n", tokens(F.col("text"))).withColumn("at", F.row_number().over(by_turn))
+    rows = rows.withColumn("at", F.row_number().over(by_turn))
     rows = rows.withColumn("system", (F.col("at") == 1) & (F.col("role") == "system"))
     rows = rows.withColumn("own", F.when(F.col("system"), 0).otherwise(F.col("n")))
     rows = rows.withColumn("after", F.sum("own").over(so_far)).withColumn("before", F.col("after") - F.col("own"))
