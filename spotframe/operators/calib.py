@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from spotframe.functions.kernels import fit_exponential
 from spotframe.functions.scalar import hash_order
-from spotframe.operators.spots import start_per_frame
+from spotframe.operators.embed import hash_places
+from spotframe.operators.spots import ranks_of, start_per_frame
 from spotframe.operators.voxels import POINT, around, box
 
 
@@ -86,6 +87,11 @@ def prepare_histograms(hists: DataFrame, nbins: int) -> DataFrame:
     return rows.groupBy("sim_id", "sigma_no").agg(F.transform(F.array_sort(F.collect_list(F.struct("b", "l"))), lambda s: s["l"]).alias("hist"))
 
 
+def flatten_histograms(hists: DataFrame) -> DataFrame:
+    """(sim_id, hist): the histograms of all sigmas of a sim, one after the other."""
+    return hists.groupBy("sim_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("sigma_no", "hist"))), lambda s: s["hist"])).alias("hist"))
+
+
 def clean_clicks(lines: DataFrame) -> DataFrame:
     """(z, x, y) of text lines ``z x y``: comments, None and lines that aren't three numbers go, numbers are truncated, repeats fall together."""
     parts = F.split(F.trim("value"), r"[\s,]+")
@@ -99,10 +105,10 @@ def filter_genes(table: DataFrame, kind: str) -> DataFrame:
 
 
 def rename_to_template(sources: DataFrame, targets: DataFrame, seed: int) -> DataFrame:
-    """(name, renamed): each source (id, name) gets the sample, stack and z of a hashed target and nucleus 1000 + its place."""
+    """(name, renamed): each source (id, name) gets the sample, stack and z of a hashed target and nucleus 1000 + its place; places are in hashed orders."""
     n = targets.count()
-    t = targets.withColumn("k", F.row_number().over(W.orderBy("name")) - 1).select("k", "sample", "stack", "z")
-    s = sources.withColumn("place", F.row_number().over(W.orderBy("id")) - 1).withColumn("k", F.conv(F.substring(hash_order(F.col("id"), seed=seed), 1, 12), 16, 10).cast("long") % n)
+    t = hash_places(targets, "name", seed + 1).select(F.col("place").alias("k"), "sample", "stack", "z")
+    s = hash_places(sources, "id", seed + 2).withColumn("k", F.conv(F.substring(hash_order(F.col("id"), seed=seed), 1, 12), 16, 10).cast("long") % n)
     return s.join(t, "k").select("name", F.concat_ws("_", "sample", "stack", (F.col("place") + 1000).cast("string"), "z").alias("renamed"))
 
 
@@ -112,23 +118,29 @@ def mean_signal_concentration(rows: DataFrame, background: float, kernel_sum: fl
     return rows.groupBy("stack_id").agg(((F.avg("value") - background) / kernel_sum * one / (brightness / 34)).alias("nM"))
 
 
-def crop_objects(voxels: DataFrame, labels: DataFrame, lengths: tuple[int, int, int], size: tuple[int, int, int], margin: int = 0) -> DataFrame:
-    """(stack_id, t, label, dz, dx, dy, value): a box around each object's centroid, 0 outside of its mask.
+def crop_objects(voxels: DataFrame, labels: DataFrame, lengths: tuple[int, int, int], size: tuple[int, int, int], margin: int = 0, grow: tuple[int, int, int] | None = None, starts: list[int] | None = None) -> DataFrame:
+    """(stack_id, t, label, dz, dx, dy, value): a box around each object's centroid, 0 outside of its mask, which may first ``grow`` by a box.
 
     The centre moves up to ``margin`` pixels so that the box is inside the image; objects whose box still isn't, and boxes whose
-    middle slice is empty, go.
+    middle slice is empty, go. With ``starts`` there is a box for each of these first slices (column start) in place of that around the centroid in z.
     """
     center = labels.groupBy("stack_id", "t", "label").agg(*[F.avg(k).cast("int").alias(f"c{k}") for k in "zxy"])
+    keys = ["stack_id", "t", "label"]
+    if starts is not None:
+        keys.append("start")
+        center = center.withColumn("start", F.explode(F.array(*[F.lit(x) for x in starts]))).withColumn("cz", F.col("start") + lengths[0] // 2)
     for k, n, m in zip("zxy", lengths, size, strict=True):
         low, high = n // 2, m - 1 - n // 2
         moved = F.greatest(F.lit(low), F.least(F.lit(high), F.col(f"c{k}")))
-        center = center.withColumn(k, moved).filter((F.abs(moved - F.col(f"c{k}")) <= margin) & F.lit(low <= high)).drop(f"c{k}")
+        most = 0 if k == "z" and starts is not None else margin
+        center = center.withColumn(k, moved).filter((F.abs(moved - F.col(f"c{k}")) <= most) & F.lit(low <= high)).drop(f"c{k}")
     wanted = around(center, box(*lengths))
-    own = wanted.join(labels, [*POINT, "label"], "left_semi")
-    rows = own.join(voxels.select(*POINT, "c", "value"), POINT).groupBy("stack_id", "t", "label", "dz", "dx", "dy").agg(F.first("value").alias("value"))
-    full = rows.filter("dz = 0 AND value <> 0").select("stack_id", "t", "label").distinct()
-    keys = ["stack_id", "t", "label", "dz", "dx", "dy"]
-    return wanted.select(keys).join(full, ["stack_id", "t", "label"], "left_semi").join(rows, keys, "left").fillna(0.0, ["value"])
+    mask = labels.select(*POINT, "label") if grow is None else around(labels.select(*POINT, "label"), box(*grow)).select(*POINT, "label").distinct()
+    own = wanted.join(mask, [*POINT, "label"], "left_semi")
+    place = [*keys, "dz", "dx", "dy"]
+    rows = own.join(voxels.select(*POINT, "c", "value"), POINT).groupBy(*place).agg(F.first("value").alias("value"))
+    full = rows.filter("dz = 0 AND value <> 0").select(*keys).distinct()
+    return wanted.select(*place).join(full, keys, "left_semi").join(rows, place, "left").fillna(0.0, ["value"])
 
 
 def param_histograms(reference: DataFrame, sims: DataFrame, patterns: dict[str, str], param: int, cutoff: float, bins: int = 20) -> DataFrame:
@@ -149,6 +161,27 @@ def stitch_labels(first: DataFrame, second: DataFrame, shift: int, matches: Data
     """Label rows of two movies in one: frames of the second move by ``shift``, labels with a match (la, lb) take la, others follow the first's largest."""
     top = first.agg(F.max("label").alias("top"))
     rows = second.join(matches.select(F.col("lb").alias("label"), "la"), "label", "left")
-    new = rows.filter("la IS NULL").select("label").distinct().withColumn("r", F.row_number().over(W.orderBy("label")))
+    new = ranks_of(rows.filter("la IS NULL").select("label").distinct(), [F.col("label")], F.floor(F.col("label") / 4096), "r")
     rows = rows.join(new, "label", "left").crossJoin(F.broadcast(top)).withColumn("label", F.coalesce("la", F.col("top") + F.col("r")).cast("int")).withColumn("t", F.col("t") + shift)
     return first.unionByName(rows.select(first.columns))
+
+
+def attach_spots(first: DataFrame, second: DataFrame, labels: DataFrame, shift: int) -> DataFrame:
+    """Spots (stack_id, spot_id, t, nuc_id) of two movies in one: those of the second, moved by ``shift`` frames, join the first's longest spot of the same nucleus.
+
+    A spot's nucleus is its most frequent one (ties: the smaller); the second's nuclei are numbered anew by ``labels`` (label, new). Of the
+    second's spots of one nucleus the longest (then the smallest id) is joined; all others follow the first's largest id.
+    """
+    def nucleus(spots):
+        n = spots.groupBy("stack_id", "spot_id", "nuc_id").agg(F.count("*").alias("n"))
+        return n.groupBy("stack_id", "spot_id").agg(F.max_by("nuc_id", F.struct("n", -F.col("nuc_id"))).alias("nuc"), F.sum("n").alias("length"))
+
+    longest = lambda s: s.groupBy("stack_id", "nuc").agg(F.max_by("spot_id", F.struct("length", -F.col("spot_id"))).alias("spot_id"))
+    moved = second.join(labels.select(F.col("label").alias("nuc_id"), "new"), "nuc_id", "left").withColumn("nuc_id", F.coalesce("new", "nuc_id")).withColumn("t", F.col("t") + shift).select(second.columns)
+    goal = longest(nucleus(first)).select("stack_id", "nuc", F.col("spot_id").alias("goal"))
+    joined = longest(nucleus(moved)).join(goal, ["stack_id", "nuc"]).select("stack_id", "spot_id", "goal")
+    top = first.agg(F.max("spot_id").alias("top"))
+    free = moved.select("stack_id", "spot_id").distinct().join(joined, ["stack_id", "spot_id"], "left_anti")
+    free = ranks_of(free, [F.col("stack_id"), F.col("spot_id")], F.col("stack_id"), "r").crossJoin(F.broadcast(top)).select("stack_id", "spot_id", (F.coalesce("top", F.lit(0)) + F.col("r")).alias("goal"))
+    new = joined.unionByName(free)
+    return first.unionByName(moved.join(new, ["stack_id", "spot_id"]).withColumn("spot_id", F.col("goal")).select(first.columns))

@@ -131,6 +131,11 @@ def rank_summary(ranks: DataFrame) -> DataFrame:
     return ranks.groupBy("model", "set").agg(F.avg("rank").alias("mean_rank"), share(F.col("rank") == 0).alias("top1"), share(F.col("rank") <= 4).alias("top5"))
 
 
+def rank_table(summary: DataFrame, measure: str = "mean_rank") -> DataFrame:
+    """One measure of ``rank_summary``, a row a model and a column a set."""
+    return summary.groupBy("model").pivot("set").agg(F.first(measure))
+
+
 def topn_agreement(near_embedding: DataFrame, near_params: DataFrame, n: int) -> DataFrame:
     """Share of rows whose nearest other row in parameters is among the n nearest others in embedding (tables as of ``knn``)."""
     other = F.col("id") != F.col("other")
@@ -165,6 +170,17 @@ def distance_classes(rows: DataFrame) -> DataFrame:
     return pairs.select(F.col("a.id").alias("id"), F.col("b.id").alias("other"), kind.alias("class"), vector_distance(F.col("a.embedding"), F.col("b.embedding")).alias("distance")).filter("distance > 0")
 
 
+def other_sample_distances(rows: DataFrame, n: int, seed: int) -> DataFrame:
+    """(id, other, class, distance) of each row and up to ``n`` hashed rows of other samples; picks of the own sample, repeats and zeros are left out."""
+    placed = hash_places(rows.select("id", "sample", "embedding"), "id", seed)
+    total = rows.count()
+    asked = placed.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    asked = asked.select("id", "sample", "embedding", _pick(asked, max(total, 1), F.col("k"), seed + 1).alias("to")).dropDuplicates(["id", "to"])
+    other = placed.select(F.col("place").alias("to"), F.col("id").alias("other"), F.col("sample").alias("_s"), F.col("embedding").alias("_e"))
+    pairs = asked.join(other, "to").filter(F.col("sample") != F.col("_s"))
+    return pairs.select("id", "other", F.lit("sample").alias("class"), vector_distance(F.col("embedding"), F.col("_e")).alias("distance")).filter("distance > 0")
+
+
 def select_vs_all(rows: DataFrame, cutoff: float, n: int, seed: int) -> DataFrame:
     """Rows within the cutoff tagged select, and ``n`` sampled of all tagged all."""
     sample = rows.orderBy(hash_order(F.col("id"), seed=seed), "id").limit(n)
@@ -273,6 +289,19 @@ def difference_pairs(rows: DataFrame, n_sample: int, n_other: int, seed: int) ->
     return pairs.select("id", "other", F.zip_with("features", "f", lambda x, y: x - y).alias("difference"), vector_distance(F.col("params"), F.col("p"), "squared").alias("distance2"))
 
 
+def all_difference_pairs(rows: DataFrame, most: int = 10_000) -> DataFrame:
+    """``difference_pairs`` of every row with every other; an error for more than ``most`` rows, whose squares no one can use."""
+    n = rows.count()
+    if n > most:
+        raise ValueError(f"{n} rows give {n * (n - 1)} pairs; take difference_pairs")
+    return difference_pairs(rows, max(n, 1), max(n, 1), 0)
+
+
+def hold_out(rows: DataFrame, key: str, share: float, seed: int) -> DataFrame:
+    """Adds held: true for about a share of the rows, by hash of their key."""
+    return rows.withColumn("held", F.conv(F.substring(hash_order(F.col(key), seed=seed), 1, 8), 16, 10).cast("long") < int(share * 16**8))
+
+
 def train_val_split(triplets: DataFrame, key: str, epoch: int, batch: int, seed: int) -> DataFrame:
     """The first ``epoch`` rows of a hashed order, in batches; the last ones (a hundredth, but one) are for validation."""
     if triplets.count() < epoch:
@@ -297,6 +326,26 @@ def score_histograms(sims: DataFrame, target: DataFrame, metric: str) -> DataFra
     return sims.crossJoin(F.broadcast(one)).select("id", vector_distance(F.col("hist"), F.col("_h"), metric).alias("score"))
 
 
+def minmax_params(rows: DataFrame, column: str = "params") -> DataFrame:
+    """Parameter vectors scaled to 0-1 by position over all rows; constant ones are 0."""
+    ends = rows.select(F.posexplode(column).alias("i", "v")).groupBy("i").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+    one = ends.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "lo", "hi"))), lambda s: F.struct(s["lo"].alias("lo"), s["hi"].alias("hi"))).alias("_ends"))
+    scaled = F.zip_with(column, "_ends", lambda v, e: F.when(e["hi"] > e["lo"], (v - e["lo"]) / (e["hi"] - e["lo"])).otherwise(0.0))
+    return rows.crossJoin(F.broadcast(one)).withColumn(column, scaled).drop("_ends")
+
+
+def score_by_sigma(sims: DataFrame, references: DataFrame, metric: str = "euclidean") -> DataFrame:
+    """(ref, id, sigma_no, z, distance2): distances of the histograms of one sigma, z-scored over the sims of a reference and sigma, and the squared distance of parameters.
+
+    Tables have id, sigma_no, hist, params; references are few and meet the sims by sigma.
+    """
+    r = references.select(F.col("id").alias("ref"), "sigma_no", F.col("hist").alias("_h"), F.col("params").alias("_p"))
+    both = sims.join(r, "sigma_no").select("ref", "id", "sigma_no", vector_distance(F.col("hist"), F.col("_h"), metric).alias("score"), vector_distance(F.col("params"), F.col("_p"), "squared").alias("distance2"))
+    stats = both.groupBy("ref", "sigma_no").agg(F.avg("score").alias("_m"), F.stddev_pop("score").alias("_s"))
+    z = F.when(F.col("_s") == 0, 0.0).otherwise((F.col("score") - F.col("_m")) / F.col("_s"))
+    return both.join(stats, ["ref", "sigma_no"]).select("ref", "id", "sigma_no", z.alias("z"), "distance2")
+
+
 def weighted_cost(scores: DataFrame, weights: dict[int, float], n: int) -> DataFrame:
     """Sum over references of the parameter distance of the n sims with the smallest weighted score (rows ref, id, sigma_no, score, distance)."""
     w = F.create_map(*[F.lit(x) for kv in weights.items() for x in kv])

@@ -72,33 +72,84 @@ def label_frames(frames: DataFrame, sigma: float = 1.0, threshold: float | None
     return segment_frames(frames, work)
 
 
-def threshold_sweep(frames: DataFrame, thresholds: list[float]) -> DataFrame:
-    """(stack_id, t, threshold, objects, mean_size): parts above each threshold, and their mean size within its 10-60 percentiles."""
+def with_mask(frames: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Frames with a column inside: the places of the pixels of any label, all of them (null) without labels."""
+    if labels is None:
+        return frames.withColumn("inside", F.lit(None).cast("array<int>"))
+    at = labels.join(frames.select("stack_id", "t", "nx", "ny").distinct(), ["stack_id", "t"]).select("stack_id", "t", ((F.col("z") * F.col("nx") + F.col("x")) * F.col("ny") + F.col("y")).cast("int").alias("i"))
+    inside = at.groupBy("stack_id", "t").agg(F.collect_set("i").alias("inside"))
+    return frames.join(inside, ["stack_id", "t"], "left").withColumn("inside", F.coalesce("inside", F.array().cast("array<int>")))
+
+
+def mask_of(r) -> np.ndarray:
+    mask = np.ones(r.nz * r.nx * r.ny, dtype=bool) if r.inside is None else np.zeros(r.nz * r.nx * r.ny, dtype=bool)
+    if r.inside is not None:
+        mask[np.asarray(r.inside, dtype=np.int64)] = True
+    return mask.reshape(r.nz, r.nx, r.ny)
+
+
+def threshold_sweep(frames: DataFrame, thresholds: list[float], labels: DataFrame | None = None) -> DataFrame:
+    """(stack_id, t, threshold, objects, mean_size): parts above each threshold (and in a label), and their mean size within its 10-60 percentiles."""
 
     def run(parts):
         for pdf in parts:
             rows = []
             for r in pdf.itertuples():
-                a = array_of(r)
+                a, mask = array_of(r), mask_of(r)
                 for h in thresholds:
-                    n = np.bincount(kn.connected_components(a > h).ravel())[1:]
+                    n = np.bincount(kn.connected_components((a > h) & mask).ravel())[1:]
                     lo, hi = (np.percentile(n, [10, 60]) if len(n) else (0, 0))
                     inner = n[(n >= lo) & (n <= hi)]
                     rows.append((r.stack_id, r.t, h, len(n), float(inner.mean()) if len(inner) else None))
             yield pd.DataFrame(rows, columns=["stack_id", "t", "threshold", "objects", "mean_size"])
 
-    return frames.mapInPandas(run, "stack_id long, t int, threshold double, objects int, mean_size double")
+    return with_mask(frames, labels).mapInPandas(run, "stack_id long, t int, threshold double, objects int, mean_size double")
 
 
-def scalespace_histograms(frames: DataFrame, sigmas: list[float], bins: int, low: float, high: float) -> DataFrame:
-    """(stack_id, t, sigma_no, hist): counts of the frame filtered at each scale; only counts leave the task."""
+def objects_per_slice(frames: DataFrame, threshold: float, ref_slice: int, slope: float) -> DataFrame:
+    """(stack_id, t, z, objects): parts of each slice above the sloped threshold, after an opening by 2 x 2 pixels."""
 
     def run(parts):
         for pdf in parts:
-            rows = [(r.stack_id, r.t, k, np.histogram(kn.gaussian_filter(array_of(r), s), bins, (low, high))[0].astype(float)) for r in pdf.itertuples() for k, s in enumerate(sigmas)]
+            rows = []
+            for r in pdf.itertuples():
+                a = array_of(r)
+                for z, image in enumerate(a):
+                    m = np.pad(image >= threshold + (z - ref_slice) * slope, 1)
+                    whole = m[:-1, :-1] & m[1:, :-1] & m[:-1, 1:] & m[1:, 1:]
+                    m = np.pad(whole, ((1, 0), (1, 0))) | np.pad(whole, ((0, 1), (1, 0))) | np.pad(whole, ((1, 0), (0, 1))) | np.pad(whole, ((0, 1), (0, 1)))
+                    rows.append((r.stack_id, r.t, z, int(kn.connected_components(m[None]).max())))
+            yield pd.DataFrame(rows, columns=["stack_id", "t", "z", "objects"])
+
+    return frames.mapInPandas(run, "stack_id long, t int, z int, objects int")
+
+
+def scalespace_histograms(frames: DataFrame, sigmas: list[float], bins: int, low: float, high: float, labels: DataFrame | None = None) -> DataFrame:
+    """(stack_id, t, sigma_no, hist): counts of the frame (in a label) filtered at each scale; only counts leave the task."""
+
+    def run(parts):
+        for pdf in parts:
+            rows = [(r.stack_id, r.t, k, np.histogram(kn.gaussian_filter(array_of(r), s)[mask_of(r)], bins, (low, high))[0].astype(float)) for r in pdf.itertuples() for k, s in enumerate(sigmas)]
             yield pd.DataFrame(rows, columns=["stack_id", "t", "sigma_no", "hist"])
 
-    return frames.mapInPandas(run, "stack_id long, t int, sigma_no int, hist array<double>")
+    return with_mask(frames, labels).mapInPandas(run, "stack_id long, t int, sigma_no int, hist array<double>")
+
+
+def local_maxima(frames: DataFrame, window: tuple[int, int, int], least_distance: float = 0.0) -> DataFrame:
+    """(stack_id, t, peak, z, x, y): places of the largest value of their window, one for those that touch, none nearer than a distance to one before."""
+
+    def run(parts):
+        for pdf in parts:
+            for r in pdf.itertuples():
+                at = np.asarray(kn.local_maxima(array_of(r), window, least_distance)).reshape(-1, 3)
+                yield pd.DataFrame({"stack_id": r.stack_id, "t": r.t, "peak": np.arange(len(at)), "z": at[:, 0], "x": at[:, 1], "y": at[:, 2]})
+
+    return frames.mapInPandas(run, "stack_id long, t int, peak int, z int, x int, y int")
+
+
+def fill_holes(frames: DataFrame, threshold: float) -> DataFrame:
+    """(stack_id, t, z, x, y, label): pixels above a threshold and those that they shut in, all labelled 1."""
+    return segment_frames(frames, lambda a: kn.fill_holes(a > threshold).astype(np.int64))
 
 
 def _fit_peaks(found: list[tuple[np.ndarray, np.ndarray]], rad_xy: int, rad_z: int) -> np.ndarray:
@@ -124,33 +175,78 @@ def _fit_peaks(found: list[tuple[np.ndarray, np.ndarray]], rad_xy: int, rad_z: i
 MEASURES = ("z", "x", "y", "height", "width_z", "width_x", "width_y")
 
 
-def detect_spots(frames: DataFrame, narrow=(0.7, 1.0, 1.0), wide=(2.0, 4.0, 4.0), window=(3, 9, 9), least_distance: float = 2.0, rad_xy: int = 5, rad_z: int = 2) -> DataFrame:
-    """Fits of the local maxima of a difference of Gaussians, made on the frame itself."""
+def detect_spots(frames: DataFrame, narrow=(0.7, 1.0, 1.0), wide=(2.0, 4.0, 4.0), window=(3, 9, 9), least_distance: float = 2.0, rad_xy: int = 5, rad_z: int = 2, background: int | None = None, labels: DataFrame | None = None, thresholds: DataFrame | None = None) -> DataFrame:
+    """Fits of the peaks of a difference of Gaussians (less its minimum filter of size ``background``), made on the frame itself.
+
+    Peaks are local maxima, with ``thresholds`` (stack_id, threshold) only those that reach the stack's; or, with ``labels``, the largest
+    value of each label (the largest of the background, 0, isn't taken).
+    """
+    rows = frames if thresholds is None else frames.join(thresholds, "stack_id")
+    in_labels, screened = labels is not None, thresholds is not None
+    if in_labels:
+        own = labels.groupBy("stack_id", "t").agg(F.collect_list(F.struct("z", "x", "y", "label")).alias("labels"))
+        rows = rows.join(own, ["stack_id", "t"])
+
+    def peaks_of(r, dog):
+        if in_labels:
+            best = {}
+            for z, x, y, label in sorted((p["z"], p["x"], p["y"], p["label"]) for p in r.labels):
+                if label > 0 and (label not in best or dog[z, x, y] > dog[best[label]]):
+                    best[label] = (z, x, y)
+            return np.array([best[k] for k in sorted(best)]).reshape(-1, 3)
+        peaks = kn.local_maxima(dog, window, least_distance)
+        return peaks if not screened else np.array([p for p in peaks if dog[tuple(p)] >= r.threshold]).reshape(-1, 3).astype(int)
 
     def run(parts):
         for pdf in parts:
             found = []
             for r in pdf.itertuples():
                 a = array_of(r)
-                found.append((a, kn.local_maxima(kn.difference_of_gaussians(a, narrow, wide), window, least_distance)))
+                found.append((a, peaks_of(r, background_free(a, narrow, wide, background))))
             sizes = [len(p) for _, p in found]
             f = _fit_peaks(found, rad_xy, rad_z)
             number = np.concatenate([np.arange(n) for n in sizes]) if sizes else []
             yield pd.DataFrame({"stack_id": np.repeat(pdf["stack_id"].to_numpy(), sizes), "t": np.repeat(pdf["t"].to_numpy(), sizes), "fit_no": number, **{n: f[:, k] for k, n in enumerate(MEASURES)}})
 
-    return frames.mapInPandas(run, FIT)
+    return rows.mapInPandas(run, FIT)
+
+
+def background_free(a: np.ndarray, narrow, wide, background: int | None) -> np.ndarray:
+    dog = kn.difference_of_gaussians(a, narrow, wide)
+    return dog if background is None else dog - kn.extreme_filter(dog, (background,) * 3, False)
+
+
+def detection_thresholds(frames: DataFrame, narrow=(0.7, 1.0, 1.0), wide=(2.0, 4.0, 4.0), background: int | None = None) -> DataFrame:
+    """(stack_id, threshold): Otsu's of the middle of each frame, filtered as for ``detect_spots``; the largest over the middle of the movie."""
+    n = frames.groupBy("stack_id").agg((F.max("t") + 1).alias("n"))
+    some = frames.join(n, "stack_id").filter((F.col("t") >= (F.col("n") * 0.3).cast("int")) & (F.col("t") < (F.col("n") * 0.7).cast("int"))).drop("n")
+
+    def run(parts):
+        for pdf in parts:
+            rows = []
+            for r in pdf.itertuples():
+                a = array_of(r)
+                a = a[:, int(a.shape[1] * 0.3) : max(int(a.shape[1] * 0.7), 1), int(a.shape[2] * 0.3) : max(int(a.shape[2] * 0.7), 1)]
+                rows.append((r.stack_id, float(kn.otsu(background_free(a, narrow, wide, background)))))
+            yield pd.DataFrame(rows, columns=["stack_id", "threshold"])
+
+    return some.mapInPandas(run, "stack_id long, threshold double").groupBy("stack_id").agg(F.max("threshold").alias("threshold"))
 
 
 def fit_peaks(peaks: DataFrame, frames: DataFrame, rad_xy: int = 10, rad_z: int = 2) -> DataFrame:
-    """Fits at given peaks (stack_id, t, fit_no, z, x, y); peaks meet their frame in one group per (stack, t)."""
+    """Fits at given peaks (stack_id, t, fit_no, z, x, y): those of a frame meet it in one row, and windows of many frames are fitted together."""
+    own = peaks.groupBy("stack_id", "t").agg(F.sort_array(F.collect_list(F.struct(F.col("fit_no").cast("long").alias("fit_no"), *[F.col(k).cast("int").alias(k) for k in "zxy"]))).alias("peaks"))
+    rows = frames.join(own, ["stack_id", "t"])
 
-    def run(key, p, f):
-        if not len(f) or not len(p):
-            return pd.DataFrame(columns=[c.split(" ")[0] for c in FIT.split(", ")])
-        out = _fit_peaks([(array_of(next(f.itertuples())), p[["z", "x", "y"]].to_numpy().astype(int))], rad_xy, rad_z)
-        return pd.DataFrame({"stack_id": p["stack_id"], "t": p["t"], "fit_no": p["fit_no"], **{n: out[:, k] for k, n in enumerate(MEASURES)}})
+    def run(parts):
+        for pdf in parts:
+            found = [(array_of(r), np.array([[q["z"], q["x"], q["y"]] for q in r.peaks], dtype=int).reshape(-1, 3)) for r in pdf.itertuples()]
+            sizes = [len(q) for _, q in found]
+            f = _fit_peaks(found, rad_xy, rad_z)
+            number = [q["fit_no"] for r in pdf.itertuples() for q in r.peaks]
+            yield pd.DataFrame({"stack_id": np.repeat(pdf["stack_id"].to_numpy(), sizes), "t": np.repeat(pdf["t"].to_numpy(), sizes), "fit_no": number, **{n: f[:, k] for k, n in enumerate(MEASURES)}})
 
-    return peaks.groupBy("stack_id", "t").cogroup(frames.groupBy("stack_id", "t")).applyInPandas(run, FIT)
+    return rows.mapInPandas(run, FIT)
 
 
 def to_frames(voxels: DataFrame) -> DataFrame:
@@ -159,13 +255,15 @@ def to_frames(voxels: DataFrame) -> DataFrame:
     return per.select(*[F.col(k).cast("long" if k == "stack_id" else "int").alias(k) for k in KEYS], *[(F.col(k) + 1).alias(k) for k in ("nz", "nx", "ny")], F.transform("v", lambda s: s["value"].cast("float")).alias("pixels"))
 
 
-def circularity(labels: DataFrame) -> DataFrame:
-    """(stack_id, t, label, circularity): 4 pi area / perimeter^2 on each object's largest slice; the perimeter counts border pixels.
+def circularity(labels: DataFrame, least: float | None = None, z: int | None = None) -> DataFrame:
+    """(stack_id, t, label, circularity): 4 pi area / perimeter^2 on each object's largest slice, or slice ``z``; the perimeter counts border pixels.
+
+    With ``least`` only objects of that circularity or more stay.
 
     Border pixels weigh 1, sqrt 2 or (1 + sqrt 2) / 2 by how many of their neighbours on the border are straight and diagonal
     ones: two straight, two diagonal, or one of each; a perimeter of 0 counts as 0.5.
     """
-    slice_ = labels.groupBy("stack_id", "t", "label", "z").agg(F.count("*").alias("area"))
+    slice_ = (labels if z is None else labels.filter(F.col("z") == z)).groupBy("stack_id", "t", "label", "z").agg(F.count("*").alias("area"))
     first = F.row_number().over(W.partitionBy("stack_id", "t", "label").orderBy(F.desc("area"), "z"))
     slice_ = slice_.withColumn("_r", first).filter("_r = 1").drop("_r")
     key = ["stack_id", "t", "label"]
@@ -182,7 +280,8 @@ def circularity(labels: DataFrame) -> DataFrame:
     weight = F.when(F.col("s") >= 2, 1.0).when((F.col("s") == 1) & (F.col("d") >= 1), (1 + 2**0.5) / 2).when(F.col("d") >= 2, 2**0.5).otherwise(0.0)
     per = b.groupBy(*key).agg(F.sum(weight).alias("p"), F.first("area").alias("area"))
     p = F.when(F.col("p") == 0, 0.5).otherwise(F.col("p"))
-    return per.select(*key, (4 * 3.141592653589793 * F.col("area") / (p * p)).alias("circularity"))
+    out = per.select(*key, (4 * 3.141592653589793 * F.col("area") / (p * p)).alias("circularity"))
+    return out if least is None else out.filter(F.col("circularity") >= least)
 
 
 def fit_labelled_objects(frames: DataFrame, labels: DataFrame, n: int | None = None, seed: int = 0, rad_xy: int = 10, rad_z: int = 2) -> DataFrame:

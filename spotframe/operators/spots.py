@@ -128,13 +128,19 @@ def mean_depth(spots: DataFrame) -> DataFrame:
 
 
 def relate(rows: DataFrame, a: str, b: str, upper: float | None = None) -> DataFrame:
-    """Pearson, Spearman (average ranks) and least-squares line of b on a, over rows with both (below ``upper``)."""
+    """Pearson, Spearman (average ranks) and least-squares line of b on a, over rows with both (below ``upper``).
+
+    Ranks are those in a bucket of the range plus the rows of the buckets before, so no task orders all values.
+    """
     both = rows.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
     if upper is not None:
         both = both.filter((F.col(a) < upper) & (F.col(b) < upper))
     for c in (a, b):
-        n = both.groupBy(c).agg(F.count("*").alias("_n"))
-        place = n.withColumn(f"_r{c}", F.sum("_n").over(W.orderBy(c)) - (F.col("_n") - 1) / 2).drop("_n")
+        n = both.groupBy(c).agg(F.count("*").alias("_n")).withColumn("_b", range_bucket(both, c))
+        inside = F.sum("_n").over(W.partitionBy("_b").orderBy(c))
+        sums = n.groupBy("_b").agg(F.sum("_n").alias("_s"))
+        base = sums.select("_b", (F.sum("_s").over(W.orderBy("_b")) - F.col("_s")).alias("_base"))
+        place = n.withColumn("_in", inside).join(base, "_b").select(c, (F.col("_base") + F.col("_in") - (F.col("_n") - 1) / 2).alias(f"_r{c}"))
         both = both.join(place, c)
     return both.agg(F.corr(a, b).alias("pearson"), F.corr(f"_r{a}", f"_r{b}").alias("spearman"), F.regr_slope(b, a).alias("slope"), F.regr_intercept(b, a).alias("intercept"), F.count("*").alias("n"))
 
@@ -152,9 +158,31 @@ def zscore(rows: DataFrame, columns: list[str]) -> DataFrame:
     return out.withColumns({c: F.when(F.col(f"_s_{c}") == 0, 0.0).otherwise((F.col(c) - F.col(f"_m_{c}")) / F.col(f"_s_{c}")) for c in columns}).select(rows.columns)
 
 
+def ranks_of(rows: DataFrame, order: list[Column], bucket: Column, place: str) -> DataFrame:
+    """Adds the place, from 1, of each row in an order that begins with ``bucket`` (a number that grows with the order).
+
+    A place is the rank in the bucket plus the rows of all buckets before; only the buckets' counts are ordered in one task.
+    """
+    rows = rows.withColumn("_b", bucket)
+    counts = rows.groupBy("_b").agg(F.count("*").alias("_n"))
+    base = counts.select(F.col("_b").alias("_own"), (F.sum("_n").over(W.orderBy("_b")) - F.col("_n")).alias("_base"))
+    rank = F.row_number().over(W.partitionBy("_b").orderBy(*order))
+    return rows.withColumn("_rank", rank).join(base, F.col("_b").eqNullSafe(F.col("_own"))).withColumn(place, F.col("_base") + F.col("_rank")).drop("_b", "_own", "_base", "_rank")
+
+
+def range_bucket(rows: DataFrame, column: str, buckets: int = 4096) -> Column:
+    """A number that grows with a numeric column, from its range: bucket 0 for the least value, null for null."""
+    low, high = rows.agg(F.min(column), F.max(column)).first()
+    if low is None or not float(high) > float(low):
+        return F.lit(0)
+    v = F.col(column).cast("double")
+    return F.floor((v - float(low)) / (float(high) - float(low)) * buckets).cast("long")
+
+
 def sort_by_frequency(values: DataFrame, column: str) -> DataFrame:
     """Values with their counts and place, most frequent first, ties to the smaller value."""
-    return values.groupBy(column).agg(F.count("*").alias("n")).withColumn("place", F.row_number().over(W.orderBy(F.desc("n"), column)))
+    n = values.groupBy(column).agg(F.count("*").alias("n"))
+    return ranks_of(n, [F.desc("n"), F.asc(column)], -F.col("n"), "place")
 
 
 def sample_rows(rows: DataFrame, n: int, seed: int, key: str) -> DataFrame:
@@ -223,3 +251,20 @@ def concat_stacks(parts: DataFrame) -> DataFrame:
     per = parts.groupBy("part").agg((F.max("t") + 1).alias("n"))
     base = per.withColumn("base", F.sum("n").over(W.orderBy("part")) - F.col("n")).drop("n")
     return parts.join(F.broadcast(base), "part").withColumn("new_t", F.col("t") + F.col("base")).withColumn("join_frame", (F.col("t") == 0) & (F.col("base") > 0)).drop("base")
+
+
+def select_columns(rows: DataFrame, names: dict[str, str]) -> DataFrame:
+    """The columns of an object table under their short names."""
+    return rows.select([F.col(k).alias(v) for k, v in names.items()])
+
+
+def filter_nucleus_objects(rows: DataFrame, size: tuple[float, float], least_volume: float = 5000, label: str = "nucleus", file: str | None = None, origin: tuple[float, float] = (0.0, 0.0)) -> DataFrame:
+    """Objects (x_min, x_max, y_min, y_max, volume) whose box doesn't touch the image's edge and with more than a volume, with a label and the file's name.
+
+    ``origin`` is taken off the box's coordinates afterwards.
+    """
+    out = rows
+    for k, n in zip("xy", size, strict=True):
+        out = out.filter((F.col(f"{k}_min") > 0) & (F.col(f"{k}_max") < n))
+    out = out.filter(F.col("volume") > least_volume).withColumns({"label": F.lit(label), "file": F.lit(file).cast("string")})
+    return out.withColumns({f"{k}_{e}": F.col(f"{k}_{e}") - o for k, o in zip("xy", origin, strict=True) for e in ("min", "max")})

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from spotframe.operators.spots import range_bucket, ranks_of
+
 SPOT = ["stack_id", "spot_id"]
 
 
@@ -250,10 +252,17 @@ def nearest_known(spots: DataFrame, missing: DataFrame) -> DataFrame:
 def rolling_by_score(scores: DataFrame, column: str, window: int = 20) -> DataFrame:
     """Mean of a column over the last ``window`` rows in order of (score, sim_id), null before there are as many.
 
-    One order over all rows: for a table of scores of one reference, not for a corpus.
+    Rows have places in that order (ranks in buckets of the score's range), and blocks of places are tasks of their own: each has the
+    ``window - 1`` rows before it too.
     """
-    frame = W.orderBy("score", "sim_id").rowsBetween(-(window - 1), 0)
-    return scores.withColumn("rolling", F.when(F.count(column).over(frame) == window, F.avg(column).over(frame)))
+    places = ranks_of(scores, [F.col("score"), F.col("sim_id")], range_bucket(scores, "score"), "_place")
+    size = max(1 << 16, window)
+    own = F.floor((F.col("_place") - 1) / size)
+    last = F.floor((F.col("_place") - 1 + window - 1) / size)
+    rows = places.withColumn("_own", own).withColumn("_block", F.explode(F.sequence(own, last)))
+    frame = W.partitionBy("_block").orderBy("_place").rowsBetween(-(window - 1), 0)
+    rows = rows.withColumn("rolling", F.when(F.count(column).over(frame) == window, F.avg(column).over(frame)))
+    return rows.filter("_block = _own").select(*scores.columns, "rolling")
 
 
 def mean_std_over_time(traces: DataFrame, minlen: int) -> DataFrame:

@@ -134,8 +134,10 @@ def two_state_bursts(traces: DataFrame, rounds: int = 25) -> DataFrame:
     return x.groupBy(*SPOT).applyInPandas(path, "stack_id long, spot_id long, t int, value double, state int")
 
 
-def random_controls(spots: DataFrame, labels: DataFrame, n: int, seed: int) -> DataFrame:
-    """(stack_id, spot_id, t, k, z, x, y): n hashed pixels of the spot's nucleus (nuc_id) in its slice and frame."""
+def random_controls(spots: DataFrame, labels: DataFrame, n: int, seed: int, exclude: DataFrame | None = None) -> DataFrame:
+    """(stack_id, spot_id, t, k, z, x, y): n hashed pixels of the spot's nucleus (nuc_id) in its slice and frame, none of ``exclude`` (stack_id, t, x, y)."""
+    if exclude is not None:
+        labels = labels.join(exclude.select("stack_id", "t", "x", "y").distinct(), ["stack_id", "t", "x", "y"], "left_anti")
     place = W.partitionBy("stack_id", "t", "z", "label").orderBy("x", "y")
     pix = labels.withColumn("place", F.row_number().over(place) - 1)
     size = labels.groupBy("stack_id", "t", "z", "label").agg(F.count("*").alias("size"))

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from spotframe.functions.scalar import hash_order
+
 POINT = ["stack_id", "t", "z", "x", "y"]
 
 
@@ -59,9 +61,21 @@ def fg_bg_intensity(boxes: DataFrame, inner: tuple[int, int, int], outer: tuple[
 
 
 def window_moments(boxes: DataFrame, keys: list[str]) -> DataFrame:
-    """Intensity-weighted centre (as offsets) and largest value of each box."""
-    total = F.sum("value")
-    return boxes.groupBy(*keys).agg(*[F.try_divide(F.sum(F.col(f"d{k}") * F.col("value")), total).alias(f"mean_{k}") for k in "zxy"], F.max("value").alias("height"))
+    """Of each box the intensity-weighted centre (as offsets), the width of the profile line along each axis through it, and the largest value.
+
+    Lines go through the truncated centre, counted from the box's corner. A width is the root of the weighted squared distance from
+    the centre, null on a line that adds up to 0.
+    """
+    w = W.partitionBy(*keys)
+    rows = boxes.select(*keys, "dz", "dx", "dy", "value", *[F.try_divide(F.sum(F.col(f"d{k}") * F.col("value")).over(w), F.sum("value").over(w)).alias(f"mean_{k}") for k in "zxy"], *[F.min(f"d{k}").over(w).alias(f"_low_{k}") for k in "zxy"])
+    on = {k: F.col(f"d{k}") - F.col(f"_low_{k}") == (F.col(f"mean_{k}") - F.col(f"_low_{k}")).cast("int") for k in "zxy"}
+
+    def width(k):
+        line = on[next(i for i in "zxy" if i != k)] & on[next(i for i in "yxz" if i != k)]
+        gap = F.col(f"d{k}") - F.col(f"mean_{k}")
+        return F.sqrt(F.try_divide(F.sum(F.when(line, F.abs(gap * gap * F.col("value")))), F.sum(F.when(line, F.col("value"))))).alias(f"width_{k}")
+
+    return rows.groupBy(*keys).agg(*[F.first(f"mean_{k}").alias(f"mean_{k}") for k in "zxy"], *[width(k) for k in "zxy"], F.max("value").alias("height"))
 
 
 def nucleus_of(points: DataFrame, labels: DataFrame, size: tuple[int, int, int]) -> DataFrame:
@@ -159,6 +173,24 @@ def erode(labels: DataFrame, element: tuple[int, int, int]) -> DataFrame:
     return labels.join(near.select(*POINT), POINT, "left_semi")
 
 
+def opening(mask: DataFrame, window: tuple[int, int, int]) -> DataFrame:
+    """Pixels of a mask that some window of these lengths covers which lies in the mask as a whole."""
+    points = [(i, j, k) for i in range(window[0]) for j in range(window[1]) for k in range(window[2])]
+    back = [(-i, -j, -k) for i, j, k in points]
+    corners = around(mask.select(*POINT), back).groupBy(*POINT).agg(F.count("*").alias("n")).filter(F.col("n") == len(points))
+    return around(corners.select(*POINT), points).select(*POINT).distinct()
+
+
+def morph_labels(labels: DataFrame, op: str, element: tuple[int, int, int], size: tuple[int, int, int], expand: tuple[int, int, int] = (1, 1, 1)) -> DataFrame:
+    """Dilate, erode or open the mask of all labels; the new pixels take the largest label within the box ``expand``, or go."""
+    mask = labels.select(*POINT)
+    if op == "dilate":
+        new = dilate(mask.withColumn("label", F.lit(1)), element, size).select(*POINT)
+    else:
+        new = {"erode": erode, "open": opening}[op](mask, element).select(*POINT)
+    return new.join(dilate(labels, expand, size), POINT)
+
+
 def mask_voxels(voxels: DataFrame, labels: DataFrame, drop: bool = False) -> DataFrame:
     """Voxels outside of the mask become 0, or go."""
     if drop:
@@ -170,6 +202,11 @@ def threshold_with_slope(voxels: DataFrame, threshold: float, ref_slice: int, sl
     return voxels.filter(F.col("value") >= threshold + (F.col("z") - ref_slice) * slope)
 
 
+def opened_threshold(voxels: DataFrame, threshold: float, ref_slice: int, slope: float) -> DataFrame:
+    """The mask (stack_id, t, z, x, y) of one channel above the sloped threshold, without what no square of 2 x 2 pixels covers."""
+    return opening(threshold_with_slope(voxels, threshold, ref_slice, slope).select(*POINT), (1, 2, 2))
+
+
 def frame_bleach_factors(voxels: DataFrame) -> DataFrame:
     """(stack_id, c, t, factor): the channel's mean over the frame's."""
     per = voxels.groupBy("stack_id", "c", "t").agg(F.sum("value").alias("s"), F.count("value").alias("n"))
@@ -229,7 +266,10 @@ def signal_by_quantile(voxels: DataFrame, labels: DataFrame, c1: int, c2: int, n
     v = voxels.join(labels.select(*POINT), POINT, "left_semi")
     both = v.filter(F.col("c") == c1).select(*POINT, F.col("value").alias("a")).join(v.filter(F.col("c") == c2).select(*POINT, F.col("value").alias("b")), POINT)
     cuts = both.groupBy("stack_id", "t").agg(F.expr(f"percentile(a, array({', '.join(str(k / n) for k in range(n + 1))}))").alias("cuts"))
-    rows = both.join(cuts, ["stack_id", "t"]).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).filter((F.col("a") >= F.get("cuts", F.col("q"))) & (F.col("a") <= F.get("cuts", F.col("q") + 1)))
+    # a value between two cuts has one quantile, so rows are repeated only where they lie on a cut
+    inner = F.slice("cuts", 2, n - 1)
+    first, last = F.size(F.filter(inner, lambda c: c < F.col("a"))), F.size(F.filter(inner, lambda c: c <= F.col("a")))
+    rows = both.join(cuts, ["stack_id", "t"]).withColumn("q", F.explode(F.sequence(first, last)))
     return rows.groupBy("stack_id", "t", "q").agg(F.avg("b").alias("mean"), F.expr("percentile(b, 0.5)").alias("median"), F.count("*").alias("n"))
 
 
@@ -258,12 +298,16 @@ def log_histogram(counts: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def otsu_threshold(voxels: DataFrame, keys: list[str], bins: int = 256) -> DataFrame:
-    """The bin midpoint that parts values with the largest variance between both classes, from a histogram of each key's range."""
+    """The bin midpoint that parts values with the largest variance between both classes, from a histogram of each key's range.
+
+    Ranges and counts are aggregates; only the bins of a key, not its values, come together.
+    """
     w = W.partitionBy(*keys)
-    rows = voxels.groupBy(*keys, "value").agg(F.count("*").alias("k")).withColumn("lo", F.min("value").over(w)).withColumn("hi", F.max("value").over(w))
+    ends = voxels.groupBy(*keys).agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
     step = (F.col("hi") - F.col("lo")) / bins
-    rows = rows.withColumn("bin", F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col("value") - F.col("lo")) / step), F.lit(bins - 1))).otherwise(0).cast("int"))
-    h = rows.groupBy(*keys, "bin", "lo", "hi").agg(F.sum("k").alias("n")).withColumn("mid", F.col("lo") + (F.col("bin") + 0.5) * step)
+    bin_ = F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col("value") - F.col("lo")) / step), F.lit(bins - 1))).otherwise(0).cast("int")
+    rows = voxels.filter("value IS NOT NULL").select(*keys, "value").join(ends, keys).withColumn("bin", bin_)
+    h = rows.groupBy(*keys, "bin", "lo", "hi").agg(F.count("*").alias("n")).withColumn("mid", F.col("lo") + (F.col("bin") + 0.5) * step)
     upto, after = w.orderBy("bin").rowsBetween(W.unboundedPreceding, 0), w.orderBy("bin").rowsBetween(1, W.unboundedFollowing)
     weight = lambda f: F.sum("n").over(f)
     mean = lambda f: F.sum(F.col("n") * F.col("mid")).over(f) / F.sum("n").over(f)
@@ -272,6 +316,20 @@ def otsu_threshold(voxels: DataFrame, keys: list[str], bins: int = 256) -> DataF
     return h.withColumn("_r", first).filter("_r = 1").select(*keys, F.col("mid").alias("threshold"))
 
 
+def middle(voxels: DataFrame, low: float = 0.3, high: float = 0.7, axes: tuple[str, ...] = ("t", "x", "y")) -> DataFrame:
+    """The voxels between two shares of each stack's length along some axes, truncated, the last excluded."""
+    n = voxels.groupBy("stack_id").agg(*[(F.max(k) + 1).alias(f"_n{k}") for k in axes])
+    out = voxels.join(n, "stack_id")
+    for k in axes:
+        out = out.filter((F.col(k) >= (F.col(f"_n{k}") * low).cast("int")) & (F.col(k) < (F.col(f"_n{k}") * high).cast("int")))
+    return out.select(voxels.columns)
+
+
+def spot_threshold(voxels: DataFrame, bins: int = 256) -> DataFrame:
+    """(stack_id, threshold): the largest of the frames' Otsu thresholds, over the middle of the movie and of its images."""
+    return otsu_threshold(middle(voxels), ["stack_id", "t"], bins).groupBy("stack_id").agg(F.max("threshold").alias("threshold"))
+
+
 def max_in_nucleus(voxels: DataFrame, labels: DataFrame) -> DataFrame:
     """The brightest voxel of each label and frame; ties to the smaller coordinates."""
     first = F.row_number().over(W.partitionBy("stack_id", "c", "t", "label").orderBy(F.desc("value"), "z", "x", "y"))
@@ -298,6 +356,12 @@ def movement(labels: DataFrame) -> DataFrame:
     return c.join(zero, ["stack_id", "label"]).groupBy("stack_id", "t").agg(F.avg(F.col("x") - F.col("x0")).cast("int").alias("sx"), F.avg(F.col("y") - F.col("y0")).cast("int").alias("sy"))
 
 
+def shift_spots(spots: DataFrame, shifts: DataFrame, undo: bool = False) -> DataFrame:
+    """Spots less the movement of their frame (``movement``), or with it again; frames without one stay."""
+    sign = 1 if undo else -1
+    return spots.join(shifts, ["stack_id", "t"], "left").withColumns({k: F.col(k) + sign * F.coalesce(f"s{k}", F.lit(0)) for k in "xy"}).select(spots.columns)
+
+
 def flip(voxels: DataFrame, nx: int) -> DataFrame:
     return voxels.withColumn("x", nx - 1 - F.col("x"))
 
@@ -311,3 +375,50 @@ def rotate(voxels: DataFrame, n: int, quarter_turns: int) -> DataFrame:
 
 def mean_image(boxes: DataFrame) -> DataFrame:
     return boxes.groupBy("dz", "dx", "dy").agg(F.avg("value").alias("value"))
+
+
+def choose_turns(voxels: DataFrame, keys: list[str], n: int, seed: int) -> DataFrame:
+    """Each image of n x n pixels flipped or not and turned by a multiple of 90 degrees, as a hash of its keys says."""
+    mark = hash_order(*[F.col(k) for k in keys], seed=seed)
+    rows = voxels.withColumn("_k", F.conv(F.substring(mark, 1, 6), 16, 10).cast("long") % 8)
+    x = F.when(F.col("_k") >= 4, n - 1 - F.col("x")).otherwise(F.col("x"))
+    rows = rows.withColumn("_x", x)
+    turn, y = F.col("_k") % 4, F.col("y")
+    new_x = F.when(turn == 0, F.col("_x")).when(turn == 1, n - 1 - y).when(turn == 2, n - 1 - F.col("_x")).otherwise(y)
+    new_y = F.when(turn == 0, y).when(turn == 1, F.col("_x")).when(turn == 2, n - 1 - y).otherwise(n - 1 - F.col("_x"))
+    return rows.withColumns({"x": new_x.cast("int"), "y": new_y.cast("int")}).select(voxels.columns)
+
+
+def paired_turns(voxels: DataFrame, keys: list[str], n: int, seed: int) -> DataFrame:
+    """Two choices of each image, tagged left and right."""
+    return choose_turns(voxels, keys, n, seed).withColumn("set", F.lit("left")).unionByName(choose_turns(voxels, keys, n, seed + 1).withColumn("set", F.lit("right")))
+
+
+def add_noise(voxels: DataFrame, keys: list[str], sigma: float, seed: int) -> DataFrame:
+    """Values plus Gaussian noise; each image has its own deviation from 0 to ``sigma``, each voxel its own draw, all by hashes."""
+    part = lambda m, at: (F.conv(F.substring(m, at, 12), 16, 10).cast("double") + 1) / float(16**12 + 1)
+    own = hash_order(*[F.col(k) for k in keys], seed=seed)
+    each = hash_order(*[F.col(k) for k in (*keys, "z", "x", "y")], seed=seed)
+    draw = F.sqrt(-2 * F.ln(part(each, 1))) * F.cos(2 * 3.141592653589793 * part(each, 13))
+    return voxels.withColumn("value", F.col("value") + sigma * part(own, 1) * draw)
+
+
+def center_crop(images: DataFrame, keys: list[str], lengths: tuple[int, int], size: tuple[int, int]) -> DataFrame:
+    """(keys, dx, dy, value): a box around the largest pixel of each image (x, y, value); boxes that leave the image go."""
+    first = F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("value"), "x", "y"))
+    top = images.withColumn("_r", first).filter("_r = 1").select(*keys, F.col("x").alias("_x"), F.col("y").alias("_y"))
+    for k, n, m in zip("xy", lengths, size, strict=True):
+        top = top.filter((F.col(f"_{k}") >= n // 2) & (F.col(f"_{k}") + n // 2 < m))
+    d = F.explode(F.array(*[F.struct(F.lit(i).alias("dx"), F.lit(j).alias("dy")) for i in range(-(lengths[0] // 2), lengths[0] // 2 + 1) for j in range(-(lengths[1] // 2), lengths[1] // 2 + 1)])).alias("d")
+    wanted = top.select("*", d).select(*keys, "d.dx", "d.dy", (F.col("_x") + F.col("d.dx")).alias("x"), (F.col("_y") + F.col("d.dy")).alias("y"))
+    return wanted.join(images.select(*keys, "x", "y", "value"), [*keys, "x", "y"]).select(*keys, "dx", "dy", "value")
+
+
+def clicks_to_maximum(clicks: DataFrame, voxels: DataFrame, length: int = 5, z_rad: int = 1) -> DataFrame:
+    """Clicks (stack_id, t, z, x, y) moved to the slice within ``z_rad`` whose box has the largest mean, there to the largest pixel of the box; each once."""
+    ask = clicks.select(*POINT).distinct().select(*POINT, *[F.col(k).alias(f"at_{k}") for k in "zxy"])
+    near = around(ask, box(2 * z_rad + 1, length, length)).join(voxels.select(*POINT, "value"), POINT)
+    key = ["stack_id", "t", "at_z", "at_x", "at_y"]
+    slices = near.groupBy(*key, "z").agg(F.avg("value").alias("mean"), F.max_by(F.struct("x", "y"), F.struct("value", (-F.col("x")).alias("a"), (-F.col("y")).alias("b"))).alias("at"))
+    best = slices.groupBy(*key).agg(F.max_by(F.struct("z", "at"), F.struct("mean", (-F.col("z")).alias("a"))).alias("b"))
+    return best.select("stack_id", "t", "b.z", "b.at.x", "b.at.y").distinct()

@@ -41,14 +41,15 @@ def _(spark, sf):
     return cb.prepare_histograms(h, 8).select("sim_id", "sigma_no", F.transform("hist", lambda x: F.round(x, 6)).alias("hist"))
 
 
-@query("g30_depth_curves_grid", """WITH u AS (SELECT n_nationkey AS id, 500.0 + 400 * n_nationkey AS a, 0.02 + 0.001 * n_nationkey AS b, 100.0 * n_nationkey AS c FROM nation WHERE n_nationkey < 6),
+@query("g30_depth_curves_grid", with_tables("fits") + """, u AS (SELECT stack_id AS id, 500.0 + avg(height) / 100 AS a, 0.02 + stack_id * 0.001 AS b, 100.0 * stack_id + count(*) % 50 AS c FROM fits GROUP BY 1),
 atd AS (SELECT u.*, d, a * exp(-b * d * 0.1) + c AS v FROM u, (SELECT unnest(range(0, 40)) AS d)), p AS (SELECT *, lead(v) OVER w AS nv, lead(a) OVER w AS na, lead(b) OVER w AS nb, lead(c) OVER w AS nc FROM atd WINDOW w AS (PARTITION BY d ORDER BY v, id))
-SELECT CAST(g.d AS INTEGER) AS depth_bin, CAST(i AS INTEGER) AS intensity_bin, round(coalesce(a + (i * 100 - v) / (nv - v) * (na - a), 0), 6) AS a, round(coalesce(b + (i * 100 - v) / (nv - v) * (nb - b), 0), 6) AS b, round(coalesce(c + (i * 100 - v) / (nv - v) * (nc - c), 0), 6) AS c
+SELECT CAST(g.d AS INTEGER) AS depth_bin, CAST(i AS INTEGER) AS intensity_bin, round(coalesce(a + (i * 100 - v) / (nv - v) * (na - a), 0), 5) AS a, round(coalesce(b + (i * 100 - v) / (nv - v) * (nb - b), 0), 6) AS b, round(coalesce(c + (i * 100 - v) / (nv - v) * (nc - c), 0), 5) AS c
 FROM (SELECT unnest(range(0, 40)) AS d) g CROSS JOIN (SELECT unnest(range(0, 60)) AS i) LEFT JOIN p ON p.d = g.d AND i * 100 >= v AND i * 100 < nv""")
 def _(spark, sf):
-    k = F.col("n_nationkey")
-    curves = tb.read(spark, sf, "nation").filter("n_nationkey < 6").select(k.alias("stack_id"), (500.0 + 400 * k).alias("a"), (0.02 + 0.001 * k).alias("b"), (100.0 * k).alias("c"))
-    return cb.depth_curves_to_grid(curves, 40, 60).select("depth_bin", "intensity_bin", r6("a"), r6("b"), r6("c"))
+    k = F.col("stack_id")
+    curves = tb.fits(spark, sf).groupBy("stack_id").agg(F.avg("height").alias("m"), F.count("*").alias("n"))
+    curves = curves.select("stack_id", (500.0 + F.col("m") / 100).alias("a"), (0.02 + k * 0.001).alias("b"), (100.0 * k + F.col("n") % 50).alias("c"))
+    return cb.depth_curves_to_grid(curves, 40, 60).select("depth_bin", "intensity_bin", F.round("a", 5).alias("a"), r6("b"), F.round("c", 5).alias("c"))
 
 
 @query("g45_mean_concentration", with_tables("voxels") + ' SELECT stack_id, round((avg(value) + 200000) / 250.0 * (1 / 6.02214076e23 / (0.02 * 1e-15) * 1e9) / (40 / 34.0), 4) AS "nM" FROM voxels GROUP BY 1')
@@ -56,8 +57,8 @@ def _(spark, sf):
     return cb.mean_signal_concentration(tb.voxels(spark, sf), -200000.0, 250.0, 0.02, 40.0).select("stack_id", F.round("nM", 4).alias("nM"))
 
 
-@query("p9_rename_to_template", with_tables("emb", "sims") + """, t AS (SELECT row_number() OVER (ORDER BY name) - 1 AS k, string_split(replace(name, '.pkl', ''), '_') AS p FROM emb),
-s AS (SELECT name, row_number() OVER (ORDER BY id) - 1 AS place, CAST('0x' || substr(md5(id || '_8'), 1, 12) AS BIGINT) % (SELECT count(*) FROM emb) AS k FROM sims)
+@query("p9_rename_to_template", with_tables("emb", "sims") + """, t AS (SELECT row_number() OVER (ORDER BY md5(name || '_9'), name) - 1 AS k, string_split(replace(name, '.pkl', ''), '_') AS p FROM emb),
+s AS (SELECT name, row_number() OVER (ORDER BY md5(id || '_10'), id) - 1 AS place, CAST('0x' || substr(md5(id || '_8'), 1, 12) AS BIGINT) % (SELECT count(*) FROM emb) AS k FROM sims)
 SELECT name, p[1] || '_' || p[2] || '_' || (place + 1000) || '_' || p[4] AS renamed FROM s JOIN t USING (k)""")
 def _(spark, sf):
     return cb.rename_to_template(tb.sim_names(spark, sf), sp.parse_real_names(tb.named_embeddings(spark, sf)), 8)

@@ -188,12 +188,13 @@ def _(spark, sf):
 COST = """, s AS (SELECT l_orderkey % 10 AS ref, l_partkey AS id, l_linenumber % 3 AS sigma_no, max(l_discount) AS score FROM lineitem GROUP BY 1, 2, 3)"""
 
 
-@query("k6_score_by_sigma", "WITH x AS (SELECT 1)" + COST + " SELECT ref, id, sigma_no, round((score - avg(score) OVER w) / stddev_pop(score) OVER w, 6) AS z FROM s WINDOW w AS (PARTITION BY ref, sigma_no)")
+@query("k6_score_by_sigma", EMB + """, h AS (SELECT id, k AS sigma_no, embedding[k * 16 + 1:k * 16 + 16] AS hist, embedding[1:3] AS params FROM emb, (SELECT unnest(range(0, 4)) AS k)),
+s AS (SELECT r.id AS ref, h.id, h.sigma_no, list_distance(h.hist, r.hist) AS score, power(list_distance(h.params, r.params), 2) AS d FROM h JOIN h r ON r.sigma_no = h.sigma_no WHERE r.id % 100 = 0)
+SELECT ref, id, CAST(sigma_no AS INTEGER) AS sigma_no, round((score - avg(score) OVER w) / stddev_pop(score) OVER w, 6) AS z, round(d, 6) AS distance2 FROM s WINDOW w AS (PARTITION BY ref, sigma_no)""")
 def _(spark, sf):
-    from pyspark.sql import Window as W
-
-    w = W.partitionBy("ref", "sigma_no")
-    return scores(spark, sf).select("ref", "id", "sigma_no", F.round((F.col("score") - F.avg("score").over(w)) / F.stddev_pop("score").over(w), 6).alias("z"))
+    e = tb.named_embeddings(spark, sf).withColumn("sigma_no", F.explode(F.array(*map(F.lit, range(4)))))
+    h = e.select("id", "sigma_no", F.slice("embedding", F.col("sigma_no") * 16 + 1, F.lit(16)).alias("hist"), F.slice("embedding", 1, 3).alias("params"))
+    return em.score_by_sigma(h, h.filter("id % 100 = 0")).select("ref", "id", "sigma_no", r6("z"), r6("distance2"))
 
 
 def scores(spark, sf):

@@ -8,10 +8,16 @@ from spotframe.operators import frames as fr
 from spotframe.operators import tracks as tk
 from spotframe.plans import tables as tb
 from spotframe.plans.registry import query
+from spotframe.plans.tables import with_tables
 
 
 def frames(spark, sf):
-    return fr.to_frames(tb.voxels(spark, sf).filter("c = 0"))
+    """All frames; the channel stands in the stack's number."""
+    return fr.to_frames(tb.voxels(spark, sf).withColumn("stack_id", F.col("stack_id") * 2 + F.col("c")))
+
+
+def both_channels(labels):
+    return labels.withColumn("c", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("stack_id", F.col("stack_id") * 2 + F.col("c")).drop("c")
 
 
 @query("h1_gaussian_frames")
@@ -27,12 +33,12 @@ def _(spark, sf):
 
 @query("h14_scalespace_histograms")
 def _(spark, sf):
-    return fr.scalespace_histograms(frames(spark, sf), [0.5, 1.0], 20, -200000.0, 200000.0)
+    return fr.scalespace_histograms(frames(spark, sf), [0.5, 1.0], 20, -200000.0, 200000.0, both_channels(tb.labels(spark, sf)))
 
 
 @query("h16_threshold_sweep")
 def _(spark, sf):
-    return fr.threshold_sweep(frames(spark, sf), [0.0, 50000.0, 100000.0])
+    return fr.threshold_sweep(frames(spark, sf), [0.0, 50000.0, 100000.0], both_channels(tb.labels(spark, sf)))
 
 
 @query("h6_detect_spots")
@@ -40,9 +46,18 @@ def _(spark, sf):
     return fr.detect_spots(frames(spark, sf), (0.5,) * 3, (1.5,) * 3, (3, 3, 3), 1.5, 2, 1)
 
 
-@query("g3_circularity")
+G3 = """, n AS (SELECT stack_id, t, label, z, count(*) AS area FROM labels GROUP BY 1, 2, 3, 4), s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY stack_id, t, label ORDER BY area DESC, z) AS r FROM n) WHERE r = 1),
+pix AS (SELECT l.stack_id, l.t, l.label, s.area, l.x, l.y FROM labels l JOIN s USING (stack_id, t, label, z)), st(a, b) AS (VALUES (0, 1), (0, -1), (1, 0), (-1, 0)), di(a, b) AS (VALUES (1, 1), (1, -1), (-1, 1), (-1, -1)),
+bo AS (SELECT p.* FROM pix p LEFT JOIN (SELECT stack_id, t, label, x + a AS x, y + b AS y, count(*) AS n FROM pix, st GROUP BY 1, 2, 3, 4, 5) q USING (stack_id, t, label, x, y) WHERE coalesce(n, 0) < 4),
+k AS (SELECT bo.*, coalesce(s4.n, 0) AS s, coalesce(d4.n, 0) AS d FROM bo LEFT JOIN (SELECT stack_id, t, label, x + a AS x, y + b AS y, count(*) AS n FROM bo, st GROUP BY 1, 2, 3, 4, 5) s4 USING (stack_id, t, label, x, y)
+  LEFT JOIN (SELECT stack_id, t, label, x + a AS x, y + b AS y, count(*) AS n FROM bo, di GROUP BY 1, 2, 3, 4, 5) d4 USING (stack_id, t, label, x, y)),
+c AS (SELECT stack_id, t, label, any_value(area) AS area, sum(CASE WHEN s >= 2 THEN 1.0 WHEN s = 1 AND d >= 1 THEN (1 + sqrt(2)) / 2 WHEN d >= 2 THEN sqrt(2) ELSE 0 END) AS p FROM k GROUP BY 1, 2, 3)
+SELECT stack_id, t, label, round(4 * pi() * area / power(CASE WHEN p = 0 THEN 0.5 ELSE p END, 2), 6) AS circularity FROM c WHERE 4 * pi() * area / power(CASE WHEN p = 0 THEN 0.5 ELSE p END, 2) >= 0.9"""
+
+
+@query("g3_circularity", with_tables("voxels", "labels") + G3)
 def _(spark, sf):
-    return fr.circularity(tb.labels(spark, sf))
+    return fr.circularity(tb.labels(spark, sf), 0.9).withColumn("circularity", F.round("circularity", 6))
 
 
 @query("j10_track_labels")
@@ -57,16 +72,21 @@ def _(spark, sf):
 
 @query("j20_link_by_nucleus")
 def _(spark, sf):
-    p = tb.voxels(spark, sf).filter("c = 0 AND z = 1 AND y = 0").select("stack_id", "t", F.col("x").cast("long").alias("fit_no"), F.col("z").cast("double").alias("z"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    p = tb.voxels(spark, sf).filter("c = 0").select("stack_id", "t", (F.col("z") * 16 + F.col("x") * 4 + F.col("y")).cast("long").alias("fit_no"), F.col("z").cast("double").alias("z"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
     return tk.link_by_nucleus(p, tb.labels(spark, sf), (4, 4, 4))
 
 
-@query("j21_random_controls")
+@query("j21_random_controls", with_tables("voxels", "labels") + """, few AS (SELECT DISTINCT stack_id, t, x, y FROM voxels WHERE c = 1 AND value > 150000), free AS (SELECT * FROM labels l WHERE NOT EXISTS (SELECT 1 FROM few f WHERE f.stack_id = l.stack_id AND f.t = l.t AND f.x = l.x AND f.y = l.y)),
+pix AS (SELECT *, row_number() OVER (PARTITION BY stack_id, t, z, label ORDER BY x, y) - 1 AS place, count(*) OVER (PARTITION BY stack_id, t, z, label) AS size FROM free),
+spots AS (SELECT stack_id, t * 64 + z * 16 + x * 4 + y AS spot_id, t, z, label, unnest(range(0, 3)) AS k FROM labels), size AS (SELECT stack_id, t, z, label, count(*) AS size FROM free GROUP BY 1, 2, 3, 4),
+ask AS (SELECT s.*, CAST('0x' || substr(md5(stack_id || '_' || spot_id || '_' || t || '_' || k || '_21'), 1, 12) AS BIGINT) % size AS place FROM spots s JOIN size USING (stack_id, t, z, label))
+SELECT stack_id, spot_id, t, CAST(k AS INTEGER) AS k, z, pix.x, pix.y FROM ask JOIN pix USING (stack_id, t, z, label, place)""")
 def _(spark, sf):
-    spots = tb.labels(spark, sf).filter("z = 1 AND y = 0").select("stack_id", (F.col("t") * 4 + F.col("x")).alias("spot_id"), "t", "z", F.col("label").alias("nuc_id"))
-    return tk.random_controls(spots, tb.labels(spark, sf), 3, 21)
+    spots = tb.labels(spark, sf).select("stack_id", (F.col("t") * 64 + F.col("z") * 16 + F.col("x") * 4 + F.col("y")).alias("spot_id"), "t", "z", F.col("label").alias("nuc_id"))
+    foci = tb.voxels(spark, sf).filter("c = 1 AND value > 150000").select("stack_id", "t", "x", "y")
+    return tk.random_controls(spots, tb.labels(spark, sf), 3, 21, foci)
 
 
 @query("w13_two_state_bursts")
 def _(spark, sf):
-    return tk.two_state_bursts(tb.traces(spark, sf), 6)
+    return tk.two_state_bursts(tb.traces(spark, sf))

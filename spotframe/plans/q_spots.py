@@ -224,14 +224,16 @@ def _(spark, sf):
 @query("p5_object_columns", " SELECT l_orderkey AS id, l_linenumber AS parent, l_quantity AS volume, l_extendedprice AS intensity, l_discount AS sphericity FROM lineitem")
 def _(spark, sf):
     names = {"l_orderkey": "id", "l_linenumber": "parent", "l_quantity": "volume", "l_extendedprice": "intensity", "l_discount": "sphericity"}
-    return tb.read(spark, sf, "lineitem").select([F.col(k).alias(v) for k, v in names.items()])
+    return sp.select_columns(tb.read(spark, sf, "lineitem"), names)
 
 
-@query("p6_filter_nuclei", " SELECT l_orderkey AS id, l_quantity * 1000 AS volume, l_orderkey % 100 AS x_min, l_orderkey % 100 + l_linenumber AS x_max, 'n' AS label FROM lineitem WHERE l_orderkey % 100 > 0 AND l_orderkey % 100 + l_linenumber < 100 AND l_quantity * 1000 > 5000")
+@query("p6_filter_nuclei", """ SELECT l_orderkey AS id, l_quantity * 1000 AS volume, CAST(l_orderkey % 100 - 3 AS DOUBLE) AS x_min, CAST(l_orderkey % 100 + l_linenumber - 3 AS DOUBLE) AS x_max,
+  CAST(l_suppkey % 40 AS DOUBLE) AS y_min, CAST(l_suppkey % 40 + 5 AS DOUBLE) AS y_max, 'n' AS label, 'f.csv' AS file FROM lineitem
+  WHERE l_orderkey % 100 > 0 AND l_orderkey % 100 + l_linenumber < 100 AND l_suppkey % 40 > 0 AND l_suppkey % 40 + 5 < 42 AND l_quantity * 1000 > 5000""")
 def _(spark, sf):
-    k = F.col("l_orderkey") % 100
-    rows = tb.read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("id"), (F.col("l_quantity") * 1000).alias("volume"), k.alias("x_min"), (k + F.col("l_linenumber")).alias("x_max"))
-    return rows.filter("x_min > 0 AND x_max < 100 AND volume > 5000").withColumn("label", F.lit("n"))
+    k, y = F.col("l_orderkey") % 100, F.col("l_suppkey") % 40
+    rows = tb.read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("id"), (F.col("l_quantity") * 1000).alias("volume"), k.alias("x_min"), (k + F.col("l_linenumber")).alias("x_max"), y.alias("y_min"), (y + 5).alias("y_max"))
+    return sp.filter_nucleus_objects(rows, (100, 42), 5000, "n", "f.csv", (3.0, 0.0))
 
 
 @query("s5_concat_stacks", with_tables("traces") + """, parts AS (SELECT DISTINCT stack_id AS part, t FROM traces), per AS (SELECT part, max(t) + 1 AS n FROM parts GROUP BY 1), base AS (SELECT part, sum(n) OVER (ORDER BY part) - n AS base FROM per)

@@ -126,9 +126,11 @@ def _(spark, sf):
     return tr.padded_cross_correlation(runs_of(spark, sf), second_of(spark, sf), 6).select("stack_id", "offset", r6("r"))
 
 
-@query("w12_interpolate")
+@query("w12_interpolate", with_tables("dense") + """, k AS (SELECT *, first_value(value IGNORE NULLS) OVER (PARTITION BY stack_id, spot_id ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS next, last_value(value IGNORE NULLS) OVER w AS last,
+  t - last_value(CASE WHEN value IS NOT NULL THEN t END IGNORE NULLS) OVER w AS k FROM dense WINDOW w AS (PARTITION BY stack_id, spot_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+SELECT stack_id, spot_id, t, round(coalesce(value, next + (last - next) * power(0.5, k)), 6) AS value FROM k WHERE next IS NOT NULL AND last IS NOT NULL""")
 def _(spark, sf):
-    return tr.trim_and_interpolate(dense(spark, sf), 30)
+    return tr.trim_and_interpolate(dense(spark, sf), 30).select("stack_id", "spot_id", "t", r6("value"))
 
 
 STATES = ", states AS (SELECT stack_id, spot_id, t, CAST(value > 2000 AS INTEGER) AS state FROM traces)"

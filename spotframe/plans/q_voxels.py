@@ -72,10 +72,14 @@ def _(spark, sf):
     return fg.groupBy("t").agg(F.round(F.avg("fg"), 4).alias("mean"))
 
 
-@query("h5_window_moments", VL + BOXES + " SELECT stack_id, t, spot_id, round(sum(dz * abs(value)) / sum(abs(value)), 6) AS mean_z, round(sum(dx * abs(value)) / sum(abs(value)), 6) AS mean_x, round(sum(dy * abs(value)) / sum(abs(value)), 6) AS mean_y, max(abs(value)) AS height FROM boxes GROUP BY 1, 2, 3")
+@query("h5_window_moments", VL + BOXES + """, v AS (SELECT stack_id, t, spot_id, dz, dx, dy, abs(value) AS value FROM boxes), m AS (SELECT stack_id, t, spot_id, sum(dz * value) / sum(value) AS mz, sum(dx * value) / sum(value) AS mx, sum(dy * value) / sum(value) AS my, max(value) AS height FROM v GROUP BY 1, 2, 3),
+k AS (SELECT *, dz + 1 = trunc(mz + 1) AS oz, dx + 1 = trunc(mx + 1) AS ox, dy + 1 = trunc(my + 1) AS oy FROM v JOIN m USING (stack_id, t, spot_id))
+SELECT stack_id, t, spot_id, round(any_value(mz), 6) AS mean_z, round(any_value(mx), 6) AS mean_x, round(any_value(my), 6) AS mean_y, any_value(height) AS height,
+  round(sqrt(sum(power(dz - mz, 2) * value) FILTER (ox AND oy) / nullif(sum(value) FILTER (ox AND oy), 0)), 6) AS width_z, round(sqrt(sum(power(dx - mx, 2) * value) FILTER (oz AND oy) / nullif(sum(value) FILTER (oz AND oy), 0)), 6) AS width_x,
+  round(sqrt(sum(power(dy - my, 2) * value) FILTER (oz AND ox) / nullif(sum(value) FILTER (oz AND ox), 0)), 6) AS width_y FROM k GROUP BY 1, 2, 3""")
 def _(spark, sf):
     out = vx.window_moments(boxes(spark, sf).withColumn("value", F.abs("value")), ["stack_id", "t", "spot_id"])
-    return out.select("stack_id", "t", "spot_id", r6("mean_z"), r6("mean_x"), r6("mean_y"), "height")
+    return out.select("stack_id", "t", "spot_id", *map(r6, ("mean_z", "mean_x", "mean_y")), "height", *map(r6, ("width_z", "width_x", "width_y")))
 
 
 @query("g33_mean_image", VL + BOXES + " SELECT dz, dx, dy, round(avg(value), 4) AS value FROM boxes GROUP BY 1, 2, 3")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import uuid
 
 import numpy as np
 import pandas as pd
@@ -14,25 +15,54 @@ FRAME = "path string, nz int, nx int, ny int, pixels array<float>"
 
 
 def read_frames(spark: SparkSession, folder: str, pattern: str = "*.npy") -> DataFrame:
-    """(t, path, nz, nx, ny, pixels) of a folder's arrays, t by name; another shape than the first is an error. Hidden files are left out."""
+    """(t, path, nz, nx, ny, pixels) of a folder's arrays, t by name; another shape than that of the first by name is an error. Hidden files are left out.
+
+    The first file's shape is read from it alone, the others are compared as they are decoded, once. Names are ordered without their contents.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
+    files = files.filter(~F.element_at(F.split("path", "/"), -1).startswith(".")).select("path", "content")
+    first = files.agg(F.min("path")).first()[0]
+    head = None if first is None else files.filter(F.col("path") == first).select("content").first()["content"]
+    shape = None if head is None else _as_frame(head).shape
 
     def decode(frames):
         for pdf in frames:
             rows = []
             for path, content in zip(pdf["path"], pdf["content"], strict=True):
-                a = np.load(io.BytesIO(content), allow_pickle=False)
-                a = a.reshape((1,) * (3 - a.ndim) + a.shape)
+                a = _as_frame(content)
+                if a.shape != shape:
+                    raise ValueError(f"frames differ in shape: {path} has {a.shape}, the first {shape}")
                 rows.append((path, *a.shape, a.astype(np.float32).ravel()))
             yield pd.DataFrame(rows, columns=["path", "nz", "nx", "ny", "pixels"])
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
-    files = files.filter(~F.element_at(F.split("path", "/"), -1).startswith(".")).select("path", "content")
+    # names in buckets of their first characters after what all have in common would need a look at them; there are as many as frames, without pixels
     names = files.select("path").withColumn("t", F.row_number().over(W.orderBy("path")) - 1)
-    frames = files.mapInPandas(decode, FRAME)
-    shapes = frames.select("nz", "nx", "ny").distinct().limit(2).collect()
-    if len(shapes) > 1:
-        raise ValueError(f"frames differ in shape: {shapes}")
-    return frames.join(names, "path").select("t", "path", "nz", "nx", "ny", "pixels")
+    return files.mapInPandas(decode, FRAME).join(names, "path").select("t", "path", "nz", "nx", "ny", "pixels")
+
+
+def _as_frame(content: bytes) -> np.ndarray:
+    a = np.load(io.BytesIO(content), allow_pickle=False)
+    return a.reshape((1,) * (3 - a.ndim) + a.shape)
+
+
+def write_frames(frames: DataFrame, folder: str) -> None:
+    """One .npy file a row (name, nz, nx, ny, pixels), by tasks, in a folder that all of them share; a file is complete once it has its name."""
+    from pyarrow import fs
+
+    def run(parts):
+        store, base = fs.FileSystem.from_uri(folder) if ":" in folder.split("/")[0] else (fs.LocalFileSystem(), folder)
+        store.create_dir(base, recursive=True)
+        for pdf in parts:
+            for r in pdf.itertuples():
+                out = io.BytesIO()
+                np.save(out, np.asarray(r.pixels, dtype=np.float32).reshape(r.nz, r.nx, r.ny), allow_pickle=False)
+                part = f"{base}/.{r.name}-{uuid.uuid4().hex}"
+                with store.open_output_stream(part) as f:
+                    f.write(out.getvalue())
+                store.move(part, f"{base}/{r.name}.npy")
+            yield pdf[["name"]]
+
+    frames.select("name", "nz", "nx", "ny", "pixels").mapInPandas(run, "name string").write.format("noop").mode("overwrite").save()
 
 
 def to_voxels(frames: DataFrame, keys: list[str]) -> DataFrame:
