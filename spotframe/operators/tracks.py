@@ -15,9 +15,10 @@ SPOT = ["stack_id", "spot_id"]
 
 
 def link_nearest(fits: DataFrame, max_gap: int = 1, max_jump: float = 10.0, scale_xy: float = 1.0, scale_z: float = 1.0) -> DataFrame:
-    """Adds spot_id: greedy links to the nearest spot of the frames before.
+    """Adds spot_id: greedy links to the nearest spot of the frames before (``kernels.link_nearest`` has the rules).
 
     Looking back ends at a frame without spots, so a stack is cut at frames that follow one: each part is a group of its own.
+    Within it frames come in order, as each link hangs on those before; distances are taken for a frame at once.
     """
     order = W.partitionBy("stack_id").orderBy("t")
     frames = fits.select("stack_id", "t").distinct().withColumn("part", F.sum(F.when(F.col("t") - F.lag("t").over(order) == 1, 0).otherwise(1)).over(order))
@@ -78,6 +79,13 @@ def track_labels(labels: DataFrame, max_skip: int = 2) -> DataFrame:
     best = lambda k, o: F.row_number().over(W.partitionBy("stack_id", "t", "lag", k).orderBy(F.desc("n"), F.desc(o)))
     links = hits.withColumn("_a", best("label", "before")).withColumn("_b", best("before", "label")).filter("_a = 1 AND _b = 1").select("stack_id", "t", "lag", "label", "before", "n")
     objects = labels.select("stack_id", "t", "label").distinct()
+    # a stack is cut where no link leads over: links hang on each other only within such a part
+    over = links.groupBy("stack_id", (F.col("t") - F.col("lag")).alias("t")).agg(F.max("t").alias("reach"))
+    by_t = W.partitionBy("stack_id").orderBy("t")
+    frames = objects.select("stack_id", "t").distinct().join(over, ["stack_id", "t"], "left")
+    before = F.max("reach").over(by_t.rowsBetween(W.unboundedPreceding, -1))
+    frames = frames.withColumn("part", F.sum(F.when(before >= F.col("t"), 0).otherwise(1)).over(by_t)).select("stack_id", "t", "part")
+    objects, links = objects.join(frames, ["stack_id", "t"]), links.join(frames, ["stack_id", "t"])
     objects, links = objects.toDF(*objects.columns), links.toDF(*links.columns)  # both come from one table
 
     def run(key, objs, links):
@@ -94,44 +102,64 @@ def track_labels(labels: DataFrame, max_skip: int = 2) -> DataFrame:
                 if label not in mine:
                     mine[label], free = free, free + 1
                 track[(t, label)] = mine[label]
-                out.append((key[0], t, label, mine[label]))
-        return pd.DataFrame(out, columns=["stack_id", "t", "label", "track"])
-
-    tracks = objects.groupBy("stack_id").cogroup(links.groupBy("stack_id")).applyInPandas(run, "stack_id long, t int, label int, track int")
+                out.append((key[0], key[1], t, label, mine[label]))
+        return pd.DataFrame(out, columns=["stack_id", "part", "t", "label", "track"])
+
+    keys = ["stack_id", "part"]
+    tracks = objects.groupBy(*keys).cogroup(links.groupBy(*keys)).applyInPandas(run, "stack_id long, part long, t int, label int, track int")
+    sizes = tracks.groupBy(*keys).agg(F.max("track").alias("size"))
+    base = sizes.select(*keys, (F.sum("size").over(W.partitionBy("stack_id").orderBy("part")) - F.col("size")).alias("base"))
+    tracks = tracks.join(base, keys).select("stack_id", "t", "label", (F.col("base") + F.col("track")).cast("int").alias("track"))
     return labels.join(tracks, ["stack_id", "t", "label"])
 
 
 def two_state_bursts(traces: DataFrame, rounds: int = 25) -> DataFrame:
     """Adds state: 1 for the higher of two means of a hidden Markov model pooled over all traces, by its likeliest path.
 
-    Each round sums small statistics of all traces; values are first scaled to 0-1 by spot, constant spots are left out.
+    Each round sums small statistics of all traces; values are first scaled to 0-1 by spot, constant spots are left out. Traces are rows,
+    kept on the executors for the rounds; those of one length in a batch are worked on together.
     """
     w = W.partitionBy(*SPOT)
-    x = traces.filter("value IS NOT NULL").withColumn("v", F.try_divide(F.col("value") - F.min("value").over(w), F.max("value").over(w) - F.min("value").over(w))).filter("v IS NOT NULL").select(*SPOT, "t", "value", "v").persist()
+    x = traces.filter("value IS NOT NULL").withColumn("v", F.try_divide(F.col("value") - F.min("value").over(w), F.max("value").over(w) - F.min("value").over(w))).filter("v IS NOT NULL")
+    rows = x.groupBy(*SPOT).agg(F.sort_array(F.collect_list(F.struct("t", "value", "v"))).alias("s"))
+    rows = rows.select(*SPOT, *[F.col(f"s.{k}").alias(k) for k in ("t", "value", "v")]).persist()
     p = {"means": np.array([0.2, 0.7]), "stds": np.array([0.2, 0.2]), "start": np.array([0.5, 0.5]), "moves": np.array([[0.8, 0.2], [0.2, 0.8]])}
     names = [f"{k}{i}" for k in ("g", "gx", "gxx", "s") for i in range(2)] + [f"m{i}{j}" for i in range(2) for j in range(2)]
+
+    def by_length(pdf):
+        for _, d in pdf.groupby(pdf["v"].map(len)):
+            yield d, np.stack(d["v"].to_list())
+
     def statistics(p):
-        def run(key, pdf):
-            v = pdf.sort_values("t")["v"].to_numpy()
-            g, xi, _ = kn.forward_backward(v, **p)
-            return pd.DataFrame([[*g.sum(axis=0), *(g * v[:, None]).sum(axis=0), *(g * v[:, None] ** 2).sum(axis=0), *g[0], *xi.ravel()]], columns=names)
+        def run(parts):
+            total = np.zeros(len(names))
+            for pdf in parts:
+                for _, v in by_length(pdf):
+                    g, xi, _ = kn.forward_backward(v, **p)
+                    at = v[..., None]
+                    total += np.concatenate([g.sum(axis=(0, 1)), (g * at).sum(axis=(0, 1)), (g * at**2).sum(axis=(0, 1)), g[:, 0].sum(axis=0), xi.ravel()])
+            yield pd.DataFrame([total], columns=names)
 
         return run
 
     for _ in range(rounds):
-        r = x.groupBy(*SPOT).applyInPandas(statistics(p), ", ".join(f"{n} double" for n in names)).agg(*[F.sum(n).alias(n) for n in names]).first()
-        if r["g0"] is None:
+        r = rows.select("v").mapInPandas(statistics(p), ", ".join(f"{n} double" for n in names)).agg(*[F.sum(n).alias(n) for n in names]).first()
+        if not r["g0"] or not r["g1"]:
             break
         g, gx, gxx, s = (np.array([r[f"{k}0"], r[f"{k}1"]]) for k in ("g", "gx", "gxx", "s"))
         m = np.array([[r[f"m{i}{j}"] for j in range(2)] for i in range(2)])
         p = {"means": gx / g, "stds": np.sqrt(np.maximum(gxx / g - (gx / g) ** 2, 1e-4)), "start": s / s.sum(), "moves": m / m.sum(axis=1, keepdims=True)}
+    rows.unpersist()
     high = int(p["means"][1] >= p["means"][0])
 
-    def path(key, pdf):
-        pdf = pdf.sort_values("t")
-        return pdf.assign(state=(kn.viterbi(pdf["v"].to_numpy(), **p) == high).astype("int32"))[["stack_id", "spot_id", "t", "value", "state"]]
+    def paths(parts):
+        for pdf in parts:
+            for d, v in by_length(pdf):
+                n = v.shape[1]
+                out = {k: np.repeat(d[k].to_numpy(), n) for k in SPOT} | {k: np.concatenate(d[k].to_list()) for k in ("t", "value")}
+                yield pd.DataFrame(out | {"state": (kn.viterbi(v, **p) == high).ravel().astype("int32")})
 
-    return x.groupBy(*SPOT).applyInPandas(path, "stack_id long, spot_id long, t int, value double, state int")
+    return rows.mapInPandas(paths, "stack_id long, spot_id long, t int, value double, state int")
 
 
 def random_controls(spots: DataFrame, labels: DataFrame, n: int, seed: int, exclude: DataFrame | None = None) -> DataFrame:

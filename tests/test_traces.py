@@ -95,6 +95,52 @@ def test_linking_rules(spark):
     assert linked(spark, [(0, 0), (2, 0)], max_gap=1) == [0, 1]  # a frame without spots ends it
 
 
+def plain_links(t, xyz, max_gap, max_jump):
+    """Spot after spot, on lists."""
+    tracks = []
+    for i in sorted(range(len(t)), key=lambda i: (t[i], i)):
+        placed = False
+        for lag in range(1, max_gap + 2):
+            back = [(float(np.linalg.norm(xyz[j] - xyz[i])), k, j) for k, tr in enumerate(tracks) for j in tr if t[j] == t[i] - lag]
+            if not back:
+                break
+            d, k, j = min(back)
+            if d > max_jump:
+                continue
+            own = [x for x in tracks[k] if t[x] == t[i]]
+            if own and d >= np.linalg.norm(xyz[own[0]] - xyz[j]):
+                continue
+            if own:
+                tracks[k].remove(own[0])
+                tracks.append([own[0]])
+            tracks[k].append(i)
+            placed = True
+            break
+        if not placed:
+            tracks.append([i])
+    return {frozenset(tr) for tr in tracks}
+
+
+def test_links_against_plain_version():
+    from spotframe.functions import kernels as kn
+
+    rng = np.random.default_rng(3)
+    for _ in range(30):
+        t = np.sort(rng.integers(0, 8, 60))
+        xyz = rng.normal(size=(60, 3)) * 3
+        got = {}
+        for i, k in enumerate(kn.link_nearest(t, xyz, 1, 4.0).tolist()):
+            got.setdefault(k, set()).add(i)
+        assert {frozenset(v) for v in got.values()} == plain_links(t, xyz, 1, 4.0)
+
+
+def test_bumped_spot_begins_a_track_and_late_one_looks_further(spark):
+    # frame 1: the second spot is nearer and bumps the first, which doesn't look at frame 0's other spots again
+    assert linked(spark, [(0, 0), (1, 1), (2, 3), (2, 2)], max_gap=1) == [0, 0, 1, 0]
+    # frame 2: the second spot comes too late for the nearest track of frame 1 and takes one that ended in frame 0
+    assert linked(spark, [(0, 20), (0, 0), (1, 1), (2, 1), (2, 11)], max_gap=1, max_jump=10) == [0, 1, 1, 1, 0]
+
+
 def test_link_by_nucleus(spark):
     labels = spark.createDataFrame([(0, t, 0, x, y, 1) for t in range(4) for x in range(9) for y in range(3)], "stack_id long, t int, z int, x int, y int, label int")
     rows = [(0, 0), (0, 5), (1, 1), (2, 8), (2, 2), (3, 30)]
@@ -123,3 +169,40 @@ def test_shuffle_is_one_order(spark):
     x = table(spark, *[[1.0]] * 20)
     a, b = ({r.spot_id: r.place for r in tr.shuffle_spots(df, 3).collect()} for df in (x, x.withColumn("value", F.lit(2.0))))
     assert a == b and sorted(a.values()) == list(range(20)) and [a[k] for k in range(20)] != list(range(20))
+
+
+def test_forward_backward_against_all_paths():
+    import itertools
+
+    from spotframe.functions import kernels as kn
+
+    p = {"means": np.array([0.1, 0.8]), "stds": np.array([0.3, 0.2]), "start": np.array([0.6, 0.4]), "moves": np.array([[0.7, 0.3], [0.4, 0.6]])}
+    x = np.random.default_rng(1).random((3, 5))
+    g, xi, _ = kn.forward_backward(x, **p)
+    best, moves = kn.viterbi(x, **p), np.zeros((2, 2))
+    for k in range(3):
+        weight = {}
+        for path in itertools.product((0, 1), repeat=5):
+            q = p["start"][path[0]]
+            for a, b in zip(path, path[1:]):
+                q *= p["moves"][a, b]
+            for v, s in zip(x[k], path, strict=True):
+                q *= np.exp(-0.5 * ((v - p["means"][s]) / p["stds"][s]) ** 2) / p["stds"][s]
+            weight[path] = q
+        total = sum(weight.values())
+        assert tuple(best[k]) == max(weight, key=weight.get)
+        for path, q in weight.items():
+            for a, b in zip(path, path[1:]):
+                moves[a, b] += q / total
+        for i in range(5):
+            assert abs(g[k, i, 1] - sum(q for path, q in weight.items() if path[i]) / total) < 1e-9
+    assert np.allclose(xi, moves)
+
+
+def test_tracks_do_not_hang_on_the_parts(spark):
+    """Objects that end and begin elsewhere cut the stack; numbers go on over the cuts."""
+    box_ = lambda t, x, label: [(0, t, 0, x + a, b, label) for a in range(3) for b in range(3)]
+    rows = box_(0, 0, 1) + box_(1, 0, 4) + box_(2, 30, 1) + box_(3, 30, 1) + box_(3, 60, 2) + box_(7, 0, 1)
+    labels = spark.createDataFrame(rows, "stack_id long, t int, z int, x int, y int, label int")
+    out = {(r.t, r.label): r.track for r in tk.track_labels(labels).select("t", "label", "track").distinct().collect()}
+    assert out == {(0, 1): 1, (1, 4): 1, (2, 1): 2, (3, 1): 2, (3, 2): 3, (7, 1): 4}
