@@ -48,6 +48,20 @@ def discard(spark: SparkSession, *paths: str) -> None:
         place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def sliced(batches, column: str = "text", most: int = 4 << 20):
+    """Arrow batches cut where their texts pass ``most`` bytes together (a longer text is alone), so that what is made of them stays small."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    for b in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < b.num_rows:
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+            yield b.slice(at, to - at)
+            at = to
+
+
 def fresh(df: DataFrame, n: int) -> tuple[str, ...]:
     """``n`` names for helper columns that ``df`` has none of."""
     taken = {c.lower() for c in df.columns}

@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spotframe.llm.common import fresh
+from spotframe.llm.common import fresh, sliced
 
 BITS = 18
 KNOWN_BITS = 22
@@ -306,8 +306,8 @@ def annotate(docs: DataFrame, model: Model, names: tuple[str, str, str] = ("lang
     """``docs`` with the predicted language, its mean probability and the share of known trigrams in three columns (any of these names are replaced).
 
     Null texts and texts without a letter are ``und`` with score 0, as is everything under a model without labels. Of languages
-    with equal probabilities the first by name is taken. Texts of any length are read whole; a batch of Arrow rows is in
-    memory at once. Repeated rows and empty tables give as many rows.
+    with equal probabilities the first by name is taken. Texts of any length are read whole; some
+    megabytes of them are in memory at once. Repeated rows and empty tables give as many rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     docs = docs.drop(*names)
@@ -316,7 +316,7 @@ def annotate(docs: DataFrame, model: Model, names: tuple[str, str, str] = ("lang
         f.nullable = True
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             said, score, known = predict(shared.value, b.column("text"))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(said, pa.string()), pa.array(score, pa.float64()), pa.array(known, pa.float64())], names=[*b.schema.names, *names])
 

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spotframe.llm.common import sliced
+
 KINDS = ("assign", "access", "hex", "cnn")
 LEAST, BEFORE, INSIDE, AFTER = 12, 28, 44, 12
 TRAIN_DOCS, TRAIN_CHARS, TRAIN_BYTES, MADE, RECALL = 1500, 100_000, 8 << 20, 1800, 0.95
@@ -300,7 +302,7 @@ def scan(docs: DataFrame, net: Network) -> DataFrame:
     kind_type = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("stop", pa.int32()), ("score", pa.float64())]))
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             out = [[{"kind": KINDS[k], "start": a, "stop": z, "score": p} for a, k, z, p in own] for own in findings_of(shared.value, b.column("text").to_pylist())]
             yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "findings": pa.array(out, kind_type)})
 
@@ -317,7 +319,7 @@ def redact(docs: DataFrame, net: Network, mark: str = "<secret>") -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             texts = b.column("text").to_pylist()
             changed = {}
             for r, own in enumerate(findings_of(shared.value, texts)):
