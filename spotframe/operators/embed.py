@@ -218,8 +218,8 @@ def mine_triplets(anchors: DataFrame, negatives: DataFrame, n: int, low: float,
     """(anchor, positive, negative): for each anchor ``n`` random negatives in a band of distances between scaled parameters.
 
     Anchors have id, name, positive, params; negatives id, name, params. Parameters are z-scored by the negatives' mean and
-    deviation; the band goes from the ``low`` to the ``high`` percentile of distances between up to ``sample`` anchors and sampled
-    negatives. Each anchor tries ``tries`` hashed places in the negatives. Those short of ``n`` go on through the negatives in
+    deviation; distances have nine digits, so that equal ones compare as such. The band goes from the ``low`` to the ``high`` percentile
+    of distances between about ``sample`` anchors and their tries. Each anchor tries ``tries`` hashed places in the negatives. Those short of ``n`` go on through the negatives in
     hashed order, from a place of their own, by blocks whose number grows fourfold a round, till they have ``n`` or have met
     all; so an anchor gets fewer only if no more negatives are in its band.
     """
@@ -230,14 +230,15 @@ def mine_triplets(anchors: DataFrame, negatives: DataFrame, n: int, low: float,
     b = hash_places(b, "id", seed + 1).select("place", F.col("name").alias("negative"), F.col("params").alias("other"))
     total = negatives.count()
     tried = a.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(tries - 1)))).withColumn("place", _pick(a, total, F.col("k"), seed))
-    rows = tried.join(b, "place").withColumn("distance", vector_distance(F.col("params"), F.col("other")))
-    first = rows.filter(F.pmod(F.xxhash64("id"), F.lit(max(1, anchors.count() // sample))) == 0)
+    rows = tried.join(b, "place").withColumn("distance", F.round(vector_distance(F.col("params"), F.col("other")), 9))
+    first = rows.filter(_pick(rows, max(1, anchors.count() // sample), F.lit("cut"), seed) == 0)
     cuts = first.agg(F.expr(f"percentile(distance, {low})").alias("lo"), F.expr(f"percentile(distance, {high})").alias("hi"))
     lo, hi = cuts.first()
     if lo is None:
         return rows.limit(0).select(F.col("name").alias("anchor"), "positive", "negative", "distance")
     fields = ["id", "name", "positive", "place", "negative", "distance", "k"]
-    got = rows.filter(F.col("distance").between(lo, hi) & (F.col("distance") != 0)).withColumn("k", F.col("k").cast("long")).dropDuplicates(["id", "place"]).select(fields).persist()
+    near = rows.filter(F.col("distance").between(lo, hi) & (F.col("distance") != 0))
+    got = near.groupBy("id", "name", "positive", "place", "negative", "distance").agg(F.min("k").cast("long").alias("k")).select(fields).persist()
     blocks = b.groupBy(F.floor(F.col("place") / TRIPLET_BLOCK).alias("block")).agg(F.collect_list(F.struct("place", "negative", "other")).alias("rows"))
     n_blocks, done, width = -(-total // TRIPLET_BLOCK), 0, 1
     while done < n_blocks:
@@ -247,7 +248,7 @@ def mine_triplets(anchors: DataFrame, negatives: DataFrame, n: int, low: float,
             break
         last = min(n_blocks, done + width)
         asked = short.withColumn("step", F.explode(F.sequence(F.lit(done), F.lit(last - 1)))).withColumn("block", (_pick(short, n_blocks, F.lit("start"), seed) + F.col("step")) % n_blocks)
-        far = lambda x: F.struct(x["place"].alias("place"), x["negative"].alias("negative"), vector_distance(F.col("params"), x["other"]).alias("distance"))
+        far = lambda x: F.struct(x["place"].alias("place"), x["negative"].alias("negative"), F.round(vector_distance(F.col("params"), x["other"]), 9).alias("distance"))
         inside = F.filter(F.transform("rows", far), lambda x: x["distance"].between(lo, hi) & (x["distance"] != 0))
         met = asked.join(blocks, "block").select("id", "name", "positive", "step", F.explode(inside).alias("x")).select("id", "name", "positive", "x.*", (F.lit(tries) + F.col("step") * TRIPLET_BLOCK + F.col("x.place") % TRIPLET_BLOCK).cast("long").alias("k"))
         fresh = met.join(got.select("id", "place"), ["id", "place"], "left_anti").withColumn("r", F.row_number().over(W.partitionBy("id").orderBy("k"))).filter(F.col("r") <= n)

@@ -149,13 +149,32 @@ def _(spark, sf):
     return em.triplet_loss(t.drop("id"), e).select("anchor", "positive", "negative", r6("loss"))
 
 
-@query("j17_mine_triplets")
+J17 = with_tables("sims") + """, p AS (SELECT id, name, unnest(range(0, 9)) AS i, unnest(CAST(string_split(name, '_')[2:10] AS DOUBLE[])) AS v FROM sims), st AS (SELECT i, avg(v) AS m, stddev_pop(v) AS s FROM p GROUP BY 1),
+z AS (SELECT id, name, list(CASE WHEN s = 0 THEN 0 ELSE (v - m) / s END ORDER BY i) AS params FROM p JOIN st USING (i) GROUP BY 1, 2), b AS (SELECT row_number() OVER (ORDER BY md5(id || '_14'), id) - 1 AS place, name AS negative, params AS other FROM z),
+c AS (SELECT count(*) AS n, (count(*) + 255) // 256 AS blocks, greatest(1, count(*) // 1000) AS share FROM z),
+tries AS (SELECT z.*, k, CAST('0x' || substr(md5(id || '_' || k || '_13'), 1, 12) AS BIGINT) % n AS place FROM z, (SELECT unnest(range(0, 40)) AS k), c),
+td AS (SELECT tries.*, round(list_distance(params, other), 9) AS d FROM tries JOIN b USING (place)),
+cut AS (SELECT quantile_cont(d, 0.6) AS lo, quantile_cont(d, 0.95) AS hi FROM td, c WHERE CAST('0x' || substr(md5(id || '_cut_13'), 1, 12) AS BIGINT) % share = 0),
+t1 AS (SELECT id, place, min(k) AS k FROM tries GROUP BY 1, 2), pairs AS (SELECT z.id, z.name, b.place, b.negative, round(list_distance(z.params, b.other), 9) AS d, (b.place // 256 + blocks - CAST('0x' || substr(md5(z.id || '_start_13'), 1, 12) AS BIGINT) % blocks) % blocks AS step FROM z, b, c),
+k AS (SELECT pairs.*, coalesce(t1.k, 40 + step * 256 + pairs.place % 256) AS k FROM pairs LEFT JOIN t1 USING (id, place), cut WHERE d BETWEEN lo AND hi AND d <> 0)
+SELECT name AS anchor, 'p_' || name AS positive, negative, round(d, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY k) AS r FROM k) WHERE r <= 5"""
+
+
+@query("j17_mine_triplets", J17)
 def _(spark, sf):
     p = sp.parse_sim_names(tb.sim_names(spark, sf))
-    return em.mine_triplets(p.withColumn("positive", F.concat(F.lit("p_"), "name")), p, 5, 0.6, 0.95, 13)
+    return em.mine_triplets(p.withColumn("positive", F.concat(F.lit("p_"), "name")), p, 5, 0.6, 0.95, 13).withColumn("distance", F.round("distance", 6))
+
+
+MARK = "CAST('0x' || substr(md5(id || '_' || k || '_{}'), 1, 12) AS BIGINT)"
 
 
-@query("j18_mine_real_triplets")
+@query("j18_mine_real_triplets", EMB + f""", r AS (SELECT id, name, p[1] AS sample, p[2] AS stack, p[3] AS nucleus FROM (SELECT *, string_split(replace(name, '.pkl', ''), '_') AS p FROM emb)),
+pos AS (SELECT *, row_number() OVER (PARTITION BY sample, stack ORDER BY nucleus, id) - 1 AS place, count(*) OVER (PARTITION BY sample, stack) AS n, count(*) OVER (PARTITION BY sample, stack, nucleus) AS own FROM r),
+a AS (SELECT *, max(place) OVER (PARTITION BY sample, stack, nucleus) + 1 AS after, unnest(range(0, 3)) AS k FROM pos), ask AS (SELECT *, (after + {MARK.format(17)} % (n - own)) % n AS to FROM a WHERE n > own),
+sam AS (SELECT sample, row_number() OVER (ORDER BY sample) - 1 AS s, count(*) OVER () AS number FROM (SELECT DISTINCT sample FROM r)), ins AS (SELECT sample, name, row_number() OVER (PARTITION BY sample ORDER BY id) - 1 AS q, count(*) OVER (PARTITION BY sample) AS m FROM r),
+far AS (SELECT ask.*, (s + 1 + {MARK.format(18)} % (number - 1)) % number AS fs FROM ask JOIN sam USING (sample)), neg AS (SELECT far.*, g.sample AS fsample FROM far JOIN sam g ON g.s = far.fs)
+SELECT neg.name AS anchor, p.name AS positive, i.name AS negative FROM neg JOIN pos p ON p.sample = neg.sample AND p.stack = neg.stack AND p.place = neg.to JOIN ins i ON i.sample = neg.fsample AND i.q = {MARK.format(19).replace('id ||', 'neg.id ||').replace('|| k', '|| neg.k')} % i.m""")
 def _(spark, sf):
     return em.mine_real_triplets(sp.parse_real_names(tb.named_embeddings(spark, sf)), 3, 17)
 

@@ -70,7 +70,17 @@ def _(spark, sf):
     return tk.link_nearest(tb.fits(spark, sf), 1, 10.0).select("stack_id", "t", "fit_no", "spot_id")
 
 
-@query("j20_link_by_nucleus")
+J20 = with_tables("voxels", "labels").replace("WITH ", "WITH RECURSIVE ", 1) + """, r AS (SELECT l.stack_id, l.label AS nuc_id, l.t, CAST(l.z * 16 + l.x * 4 + l.y AS BIGINT) AS fit_no, CAST(l.z AS DOUBLE) AS z, CAST(l.x AS DOUBLE) AS x, CAST(l.y AS DOUBLE) AS y,
+  row_number() OVER (PARTITION BY l.stack_id, l.label ORDER BY l.t, l.z * 16 + l.x * 4 + l.y) AS rn FROM labels l),
+w AS (SELECT stack_id, nuc_id, rn, 1 AS n, t, fit_no, z, x, y, z AS bz, x AS bx, y AS by FROM r WHERE rn = 1 UNION ALL
+  SELECT w.stack_id, w.nuc_id, r.rn, CASE WHEN r.t = w.t THEN w.n ELSE w.n + 1 END, r.t, CASE WHEN r.t = w.t AND NOT swap THEN w.fit_no ELSE r.fit_no END, CASE WHEN r.t = w.t AND NOT swap THEN w.z ELSE r.z END, CASE WHEN r.t = w.t AND NOT swap THEN w.x ELSE r.x END, CASE WHEN r.t = w.t AND NOT swap THEN w.y ELSE r.y END,
+    CASE WHEN r.t = w.t THEN w.bz ELSE w.z END, CASE WHEN r.t = w.t THEN w.bx ELSE w.x END, CASE WHEN r.t = w.t THEN w.by ELSE w.y END
+  FROM w JOIN r ON r.stack_id = w.stack_id AND r.nuc_id = w.nuc_id AND r.rn = w.rn + 1, LATERAL (SELECT w.n > 2 AND power(r.z - w.bz, 2) + power(r.x - w.bx, 2) + power(r.y - w.by, 2) < power(w.z - w.bz, 2) + power(w.x - w.bx, 2) + power(w.y - w.by, 2) AS swap)),
+k AS (SELECT stack_id, nuc_id, t, arg_max(fit_no, rn) AS fit_no, arg_max(z, rn) AS z, arg_max(x, rn) AS x, arg_max(y, rn) AS y FROM w GROUP BY 1, 2, 3), f AS (SELECT stack_id, nuc_id, min((t, fit_no)) AS first FROM k GROUP BY 1, 2)
+SELECT k.*, CAST(spot_id AS INTEGER) AS spot_id FROM k JOIN (SELECT stack_id, nuc_id, row_number() OVER (PARTITION BY stack_id ORDER BY first) AS spot_id FROM f) USING (stack_id, nuc_id)"""
+
+
+@query("j20_link_by_nucleus", J20)
 def _(spark, sf):
     p = tb.voxels(spark, sf).filter("c = 0").select("stack_id", "t", (F.col("z") * 16 + F.col("x") * 4 + F.col("y")).cast("long").alias("fit_no"), F.col("z").cast("double").alias("z"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
     return tk.link_by_nucleus(p, tb.labels(spark, sf), (4, 4, 4))
