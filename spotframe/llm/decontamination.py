@@ -12,7 +12,10 @@ the threshold, and give every item above it.
 An item is found in a document if a share ``OVERLAP`` of the five-word shingles of its question, and of its answer (its last
 sentence; where it has one sentence, all is question), are in the passage.
 
-An index has at most ``ITEMS`` items; the indexes of at most ``ITEM_BYTES`` of text are broadcast together, for one pass over the documents.
+Words are counted over all items of the benchmark, in Spark, so an item's score doesn't hang on the others of its index. Items are
+dealt into indexes of about ``ITEMS`` by a hash; only one index at a time is made on the driver, with the statistics of its own
+words. Each is broadcast for a map over the documents; after the maps of ``ITEM_BYTES`` of items the documents are written, so that
+executors hold no more than these at once.
 """
 
 import math
@@ -24,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spotframe.llm.common import materialize
+
 K1, B = 1.2, 0.75
 THRESHOLD, OVERLAP, SHINGLE = 0.6, 0.8, 5
 BLOCK, RANGES, COMMON = 16, 64, 0.3
@@ -69,24 +74,40 @@ class Index:
     checks: list[tuple[set, set]]  # shingles of question and answer
 
 
-def build(rows: list[tuple[int, str]]) -> Index:
-    """Index of (item_id, text); items without words are left out."""
+@dataclass
+class Statistics:
+    """Of all items: their number, mean length in words, and for each word how many have it."""
+
+    n: int
+    mean: float
+    df: dict[str, int]
+
+
+def statistics_of(rows: list[tuple[int, str]]) -> Statistics:
+    lists = [w for _, t in rows if (w := words_of(t))]
+    df: dict[str, int] = {}
+    for w in lists:
+        for x in set(w):
+            df[x] = df.get(x, 0) + 1
+    return Statistics(len(lists), sum(map(len, lists)) / len(lists) if lists else 1.0, df)
+
+
+def build(rows: list[tuple[int, str]], of_all: Statistics | None = None) -> Index:
+    """Index of (item_id, text), with the statistics of all items, if these are but a part; items without words are left out."""
     rows = [(i, t, w) for i, t in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1])) if (w := words_of(t))]
-    n, mean = len(rows), (sum(len(w) for *_, w in rows) / len(rows)) if rows else 1
+    stats = of_all or statistics_of([(i, t) for i, t, _ in rows])
+    n, mean, df = len(rows), stats.mean, stats.df
     counts = []
     for *_, w in rows:
         c: dict[str, int] = {}
         for x in w:
             c[x] = c.get(x, 0) + 1
         counts.append(c)
-    df: dict[str, int] = {}
-    for c in counts:
-        for x in c:
-            df[x] = df.get(x, 0) + 1
+    df = {x: df[x] for c in counts for x in c}
     vocabulary = {x: k for k, x in enumerate(sorted(df))}
     postings: list[list[tuple[int, float]]] = [[] for _ in vocabulary]
     for k, (c, (*_, w)) in enumerate(zip(counts, rows, strict=True)):
-        score = {x: math.log(1 + (n - df[x] + 0.5) / (df[x] + 0.5)) * f * (K1 + 1) / (f + K1 * (1 - B + B * len(w) / mean)) for x, f in c.items()}
+        score = {x: math.log(1 + (stats.n - df[x] + 0.5) / (df[x] + 0.5)) * f * (K1 + 1) / (f + K1 * (1 - B + B * len(w) / mean)) for x, f in c.items()}
         total = sum(score.values())
         for x, s in score.items():
             postings[vocabulary[x]].append((k, s / total))
@@ -194,25 +215,41 @@ def find(index: Index, words: list[str], threshold: float = THRESHOLD, chunk: in
     return [(k, *v) for k, v in sorted(found.items())]
 
 
-def item_blocks(benchmark: DataFrame) -> list[list[list[tuple[int, str]]]]:
-    """The items in groups of bounded bytes of lists of bounded count, read one partition after the other; equal items count once."""
+def item_blocks(benchmark: DataFrame):
+    """(items, statistics of all items for their words, bytes) of one block of items after the other; equal items count once."""
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text IS NOT NULL").distinct()
-    out, n = [[[]]], 0
-    for r in rows.toLocalIterator():
-        if n and n + len(r["text"]) > ITEM_BYTES:
-            out.append([[]])
-            n = 0
-        elif len(out[-1][-1]) >= ITEMS:
-            out[-1].append([])
-        out[-1][-1].append((r["item_id"], r["text"]))
-        n += len(r["text"])
-    return out
+
+    def split(batches):
+        for b in batches:
+            lists = [sorted(set(w)) for w in map(words_of, b.column("text").to_pylist())]
+            sizes = [len(words_of(t)) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("item_id"), b.column("text"), pa.array(lists, pa.list_(pa.string())), pa.array(sizes, pa.int64())], names=["item_id", "text", "words", "size"])
+
+    items = materialize(rows.mapInArrow(split, "item_id long, text string, words array<string>, size long").filter("size > 0"), "items")
+    n, mean, total = items.agg(F.count("*"), F.avg("size"), F.sum(F.octet_length("text"))).first()
+    if not n:
+        return
+    blocks = max(1, -(-n // ITEMS), -(-total // ITEM_BYTES))
+    items = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)).cast("int"))
+    df = items.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    df = materialize(df, "item-words") if blocks > 1 else df
+    for k in range(blocks):
+        own = items.filter(F.col("block") == k)
+        part = [(r["item_id"], r["text"]) for r in own.select("item_id", "text").collect()]
+        if not part:
+            continue
+        if blocks == 1:
+            yield part, None, total
+            continue
+        known = df.join(own.select(F.explode("words").alias("word")).distinct(), "word", "left_semi").collect()
+        yield part, Statistics(n, mean, {r["word"]: r["n"] for r in known}), sum(len(t.encode("utf-8", "replace")) for _, t in part)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with a column ``leaks``: array of structs (item_id, score, overlap) by item, empty for clean documents.
 
-    Null and empty texts are clean, as all is under an empty benchmark; a null item_id stays null. Rows and columns of
+    Null and empty texts are clean, as all is under an empty benchmark; a null item_id stays null. Items that tie in score are all
+    found; passages that tie for an item's overlap give the largest score. Texts of any length are read whole. Rows and columns of
     ``docs`` come back as they are (a column leaks is replaced), repeated rows too.
     """
     spark = docs.sparkSession
@@ -220,15 +257,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("overlap", pa.float64())]))
     docs = docs.drop("leaks").withColumn("leaks", F.array().cast(leak))
     schema = docs.schema
-    for block in item_blocks(benchmark):
-        shared = spark.sparkContext.broadcast([build(items) for items in block])
+    held = 0
+    for items, stats, size in item_blocks(benchmark):
+        if held and held + size > ITEM_BYTES:
+            docs, held = materialize(docs, "decontaminated-so-far"), 0
+        held += size
+        shared = spark.sparkContext.broadcast(build(items, stats))
 
         def run(batches, shared=shared):
-            indexes = shared.value
+            index = shared.value
 
             def leaks(text):
                 words = words_of(text)
-                return [{"item_id": x.names[k], "score": s, "overlap": o} for x in indexes for k, s, o in find(x, words, threshold)]
+                return [{"item_id": index.names[k], "score": s, "overlap": o} for k, s, o in find(index, words, threshold)]
 
             for b in batches:
                 before = b.column("leaks").to_pylist()

@@ -66,3 +66,18 @@ def test_odd_rows(spark, monkeypatch):
     assert got == sorted([(1, []), (2, []), (3, [0]), (3, [0]), (None, [1]), (5, [None]), (6, []), (7, []), (8, [5]), (9, [])], key=str)
     assert all(not r.leaks for r in d.contaminated(docs, bench.filter("item_id > 50")).collect())
     assert d.contaminated(docs.filter("doc_id > 50"), bench).collect() == []
+
+
+def test_scores_do_not_hang_on_the_blocks(spark, sf, monkeypatch):
+    """Statistics are those of all items, however many indexes they fill; documents are written between passes."""
+    docs, bench = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
+    shown = lambda df: sorted((r.doc_id, sorted((x.item_id, round(x.score, 9), x.overlap) for x in r.leaks)) for r in df.collect())
+    want = shown(d.contaminated(docs, bench))
+    assert any(leaks for _, leaks in want)
+    monkeypatch.setattr(d, "ITEMS", 12)
+    assert shown(d.contaminated(docs, bench)) == want
+    monkeypatch.setattr(d, "ITEM_BYTES", 3000)
+    assert shown(d.contaminated(docs, bench)) == want
+    one = d.statistics_of([(r.item_id, r.text) for r in bench.distinct().collect()])
+    blocks = list(d.item_blocks(bench))
+    assert len(blocks) > 2 and all(s.n == one.n and abs(s.mean - one.mean) < 1e-9 and all(one.df[w] == n for w, n in s.df.items()) for _, s, _ in blocks)
