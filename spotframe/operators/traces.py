@@ -102,20 +102,55 @@ def runs(traces: DataFrame, minlen: int = 20, buffer: int = 0) -> DataFrame:
     return known.join(per, [*SPOT, "_island"]).select(*SPOT, "t", "value", "run", (F.col("_base") + F.col("t") - F.col("first")).alias("pos"))
 
 
+BLOCK = 1 << 14  # positions of a series that are worked on together
+
+
+def beside(rows: DataFrame, others: DataFrame, shifts: list[int]) -> DataFrame:
+    """``rows`` (stack_id, pos, y) with an array column x: the values of ``others`` (stack_id, pos, x) at pos + shift, null where there is none.
+
+    Series are cut in blocks of positions, and only others near a cut are in two blocks. One exchange serves all shifts: each is a window
+    of one place in the same order.
+    """
+    lo, hi = min(shifts), max(shifts)
+    block = lambda c: F.floor(c / BLOCK)
+    own = rows.select("stack_id", "pos", block(F.col("pos")).alias("_b"), "y", F.lit(None).cast("double").alias("x"), F.lit(True).alias("_own"))
+    near = others.select("stack_id", "pos", F.explode(F.sequence(block(F.col("pos") - hi), block(F.col("pos") - lo))).alias("_b"), F.lit(None).cast("double").alias("y"), "x", F.lit(False).alias("_own"))
+    order = W.partitionBy("stack_id", "_b").orderBy("pos")
+    at = F.array(*[F.first("x", True).over(order.rangeBetween(k, k)) for k in shifts])
+    return own.unionByName(near).withColumn("_at", at).filter("_own").select("stack_id", "pos", "y", F.col("_at").alias("x"))
+
+
+def per_shift(rows: DataFrame, shifts: list[int], name: str, values: dict) -> DataFrame:
+    """(stack_id, name, values) of ``beside``: each value is a function of (y, x) to an aggregate over the rows of a stack; shifts without pairs have no row."""
+    aggregates = []
+    for i, k in enumerate(shifts):
+        x = F.get("x", i)
+        both = F.col("y").isNotNull() & x.isNotNull()
+        y, x = F.when(both, F.col("y")), F.when(both, x)
+        aggregates.append(F.struct(F.lit(k).alias(name), F.count(x).alias("n"), *[f(y, x).alias(c) for c, f in values.items()]).alias(f"_{i}"))
+    out = rows.groupBy("stack_id").agg(*aggregates).select("stack_id", F.explode(F.array(*[F.col(f"_{i}") for i in range(len(shifts))])).alias("s"))
+    return out.select("stack_id", "s.*").filter("n > 0")
+
+
 def lag_correlation(dep: DataFrame, indep: DataFrame, nlags: int) -> DataFrame:
     """By lag from -nlags to nlags: n-1 covariance over population deviations, on rows with both values (tables of stack_id, pos, value)."""
-    shifted = indep.select("stack_id", F.col("value").alias("x"), F.explode(F.sequence(F.lit(-nlags), F.lit(nlags))).alias("lag"), "pos").withColumn("pos", F.col("pos") + F.col("lag"))
-    both = dep.select("stack_id", "pos", F.col("value").alias("y")).join(shifted, ["stack_id", "pos"]).filter("x IS NOT NULL AND y IS NOT NULL")
-    return both.groupBy("stack_id", "lag").agg(F.try_divide(F.covar_samp("y", "x"), F.stddev_pop("y") * F.stddev_pop("x")).alias("correlation"), F.count("*").alias("n"))
+    lags = list(range(-nlags, nlags + 1))
+    both = beside(dep.select("stack_id", "pos", F.col("value").alias("y")), indep.select("stack_id", "pos", F.col("value").alias("x")), [-k for k in lags])
+    out = per_shift(both, [-k for k in lags], "shift", {"correlation": lambda y, x: F.try_divide(F.covar_samp(y, x), F.stddev_pop(y) * F.stddev_pop(x))})
+    return out.select("stack_id", (-F.col("shift")).alias("lag"), "correlation", "n")
 
 
 def cross_correlation(a: DataFrame, b: DataFrame, nlags: int) -> DataFrame:
     """Sum of demeaned products at lags 0..nlags over the root of both sums of squares, by stack; with b = a the autocorrelation."""
-    mean = lambda df: df.withColumn("d", F.col("value") - F.avg("value").over(W.partitionBy("stack_id"))).select("stack_id", "pos", "d")
-    x, y = mean(a), mean(b)
-    scale = x.groupBy("stack_id").agg(F.sum(F.col("d") * F.col("d")).alias("xx")).join(y.groupBy("stack_id").agg(F.sum(F.col("d") * F.col("d")).alias("yy")), "stack_id")
-    late = x.select("stack_id", F.col("d").alias("e"), F.explode(F.sequence(F.lit(0), F.lit(nlags))).alias("lag"), "pos").withColumn("pos", F.col("pos") - F.col("lag"))
-    sums = y.join(late, ["stack_id", "pos"]).groupBy("stack_id", "lag").agg(F.sum(F.col("d") * F.col("e")).alias("s"))
+
+    def centred(df, name):
+        mean = df.groupBy("stack_id").agg(F.avg("value").alias("_m"))
+        return df.select("stack_id", "pos", "value").join(mean, "stack_id").select("stack_id", "pos", (F.col("value") - F.col("_m")).alias(name))
+
+    x, y = centred(a, "x"), centred(b, "y")
+    square = lambda df, c, name: df.groupBy("stack_id").agg(F.sum(F.col(c) * F.col(c)).alias(name))
+    scale = square(x, "x", "xx").join(square(y, "y", "yy"), "stack_id")
+    sums = per_shift(beside(y, x, list(range(nlags + 1))), list(range(nlags + 1)), "lag", {"s": lambda y, x: F.sum(y * x)})
     return sums.join(scale, "stack_id").select("stack_id", "lag", F.try_divide("s", F.sqrt(F.col("xx") * F.col("yy"))).alias("r"))
 
 
@@ -152,10 +187,11 @@ def fit_ar2(series: DataFrame) -> tuple[float, float, float]:
 
 def padded_cross_correlation(a: DataFrame, b: DataFrame, spread: int = 20) -> DataFrame:
     """Sums of products at offsets -spread..spread of two series (stack_id, pos, value; null = 0) over those of ones, scaled by the largest."""
-    x = a.select("stack_id", "pos", F.coalesce("value", F.lit(0.0)).alias("x"))
-    y = b.select("stack_id", F.coalesce("value", F.lit(0.0)).alias("y"), F.explode(F.sequence(F.lit(-spread), F.lit(spread))).alias("offset"), "pos").withColumn("pos", F.col("pos") - F.col("offset"))
-    sums = x.join(y, ["stack_id", "pos"]).groupBy("stack_id", "offset").agg((F.sum(F.col("x") * F.col("y")) / F.count("*")).alias("r"))
-    return sums.withColumn("r", F.try_divide("r", F.max("r").over(W.partitionBy("stack_id"))))
+    value = F.coalesce("value", F.lit(0.0))
+    offsets = list(range(-spread, spread + 1))
+    both = beside(a.select("stack_id", "pos", value.alias("y")), b.select("stack_id", "pos", value.alias("x")), offsets)
+    sums = per_shift(both, offsets, "offset", {"r": lambda y, x: F.sum(y * x) / F.count(x)})
+    return sums.select("stack_id", "offset", F.try_divide("r", F.max("r").over(W.partitionBy("stack_id"))).alias("r"))
 
 
 def trim_and_interpolate(dense: DataFrame, reach: int = 9) -> DataFrame:
@@ -188,18 +224,21 @@ def gaussian_weights(sigma: float) -> list[float]:
 def smooth(dense: DataFrame, sigma: float, keys: list[str] = SPOT) -> DataFrame:
     """Gaussian smoothing along t, the ends mirrored with the edge value repeated; null if a value is missing within reach.
 
-    Each value is dealt to the few frames it weighs on; the mirror image of a frame is taken modulo twice the length.
+    A series, with a row for every frame, is brought together once, as an array (a movie has a bounded number of frames); the mirror
+    image of a frame is taken modulo twice the length.
     """
     weights = gaussian_weights(sigma)
-    radius = len(weights) // 2
-    series = W.partitionBy(*keys)
-    rows = dense.withColumn("_first", F.min("t").over(series)).withColumn("_n", F.max("t").over(series) - F.min("t").over(series) + 1)
-    pair = F.array(*[F.struct(F.lit(k - radius).alias("o"), F.lit(x).alias("w")) for k, x in enumerate(weights)])
-    at = F.pmod(F.col("t") - F.col("_first") + F.col("p.o"), 2 * F.col("_n"))
-    wanted = rows.withColumn("p", F.explode(pair)).withColumn("_at", F.col("_first") + F.when(at < F.col("_n"), at).otherwise(2 * F.col("_n") - 1 - at))
-    source = dense.select(*keys, F.col("t").alias("_at"), F.col("value").alias("_v"))
-    out = wanted.select(*keys, "t", "p.w", "_at").join(source, [*keys, "_at"], "left").groupBy(*keys, "t").agg(F.sum(F.col("w") * F.col("_v")).alias("value"), F.count("_v").alias("_c"))
-    return out.select(*keys, "t", F.when(F.col("_c") == len(weights), F.col("value")).alias("value"))
+    radius, lit = len(weights) // 2, F.array(*map(F.lit, weights))
+    per = dense.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("t", "value"))).alias("s")).select(*keys, F.col("s.t").alias("t"), F.col("s.value").alias("v"))
+    n = F.size("v")
+
+    def around(i):
+        at = lambda j: F.pmod(i + j - radius, 2 * n)
+        term = lambda w, j: w * F.get(F.col("v"), F.when(at(j) < n, at(j)).otherwise(2 * n - 1 - at(j)))
+        return F.aggregate(F.transform(lit, term), F.lit(0.0), lambda total, x: total + x)
+
+    rows = per.select(*keys, F.explode(F.arrays_zip("t", F.transform(F.sequence(F.lit(0), n - 1), around).alias("value"))).alias("r"))
+    return rows.select(*keys, F.col("r.t").alias("t"), F.col("r.value").alias("value"))
 
 
 def peaks_above(dense: DataFrame, threshold: float) -> DataFrame:
