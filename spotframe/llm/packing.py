@@ -189,7 +189,10 @@ def pack(docs: DataFrame, tokenizer_path: str, max_len: int = 2048, group_docs:
     """Pack every document of ``docs`` into sequences of at most ``max_len`` ids; one row per piece (``PACKED``).
 
     Documents are dealt at random (by hash) into groups of about ``group_docs``; each group is packed alone, and
-    sequence ids are group * 2**32 + bin. Ties of length go by doc_id, start and checksum. An empty table gives no rows.
+    sequence ids are group * 2**32 + bin. Ties of length go by doc_id, start and checksum. Null text counts as empty.
+    A row's place in its partition takes part in the hash, so that a very common document is dealt over all groups; so another
+    partitioning of the input may give another packing. Texts of any length are cut; repeated rows are documents of their own; other
+    columns aren't read. An empty table gives no rows.
     """
     cut = materialize(pieces(docs, tokenizer_path, max_len), "pieces")
     groups = max(1, round(cut.filter("start = 0").count() / group_docs))
