@@ -15,34 +15,40 @@ FRAME = "path string, nz int, nx int, ny int, pixels array<float>"
 
 
 def read_frames(spark: SparkSession, folder: str, pattern: str = "*.npy") -> DataFrame:
-    """(t, path, nz, nx, ny, pixels) of a folder's arrays, t by name; another shape than that of the first by name is an error. Hidden files are left out.
+    """(t, path, nz, nx, ny, pixels) of a folder's arrays, t by name; arrays of different shapes are an error. Hidden files are left out.
 
-    The first file's shape is read from it alone, the others are compared as they are decoded, once. Names are ordered without their contents.
+    Shapes come from the files' headers in a small job before; arrays are decoded once.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
     files = files.filter(~F.element_at(F.split("path", "/"), -1).startswith(".")).select("path", "content")
-    first = files.agg(F.min("path")).first()[0]
-    head = None if first is None else files.filter(F.col("path") == first).select("content").first()["content"]
-    shape = None if head is None else _as_frame(head).shape
+
+    def shapes_of(heads):
+        for pdf in heads:
+            yield pd.DataFrame({"shape": sorted({str(_shape(h)) for h in pdf["head"]})})
+
+    shapes = files.select(F.substring("content", 1, 1024).alias("head")).mapInPandas(shapes_of, "shape string").distinct().limit(2).collect()
+    if len(shapes) > 1:
+        raise ValueError(f"frames differ in shape: {[r['shape'] for r in shapes]}")
 
     def decode(frames):
         for pdf in frames:
             rows = []
             for path, content in zip(pdf["path"], pdf["content"], strict=True):
-                a = _as_frame(content)
-                if a.shape != shape:
-                    raise ValueError(f"frames differ in shape: {path} has {a.shape}, the first {shape}")
+                a = np.load(io.BytesIO(content), allow_pickle=False)
+                a = a.reshape((1,) * (3 - a.ndim) + a.shape)
                 rows.append((path, *a.shape, a.astype(np.float32).ravel()))
             yield pd.DataFrame(rows, columns=["path", "nz", "nx", "ny", "pixels"])
 
-    # names in buckets of their first characters after what all have in common would need a look at them; there are as many as frames, without pixels
     names = files.select("path").withColumn("t", F.row_number().over(W.orderBy("path")) - 1)
     return files.mapInPandas(decode, FRAME).join(names, "path").select("t", "path", "nz", "nx", "ny", "pixels")
 
 
-def _as_frame(content: bytes) -> np.ndarray:
-    a = np.load(io.BytesIO(content), allow_pickle=False)
-    return a.reshape((1,) * (3 - a.ndim) + a.shape)
+def _shape(head: bytes) -> tuple[int, ...]:
+    """The shape in the header of a .npy file, with leading ones up to three dimensions."""
+    f = io.BytesIO(head)
+    version = np.lib.format.read_magic(f)
+    shape = (np.lib.format.read_array_header_1_0 if version == (1, 0) else np.lib.format.read_array_header_2_0)(f)[0]
+    return (1,) * (3 - len(shape)) + tuple(shape)
 
 
 def write_frames(frames: DataFrame, folder: str) -> None:
