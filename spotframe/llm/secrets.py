@@ -99,6 +99,7 @@ class Network:
     slope: float = 1.0
     shift: float = 0.0
     threshold: float = 0.5
+    certain: float = 0.5  # above the scores of all harmless candidates of the sample
     report: dict[str, float] | None = None  # of the documents held back: recall of rules' and made secrets, share of real and made harmless candidates taken
 
     @staticmethod
@@ -185,6 +186,7 @@ class Examples:
     labels: np.ndarray
     made: np.ndarray
     made_labels: np.ndarray
+    rest: np.ndarray  # harmless ones of the texts beyond those taken for training
 
 
 def examples(texts, seed: int = 11, share: tuple[int, int] = (1, 3)) -> tuple[Examples, Examples]:
@@ -192,14 +194,16 @@ def examples(texts, seed: int = 11, share: tuple[int, int] = (1, 3)) -> tuple[Ex
     rng = np.random.default_rng(seed)
     parts = []
     for _ in range(2):
-        parts.append({"x": [np.zeros((0, BEFORE + INSIDE + AFTER), dtype=np.uint8)], "y": [], "places": []})
+        parts.append({"x": [np.zeros((0, BEFORE + INSIDE + AFTER), dtype=np.uint8)], "y": [], "places": [], "rest": [np.zeros((0, BEFORE + INSIDE + AFTER), dtype=np.uint8)]})
     for n, t in enumerate(texts):
         held = n % share[1] < share[0]
         own = parts[held]
         base = base_spans(t)
         others = more_candidates(t, base)
         if not held:  # of those held back all count, as in real text
-            others = [others[i] for i in sorted(rng.permutation(len(others))[:NEGATIVES].tolist())]
+            order = rng.permutation(len(others)).tolist()
+            own["rest"].append(windows(t, [others[i] for i in order[NEGATIVES:]]))
+            others = [others[i] for i in sorted(order[:NEGATIVES])]
         own["x"].append(windows(t, base[:20] + others))
         own["y"] += [1] * len(base[:20]) + [0] * len(others)
         blanks = [m.start() for m in re.finditer(r"\s", t)] or [0]
@@ -214,7 +218,7 @@ def examples(texts, seed: int = 11, share: tuple[int, int] = (1, 3)) -> tuple[Ex
                 head = f"{before} {lead}"
                 x.append(windows(f"{head}{token} {after}", [(len(head), 3, len(head) + len(token))]))
                 y.append(int(secret))
-        out.append(Examples(np.concatenate(part["x"]), np.array(part["y"], dtype=np.float32), np.concatenate(x), np.array(y, dtype=np.float32)))
+        out.append(Examples(np.concatenate(part["x"]), np.array(part["y"], dtype=np.float32), np.concatenate(x), np.array(y, dtype=np.float32), np.concatenate(part["rest"])))
     return out[0], out[1]
 
 
@@ -251,6 +255,8 @@ def fit(texts, seed: int = 11, epochs: int = 7) -> Network:
     p, n = net.calibrated(z), len(held.labels)
     found = np.sort(p[t == 1])
     net.threshold = float(found[int((1 - RECALL) * len(found))])
+    harmless = [train_part.real[train_part.labels == 0], train_part.rest, held.real[held.labels == 0]]
+    net.certain = max([net.threshold, *(float(np.nextafter(net.probabilities(x).max(), 2)) for x in harmless if len(x))])
     taken = p >= net.threshold
     mean = lambda v: float(v.mean()) if len(v) else 0.0
     net.report = {
@@ -279,8 +285,9 @@ def train(docs: DataFrame) -> Network:
     return fit(sample())
 
 
-def findings_of(net: Network, texts: list[str | None]) -> list[list[tuple[int, int, int, float]]]:
-    """(start, number of the kind, stop, score) of each text's findings, by start, then kind."""
+def findings_of(net: Network, texts: list[str | None], least: float | None = None) -> list[list[tuple[int, int, int, float]]]:
+    """(start, number of the kind, stop, score) of each text's findings, by start, then kind; the network's from a score of ``least`` on, or its threshold."""
+    least = net.threshold if least is None else least
     spans, wins = [], []
     for t in texts:
         base = base_spans(t or "")
@@ -289,7 +296,7 @@ def findings_of(net: Network, texts: list[str | None]) -> list[list[tuple[int, i
             wins.append(windows(t, spans[-1]))
     scores = iter(net.probabilities(np.concatenate(wins)).tolist() if wins else [])
     scored = [sorted([(a, k, z, next(scores)) for a, k, z in own]) for own in spans]
-    return [[x for x in own if x[1] < 3 or x[3] >= net.threshold] for own in scored]
+    return [[x for x in own if x[1] < 3 or x[3] >= least] for own in scored]
 
 
 def scan(docs: DataFrame, net: Network) -> DataFrame:
@@ -313,6 +320,7 @@ def scan(docs: DataFrame, net: Network) -> DataFrame:
 def redact(docs: DataFrame, net: Network, mark: str = "<secret>") -> DataFrame:
     """``docs`` with every finding in ``text`` replaced by ``mark`` (findings that overlap or touch by one) and n_chars, if it is there, of the new text.
 
+    What is replaced is lost, so the network's findings count only if they score higher than all harmless candidates of its sample.
     Texts without findings, null ones too, stay as they are, and so do their other columns, whatever their names. Whole texts are
     read, of any length; repeated rows are changed alike; an empty table gives no rows.
     """
@@ -322,7 +330,7 @@ def redact(docs: DataFrame, net: Network, mark: str = "<secret>") -> DataFrame:
         for b in sliced(batches):
             texts = b.column("text").to_pylist()
             changed = {}
-            for r, own in enumerate(findings_of(shared.value, texts)):
+            for r, own in enumerate(findings_of(shared.value, texts, shared.value.certain)):
                 if own:
                     out, reach = [], 0
                     for a, _, z, _ in own:
