@@ -30,6 +30,24 @@ def test_ids_when_the_caches_start_anew(spark, sf, monkeypatch):
     assert got == plain_ids(texts)
 
 
+def test_ids_of_all_different_words():
+    import pyarrow.parquet as pq
+
+    words = sorted({w for t in pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["text"])["text"].to_pylist() for w in (t or "").split()})
+    assert len(words) > 100_000
+    lines = [" ".join(words[k : k + 500]) for k in range(0, len(words), 500)]
+    got = packing.WordEncoder(tokenizer_path()).ids(lines)
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == plain_ids(lines)
+
+
+def test_tokenizer_takes_over_where_the_ways_differ():
+    texts = [" ".join(f"{a}{b}word" for a in "abcdefghij" for b in "klmnopqrst")] + ODD
+    enc = packing.WordEncoder(tokenizer_path())
+    right, enc.tried = enc.many, True
+    enc.many = lambda stems: [x[:-4] for x in right(stems)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in enc.ids(texts)] == plain_ids(texts) and enc.many is None
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_first_fit_decreasing(seed):
     lengths = np.sort(np.random.default_rng(seed).integers(1, 101, 200))[::-1]
