@@ -163,5 +163,53 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", n("assign"), n("access"), n("hex"), F.sha2(said(base), 256).alias("base_sha256"), said(F.col("findings")).alias("spans"), n("cnn"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_decontamination, op3_neighbours, op4_chat, op5_suffix_dedup, op6_langid, op7_packing, op8_licenses, op9_simhash, op10_secrets)}
-ORACLES: dict[str, str] = {"op1_warc": OP1_SQL, "op4_chat": OP4_SQL}
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spotframe.llm.repair import damage, repair
+
+    return repair(damage(table(spark, sf_dir, "conversations")))
+
+
+def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spotframe.llm.trie import prefix_trie
+
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+# crc32 by bits: a byte comes with seven zeros, one for each further shift
+OP12_SQL = r"""
+WITH ids AS (
+  SELECT DISTINCT conv_id, flatten([[ord(x), 0, 0, 0, 0, 0, 0, 0] FOR x IN regexp_extract_all(CAST(conv_id AS VARCHAR), '.')]) AS bits FROM conversations WHERE conv_id IS NOT NULL
+), h AS (
+  SELECT conv_id, conv_id - conv_id % 20 AS base,
+    xor(list_reduce(list_concat([4294967295], [CAST(b AS BIGINT) FOR b IN bits]), lambda a, b: xor(xor(a, b) >> 1, 3988292384 * (xor(a, b) & 1))), 4294967295) % 4 AS h FROM ids
+), t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos FROM conversations WHERE conv_id IS NOT NULL
+), r AS (
+  SELECT h.conv_id, 0 AS own, t.pos, role, text FROM h JOIN t ON t.conv_id = h.base AND t.pos <= h.h
+  UNION ALL SELECT h.conv_id, 1, t.pos, role, text FROM h JOIN t ON t.conv_id = h.conv_id AND t.pos > h.h
+), d AS (
+  SELECT conv_id, row_number() OVER w AS depth, len(regexp_extract_all(text, '[^ 	-]+')) AS words,
+    sha256(string_agg(md5(role) || md5(text), '') OVER w) AS key FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY own, pos)
+), p AS MATERIALIZED (
+  SELECT conv_id, depth, words, key, coalesce(lag(key) OVER (PARTITION BY conv_id ORDER BY depth), '') AS above,
+    depth = max(depth) OVER (PARTITION BY conv_id) AS last FROM d
+  UNION ALL SELECT conv_id, 0, 0, '', NULL, conv_id NOT IN (SELECT conv_id FROM d) FROM h
+), n AS MATERIALIZED (
+  SELECT depth, key, min(conv_id) AS conv_id, count(*) AS n_convs, max(words) AS words, max(above) AS above,
+    sha256(coalesce(string_agg(CASE WHEN last THEN CAST(conv_id AS VARCHAR) END, ',' ORDER BY conv_id), '')) AS ends_sha256 FROM p GROUP BY 1, 2
+), k AS (
+  SELECT depth - 1 AS depth, above AS key, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1, 2
+), m AS MATERIALIZED (
+  SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k USING (depth, key)
+), s AS (
+  SELECT p.depth, p.key, count(*) FILTER (m.n_children = 0) AS n_leaves, CAST(sum((m.n_convs - 1) * m.words) AS BIGINT) AS saved_tokens
+  FROM m JOIN p ON p.conv_id = m.conv_id AND p.depth <= m.depth GROUP BY 1, 2
+)
+SELECT m.conv_id, m.depth, a.conv_id AS parent_conv_id, m.n_convs, m.n_children, s.n_leaves, s.saved_tokens, m.ends_sha256
+FROM m JOIN s USING (depth, key) LEFT JOIN n a ON a.depth = m.depth - 1 AND a.key = m.above
+"""
+
+
+QUERIES = {f.__name__: f for f in (op1_warc, op2_decontamination, op3_neighbours, op4_chat, op5_suffix_dedup, op6_langid, op7_packing, op8_licenses, op9_simhash, op10_secrets, op11_repair, op12_trie)}
+ORACLES: dict[str, str] = {"op1_warc": OP1_SQL, "op4_chat": OP4_SQL, "op12_trie": OP12_SQL}
