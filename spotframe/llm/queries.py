@@ -189,7 +189,8 @@ WITH ids AS (
   SELECT h.conv_id, 0 AS own, t.pos, role, text FROM h JOIN t ON t.conv_id = h.base AND t.pos <= h.h
   UNION ALL SELECT h.conv_id, 1, t.pos, role, text FROM h JOIN t ON t.conv_id = h.conv_id AND t.pos > h.h
 ), d AS (
-  SELECT conv_id, row_number() OVER w AS depth, len(regexp_extract_all(text, '[^ 	-]+')) AS words,
+  SELECT conv_id, row_number() OVER w AS depth, len(regexp_extract_all(text, '[^ 	-
+]+')) AS words,
     sha256(string_agg(md5(role) || md5(text), '') OVER w) AS key FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY own, pos)
 ), p AS MATERIALIZED (
   SELECT conv_id, depth, words, key, coalesce(lag(key) OVER (PARTITION BY conv_id ORDER BY depth), '') AS above,
@@ -211,5 +212,13 @@ FROM m JOIN s USING (depth, key) LEFT JOIN n a ON a.depth = m.depth - 1 AND a.ke
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_decontamination, op3_neighbours, op4_chat, op5_suffix_dedup, op6_langid, op7_packing, op8_licenses, op9_simhash, op10_secrets, op11_repair, op12_trie)}
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spotframe.llm.toxicity import held_out, score, train
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score(docs, train(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out().alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.7).cast("int").alias("predicted"))
+
+
+QUERIES = {f.__name__: f for f in (op1_warc, op2_decontamination, op3_neighbours, op4_chat, op5_suffix_dedup, op6_langid, op7_packing, op8_licenses, op9_simhash, op10_secrets, op11_repair, op12_trie, op13_toxicity)}
 ORACLES: dict[str, str] = {"op1_warc": OP1_SQL, "op4_chat": OP4_SQL, "op12_trie": OP12_SQL}

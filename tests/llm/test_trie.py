@@ -66,8 +66,8 @@ def test_empty_table_and_turnless_conversations(spark):
 
 
 def test_totals_of_random_trees(spark):
-    rng = random.Random(9)
-    for shape in ("chain", "star", "random", "broom"):
+    rng, rows, want = random.Random(9), [], {}
+    for base, shape in ((0, "chain"), (1000, "star"), (2000, "random"), (3000, "broom")):
         parent = {0: None}
         for k in range(1, 200):
             parent[k] = {"chain": k - 1, "star": 0, "random": rng.randrange(k), "broom": k - 1 if k < 100 else 99}[shape]
@@ -76,13 +76,14 @@ def test_totals_of_random_trees(spark):
             depth[k] = depth[parent[k]] + 1
         value = {k: rng.randint(0, 50) for k in parent}
         kids = [sum(p == k for p in parent.values()) for k in parent]
-        want = dict(value)
+        total = dict(value)
         for k in range(199, 0, -1):
-            want[parent[k]] += want[k]
-        rows = [(k, depth[k], parent[k], depth[parent[k]] if k else None, kids[k], value[k]) for k in parent]
-        df = spark.createDataFrame(rows, "c long, d long, pc long, pd long, kids long, v long")
-        totals, _ = trie.subtree_totals(df, ["v"])
-        assert {r.c: r.v for r in totals.collect()} == want, shape
+            total[parent[k]] += total[k]
+        want |= {base + k: v for k, v in total.items()}
+        rows += [(base + k, depth[k], base + parent[k] if k else None, depth[parent[k]] if k else None, kids[k], value[k]) for k in parent]
+    df = spark.createDataFrame(rows, "c long, d long, pc long, pd long, kids long, v long")
+    totals, _ = trie.subtree_totals(df, ["v"])
+    assert {r.c: r.v for r in totals.collect()} == want
 
 
 def test_positions_over_many_tasks(spark):
