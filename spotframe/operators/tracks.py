@@ -9,7 +9,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spotframe.functions import kernels as kn
+from spotframe.operators import graph
 from spotframe.operators.voxels import nucleus_of
+from spotframe.sources.scratch import discard, written
 
 SPOT = ["stack_id", "spot_id"]
 
@@ -17,22 +19,102 @@ SPOT = ["stack_id", "spot_id"]
 def link_nearest(fits: DataFrame, max_gap: int = 1, max_jump: float = 10.0, scale_xy: float = 1.0, scale_z: float = 1.0) -> DataFrame:
     """Adds spot_id: greedy links to the nearest spot of the frames before (``kernels.link_nearest`` has the rules).
 
-    Looking back ends at a frame without spots, so a stack is cut at frames that follow one: each part is a group of its own.
-    Within it frames come in order, as each link hangs on those before; distances are taken for a frame at once.
+    The nearest spots at each lag come from tiles of a grid (``nearest_before``). Spots that such links join, over any number of frames, are a component; what happens in one
+    hangs on nothing outside, so components are walked through in order of frames, many at once (``graph.walk``). Spots without a place (null) begin tracks.
     """
+    spark = fits.sparkSession
+    place = [(F.col(c).cast("double") * s).alias(f"_{c}") for c, s in (("z", scale_z), ("x", scale_xy), ("y", scale_xy))]
+    rows, rows_path = written(fits.select("*", *place, F.monotonically_increasing_id().alias("_id")), "fits")
+    same = ["stack_id", "t", "_z", "_x", "_y"]
     order = W.partitionBy("stack_id").orderBy("t")
-    frames = fits.select("stack_id", "t").distinct().withColumn("part", F.sum(F.when(F.col("t") - F.lag("t").over(order) == 1, 0).otherwise(1)).over(order))
-    rows = fits.join(frames, ["stack_id", "t"])
+    frames = fits.select("stack_id", "t").distinct().withColumn("_n", F.row_number().over(order))
+    back = (F.row_number().over(W.partitionBy("stack_id", F.col("t") - F.col("_n")).orderBy("t")) - 1).alias("_reach")  # frames before without a break
+    frames = frames.select("stack_id", "t", back)
+    places = rows.filter("_z IS NOT NULL AND _x IS NOT NULL AND _y IS NOT NULL").groupBy(*same).agg(F.min("_id").alias("_pid")).join(frames, ["stack_id", "t"])
+    places, places_path = written(places, "places")
+    near, near_path = written(nearest_before(places, max_gap + 1, max_jump), "nearest")
+    roots = graph.components(near.select("_pid", F.explode("backs").alias("b")))
+    asks = near.groupBy("_pid").agg(F.array_sort(F.collect_list(F.struct("lag", "far", "backs"))).alias("n"))
+    spots = rows.select("stack_id", "t", "fit_no", "_z", "_x", "_y", "_id").join(places.select(*same, "_pid"), same, "left")
+    spots = spots.join(asks, "_pid", "left").join(roots.withColumnRenamed("node", "_pid"), "_pid", "left").withColumn("root", F.coalesce("root", "_id"))
+    spots = spots.select("stack_id", "root", "t", "fit_no", "_id", "_pid", "_z", "_x", "_y", *[F.col(f"n.{k}").alias(k) for k in ("lag", "far", "backs")])
+
+    def step(state, held):
+        t, track, here = held[0][2], [0] * len(held), {}
+        for i, (*_, lags, fars, backs) in enumerate(held):
+            for lag, far, at in zip(lags, fars, backs, strict=True) if lags is not None else ():
+                goal, there = min(state["frames"][t - lag][b] for b in at)  # of equally near ones the oldest track
+                other = here.get(goal)
+                if other is not None:
+                    if far >= sum((a - b) ** 2 for a, b in zip(held[other][6:9], there, strict=True)) ** 0.5:
+                        continue
+                    track[other], here[state["free"]] = state["free"], other
+                    state["free"] += 1
+                track[i], here[goal] = goal, i
+                break
+            else:
+                track[i], here[state["free"]] = state["free"], i
+                state["free"] += 1
+        mine = {}
+        for v, k in zip(held, track, strict=True):
+            mine[v[5]] = min(mine.get(v[5], (k, v[6:9])), (k, v[6:9]))
+        state["frames"] = {f: x for f, x in state["frames"].items() if f >= t - max_gap} | {t: mine}
+        return [(v[0], v[1], v[2], v[3], v[4], k) for v, k in zip(held, track, strict=True)]
+
+    kinds = {c: fits.schema[c].dataType.simpleString() for c in ("stack_id", "t", "fit_no")}
+    schema = f"stack_id {kinds['stack_id']}, root long, t {kinds['t']}, fit_no {kinds['fit_no']}, _id long, track long"
+    walked = graph.walk(spots, ["stack_id", "root"], ["t", "fit_no", "_id"], ["fit_no", "_id", "_pid", "_z", "_x", "_y", "lag", "far", "backs"], lambda: {"free": 0, "frames": {}}, step, schema)
+    out, _ = written(walked, "tracks")
+    discard(spark, places_path, near_path)
+    first = out.groupBy("stack_id", "root", "track").agg(F.min(F.struct("t", "fit_no", "_id")).alias("first"))
+    number = first.withColumn("spot_id", (F.row_number().over(W.partitionBy("stack_id").orderBy("first")) - 1).cast("long")).drop("first")
+    numbered = out.join(number, ["stack_id", "root", "track"]).select("_id", "spot_id")
+    return rows.join(numbered, "_id").select(*fits.columns, "spot_id")
 
-    def run(key, pdf):
-        pdf = pdf.sort_values(["t", "fit_no"], kind="stable")
-        xyz = pdf[["z", "x", "y"]].to_numpy() * (scale_z, scale_xy, scale_xy)
-        return pdf.assign(track=kn.link_nearest(pdf["t"].to_numpy(), xyz, max_gap, max_jump))
 
-    out = rows.groupBy("stack_id", "part").applyInPandas(run, rows.withColumn("track", F.lit(0).cast("long")).schema)
-    first = out.groupBy("stack_id", "part", "track").agg(F.min(F.struct("t", "fit_no")).alias("first"))
-    number = first.withColumn("spot_id", (F.row_number().over(W.partitionBy("stack_id").orderBy("first")) - 1).cast("long")).drop("first")
-    return out.join(number, ["stack_id", "part", "track"]).drop("part", "track")
+TILE = 8  # largest jumps along the edge of a tile
+
+
+def nearest_before(places: DataFrame, lags: int, max_jump: float) -> DataFrame:
+    """(_pid, lag, far, backs): the nearest places lag frames before, all that are equally near, within ``max_jump``.
+
+    ``places`` has (stack_id, t, _z, _x, _y, _pid, _reach), each place of a frame once. A tile of a frame meets what lies in it and around it in the frames before, so
+    distances never leave a task, and no task holds more than some tiles.
+    """
+    import pandas as pd
+
+    edge, reach = (max_jump * TILE or 1.0), max_jump * (1 + 1e-9)
+    axes = ["_z", "_x", "_y"]
+    cell = lambda c, by=0.0: F.floor((F.col(c) + by) / edge)
+    asks = places.select("stack_id", "t", *[cell(c).alias(f"c{c}") for c in axes], F.lit(0).alias("lag"), "_pid", "_reach", *axes)
+    later = places.withColumn("lag", F.explode(F.sequence(F.lit(1), F.lit(lags)))).withColumn("t", F.col("t") + F.col("lag"))
+    for c in axes:
+        later = later.withColumn(f"c{c}", F.explode(F.sequence(cell(c, -reach), cell(c, reach))))
+    both = asks.unionByName(later.select(asks.columns).withColumn("_reach", F.lit(0)))
+    tiles = both.groupBy("stack_id", "t", *[f"c{c}" for c in axes]).agg(F.collect_list(F.struct("lag", "_pid", "_reach", *axes)).alias("s"), F.min("lag").alias("low"), F.max("lag").alias("high")).filter("low = 0 AND high > 0")
+
+    def run(parts):
+        for pdf in parts:
+            out = []
+            for lag, pid, far_back, z, x, y in zip(*(pdf[c] for c in ("lag", "_pid", "_reach", *axes)), strict=True):
+                order = np.argsort(lag, kind="stable")
+                at, pid, far_back = np.stack([z, x, y], axis=1)[order], pid[order], far_back[order]
+                cuts = np.searchsorted(lag[order], np.arange(lags + 2))
+                n = cuts[1]
+                for k in range(1, lags + 1):
+                    b, ids = at[cuts[k] : cuts[k + 1]], pid[cuts[k] : cuts[k + 1]]
+                    if not len(b):
+                        continue
+                    some = max(1, (1 << 21) // len(b))
+                    for i in range(0, n, some):
+                        d = np.sqrt(((at[i : min(i + some, n), None] - b[None]) ** 2).sum(axis=2))
+                        best = d.min(axis=1)
+                        r, c = np.nonzero((d == best[:, None]) & (best <= max_jump)[:, None] & (far_back[i : min(i + some, n)] >= k)[:, None])
+                        rows, starts = np.unique(r, return_index=True)
+                        out += [(int(pid[i + j]), k, float(best[j]), own.tolist()) for j, own in zip(rows.tolist(), np.split(ids[c], starts[1:]), strict=True)] if len(rows) else []
+            yield pd.DataFrame(out, columns=["_pid", "lag", "far", "backs"])
+
+    return tiles.select(*[F.col(f"s.{k}").alias(k) for k in ("lag", "_pid", "_reach", *axes)]).mapInPandas(run, "_pid long, lag int, far double, backs array<long>")
 
 
 def link_by_nucleus(fits: DataFrame, labels: DataFrame, size: tuple[int, int, int]) -> DataFrame:
@@ -70,47 +152,43 @@ def _early(acc, s):
 def track_labels(labels: DataFrame, max_skip: int = 2) -> DataFrame:
     """Labels carried forward: an object takes the track of its reciprocal best overlap one frame back, else further, up to max_skip + 1.
 
-    Overlaps of all lags come from one join of pixels; what is resolved in order is the small table of objects. Of two
-    objects of a frame that want one track the nearer lag wins, then the larger overlap. New objects get new numbers.
+    Overlaps of all lags come from one join of pixels. Objects that links join, over any number of frames, are a component, and components are walked through in
+    order of frames, many at once (``graph.walk``). Of two objects of a frame that want one track the nearer lag wins, then the larger overlap. New objects get new numbers.
     """
     pix = ["stack_id", "z", "x", "y"]
     back = labels.select(*pix, F.col("label").alias("before"), F.explode(F.sequence(F.lit(1), F.lit(max_skip + 1))).alias("lag"), "t").withColumn("t", F.col("t") + F.col("lag"))
     hits = labels.join(back, [*pix, "t"]).groupBy("stack_id", "t", "lag", "label", "before").agg(F.count("*").alias("n"))
     best = lambda k, o: F.row_number().over(W.partitionBy("stack_id", "t", "lag", k).orderBy(F.desc("n"), F.desc(o)))
     links = hits.withColumn("_a", best("label", "before")).withColumn("_b", best("before", "label")).filter("_a = 1 AND _b = 1").select("stack_id", "t", "lag", "label", "before", "n")
-    objects = labels.select("stack_id", "t", "label").distinct()
-    # a stack is cut where no link leads over: links hang on each other only within such a part
-    over = links.groupBy("stack_id", (F.col("t") - F.col("lag")).alias("t")).agg(F.max("t").alias("reach"))
-    by_t = W.partitionBy("stack_id").orderBy("t")
-    frames = objects.select("stack_id", "t").distinct().join(over, ["stack_id", "t"], "left")
-    before = F.max("reach").over(by_t.rowsBetween(W.unboundedPreceding, -1))
-    frames = frames.withColumn("part", F.sum(F.when(before >= F.col("t"), 0).otherwise(1)).over(by_t)).select("stack_id", "t", "part")
-    objects, links = objects.join(frames, ["stack_id", "t"]), links.join(frames, ["stack_id", "t"])
-    objects, links = objects.toDF(*objects.columns), links.toDF(*links.columns)  # both come from one table
-
-    def run(key, objs, links):
-        track, free, out = {}, 1, []
-        by_frame = {t: d.sort_values(["lag", "n", "label"], ascending=[True, False, True]) for t, d in links.groupby("t")}
-        for t, d in objs.groupby("t", sort=True):
-            taken, mine = set(), {}
-            for r in by_frame.get(t, links.iloc[:0]).itertuples():
-                old = track.get((t - r.lag, r.before))
-                if r.label not in mine and old is not None and old not in taken:
-                    mine[r.label] = old
-                    taken.add(old)
-            for label in sorted(d["label"]):
-                if label not in mine:
-                    mine[label], free = free, free + 1
-                track[(t, label)] = mine[label]
-                out.append((key[0], key[1], t, label, mine[label]))
-        return pd.DataFrame(out, columns=["stack_id", "part", "t", "label", "track"])
-
-    keys = ["stack_id", "part"]
-    tracks = objects.groupBy(*keys).cogroup(links.groupBy(*keys)).applyInPandas(run, "stack_id long, part long, t int, label int, track int")
-    sizes = tracks.groupBy(*keys).agg(F.max("track").alias("size"))
-    base = sizes.select(*keys, (F.sum("size").over(W.partitionBy("stack_id").orderBy("part")) - F.col("size")).alias("base"))
-    tracks = tracks.join(base, keys).select("stack_id", "t", "label", (F.col("base") + F.col("track")).cast("int").alias("track"))
-    return labels.join(tracks, ["stack_id", "t", "label"])
+    links, links_path = written(links, "label-links")
+    object_id = lambda t, label: F.xxhash64("stack_id", t, label)  # noqa: E731  # two objects with one hash do no more harm than to share a task
+    roots = graph.components(links.select(object_id("t", "label").alias("a"), object_id((F.col("t") - F.col("lag")).cast(links.schema["t"].dataType), "before").alias("b")))
+    offers = links.groupBy("stack_id", "t", "label").agg(F.array_sort(F.collect_list(F.struct("lag", F.col("n").cast("long").alias("n"), "before"))).alias("o"))
+    objects = labels.select("stack_id", "t", "label").distinct().join(offers, ["stack_id", "t", "label"], "left").withColumn("node", object_id("t", "label"))
+    objects = objects.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    objects = objects.select("stack_id", "root", "t", "label", *[F.col(f"o.{k}").alias(k) for k in ("lag", "n", "before")])
+
+    def step(state, held):
+        t, mine, taken = held[0][2], {}, set()
+        for lag, _, label, before in sorted((lag, -n, v[3], before) for v in held if v[4] is not None for lag, n, before in zip(*v[4:7], strict=True)):
+            old = state["frames"].get(t - lag, {}).get(before)
+            if label not in mine and old is not None and old not in taken:
+                mine[label] = old
+                taken.add(old)
+        for v in held:
+            if v[3] not in mine:
+                mine[v[3]] = state["free"]
+                state["free"] += 1
+        state["frames"] = {f: x for f, x in state["frames"].items() if f >= t - max_skip} | {t: mine}
+        return [(*v[:4], mine[v[3]]) for v in held]
+
+    kinds = {c: labels.schema[c].dataType.simpleString() for c in ("stack_id", "t", "label")}
+    schema = f"stack_id {kinds['stack_id']}, root long, t {kinds['t']}, label {kinds['label']}, own long"
+    out, _ = written(graph.walk(objects, ["stack_id", "root"], ["t", "label"], ["label", "lag", "n", "before"], lambda: {"free": 0, "frames": {}}, step, schema), "label-tracks")
+    discard(labels.sparkSession, links_path)
+    first = out.groupBy("stack_id", "root", "own").agg(F.min(F.struct("t", "label")).alias("first"))
+    number = first.withColumn("track", F.row_number().over(W.partitionBy("stack_id").orderBy("first")).cast("int")).drop("first")
+    return labels.join(out.join(number, ["stack_id", "root", "own"]).select("stack_id", "t", "label", "track"), ["stack_id", "t", "label"])
 
 
 def two_state_bursts(traces: DataFrame, rounds: int = 25) -> DataFrame:

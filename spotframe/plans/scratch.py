@@ -1,17 +1,3 @@
 """Folders for queries that write and read back."""
 
-from __future__ import annotations
-
-import tempfile
-import uuid
-
-from pyspark.sql import SparkSession
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A new path in ``spark.checkpoint.dir``, which the driver and all executors share; only a session without one gets a local folder."""
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        top = tempfile.mkdtemp(prefix="spotframe-")
-        spark.conf.set("spark.checkpoint.dir", top)
-    return f"{top.rstrip('/')}/spotframe/{name}-{uuid.uuid4().hex[:12]}"
+from spotframe.sources.scratch import new_folder  # noqa: F401
