@@ -11,6 +11,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spotframe.functions.scalar import hash_order, vector_distance
+from spotframe.operators import pivots
+from spotframe.operators.pivots import matrix, squared_distances
 
 TRIPLET_BLOCK = 256  # negatives a block of the rounds for anchors that are short
 
@@ -45,13 +47,14 @@ def nearest_to(rows: DataFrame, key: int) -> DataFrame:
     return rows.crossJoin(F.broadcast(one)).select("id", "name", vector_distance(F.col("embedding"), F.col("_q")).alias("distance")).orderBy("distance", "id")
 
 
-# all pairs of two tables, in blocks
+# all pairs of two tables, in blocks; of more rows than a block holds, only those that pivots don't rule out
 
 
-def blocked(asks: DataFrame, rows: DataFrame, work: Callable, schema: str, per_block: int = 4096) -> DataFrame:
+def blocked(asks: DataFrame, rows: DataFrame, work: Callable, schema: str, per_block: int = pivots.PER_BLOCK, sizes: tuple[int, int] | None = None) -> DataFrame:
     """``work(asks, rows)`` on every pair of blocks of two tables with a column id; what it returns is for the caller to merge."""
     asks, rows = asks.toDF(*asks.columns), rows.toDF(*rows.columns)  # both may come from one table
-    n, m = max(1, -(-rows.count() // per_block)), max(1, -(-asks.count() // per_block))
+    n_rows, n_asks = sizes or (rows.count(), asks.count())
+    n, m = max(1, -(-n_rows // per_block)), max(1, -(-n_asks // per_block))
     left = asks.withColumn("_a", F.pmod(F.xxhash64("id"), F.lit(m)).cast("int")).withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     right = rows.withColumn("_b", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")).withColumn("_a", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
 
@@ -61,29 +64,23 @@ def blocked(asks: DataFrame, rows: DataFrame, work: Callable, schema: str, per_b
     return left.groupBy("_a", "_b").cogroup(right.groupBy("_a", "_b")).applyInPandas(run, schema)
 
 
-def _matrix(v: pd.Series) -> np.ndarray:
-    return np.array(list(v), dtype=np.float64)
-
-
-def squared_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(a), len(b)))
-    for k in range(a.shape[1]):
-        out += (a[:, k : k + 1] - b[None, :, k]) ** 2
-    return out
-
-
 def knn(rows: DataFrame, asks: DataFrame, k: int) -> DataFrame:
     """(id, rank, other, distance): the k nearest rows of each asking one, itself included, ties to the smaller id."""
 
     def work(a, b):
-        d = squared_distances(_matrix(a["embedding"]), _matrix(b["embedding"]))
+        d = squared_distances(matrix(a["embedding"]), matrix(b["embedding"]))
         ids, out = b["id"].to_numpy(), []
         for i, row in zip(a["id"], d, strict=True):
             top = np.lexsort((ids, row))[:k]
             out.append(pd.DataFrame({"id": i, "other": ids[top], "distance": np.sqrt(row[top])}))
         return pd.concat(out)
 
-    near = blocked(asks.select("id", "embedding"), rows.select("id", "embedding"), work, "id long, other long, distance double")
+    asks, rows = asks.select("id", "embedding"), rows.select("id", "embedding")
+    sizes = rows.count(), asks.count()
+    if sizes[0] > pivots.PER_BLOCK:
+        near = pivots.knn(rows, asks, k, *sizes, work)
+    else:
+        near = blocked(asks, rows, work, "id long, other long, distance double", sizes=sizes)
     place = F.row_number().over(W.partitionBy("id").orderBy("distance", "other"))
     return near.withColumn("rank", place).filter(F.col("rank") <= k).select("id", "rank", "other", "distance")
 
@@ -92,10 +89,13 @@ def radius_hits(a: DataFrame, b: DataFrame, r: float) -> DataFrame:
     """Ids of b within r of any row of a, each once."""
 
     def work(x, y):
-        d = squared_distances(_matrix(x["embedding"]), _matrix(y["embedding"]))
+        d = squared_distances(matrix(x["embedding"]), matrix(y["embedding"]))
         return pd.DataFrame({"id": y["id"].to_numpy()[(d <= r * r).any(axis=0)]})
 
-    return blocked(a.select("id", "embedding"), b.select("id", "embedding"), work, "id long").distinct()
+    a, b = a.select("id", "embedding"), b.select("id", "embedding")
+    sizes = b.count(), a.count()
+    hits = pivots.within(a, b, r, *sizes, work) if sizes[0] > pivots.PER_BLOCK else blocked(a, b, work, "id long", sizes=sizes)
+    return hits.distinct()
 
 
 def rank_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -110,16 +110,19 @@ def rank_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
         rows = others.select("id", "embedding").unionByName(asks.select("id", "embedding"))
 
         def work(a, b):
-            q, goal = _matrix(a["embedding"]), a["goal"].to_numpy()
-            d, own = squared_distances(q, _matrix(b["embedding"])), np.sum((q - _matrix(a["goal_v"])) ** 2, axis=1)
+            q, goal = matrix(a["embedding"]), a["goal"].to_numpy()
+            d, own = squared_distances(q, matrix(b["embedding"])), np.sum((q - matrix(a["goal_v"])) ** 2, axis=1)
             # the same sum as for the candidates, so that equal vectors are equally far
-            own = np.array([squared_distances(q[i : i + 1], _matrix(a["goal_v"][i : i + 1]))[0, 0] for i in range(len(q))]) if len(q) else own
+            own = np.array([squared_distances(q[i : i + 1], matrix(a["goal_v"][i : i + 1]))[0, 0] for i in range(len(q))]) if len(q) else own
             ids = b["id"].to_numpy()
             nearer = (d < own[:, None]) | ((d == own[:, None]) & (ids[None] < goal[:, None]))
             nearer &= (ids[None] != goal[:, None]) & (ids[None] != a["id"].to_numpy()[:, None])
             return pd.DataFrame({"pair": a["pair"].to_numpy(), "n": nearer.sum(axis=1)})
 
-        return blocked(target, rows, work, "pair long, n long").groupBy("pair").agg(F.sum("n").alias(name))
+        target = target.select("id", "embedding", "pair", "goal", "goal_v")
+        sizes = rows.count(), target.count()
+        counts = pivots.nearer_counts(target, rows, *sizes, work) if sizes[0] > pivots.PER_BLOCK else blocked(target, rows, work, "pair long, n long", sizes=sizes)
+        return counts.groupBy("pair").agg(F.sum("n").alias(name))
 
     both = one_way(left, right, "forward").join(one_way(right, left, "backward"), "pair")
     return both.withColumn("rank", (F.col("forward") + F.col("backward")) / 2)
