@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from spotframe.functions.kernels import fit_exponential
 from spotframe.functions.scalar import hash_order
 from spotframe.operators.embed import hash_places
+from spotframe.operators.ranks import quantiles
 from spotframe.operators.spots import ranks_of, start_per_frame
 from spotframe.operators.voxels import POINT, around, box
 
@@ -33,7 +34,7 @@ def bleach_constant_depth(voxels: DataFrame, labels: DataFrame, movies: DataFram
 
 def trimmed_by_slice(rows: DataFrame, low: float = 0.1, high: float = 0.9, least: int = 4) -> DataFrame:
     """(stack_id, z, mean, n) of the values of each slice within its percentiles; slices with ``least`` values or fewer left have no mean."""
-    cuts = rows.groupBy("stack_id", "z").agg(F.expr(f"percentile(value, {low})").alias("lo"), F.expr(f"percentile(value, {high})").alias("hi"))
+    cuts = quantiles(rows, ["stack_id", "z"], "value", [low, high]).select("stack_id", "z", F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"))
     kept = rows.join(cuts, ["stack_id", "z"]).filter("value >= lo AND value <= hi")
     return kept.groupBy("stack_id", "z").agg(F.when(F.count("*") > least, F.avg("value")).alias("mean"), F.count("*").alias("n"))
 

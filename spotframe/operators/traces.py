@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from spotframe.operators.ranks import quantiles
 from spotframe.operators.spots import range_bucket, ranks_of
 
 SPOT = ["stack_id", "spot_id"]
@@ -250,7 +251,7 @@ def peaks_above(dense: DataFrame, threshold: float) -> DataFrame:
 
 def normalize_percentiles(traces: DataFrame, low: float = 0.05, high: float = 0.95) -> DataFrame:
     """(v - p5) / (p95 - p5) over each stack's values."""
-    cuts = traces.groupBy("stack_id").agg(F.expr(f"percentile(value, {low})").alias("_lo"), F.expr(f"percentile(value, {high})").alias("_hi"))
+    cuts = quantiles(traces, ["stack_id"], "value", [low, high]).select("stack_id", F.col("q")[0].alias("_lo"), F.col("q")[1].alias("_hi"))
     return traces.join(cuts, "stack_id").withColumn("value", F.try_divide(F.col("value") - F.col("_lo"), F.col("_hi") - F.col("_lo"))).drop("_lo", "_hi")
 
 
