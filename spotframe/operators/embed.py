@@ -293,12 +293,51 @@ def difference_pairs(rows: DataFrame, n_sample: int, n_other: int, seed: int) ->
     return pairs.select("id", "other", F.zip_with("features", "f", lambda x, y: x - y).alias("difference"), vector_distance(F.col("params"), F.col("p"), "squared").alias("distance2"))
 
 
-def all_difference_pairs(rows: DataFrame, most: int = 10_000) -> DataFrame:
-    """``difference_pairs`` of every row with every other; an error for more than ``most`` rows, whose squares no one can use."""
-    n = rows.count()
-    if n > most:
-        raise ValueError(f"{n} rows give {n * (n - 1)} pairs; take difference_pairs")
-    return difference_pairs(rows, max(n, 1), max(n, 1), 0)
+def all_difference_pairs(rows: DataFrame, per_block: int = 4096) -> DataFrame:
+    """``difference_pairs`` of every row with every other, for any number of rows: blocks of rows (by a hash of the id) meet each other, so no join key holds more than two blocks."""
+    m = max(1, -(-rows.count() // per_block))
+    block = F.pmod(F.xxhash64("id"), F.lit(m)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    a = rows.select("id", "features", "params", block.alias("_a"), every.alias("_b"))
+    b = rows.select(F.col("id").alias("other"), F.col("features").alias("f"), F.col("params").alias("p"), block.alias("_b"), every.alias("_a"))
+    pairs = a.join(b, ["_a", "_b"]).filter("id <> other")
+    return pairs.select("id", "other", F.zip_with("features", "f", lambda x, y: x - y).alias("difference"), vector_distance(F.col("params"), F.col("p"), "squared").alias("distance2"))
+
+
+def write_difference_pairs(rows: DataFrame, path: str, per_tile: int = 4096) -> int:
+    """All pairs as tables ``path/tile=i``, one job for the pairs of each block of rows; returns how many tiles were written.
+
+    A tile that was committed before is left as it is, so a job that broke off goes on where it stopped.
+    """
+    spark = rows.sparkSession
+    m = max(1, -(-rows.count() // per_tile))
+    todo = 0
+    for i in range(m):
+        out = f"{path}/tile={i}"
+        done = spark._jvm.org.apache.hadoop.fs.Path(f"{out}/_SUCCESS")
+        if done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+            continue
+        mine = rows.filter(F.pmod(F.xxhash64("id", F.lit(2)), F.lit(m)) == i)
+        b = rows.select(F.col("id").alias("other"), F.col("features").alias("f"), F.col("params").alias("p"))
+        # at most about per_tile rows
+        pairs = b.join(F.broadcast(mine.select("id", "features", "params")), F.col("id") != F.col("other"))
+        pairs.select("id", "other", F.zip_with("features", "f", lambda x, y: x - y).alias("difference"), vector_distance(F.col("params"), F.col("p"), "squared").alias("distance2")).write.mode("overwrite").parquet(out)
+        todo += 1
+    return todo
+
+
+def pair_statistics(rows: DataFrame) -> DataFrame:
+    """(id, n, mean, largest) of the squared parameter distances of each row (id, params) to all others, as sums of blocks."""
+
+    def work(a, b):
+        d = squared_distances(matrix(a["params"]), matrix(b["params"]))
+        other = a["id"].to_numpy()[:, None] != b["id"].to_numpy()[None]
+        return pd.DataFrame({"id": a["id"].to_numpy(), "n": other.sum(axis=1), "total": np.where(other, d, 0).sum(axis=1), "largest": np.where(other, d, -1.0).max(axis=1)})
+
+    given = rows.select("id", "params")
+    parts = blocked(given, given, work, "id long, n long, total double, largest double")
+    out = parts.groupBy("id").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.max("largest").alias("largest")).filter("n > 0")
+    return out.select("id", "n", (F.col("total") / F.col("n")).alias("mean"), "largest")
 
 
 def hold_out(rows: DataFrame, key: str, share: float, seed: int) -> DataFrame:

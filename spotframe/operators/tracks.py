@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -149,17 +151,20 @@ def _early(acc, s):
     return F.when(F.size(acc) == 0, F.array(s)).when(F.get(acc, F.size(acc) - 1)["t"] == s["t"], acc).otherwise(F.concat(acc, F.array(s)))
 
 
-def track_labels(labels: DataFrame, max_skip: int = 2) -> DataFrame:
+def track_labels(labels: DataFrame, max_skip: int = 2, update: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Labels carried forward: an object takes the track of its reciprocal best overlap one frame back, else further, up to max_skip + 1.
 
     Overlaps of all lags come from one join of pixels. Objects that links join, over any number of frames, are a component, and components are walked through in
-    order of frames, many at once (``graph.walk``). Of two objects of a frame that want one track the nearer lag wins, then the larger overlap. New objects get new numbers.
+    order of frames, many at once (``graph.walk``). ``update`` gives another choice of overlaps (stack_id, t, lag, la, lb, n, from la before to lb in frame t), such as one of
+    ``voxels.connect_labels``. Of two objects of a frame that want one track the nearer lag wins, then the larger overlap. New objects get new numbers.
     """
     pix = ["stack_id", "z", "x", "y"]
     back = labels.select(*pix, F.col("label").alias("before"), F.explode(F.sequence(F.lit(1), F.lit(max_skip + 1))).alias("lag"), "t").withColumn("t", F.col("t") + F.col("lag"))
     hits = labels.join(back, [*pix, "t"]).groupBy("stack_id", "t", "lag", "label", "before").agg(F.count("*").alias("n"))
     best = lambda k, o: F.row_number().over(W.partitionBy("stack_id", "t", "lag", k).orderBy(F.desc("n"), F.desc(o)))
     links = hits.withColumn("_a", best("label", "before")).withColumn("_b", best("before", "label")).filter("_a = 1 AND _b = 1").select("stack_id", "t", "lag", "label", "before", "n")
+    if update:
+        links = update(hits.withColumnsRenamed({"before": "la", "label": "lb"})).select("stack_id", "t", "lag", F.col("lb").alias("label"), F.col("la").alias("before"), "n")
     links, links_path = written(links, "label-links")
     object_id = lambda t, label: F.xxhash64("stack_id", t, label)  # noqa: E731  # two objects with one hash do no more harm than to share a task
     roots = graph.components(links.select(object_id("t", "label").alias("a"), object_id((F.col("t") - F.col("lag")).cast(links.schema["t"].dataType), "before").alias("b")))

@@ -51,6 +51,23 @@ def spot_boxes(spots: DataFrame, voxels: DataFrame, channel: int, lengths: tuple
     return rows.select("stack_id", "t", key, "dz", "dx", "dy", F.coalesce("value", F.lit(fill)).alias("value"))
 
 
+def boxes_inside(spots: DataFrame, lengths: tuple[int, int, int], size: tuple[int, int, int]) -> DataFrame:
+    """Spots whose box lies wholly within an image of ``size``."""
+    box(*lengths)
+    inside = F.lit(True)
+    for k, n, m in zip("zxy", lengths, size, strict=True):
+        centre = F.col(k).cast("int")
+        inside &= (centre >= n // 2) & (centre + n // 2 < m)
+    return spots.filter(inside)
+
+
+def spot_mean_over_time(spots: DataFrame, voxels: DataFrame, channel: int, inner: tuple[int, int, int], outer: tuple[int, int, int], size: tuple[int, int, int]) -> DataFrame:
+    """(t, fg, net, n): means over all stacks' spots of a frame of what ``fg_bg_intensity`` says of their boxes; boxes that leave the image go."""
+    boxes = spot_boxes(boxes_inside(spots, outer, size), voxels, channel, outer)
+    per = fg_bg_intensity(boxes, inner, outer, ["stack_id", "t", "spot_id"])
+    return per.groupBy("t").agg(F.avg("fg").alias("fg"), F.avg("net").alias("net"), F.count("*").alias("n"))
+
+
 def fg_bg_intensity(boxes: DataFrame, inner: tuple[int, int, int], outer: tuple[int, int, int], keys: list[str]) -> DataFrame:
     """fg: mean of the inner box; net: fg less the mean of what the outer box has besides; top: mean of the three largest inner values."""
     in_box = lambda n: (F.abs("dz") <= n[0] // 2) & (F.abs("dx") <= n[1] // 2) & (F.abs("dy") <= n[2] // 2)
@@ -122,6 +139,32 @@ def relabel(labels: DataFrame, keep_order: bool = True) -> DataFrame:
     return labels.join(new, ["stack_id", "label"]).withColumn("label", F.col("new")).drop("new").select(labels.columns)
 
 
+def filter_labels(labels: DataFrame, metrics: DataFrame, low: float, high: float, column: str = "value") -> DataFrame:
+    """Labels whose metric lies between limits (both included); ``metrics`` has stack_id, t, label and ``column``, from any operator, and labels without one go."""
+    kept = metrics.filter(F.col(column).between(low, high)).select("stack_id", "t", "label").distinct()
+    return labels.join(kept, ["stack_id", "t", "label"], "left_semi")
+
+
+def overlaps(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, la, lb, n, size_a, size_b): pixels that objects of a and b have in common, and their sizes."""
+    hits = a.withColumnRenamed("label", "la").join(b.withColumnRenamed("label", "lb"), [*keys, "z", "x", "y"]).groupBy(*keys, "la", "lb").agg(F.count("*").alias("n"))
+    size = lambda d, k: d.groupBy(*keys, F.col("label").alias(f"l{k}")).agg(F.count("*").alias(f"size_{k}"))
+    return hits.join(size(a, "a"), [*keys, "la"]).join(size(b, "b"), [*keys, "lb"]).select(*keys, "la", "lb", "n", "size_a", "size_b")
+
+
+def connect_labels(hits: DataFrame, keys: list[str], how: str = "best", share: float = 0.5) -> DataFrame:
+    """Rows of an overlap table that connect objects of two masks; of equal overlaps the larger label wins.
+
+    best: both are each other's largest overlap. merge: each object of a goes to its largest overlap in b (so several of a may become one).
+    split: each object of b comes from its largest overlap in a (so one of a may become several). contained: as split, where at least
+    ``share`` of b's object lies in that of a (the table needs size_b).
+    """
+    first = lambda k, o: F.row_number().over(W.partitionBy(*keys, k).orderBy(F.desc("n"), F.desc(o))) == 1
+    ranked = hits.withColumn("_a", first("la", "lb")).withColumn("_b", first("lb", "la"))
+    rules = {"best": "_a AND _b", "merge": "_a", "split": "_b", "contained": f"_b AND n >= {share} * size_b"}
+    return ranked.filter(rules[how]).drop("_a", "_b")
+
+
 def match_labels(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, la, lb) of objects that overlap each other best; background takes part, and is then dropped. Ties go to the larger label.
 

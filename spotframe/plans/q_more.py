@@ -150,12 +150,12 @@ def _(spark, sf):
     return out.select("id", F.transform("params", lambda v: F.round(v, 6)).alias("params"))
 
 
-@query("m5_all_pairs", with_tables("sims") + """, p AS (SELECT id, CAST(string_split(name, '_')[2:10] AS DOUBLE[]) AS params FROM sims WHERE id % 10 = (SELECT min(id % 10) FROM sims))
-SELECT a.id, b.id AS other, [x[1] - x[2] FOR x IN list_zip(a.params[1:3], b.params[1:3])] AS difference, round(power(list_distance(a.params, b.params), 2), 4) AS distance2 FROM p a, p b WHERE a.id <> b.id""")
+@query("m5_all_pairs", with_tables("sims") + """, p AS (SELECT id, CAST(string_split(name, '_')[2:10] AS DOUBLE[]) AS params FROM sims)
+SELECT a.id, count(*) AS n, round(avg(power(list_distance(a.params, b.params), 2)), 4) AS mean, round(max(power(list_distance(a.params, b.params), 2)), 4) AS largest FROM p a JOIN p b ON a.id <> b.id GROUP BY 1""")
 def _(spark, sf):
-    p = sp.parse_sim_names(tb.sim_names(spark, sf)).select("id", "params", F.slice("params", 1, 3).alias("features"))
-    group = p.crossJoin(F.broadcast(p.agg(F.min(F.col("id") % 10).alias("g")))).filter("id % 10 = g").drop("g")  # one group of the parameter table: the full square is for small sets
-    return em.all_difference_pairs(group).select("id", "other", "difference", F.round("distance2", 4).alias("distance2"))
+    """Of all pairs of the whole table what they say of each row; ``all_difference_pairs`` gives the pairs themselves."""
+    out = em.pair_statistics(sp.parse_sim_names(tb.sim_names(spark, sf)).select("id", "params"))
+    return out.select("id", "n", F.round("mean", 4).alias("mean"), F.round("largest", 4).alias("largest"))
 
 
 @query("m5_hold_out", with_tables("sims") + " SELECT id, CAST('0x' || substr(md5(id || '_3'), 1, 8) AS BIGINT) < CAST(trunc(0.2 * power(16, 8)) AS BIGINT) AS held FROM sims")

@@ -66,10 +66,12 @@ def _(spark, sf):
     return out.select("stack_id", "t", "spot_id", *[F.round(c, 4).alias(c) for c in ("fg", "net", "top")])
 
 
-@query("g43_spot_mean_over_time", VL + BOXES + " SELECT t, round(avg(f), 4) AS mean FROM (SELECT stack_id, t, spot_id, avg(value) FILTER (dz = 0) AS f FROM boxes GROUP BY 1, 2, 3) GROUP BY 1")
+@query("g43_spot_mean_over_time", VL + BOXES + """, inside AS (SELECT stack_id, t, spot_id FROM points WHERE trunc(z) BETWEEN 1 AND 2 AND trunc(x) BETWEEN 1 AND 2 AND trunc(y) BETWEEN 1 AND 2),
+f AS (SELECT b.stack_id, b.t, spot_id, avg(value) FILTER (dz = 0) AS fg, avg(value) FILTER (dz <> 0) AS bg FROM boxes b JOIN inside USING (stack_id, t, spot_id) GROUP BY 1, 2, 3)
+SELECT t, round(avg(fg), 4) AS fg, round(avg(fg - bg), 4) AS net, count(*) AS n FROM f GROUP BY 1""")
 def _(spark, sf):
-    fg = vx.fg_bg_intensity(boxes(spark, sf), (1, 3, 3), (3, 3, 3), ["stack_id", "t", "spot_id"])
-    return fg.groupBy("t").agg(F.round(F.avg("fg"), 4).alias("mean"))
+    out = vx.spot_mean_over_time(points(spark, sf), tb.voxels(spark, sf), 0, (1, 3, 3), (3, 3, 3), SIZE)
+    return out.select("t", F.round("fg", 4).alias("fg"), F.round("net", 4).alias("net"), "n")
 
 
 @query("h5_window_moments", VL + BOXES + """, v AS (SELECT stack_id, t, spot_id, dz, dx, dy, abs(value) AS value FROM boxes), m AS (SELECT stack_id, t, spot_id, sum(dz * value) / sum(value) AS mz, sum(dx * value) / sum(value) AS mx, sum(dy * value) / sum(value) AS my, max(value) AS height FROM v GROUP BY 1, 2, 3),
@@ -136,6 +138,33 @@ def _(spark, sf):
     return vx.match_labels(a, a.withColumn("t", F.col("t") - 1), ["stack_id", "t"]).select("stack_id", "t", "la", "lb", "n")
 
 
+CONNECT = """, u AS (SELECT a.stack_id, a.t, a.label AS la, b.label AS lb, count(*) AS n FROM labels a JOIN labels b ON a.stack_id = b.stack_id AND a.t = b.t - 1 AND a.z = b.z AND a.x = b.x AND a.y = b.y GROUP BY 1, 2, 3, 4),
+s AS (SELECT stack_id, t - 1 AS t, label AS lb, count(*) AS size_b FROM labels GROUP BY 1, 2, 3),
+r AS (SELECT *, row_number() OVER (PARTITION BY stack_id, t, la ORDER BY n DESC, lb DESC) AS ra, row_number() OVER (PARTITION BY stack_id, t, lb ORDER BY n DESC, la DESC) AS rb FROM u JOIN s USING (stack_id, t, lb))"""
+
+
+def connected(spark, sf, how):
+    a, keys = tb.labels(spark, sf), ["stack_id", "t"]
+    return vx.connect_labels(vx.overlaps(a, a.withColumn("t", F.col("t") - 1), keys), keys, how, 0.5).select(*keys, "la", "lb", "n")
+
+
+@query("j9_connect_contained", VL + CONNECT + " SELECT stack_id, t, la, lb, n FROM r WHERE rb = 1 AND n >= 0.5 * size_b")
+def _(spark, sf):
+    return connected(spark, sf, "contained")
+
+
+@query("j9_connect_merge", VL + CONNECT + " SELECT stack_id, t, la, lb, n FROM r WHERE ra = 1")
+def _(spark, sf):
+    return connected(spark, sf, "merge")
+
+
+@query("g1_filter_labels", VL + " SELECT l.* FROM labels l JOIN (SELECT v.stack_id, v.t, label FROM labels k JOIN voxels v ON v.stack_id = k.stack_id AND v.t = k.t AND v.c = 1 AND v.z = k.z AND v.x = k.x AND v.y = k.y GROUP BY 1, 2, 3 HAVING avg(value) BETWEEN -200000 AND 200000) USING (stack_id, t, label)")
+def _(spark, sf):
+    labels, v = tb.labels(spark, sf), tb.voxels(spark, sf).filter("c = 1").drop("c")
+    brightness = labels.join(v, ["stack_id", "t", "z", "x", "y"]).groupBy("stack_id", "t", "label").agg(F.avg("value").alias("value"))
+    return vx.filter_labels(labels, brightness, -200000, 200000).select("stack_id", "t", "z", "x", "y", "label")
+
+
 @query("j11_fill_missing", VL + """, c AS (SELECT stack_id, label, t, trunc(avg(z)) AS cz, trunc(avg(x)) AS cx, trunc(avg(y)) AS cy FROM labels GROUP BY 1, 2, 3), f AS (SELECT stack_id, min(t) AS lo, max(t) AS hi FROM voxels GROUP BY 1),
 n AS (SELECT *, lead(t) OVER w AS nt, lag(t) OVER w AS pt, lead(cz) OVER w AS nz, lead(cx) OVER w AS nx, lead(cy) OVER w AS ny FROM c JOIN f USING (stack_id) WINDOW w AS (PARTITION BY stack_id, label ORDER BY t)),
 g AS (SELECT stack_id, label, t, unnest(range(t + 1, nt)) AS dest, trunc((cz + nz) / 2) - cz AS sz, trunc((cx + nx) / 2) - cx AS sx, trunc((cy + ny) / 2) - cy AS sy FROM n WHERE nt - t > 1 AND nt - t - 1 <= 2
