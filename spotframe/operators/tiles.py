@@ -39,6 +39,19 @@ def _mirror(at: np.ndarray, n: int) -> np.ndarray:
     return np.where(at < n, at, 2 * n - 1 - at)
 
 
+def _together(frames, most: int = 1 << 20):
+    """The small tables of many tiles as fewer large ones."""
+    held, n = [], 0
+    for f in frames:
+        held.append(f)
+        n += len(f)
+        if n >= most:
+            yield pd.concat(held)
+            held, n = [], 0
+    if held:
+        yield pd.concat(held)
+
+
 def filter_voxels(voxels: DataFrame, size: Size, tile: Size, halo: Size, work: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
     """Voxels (stack_id, c, t, z, x, y, value) with ``work(array)`` in place of their values, as if it had seen the whole frame.
 
@@ -63,7 +76,7 @@ def filter_voxels(voxels: DataFrame, size: Size, tile: Size, halo: Size, work: C
                 yield pd.DataFrame({"stack_id": r.stack_id, "c": r.c, "t": r.t, "z": z, "x": x, "y": y, "value": out.ravel()})
 
     kinds = {c: voxels.schema[c].dataType.simpleString() for c in ("stack_id", "c", "t")}
-    return groups.select(*keys, *[F.col(f"s.{k}").alias(f"{k[0]}s") for k in ("z", "x", "y", "value")]).mapInPandas(run, f"stack_id {kinds['stack_id']}, c {kinds['c']}, t {kinds['t']}, z int, x int, y int, value double")
+    return groups.select(*keys, *[F.col(f"s.{k}").alias(f"{k[0]}s") for k in ("z", "x", "y", "value")]).mapInPandas(lambda parts: _together(run(parts)), f"stack_id {kinds['stack_id']}, c {kinds['c']}, t {kinds['t']}, z int, x int, y int, value double")
 
 
 def gaussian_voxels(voxels: DataFrame, sigma: float, size: Size, tile: Size) -> DataFrame:
@@ -134,7 +147,7 @@ def _roots(tiles: DataFrame, size: Size, tile: Size, background: bool) -> tuple[
                 rows.append(pd.DataFrame({"node": nodes, "edge": edge[1:], "border": -1, "frame": int(r.frame)}))
                 yield pd.concat(rows)
 
-    seen, _ = written(tiles.mapInPandas(run, "node long, edge boolean, border long, frame long"), "tile-parts")
+    seen, _ = written(tiles.mapInPandas(lambda parts: _together(run(parts)), "node long, edge boolean, border long, frame long"), "tile-parts")
     links = seen.filter("border >= 0").groupBy("frame", "border").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a < b")
     roots, _ = written(graph.components(links.select("a", "b")), "part-roots")
     return roots, seen.filter("border < 0").select("node", "edge")
@@ -158,7 +171,7 @@ def label_voxels(mask: DataFrame, size: Size, tile: Size) -> DataFrame:
                 yield pd.DataFrame({"stack_id": r.stack_id, "t": r.t, "z": z + low[0], "x": x + low[1], "y": y + low[2], "node": nodes[own[z, x, y] - 1]})
 
     kinds = {c: mask.schema[c].dataType.simpleString() for c in FRAME}
-    pixels, _ = written(tiles.mapInPandas(run, f"stack_id {kinds['stack_id']}, t {kinds['t']}, z int, x int, y int, node long"), "pixels")
+    pixels, _ = written(tiles.mapInPandas(lambda parts: _together(run(parts)), f"stack_id {kinds['stack_id']}, t {kinds['t']}, z int, x int, y int, node long"), "pixels")
     discard(mask.sparkSession, path)
     return pixels.join(numbers, "node").select(*FRAME, "z", "x", "y", "label")
 
@@ -185,5 +198,5 @@ def fill_holes_voxels(mask: DataFrame, size: Size, tile: Size) -> DataFrame:
                 yield pd.DataFrame({"stack_id": r.stack_id, "t": r.t, "z": z + low[0], "x": x + low[1], "y": y + low[2]})
 
     kinds = {c: mask.schema[c].dataType.simpleString() for c in FRAME}
-    filled = todo.mapInPandas(run, f"stack_id {kinds['stack_id']}, t {kinds['t']}, z int, x int, y int")
+    filled = todo.mapInPandas(lambda parts: _together(run(parts)), f"stack_id {kinds['stack_id']}, t {kinds['t']}, z int, x int, y int")
     return mask.select(*FRAME, *[F.col(k).cast("int").alias(k) for k in "zxy"]).distinct().unionByName(filled)

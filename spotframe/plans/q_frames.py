@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spotframe.operators import frames as fr
+from spotframe.operators import tiles as ti
 from spotframe.operators import tracks as tk
 from spotframe.plans import tables as tb
 from spotframe.plans.registry import query
@@ -31,6 +32,32 @@ def _(spark, sf):
     return fr.label_frames(frames(spark, sf), 0.5, low=2)
 
 
+SIDES = "(VALUES (1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)) AS d(dz, dx, dy)"
+MASK = ", m AS MATERIALIZED (SELECT stack_id * 2 + c AS stack_id, t, z, x, y FROM voxels WHERE value > 0), f AS (SELECT DISTINCT stack_id, t FROM m)"
+RECURSIVE = with_tables("voxels").replace("WITH ", "WITH RECURSIVE ", 1) + MASK
+
+
+def mask(spark, sf):
+    """Bright voxels of both channels; the channel stands in the stack's number."""
+    return tb.voxels(spark, sf).filter("value > 0").withColumn("stack_id", F.col("stack_id") * 2 + F.col("c")).select("stack_id", "t", "z", "x", "y")
+
+
+@query("h13_fill_holes_tiles", RECURSIVE + f""", n AS (SELECT unnest(range(0, 4)) AS i),
+free AS MATERIALIZED (SELECT f.stack_id, f.t, a.i AS z, b.i AS x, c.i AS y FROM f, n a, n b, n c EXCEPT SELECT * FROM m),
+outside AS (SELECT * FROM free WHERE z IN (0, 3) OR x IN (0, 3) OR y IN (0, 3)
+  UNION SELECT g.* FROM outside o, {SIDES} JOIN free g ON g.stack_id = o.stack_id AND g.t = o.t AND g.z = o.z + dz AND g.x = o.x + dx AND g.y = o.y + dy)
+SELECT * FROM m UNION ALL (SELECT * FROM free EXCEPT SELECT * FROM outside)""")
+def _(spark, sf):
+    return ti.fill_holes_voxels(mask(spark, sf), (4, 4, 4), (4, 4, 2))
+
+
+@query("h2_label_tiles", RECURSIVE + f""", reach AS (SELECT stack_id, t, z, x, y, z * 16 + x * 4 + y AS root FROM m
+  UNION SELECT g.stack_id, g.t, g.z, g.x, g.y, o.root FROM reach o, {SIDES} JOIN m g ON g.stack_id = o.stack_id AND g.t = o.t AND g.z = o.z + dz AND g.x = o.x + dx AND g.y = o.y + dy WHERE o.root < g.z * 16 + g.x * 4 + g.y)
+SELECT stack_id, t, z, x, y, dense_rank() OVER (PARTITION BY stack_id, t ORDER BY root) AS label FROM (SELECT stack_id, t, z, x, y, min(root) AS root FROM reach GROUP BY ALL)""")
+def _(spark, sf):
+    return ti.label_voxels(mask(spark, sf), (4, 4, 4), (4, 4, 2))
+
+
 @query("h14_scalespace_histograms")
 def _(spark, sf):
     return fr.scalespace_histograms(frames(spark, sf), [0.5, 1.0], 20, -200000.0, 200000.0, both_channels(tb.labels(spark, sf)))
