@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from spotframe.functions.scalar import hash_order, vector_distance
 from spotframe.operators import pivots
 from spotframe.operators.pivots import matrix, squared_distances
+from spotframe.sources.scratch import written
 
 TRIPLET_BLOCK = 256  # negatives a block of the rounds for anchors that are short
 
@@ -165,12 +167,20 @@ def joint_histogram(pairs: DataFrame, bins_p: int, bins_e: int) -> DataFrame:
     return h.withColumn("share", F.col("n") / F.sum("n").over(W.partitionBy("p_bin")))
 
 
-def distance_classes(rows: DataFrame) -> DataFrame:
-    """(class, distance) of pairs with the same nucleus, or the same stack alone (columns id, sample, stack, nucleus); zeros are left out."""
-    a, b = rows.alias("a"), rows.alias("b")
-    pairs = a.join(b, (F.col("a.sample") == F.col("b.sample")) & (F.col("a.stack") == F.col("b.stack")) & (F.col("a.id") < F.col("b.id")))
-    kind = F.when(F.col("a.nucleus") == F.col("b.nucleus"), "nucleus").otherwise("stack")
-    return pairs.select(F.col("a.id").alias("id"), F.col("b.id").alias("other"), kind.alias("class"), vector_distance(F.col("a.embedding"), F.col("b.embedding")).alias("distance")).filter("distance > 0")
+def distance_classes(rows: DataFrame, per_block: int = 4096) -> DataFrame:
+    """(class, distance) of pairs with the same nucleus, or the same stack alone (columns id, sample, stack, nucleus); zeros are left out.
+
+    A stack of more than ``per_block`` rows is cut into blocks by a hash of the id, and blocks meet each other: no join key holds more than
+    two blocks, however large the stack.
+    """
+    group = ["sample", "stack"]
+    parts = rows.groupBy(*group).agg(F.ceil(F.count("*") / per_block).alias("_m"))
+    cut = rows.select("id", *group, "nucleus", "embedding").join(parts, group).withColumn("_own", F.pmod(F.xxhash64("id"), F.col("_m"))).withColumn("_far", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_m") - 1)))
+    a = cut.select("id", *group, "nucleus", "embedding", F.col("_own").alias("_a"), F.col("_far").alias("_b"))
+    b = cut.select(F.col("id").alias("other"), *group, F.col("nucleus").alias("_n"), F.col("embedding").alias("_e"), F.col("_far").alias("_a"), F.col("_own").alias("_b"))
+    pairs = a.join(b, [*group, "_a", "_b"]).filter("id < other")
+    kind = F.when(F.col("nucleus") == F.col("_n"), "nucleus").otherwise("stack")
+    return pairs.select("id", "other", kind.alias("class"), vector_distance(F.col("embedding"), F.col("_e")).alias("distance")).filter("distance > 0")
 
 
 def other_sample_distances(rows: DataFrame, n: int, seed: int) -> DataFrame:
@@ -217,47 +227,71 @@ def _pick(rows: DataFrame, size: int | Column, k: Column, seed: int) -> Column:
     return F.conv(F.substring(hash_order(F.col("id"), k, seed=seed), 1, 12), 16, 10).cast("long") % size
 
 
+def _apart(params: Column, other: Column, size: int) -> Column:
+    """Distance with nine digits; short arrays are written out, which Spark compiles."""
+    if not 0 < size <= 32:
+        return F.round(vector_distance(params, other), 9)
+    total = F.lit(0.0)
+    for i in range(size):
+        gap = F.get(params, i) - F.get(other, i)
+        total = total + gap * gap
+    return F.round(F.sqrt(total), 9)
+
+
 def mine_triplets(anchors: DataFrame, negatives: DataFrame, n: int, low: float, high: float, seed: int, tries: int = 40, sample: int = 1000) -> DataFrame:
     """(anchor, positive, negative): for each anchor ``n`` random negatives in a band of distances between scaled parameters.
 
-    Anchors have id, name, positive, params; negatives id, name, params. Parameters are z-scored by the negatives' mean and
+    Anchors have id (unique), name, positive, params; negatives id, name, params. Parameters are z-scored by the negatives' mean and
     deviation; distances have nine digits, so that equal ones compare as such. The band goes from the ``low`` to the ``high`` percentile
-    of distances between about ``sample`` anchors and their tries. Each anchor tries ``tries`` hashed places in the negatives. Those short of ``n`` go on through the negatives in
+    of distances between about ``sample`` anchors and their tries. Each anchor tries up to ``tries`` hashed places in the negatives, the later ones
+    only if the first don't give ``n``. Those short of ``n`` go on through the negatives in
     hashed order, from a place of their own, by blocks whose number grows fourfold a round, till they have ``n`` or have met
     all; so an anchor gets fewer only if no more negatives are in its band.
+
+    Scaled parameters and the finds of each round are written once; who is short is read off those.
     """
     per = negatives.select(F.posexplode("params").alias("i", "v")).groupBy("i").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s"))
     stats = per.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m", "s"))), lambda x: F.struct(x["m"].alias("m"), x["s"].alias("s"))).alias("stats"))
     scale = lambda df: df.crossJoin(F.broadcast(stats)).withColumn("params", F.zip_with("params", "stats", lambda v, s: F.when(s["s"] == 0, 0.0).otherwise((v - s["m"]) / s["s"]))).drop("stats")
-    a, b = scale(anchors), scale(negatives)
-    b = hash_places(b, "id", seed + 1).select("place", F.col("name").alias("negative"), F.col("params").alias("other"))
-    total = negatives.count()
-    tried = a.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(tries - 1)))).withColumn("place", _pick(a, total, F.col("k"), seed))
-    rows = tried.join(b, "place").withColumn("distance", F.round(vector_distance(F.col("params"), F.col("other")), 9))
-    first = rows.filter(_pick(rows, max(1, anchors.count() // sample), F.lit("cut"), seed) == 0)
-    cuts = first.agg(F.expr(f"percentile(distance, {low})").alias("lo"), F.expr(f"percentile(distance, {high})").alias("hi"))
-    lo, hi = cuts.first()
+    a, _ = written(scale(anchors.select("id", "name", "positive", "params")), "anchors")
+    b, _ = written(hash_places(scale(negatives.select("id", "name", "params")), "id", seed + 1).select("place", F.col("name").alias("negative"), F.col("params").alias("other")), "negatives")
+    total, asking, size = b.count(), a.count(), (a.select(F.max(F.size("params"))).first()[0] or 0)
+    found = lambda df: df.withColumn("distance", _apart(F.col("params"), F.col("other"), size)).select("id", "place", "negative", "distance", "k")
+
+    def at_tries(who: DataFrame, first: int, last: int) -> DataFrame:
+        asked = who.withColumn("k", F.explode(F.sequence(F.lit(first).cast("long"), F.lit(last - 1).cast("long"))))
+        return found(asked.withColumn("place", _pick(asked, max(total, 1), F.col("k"), seed)).join(b, "place"))
+
+    cut_by = at_tries(a.filter(_pick(a, max(1, asking // sample), F.lit("cut"), seed) == 0), 0, tries)
+    lo, hi = cut_by.agg(F.expr(f"percentile(distance, {low})").alias("lo"), F.expr(f"percentile(distance, {high})").alias("hi")).first()
     if lo is None:
-        return rows.limit(0).select(F.col("name").alias("anchor"), "positive", "negative", "distance")
-    fields = ["id", "name", "positive", "place", "negative", "distance", "k"]
-    near = rows.filter(F.col("distance").between(lo, hi) & (F.col("distance") != 0))
-    got = near.groupBy("id", "name", "positive", "place", "negative", "distance").agg(F.min("k").cast("long").alias("k")).select(fields).persist()
-    blocks = b.groupBy(F.floor(F.col("place") / TRIPLET_BLOCK).alias("block")).agg(F.collect_list(F.struct("place", "negative", "other")).alias("rows"))
-    n_blocks, done, width = -(-total // TRIPLET_BLOCK), 0, 1
-    while done < n_blocks:
+        return a.limit(0).select(F.col("name").alias("anchor"), "positive", F.lit("").alias("negative"), F.lit(0.0).alias("distance"))
+    inside = lambda df: df.filter(F.col("distance").between(lo, hi) & (F.col("distance") != 0))
+    once = lambda df: df.groupBy("id", "place").agg(F.min("k").alias("k"), F.first("negative").alias("negative"), F.first("distance").alias("distance")).select("id", "place", "negative", "distance", "k")
+    fresh = lambda df: df.join(got.select("id", "place"), ["id", "place"], "left_anti")
+
+    def short() -> DataFrame:
         have = got.groupBy("id").agg(F.count("*").alias("have"))
-        short = a.join(have, "id", "left").filter(F.coalesce("have", F.lit(0)) < n)
-        if short.isEmpty():
-            break
+        return written(a.join(have, "id", "left").filter(F.coalesce("have", F.lit(0)) < n).select("id", "params"), "short")[0]
+
+    early = min(tries, math.ceil(1.5 * n / (high - low))) if high > low else tries  # tries that should do for most
+    got, _ = written(once(inside(at_tries(a, 0, early))), "found")
+    left = short()
+    if early < tries and not left.isEmpty():
+        got = got.unionByName(written(fresh(once(inside(at_tries(left, early, tries)))), "found")[0])
+        left = short()
+    b = b.withColumn("block", F.floor(F.col("place") / TRIPLET_BLOCK))
+    n_blocks, done, width = -(-total // TRIPLET_BLOCK), 0, 1
+    while done < n_blocks and not left.isEmpty():
         last = min(n_blocks, done + width)
-        asked = short.withColumn("step", F.explode(F.sequence(F.lit(done), F.lit(last - 1)))).withColumn("block", (_pick(short, n_blocks, F.lit("start"), seed) + F.col("step")) % n_blocks)
-        far = lambda x: F.struct(x["place"].alias("place"), x["negative"].alias("negative"), F.round(vector_distance(F.col("params"), x["other"]), 9).alias("distance"))
-        inside = F.filter(F.transform("rows", far), lambda x: x["distance"].between(lo, hi) & (x["distance"] != 0))
-        met = asked.join(blocks, "block").select("id", "name", "positive", "step", F.explode(inside).alias("x")).select("id", "name", "positive", "x.*", (F.lit(tries) + F.col("step") * TRIPLET_BLOCK + F.col("x.place") % TRIPLET_BLOCK).cast("long").alias("k"))
-        fresh = met.join(got.select("id", "place"), ["id", "place"], "left_anti").withColumn("r", F.row_number().over(W.partitionBy("id").orderBy("k"))).filter(F.col("r") <= n)
-        got, done, width = got.unionByName(fresh.select(fields)).persist(), last, width * 4
+        asked = left.withColumn("step", F.explode(F.sequence(F.lit(done), F.lit(last - 1)))).withColumn("block", (_pick(left, n_blocks, F.lit("start"), seed) + F.col("step")) % n_blocks)
+        met = found(asked.join(b, "block").withColumn("k", (F.lit(tries) + F.col("step") * TRIPLET_BLOCK + F.col("place") % TRIPLET_BLOCK).cast("long")))
+        best = fresh(inside(met)).withColumn("r", F.row_number().over(W.partitionBy("id").orderBy("k"))).filter(F.col("r") <= n).drop("r")
+        got, done, width = got.unionByName(written(best, "found")[0]), last, width * 4
+        left = short()
     order = F.row_number().over(W.partitionBy("id").orderBy("k"))
-    return got.withColumn("r", order).filter(F.col("r") <= n).select(F.col("name").alias("anchor"), "positive", "negative", "distance")
+    best = got.withColumn("r", order).filter(F.col("r") <= n)
+    return best.join(a.select("id", "name", "positive"), "id").select(F.col("name").alias("anchor"), "positive", "negative", "distance")
 
 
 def mine_real_triplets(rows: DataFrame, t: int, seed: int) -> DataFrame:

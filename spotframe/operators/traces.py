@@ -166,21 +166,39 @@ def partial_autocorrelation(acf: list[float]) -> list[float]:
     return out
 
 
+def lagged(series: DataFrame, lags: int) -> DataFrame:
+    """Adds _lags: an array of the values of the ``lags`` rows before, nearest first, null where there are none.
+
+    Series are cut in blocks of positions. Only the last rows of a block (one row a block) are ordered over the whole stack.
+    """
+    rows = series.withColumn("_b", F.floor(F.col("pos") / BLOCK))
+    order = W.partitionBy("stack_id", "_b").orderBy("pos")
+    last = rows.withColumn("_back", F.row_number().over(W.partitionBy("stack_id", "_b").orderBy(F.desc("pos")))).filter(F.col("_back") <= lags)
+    tails = last.groupBy("stack_id", "_b").agg(F.array_sort(F.collect_list(F.struct("_back", "value"))).alias("_tail"))
+    before = W.partitionBy("stack_id").orderBy("_b")
+    # each block has a row at least, so as many blocks as lags hold enough
+    carried = F.concat(*[F.coalesce(F.lag("_tail", k).over(before), F.array().cast(tails.schema["_tail"].dataType)) for k in range(1, lags + 1)])
+    heads = tails.select("stack_id", "_b", carried.alias("_before"))
+    n = F.row_number().over(order)
+    inside = [F.lag("value", k).over(order) for k in range(1, lags + 1)]
+    rows = rows.withColumn("_n", n).withColumn("_in", F.array(*inside)).join(heads, ["stack_id", "_b"])
+    own = lambda k: F.when(F.col("_n") > k, F.get("_in", k - 1)).otherwise(F.get("_before", (F.lit(k) - F.col("_n")).cast("int"))["value"])
+    return rows.withColumn("_lags", F.array(*[own(k) for k in range(1, lags + 1)])).drop("_b", "_n", "_in", "_before")
+
+
 def prewhiten(series: DataFrame, const: float, coefs: list[float]) -> DataFrame:
     """Adds the residual of an autoregression; lags that are missing add nothing."""
-    order = W.partitionBy("stack_id").orderBy("pos")
     guess = F.lit(const)
-    for k, c in enumerate(coefs, 1):
-        guess = guess + F.coalesce(F.lag("value", k).over(order) * c, F.lit(0.0))
-    return series.withColumn("residual", F.col("value") - guess)
+    for k, c in enumerate(coefs):
+        guess = guess + F.coalesce(F.get("_lags", k) * c, F.lit(0.0))
+    return lagged(series, len(coefs)).withColumn("residual", F.col("value") - guess).drop("_lags")
 
 
 def fit_ar2(series: DataFrame) -> tuple[float, float, float]:
     """Constant and two coefficients by least squares over all stacks; sums on Spark, a 3 x 3 solve on the driver."""
     import numpy as np
 
-    order = W.partitionBy("stack_id").orderBy("pos")
-    rows = series.select("value", F.lag("value", 1).over(order).alias("a"), F.lag("value", 2).over(order).alias("b")).dropna()
+    rows = lagged(series, 2).select("value", F.get("_lags", 0).alias("a"), F.get("_lags", 1).alias("b")).dropna()
     x, names = {"1": F.lit(1.0), "a": F.col("a"), "b": F.col("b")}, ["1", "a", "b"]
     r = rows.agg(*[F.sum(x[i] * x[j]).alias(f"{i}{j}") for i in names for j in names], *[F.sum(x[i] * F.col("value")).alias(f"{i}y") for i in names]).first()
     return tuple(np.linalg.solve(np.array([[r[f"{i}{j}"] for j in names] for i in names], dtype=float), np.array([r[f"{i}y"] for i in names], dtype=float)).tolist())

@@ -77,13 +77,13 @@ def _(spark, sf):
     return cb.filter_genes(rows, "A").select("l_orderkey", "class", "m1", "m2", "length")
 
 
-@query("g9_bleach_constant_depth", VL + """, big AS (SELECT stack_id, t, z, x * 2 + a.i AS x, y * 2 + b.i AS y, value + 1e6 AS value FROM voxels, (SELECT unnest(range(0, 2)) AS i) a, (SELECT unnest(range(0, 2)) AS i) b WHERE c = 0 AND stack_id < 8),
+@query("g9_bleach_constant_depth", VL + """, big AS (SELECT stack_id, t, z, x * 2 + a.i AS x, y * 2 + b.i AS y, value + 1e6 AS value FROM voxels, (SELECT unnest(range(0, 2)) AS i) a, (SELECT unnest(range(0, 2)) AS i) b WHERE c = 0),
 few AS (SELECT * FROM labels WHERE x = 0 AND y = 0 AND label = 1), n AS (SELECT stack_id, max(t) + 1 AS n FROM big GROUP BY 1), seg AS (SELECT *, lead(start_frame) OVER (PARTITION BY stack_id ORDER BY start_frame) AS stop FROM segments),
 atd AS (SELECT s.stack_id, f.t, greatest(0, least(3, trunc((3.0 - (s.start_pos - (m.surface_before + f.t * (m.surface_after - m.surface_before) / n.n))) / 0.5))) AS z FROM seg s JOIN movies m USING (stack_id) JOIN n USING (stack_id) JOIN (SELECT unnest(range(0, 500)) AS t) f ON f.t >= s.start_frame AND f.t < coalesce(s.stop, n.n) AND f.t < n.n),
 m AS (SELECT b.stack_id, b.t, avg(value) AS mean FROM big b JOIN atd USING (stack_id, t, z) WHERE b.x BETWEEN 2 AND 5 AND b.y BETWEEN 2 AND 5 AND NOT EXISTS (SELECT 1 FROM few l WHERE l.stack_id = b.stack_id AND l.t = b.t AND l.z = b.z AND abs(l.x - b.x) <= 2 AND abs(l.y - b.y) <= 2) GROUP BY 1, 2)
 SELECT CAST(stack_id AS BIGINT) AS stack_id, t, round(mean, 3) AS mean, round((regr_slope(mean, t) OVER w * t + regr_intercept(mean, t) OVER w) / regr_intercept(mean, t) OVER w, 6) AS factor FROM m WINDOW w AS (PARTITION BY stack_id)""")
 def _(spark, sf):
-    v = tb.voxels(spark, sf).filter("c = 0 AND stack_id < 8").withColumn("i", F.explode(F.array(*map(F.lit, range(2))))).withColumn("j", F.explode(F.array(*map(F.lit, range(2)))))
+    v = tb.voxels(spark, sf).filter("c = 0").withColumn("i", F.explode(F.array(*map(F.lit, range(2))))).withColumn("j", F.explode(F.array(*map(F.lit, range(2)))))
     big = v.select(F.col("stack_id").cast("long").alias("stack_id"), "c", "t", "z", (F.col("x") * 2 + F.col("i")).alias("x"), (F.col("y") * 2 + F.col("j")).alias("y"), (F.col("value") + 1e6).alias("value"))
     few = tb.labels(spark, sf).filter("x = 0 AND y = 0 AND label = 1")
     out = cb.bleach_constant_depth(big, few, tb.movies(spark, sf), tb.segments(spark, sf), 3.0, (4, 8, 8))

@@ -21,10 +21,20 @@ def both_channels(labels):
     return labels.withColumn("c", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("stack_id", F.col("stack_id") * 2 + F.col("c")).drop("c")
 
 
-@query("h1_gaussian_frames")
+def blurred(*sigmas: float) -> str:
+    """SQL of frames of 4 x 4 x 4 after a gaussian filter of each width, as table g3 (stack_id, c, t, sigma_no, z, x, y, v); an axis is a table of weights."""
+    widths = ", ".join(f"({k}, CAST({s} AS DOUBLE), {int(4 * s + 0.5)})" for k, s in enumerate(sigmas))
+    return f""", sg(sigma_no, sigma, r) AS (VALUES {widths}), d AS (SELECT sigma_no, sigma, unnest(range(-r, r + 1)) AS d FROM sg), wd AS (SELECT sigma_no, d, exp(-0.5 * power(d / sigma, 2)) AS w FROM d),
+wn AS (SELECT sigma_no, d, w / sum(w) OVER (PARTITION BY sigma_no) AS w FROM wd), wp AS (SELECT sigma_no, i, w, ((i + d) % 8 + 8) % 8 AS p FROM wn, (SELECT unnest(range(0, 4)) AS i)),
+ax AS MATERIALIZED (SELECT sigma_no, i, CASE WHEN p < 4 THEN p ELSE 7 - p END AS j, sum(w) AS w FROM wp GROUP BY 1, 2, 3),
+g1 AS (SELECT stack_id, c, t, sigma_no, i AS z, x, y, sum(value * w) AS v FROM voxels JOIN ax ON j = z GROUP BY ALL), g2 AS (SELECT stack_id, c, t, g.sigma_no, z, i AS x, y, sum(v * w) AS v FROM g1 g JOIN ax ON j = x AND ax.sigma_no = g.sigma_no GROUP BY ALL),
+g3 AS (SELECT stack_id, c, t, g.sigma_no, z, x, i AS y, sum(v * w) AS v FROM g2 g JOIN ax ON j = y AND ax.sigma_no = g.sigma_no GROUP BY ALL)"""
+
+
+@query("h1_gaussian_frames", with_tables("voxels") + blurred(1.0) + " SELECT stack_id * 2 + c AS stack_id, t, list(round(CAST(CAST(v AS FLOAT) AS DOUBLE), 1) ORDER BY z, x, y) AS pixels FROM g3 GROUP BY 1, 2")
 def _(spark, sf):
     out = fr.filter_frames(frames(spark, sf), "gaussian", 1.0)
-    return out.select("stack_id", "t", F.transform("pixels", lambda p: F.round(p, 1)).alias("pixels"))
+    return out.select("stack_id", "t", F.transform("pixels", lambda p: F.round(p.cast("double"), 1)).alias("pixels"))
 
 
 @query("h2_label_frames")
@@ -42,11 +52,14 @@ def mask(spark, sf):
     return tb.voxels(spark, sf).filter("value > 0").withColumn("stack_id", F.col("stack_id") * 2 + F.col("c")).select("stack_id", "t", "z", "x", "y")
 
 
-@query("h13_fill_holes_tiles", RECURSIVE + f""", n AS (SELECT unnest(range(0, 4)) AS i),
+FILLED = RECURSIVE + f""", n AS (SELECT unnest(range(0, 4)) AS i),
 free AS MATERIALIZED (SELECT f.stack_id, f.t, a.i AS z, b.i AS x, c.i AS y FROM f, n a, n b, n c EXCEPT SELECT * FROM m),
 outside AS (SELECT * FROM free WHERE z IN (0, 3) OR x IN (0, 3) OR y IN (0, 3)
-  UNION SELECT g.* FROM outside o, {SIDES} JOIN free g ON g.stack_id = o.stack_id AND g.t = o.t AND g.z = o.z + dz AND g.x = o.x + dx AND g.y = o.y + dy)
-SELECT * FROM m UNION ALL (SELECT * FROM free EXCEPT SELECT * FROM outside)""")
+  UNION SELECT g.* FROM outside o, {SIDES} JOIN free g ON g.stack_id = o.stack_id AND g.t = o.t AND g.z = o.z + dz AND g.x = o.x + dx AND g.y = o.y + dy),
+filled AS (SELECT * FROM m UNION ALL (SELECT * FROM free EXCEPT SELECT * FROM outside))"""
+
+
+@query("h13_fill_holes_tiles", FILLED + " SELECT * FROM filled")
 def _(spark, sf):
     return ti.fill_holes_voxels(mask(spark, sf), (4, 4, 4), (4, 4, 2))
 
@@ -58,12 +71,20 @@ def _(spark, sf):
     return ti.label_voxels(mask(spark, sf), (4, 4, 4), (4, 4, 2))
 
 
-@query("h14_scalespace_histograms")
+@query("h14_scalespace_histograms", with_tables("voxels", "labels") + blurred(0.5, 1.0) + """, b AS (SELECT stack_id, c, t, sigma_no, CASE WHEN v = 200000 THEN 19 ELSE floor((v + 200000) / 20000) END AS bin, count(*) AS n FROM g3 SEMI JOIN labels USING (stack_id, t, z, x, y) GROUP BY ALL),
+f AS (SELECT DISTINCT stack_id, c, t, sigma_no, unnest(range(0, 20)) AS bin FROM voxels, sg)
+SELECT stack_id * 2 + c AS stack_id, t, sigma_no, list(CAST(coalesce(n, 0) AS DOUBLE) ORDER BY bin) AS hist FROM f LEFT JOIN b USING (stack_id, c, t, sigma_no, bin) GROUP BY ALL""")
 def _(spark, sf):
     return fr.scalespace_histograms(frames(spark, sf), [0.5, 1.0], 20, -200000.0, 200000.0, both_channels(tb.labels(spark, sf)))
 
 
-@query("h16_threshold_sweep")
+@query("h16_threshold_sweep", with_tables("voxels", "labels").replace("WITH ", "WITH RECURSIVE ", 1) + f""", q(threshold) AS (VALUES (CAST(0 AS DOUBLE)), (50000), (100000)),
+m AS MATERIALIZED (SELECT stack_id * 2 + c AS stack_id, t, z, x, y, threshold FROM voxels SEMI JOIN labels USING (stack_id, t, z, x, y), q WHERE value > threshold),
+reach AS (SELECT *, z * 16 + x * 4 + y AS root FROM m UNION SELECT g.stack_id, g.t, g.z, g.x, g.y, g.threshold, o.root FROM reach o, {SIDES}
+  JOIN m g ON g.stack_id = o.stack_id AND g.t = o.t AND g.threshold = o.threshold AND g.z = o.z + dz AND g.x = o.x + dx AND g.y = o.y + dy WHERE o.root < g.z * 16 + g.x * 4 + g.y),
+s AS (SELECT stack_id, t, threshold, root, count(*) AS n FROM (SELECT stack_id, t, threshold, z, x, y, min(root) AS root FROM reach GROUP BY ALL) GROUP BY ALL),
+r AS (SELECT stack_id, t, threshold, count(*) AS objects, quantile_cont(n, 0.1) AS lo, quantile_cont(n, 0.6) AS hi FROM s GROUP BY ALL), k AS (SELECT s.stack_id, s.t, s.threshold, avg(n) AS mean_size FROM s JOIN r USING (stack_id, t, threshold) WHERE n BETWEEN lo AND hi GROUP BY ALL)
+SELECT f.stack_id, f.t, f.threshold, CAST(coalesce(objects, 0) AS INTEGER) AS objects, mean_size FROM (SELECT DISTINCT stack_id * 2 + c AS stack_id, t, threshold FROM voxels, q) f LEFT JOIN r USING (stack_id, t, threshold) LEFT JOIN k USING (stack_id, t, threshold)""")
 def _(spark, sf):
     return fr.threshold_sweep(frames(spark, sf), [0.0, 50000.0, 100000.0], both_channels(tb.labels(spark, sf)))
 

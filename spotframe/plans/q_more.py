@@ -11,7 +11,8 @@ from spotframe.operators import frames as fr
 from spotframe.operators import spots as sp
 from spotframe.operators import voxels as vx
 from spotframe.plans import tables as tb
-from spotframe.plans.q_frames import both_channels, frames
+from spotframe.plans.q_embed import RANKS, halves
+from spotframe.plans.q_frames import FILLED, both_channels, frames
 from spotframe.plans.registry import query
 from spotframe.plans.scratch import new_folder
 from spotframe.plans.tables import with_tables
@@ -129,10 +130,13 @@ def _(spark, sf):
 # embeddings, ranks, parameters
 
 
-@query("g36_rank_table", with_tables("emb") + " SELECT string_split(name, '_')[1] AS model, round(avg(CASE WHEN set = 'left' THEN id % 9 END), 6) AS \"left\", round(avg(CASE WHEN set = 'right' THEN id % 9 END), 6) AS \"right\" FROM emb GROUP BY 1")
+@query("g36_rank_table", with_tables("emb") + RANKS + """ SELECT 's' || label AS model, round(avg(CASE WHEN pair % 2 = 0 THEN rank END), 6) AS a, round(avg(CASE WHEN pair % 2 = 1 THEN rank END), 6) AS b
+FROM ranks JOIN embeddings ON vec_id = pair * 2 GROUP BY 1""")
 def _(spark, sf):
-    ranks = tb.named_embeddings(spark, sf).select(F.split("name", "_")[0].alias("model"), "set", (F.col("id") % 9).alias("rank"))
-    return em.rank_table(em.rank_summary(ranks)).select("model", r6("left"), r6("right"))
+    left, right = halves(spark, sf)
+    model = left.select("pair", F.split("name", "_")[0].alias("model"))
+    ranks = em.rank_pairs(left, right).join(model, "pair").select("model", F.when(F.col("pair") % 2 == 0, "a").otherwise("b").alias("set"), "rank")
+    return em.rank_table(em.rank_summary(ranks)).select("model", r6("a"), r6("b"))
 
 
 @query("g39_other_samples", with_tables("emb") + """, p AS (SELECT id, string_split(name, '_')[1] AS sample, embedding, row_number() OVER (ORDER BY md5(id || '_31'), id) - 1 AS place, count(*) OVER () AS n FROM emb),
@@ -234,7 +238,9 @@ def _(spark, sf):
 # whole frames; held against plain versions in tests
 
 
-@query("k9_local_maxima")
+@query("k9_local_maxima", with_tables("voxels") + """, v AS MATERIALIZED (SELECT stack_id * 2 + c AS stack_id, t, z, x, y, value, min(value) OVER (PARTITION BY stack_id, c, t) AS low FROM voxels),
+p AS (SELECT stack_id, t, z, x, y FROM v WHERE value > low AND NOT EXISTS (SELECT 1 FROM v n WHERE n.stack_id = v.stack_id AND n.t = v.t AND n.value > v.value AND abs(n.z - v.z) <= 1 AND abs(n.x - v.x) <= 1 AND abs(n.y - v.y) <= 1))
+SELECT stack_id, t, CAST(row_number() OVER (PARTITION BY stack_id, t ORDER BY z, x, y) - 1 AS INTEGER) AS peak, z, x, y FROM p""")
 def _(spark, sf):
     return fr.local_maxima(frames(spark, sf), (3, 3, 3), 1.0)
 
@@ -268,7 +274,7 @@ def _(spark, sf):
     return fr.bead_boxes(fr.to_frames(v.filter("c = 0")), v, 60000.0, (3, 3, 3), 0.5).select("stack_id", "t", "label", "dz", "dx", "dy", r6("value"))
 
 
-@query("h13_fill_holes")
+@query("h13_fill_holes", FILLED + " SELECT *, 1 AS label FROM filled")
 def _(spark, sf):
     return fr.fill_holes(frames(spark, sf), 0.0)
 
@@ -278,7 +284,12 @@ def _(spark, sf):
     return fr.mask_foci(tb.voxels(spark, sf), tb.labels(spark, sf), (4, 4), 0.5, 3)
 
 
-@query("h16_objects_per_slice")
+@query("h16_objects_per_slice", with_tables("voxels").replace("WITH ", "WITH RECURSIVE ", 1) + """, m AS (SELECT stack_id * 2 + c AS stack_id, t, z, x, y FROM voxels WHERE value >= -60000 + (z - 2) * 9000.0), o(a, b) AS (VALUES (0, 0), (0, 1), (1, 0), (1, 1)),
+w AS (SELECT stack_id, t, z, x - a AS x, y - b AS y FROM m, o GROUP BY ALL HAVING count(*) = 4), op AS MATERIALIZED (SELECT DISTINCT stack_id, t, z, x + a AS x, y + b AS y FROM w, o),
+reach AS (SELECT *, x * 4 + y AS root FROM op UNION SELECT g.stack_id, g.t, g.z, g.x, g.y, r.root FROM reach r, (VALUES (1, 0), (-1, 0), (0, 1), (0, -1)) AS d(dx, dy)
+  JOIN op g ON g.stack_id = r.stack_id AND g.t = r.t AND g.z = r.z AND g.x = r.x + dx AND g.y = r.y + dy WHERE r.root < g.x * 4 + g.y),
+n AS (SELECT stack_id, t, z, count(DISTINCT root) AS n FROM (SELECT stack_id, t, z, x, y, min(root) AS root FROM reach GROUP BY ALL) GROUP BY ALL)
+SELECT f.stack_id, f.t, f.z, CAST(coalesce(n, 0) AS INTEGER) AS objects FROM (SELECT DISTINCT stack_id * 2 + c AS stack_id, t, z FROM voxels) f LEFT JOIN n USING (stack_id, t, z)""")
 def _(spark, sf):
     return fr.objects_per_slice(frames(spark, sf), -60000.0, 2, 9000.0)
 

@@ -55,13 +55,13 @@ def sim_names(spark: SparkSession, sf: str) -> DataFrame:
 
 def movies(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("n_nationkey")
-    return read(spark, sf, "nation").filter("n_nationkey < 8").select(k.cast("long").alias("stack_id"), (k * 0.5 + 1).cast("double").alias("surface_before"), (k * 0.25 + 2).cast("double").alias("surface_after"), F.lit(0.5).alias("z_interval"))
+    return read(spark, sf, "nation").select(k.cast("long").alias("stack_id"), (k * 0.5 + 1).cast("double").alias("surface_before"), (k * 0.25 + 2).cast("double").alias("surface_after"), F.lit(0.5).alias("z_interval"))
 
 
 def segments(spark: SparkSession, sf: str) -> DataFrame:
     """Three segments per stack, from frames 0, 30 and 60."""
     k, n = F.col("n_nationkey"), F.col("n")
-    rows = read(spark, sf, "nation").filter("n_nationkey < 8").withColumn("n", F.explode(F.sequence(F.lit(0), F.lit(2))))
+    rows = read(spark, sf, "nation").withColumn("n", F.explode(F.sequence(F.lit(0), F.lit(2))))
     return rows.select(k.cast("long").alias("stack_id"), n.alias("seg_no"), (n * 30).alias("start_frame"), (n * 1.5 + k).cast("double").alias("start_pos"), (n * 2).alias("z_corr"))
 
 
@@ -85,8 +85,8 @@ voxels AS (SELECT stack_id, c, t, CAST((i - 1) // 16 AS INTEGER) AS z, CAST(((i
     "emb": """emb AS (SELECT vec_id AS id, 's' || label || '_st' || vec_id % 7 || '_n' || vec_id % 3 || '_' || vec_id || '.pkl' AS name,
   CASE WHEN vec_id % 2 = 0 THEN 'left' ELSE 'right' END AS set, CAST(embedding AS DOUBLE[]) AS embedding FROM embeddings)""",
     "sims": "sims AS (SELECT p_partkey AS id, 'abc_' || " + " || '_' || ".join(PARAMS).replace("p_partkey %", "p_partkey %") + " || '_rep0.pkl' AS name FROM part)",
-    "movies": "movies AS (SELECT CAST(n_nationkey AS BIGINT) AS stack_id, n_nationkey * 0.5 + 1 AS surface_before, n_nationkey * 0.25 + 2 AS surface_after, 0.5 AS z_interval FROM nation WHERE n_nationkey < 8)",
-    "segments": "segments AS (SELECT CAST(n_nationkey AS BIGINT) AS stack_id, n AS seg_no, n * 30 AS start_frame, CAST(n * 1.5 + n_nationkey AS DOUBLE) AS start_pos, n * 2 AS z_corr FROM nation, (SELECT unnest(range(0, 3)) AS n) WHERE n_nationkey < 8)",
+    "movies": "movies AS (SELECT CAST(n_nationkey AS BIGINT) AS stack_id, n_nationkey * 0.5 + 1 AS surface_before, n_nationkey * 0.25 + 2 AS surface_after, 0.5 AS z_interval FROM nation)",
+    "segments": "segments AS (SELECT CAST(n_nationkey AS BIGINT) AS stack_id, n AS seg_no, n * 30 AS start_frame, CAST(n * 1.5 + n_nationkey AS DOUBLE) AS start_pos, n * 2 AS z_corr FROM nation, (SELECT unnest(range(0, 3)) AS n))",
 }
 NEEDS = {"dense": ("traces",), "labels": ("voxels",)}
 
