@@ -258,8 +258,12 @@ def mine_triplets(anchors: DataFrame, negatives: DataFrame, n: int, low: float,
     total, asking, size = b.count(), a.count(), (a.select(F.max(F.size("params"))).first()[0] or 0)
     found = lambda df: df.withColumn("distance", _apart(F.col("params"), F.col("other"), size)).select("id", "place", "negative", "distance", "k")
 
+    def spread(who: DataFrame) -> DataFrame:
+        """By id before rows multiply: small tables would be one task, and what is grouped by id needs no further exchange."""
+        return who.repartition(int(who.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id")
+
     def at_tries(who: DataFrame, first: int, last: int) -> DataFrame:
-        asked = who.withColumn("k", F.explode(F.sequence(F.lit(first).cast("long"), F.lit(last - 1).cast("long"))))
+        asked = spread(who).withColumn("k", F.explode(F.sequence(F.lit(first).cast("long"), F.lit(last - 1).cast("long"))))
         return found(asked.withColumn("place", _pick(asked, max(total, 1), F.col("k"), seed)).join(b, "place"))
 
     cut_by = at_tries(a.filter(_pick(a, max(1, asking // sample), F.lit("cut"), seed) == 0), 0, tries)
@@ -284,7 +288,7 @@ def mine_triplets(anchors: DataFrame, negatives: DataFrame, n: int, low: float,
     n_blocks, done, width = -(-total // TRIPLET_BLOCK), 0, 1
     while done < n_blocks and not left.isEmpty():
         last = min(n_blocks, done + width)
-        asked = left.withColumn("step", F.explode(F.sequence(F.lit(done), F.lit(last - 1)))).withColumn("block", (_pick(left, n_blocks, F.lit("start"), seed) + F.col("step")) % n_blocks)
+        asked = spread(left).withColumn("step", F.explode(F.sequence(F.lit(done), F.lit(last - 1)))).withColumn("block", (_pick(left, n_blocks, F.lit("start"), seed) + F.col("step")) % n_blocks)
         met = found(asked.join(b, "block").withColumn("k", (F.lit(tries) + F.col("step") * TRIPLET_BLOCK + F.col("place") % TRIPLET_BLOCK).cast("long")))
         best = fresh(inside(met)).withColumn("r", F.row_number().over(W.partitionBy("id").orderBy("k"))).filter(F.col("r") <= n).drop("r")
         got, done, width = got.unionByName(written(best, "found")[0]), last, width * 4

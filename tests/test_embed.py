@@ -126,3 +126,12 @@ def test_bins(spark):
     rows = spark.createDataFrame([(k * 0.5, k * 0.5) for k in range(20) for _ in range(10)], "depth double, v double")
     out = {r.bin: (r.mean, r.n) for r in sp.bin_values(rows, "depth", "v").collect()}
     assert out[0] == (0, 10) and out[11] == (5.5, 10) and out[90] == (None, 0) and len(out) == 100
+
+
+def test_classes_in_blocks(spark):
+    rows = [(i, "s", f"st{i % 2}", f"n{i % 3}", [float(i), 0.0]) for i in range(40)] + [(40, "q", "st0", "n0", [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "id long, sample string, stack string, nucleus string, embedding array<double>")
+    want = {(a[0], b[0], "nucleus" if a[3] == b[3] else "stack") for a in rows for b in rows if a[0] < b[0] and a[1:3] == b[1:3]}
+    for size in (3, 4096):
+        out = em.distance_classes(df, size).collect()
+        assert len(out) == len(want) and {(r.id, r.other, r["class"]) for r in out} == want

@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pytest
 
@@ -188,3 +190,47 @@ def test_stitched_movies(spark):
     m = vx.match_labels(a, b, ["stack_id", "t"])
     out = {(r.t, r.x): r.label for r in stitch_labels(a, b, 5, m).collect()}
     assert out == {(0, 0): 4, (0, 1): 7, (5, 0): 4, (5, 1): 7, (5, 2): 8}
+
+
+@pytest.mark.parametrize("kind", ["gaussian", "dog", "log", "gradient", "min", "max"])
+def test_filters_of_frames_against_direct_sums(spark, kind):
+    """Every kind at every pixel, edges included, as a sum (or extreme) over its window of the mirrored frame."""
+    rng = np.random.default_rng(5)
+    shape, sigma, wide = (3, 6, 5), 0.7, 1.1
+    frames_in = [rng.integers(-50, 200, shape).astype(float) for _ in range(3)]
+    df = spark.createDataFrame([(k, 0, 0, *shape, a.ravel().tolist()) for k, a in enumerate(frames_in)], "stack_id long, c int, t int, nz int, nx int, ny int, pixels array<float>")
+
+    def at(a, p):
+        place = [i % (2 * n) for i, n in zip(p, a.shape, strict=True)]
+        return a[tuple(i if i < n else 2 * n - 1 - i for i, n in zip(place, a.shape, strict=True))]
+
+    def bell(s):
+        r = int(4 * s + 0.5)
+        w = {d: math.exp(-0.5 * (d / s) ** 2) for d in range(-r, r + 1)}
+        return {d: v / sum(w.values()) for d, v in w.items()}
+
+    def weighted(a, axes):
+        out = np.zeros(a.shape)
+        for p in np.ndindex(a.shape):
+            out[p] = sum(at(a, (p[0] + i, p[1] + j, p[2] + k)) * u * v * w for i, u in axes[0].items() for j, v in axes[1].items() for k, w in axes[2].items())
+        return out
+
+    def second(s):
+        w = {d: v * (d * d / s**4 - 1 / s**2) for d, v in bell(s).items()}
+        return {d: v - sum(w.values()) / len(w) for d, v in w.items()}
+
+    def extreme(a, pick):
+        return np.array([pick(at(a, (p[0] + i, p[1] + j, p[2] + k)) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0)) for p in np.ndindex(a.shape)]).reshape(a.shape)
+
+    step, flat = {-1: -1.0, 0: 0.0, 1: 1.0}, {-1: 1.0, 0: 2.0, 1: 1.0}
+    direct = {
+        "gaussian": lambda a: weighted(a, [bell(sigma)] * 3),
+        "dog": lambda a: weighted(a, [bell(sigma)] * 3) - weighted(a, [bell(wide)] * 3),
+        "log": lambda a: sum(weighted(a, [second(sigma) if i == k else bell(sigma) for i in range(3)]) for k in range(3)),
+        "gradient": lambda a: np.sqrt(sum(weighted(a, [step if i == k else flat for i in range(3)]) ** 2 for k in range(3))),
+        "min": lambda a: extreme(a, min),
+        "max": lambda a: extreme(a, max),
+    }[kind]
+    out = {r.stack_id: np.array(r.pixels).reshape(shape) for r in fr.filter_frames(df, kind, sigma, wide, (3, 3, 2)).collect()}
+    for k, a in enumerate(frames_in):
+        assert out[k] == pytest.approx(direct(a), abs=1e-2)

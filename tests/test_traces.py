@@ -206,3 +206,17 @@ def test_tracks_do_not_hang_on_the_parts(spark):
     labels = spark.createDataFrame(rows, "stack_id long, t int, z int, x int, y int, label int")
     out = {(r.t, r.label): r.track for r in tk.track_labels(labels).select("t", "label", "track").distinct().collect()}
     assert out == {(0, 1): 1, (1, 4): 1, (2, 1): 2, (3, 1): 2, (3, 2): 3, (7, 1): 4}
+
+
+def test_lags_over_blocks(spark, monkeypatch):
+    """Rows before, not positions before: gaps may be wider than blocks, and blocks may have one row."""
+    rng = np.random.default_rng(3)
+    monkeypatch.setattr(tr, "BLOCK", 4)
+    rows = [(s, int(p), None if rng.random() < 0.1 else float(p * 10 + s)) for s in range(3) for p in sorted(rng.choice(120, 30, replace=False))]
+    df = spark.createDataFrame(rows, "stack_id int, pos int, value double")
+    got = {(r.stack_id, r.pos): list(r._lags) for r in tr.lagged(df, 3).collect()}
+    for s in range(3):
+        own = [(p, v) for k, p, v in rows if k == s]
+        for i, (p, _) in enumerate(own):
+            assert got[s, p] == [own[i - k][1] if i >= k else None for k in (1, 2, 3)]
+    assert tr.lagged(df.limit(0), 2).count() == 0
