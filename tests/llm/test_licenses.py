@@ -109,3 +109,37 @@ def test_very_long_text(spark):
     text = "x " * 300_000 + "MIT License " + "y " * 300_000
     (r,) = run(spark, [(1, text)])
     assert (r.n_words, [b.at for b in r.base], [f.label for f in r.found]) == (600_002, [300_000], ["mit"])
+
+
+HEADERS = {
+    "Permission is hereby granted, free of charge, to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge": "mit",
+    "The above copyright notice and this permission notice shall be included in all copies": "mit",
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted": "isc",
+    "Redistribution and use in source and binary forms, with or without": "bsd",
+    "Neither the name of the X Group nor the names of its contributors may be used to endorse or promote products derived": "bsd-3-clause",
+    "This program is free software: you can redistribute it and/or modify it under": "gpl",
+    "This library is free software; you can redistribute it and/or modify it": "lgpl",
+    "You should have received a copy of the GNU Affero General Public License": "agpl",
+    "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS": "apache-2.0",
+    "Licensed to the Apache Software Foundation (ASF) under one or more contributor license agreements": "apache",
+    "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0": "mpl-2.0",
+    "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0": "epl-2.0",
+    "Released under the MIT license": "mit",
+    "Everyone is permitted to copy and distribute verbatim copies of this license document": "gpl",
+    "This is free and unencumbered software released into the public domain": "unlicense",
+}
+
+
+def test_sentences_wrapped_anywhere_and_behind_comment_marks(spark):
+    rows = []
+    for text, label in HEADERS.items():
+        words = text.split(" ")
+        for mark in ("", "# ", " * ", "// ", ";; ", "-- ", "% "):
+            rows += [(label, mark + " ".join(words[:i]) + "\n" + mark + " ".join(words[i:])) for i in range(1, len(words))]
+            rows.append((label, mark + f"\n{mark}".join(words)))
+    for r in run(spark, [(i, t) for i, (_, t) in enumerate(rows)]):
+        assert rows[r.doc_id][0] in {f.label for f in r.found}, rows[r.doc_id]
+
+
+def test_gates_hold_one_word():
+    assert not [r for r in licenses.rules() if " " in r.keyword]
