@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spotframe.functions.scalar import hash_order
+from spotframe.operators.frames import fit_peaks
 
 
 def peakiness(height: Column, width_x: Column, width_y: Column) -> Column:
@@ -52,6 +53,19 @@ def apply_curation(spots: DataFrame, bad: DataFrame, new: DataFrame, strict: boo
     return left.unionByName(new.drop("nuc_id").join(nucleus, ["stack_id", "spot_id"]).select(left.columns))
 
 
+def curate(spots: DataFrame, bad: DataFrame, new: DataFrame, frames: DataFrame, rad_xy: int = 10, rad_z: int = 2, strict: bool = True) -> DataFrame:
+    """``apply_curation`` with rows of ``new`` (stack_id, spot_id, t, z, x, y) measured on ``frames``, which hold one channel.
+
+    Height and widths are those of a Gaussian fitted around the given place, rounded; the place itself stays as it was given. A row whose frame isn't there has null measures. Only frames with new rows
+    are read into tasks.
+    """
+    key = ["stack_id", "spot_id", "t"]
+    at = [F.round(c).cast("int").alias(c) for c in "zxy"]
+    fits = fit_peaks(new.select("stack_id", "t", F.col("spot_id").alias("fit_no"), *at), frames, rad_xy, rad_z)
+    measured = fits.select("stack_id", F.col("fit_no").alias("spot_id"), "t", "height", "width_z", "width_x", "width_y")
+    return apply_curation(spots, bad, new.select(*key, "z", "x", "y").join(measured, key, "left"), strict)
+
+
 def start_per_frame(movies: DataFrame, segments: DataFrame, n_frames: DataFrame) -> DataFrame:
     """(stack_id, t, start): the segment's z start less the surface, which moves evenly from before to after. ``n_frames`` has stack_id, n."""
     stop = F.lead("start_frame").over(W.partitionBy("stack_id").orderBy("start_frame"))

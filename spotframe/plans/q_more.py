@@ -251,6 +251,16 @@ def _(spark, sf):
     return fr.fit_peaks(peaks.select("stack_id", "t", "fit_no", "z", "x", "y"), frames(spark, sf), 1, 1)
 
 
+@query("p7_curation_fitted")
+def _(spark, sf):
+    """Each seventh frame's spots are deleted and put again at their places, rounded, where they are fitted."""
+    peaks = vx.centroids(both_channels(tb.labels(spark, sf))).select("stack_id", "t", F.col("label").cast("long").alias("fit_no"), "z", "x", "y")
+    spots = fr.fit_peaks(peaks, frames(spark, sf), 1, 1).withColumnRenamed("fit_no", "spot_id").withColumn("nuc_id", F.col("spot_id"))
+    bad = spots.filter("t % 7 = 3").select("stack_id", "spot_id", "t")
+    again = peaks.withColumnRenamed("fit_no", "spot_id").filter("t % 7 = 3").select("stack_id", "spot_id", "t", *[F.round(k).alias(k) for k in "zxy"])
+    return sp.curate(spots, bad, again, frames(spark, sf), 1, 1)
+
+
 @query("h6_detect_in_nuclei")
 def _(spark, sf):
     return fr.detect_spots(frames(spark, sf), (0.5,) * 3, (1.5,) * 3, rad_xy=2, rad_z=1, background=3, labels=both_channels(tb.labels(spark, sf)))

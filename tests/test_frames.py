@@ -5,6 +5,7 @@ import pytest
 
 from spotframe.functions import kernels as kn
 from spotframe.operators import frames as fr
+from spotframe.operators import spots as sp
 from spotframe.operators import voxels as vx
 from spotframe.sources import frames as src
 
@@ -97,6 +98,21 @@ def test_detection_finds_planted_spots(spark):
     assert (r.z, r.x, r.y) == (4, 8, 8) and r.height == pytest.approx(300, rel=0.01)
 
 
+def test_curated_spots_are_fitted_where_they_were_put(spark):
+    grid = np.stack(np.meshgrid(np.arange(9.0), np.arange(30.0), np.arange(30.0), indexing="ij"), -1).reshape(-1, 3)
+    a = kn.gaussian_values(np.array([[300.0, 4, 8, 8, 1, 1.2, 1.2]]), grid).reshape(9, 30, 30)
+    kind = "stack_id long, spot_id long, t int, nuc_id int, z double, x double, y double, height double, width_z double, width_x double, width_y double"
+    spots = spark.createDataFrame([(0, 5, t, 7, 4.0, 20.0, 20.0, 1.0, 1.0, 1.0, 1.0) for t in (0, 1)], kind)
+    new = spark.createDataFrame([(0, 5, 0, 4.2, 8.4, 9.0), (0, 5, 9, 4.0, 8.0, 8.0)], "stack_id long, spot_id long, t int, z double, x double, y double")
+    out = {r.t: r for r in sp.curate(spots, spots.filter("t = 0"), new, frame_table(spark, [a]), 5, 2).collect()}
+    assert sorted(out) == [0, 1, 9] and {r.nuc_id for r in out.values()} == {7}
+    want = kn.fit_gaussians(a[None, 2:7, 3:14, 4:15])[0][0]
+    assert (out[0].z, out[0].x, out[0].y) == (4.2, 8.4, 9.0) and (out[0].height, out[0].width_z, out[0].width_x, out[0].width_y) == pytest.approx((want[0], *want[4:7]))
+    assert out[0].height == pytest.approx(300, rel=0.01) and out[9].height is None
+    with pytest.raises(ValueError):
+        sp.curate(spots, spots.limit(0), new, frame_table(spark, [a]), 5, 2)
+
+
 def test_segmentation_and_histograms(spark):
     a = CUBE * 100.0
     out = fr.label_frames(frame_table(spark, [a]), 0.0, 50.0).collect()
