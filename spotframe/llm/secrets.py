@@ -6,10 +6,11 @@ secret. A network with one convolution over the characters before, in and after
 candidates above a threshold become findings of kind ``cnn``. The network gives the rules' findings a score too.
 
 It is fitted in numpy on the driver, on a sample of at most ``TRAIN_DOCS`` documents of at most ``TRAIN_CHARS`` characters each and
-``TRAIN_BYTES`` bytes together: the rules' findings there are the labelled findings, the other candidates, found as in a scan, the
-negatives; as rules see few forms, ``MADE`` secrets and ``MADE`` harmless tokens of other forms are set into places of the sample.
-Each third document is held back with all that stands in it: on these the scores are calibrated (Platt), with candidates in
-the balance of real text, and the threshold is the largest that keeps a recall of ``RECALL``. ``Network.report`` has what was measured.
+``TRAIN_BYTES`` bytes together: the rules' findings there (``RULED`` a document) are the labelled findings, the other candidates, found as in a scan, the
+negatives (for training ``NEGATIVES`` a document); as rules see few forms, ``MADE`` secrets and ``MADE`` harmless tokens of other forms are set into places of the sample.
+Two of three documents train, with all that stands in them. Every sixth sets calibration (Platt, with candidates in the balance of real
+text) and threshold: the largest that keeps a recall of ``RECALL`` of the rules' findings, of made ones of their forms (a sixth of ``MADE``) and of the made secrets, each for itself. Every other
+sixth sets nothing: ``Network.report`` has what was measured there.
 """
 
 from __future__ import annotations
@@ -26,8 +27,9 @@ from spotframe.llm.common import sliced
 
 KINDS = ("assign", "access", "hex", "cnn")
 LEAST, BEFORE, INSIDE, AFTER = 12, 28, 44, 12
-TRAIN_DOCS, TRAIN_CHARS, TRAIN_BYTES, MADE, RECALL = 1500, 100_000, 8 << 20, 1800, 0.95
-NEGATIVES, MADE_WEIGHT = 6, 0.05  # of a document, for training; of a made example, for calibration
+TRAIN_DOCS, TRAIN_CHARS, TRAIN_BYTES, MADE, RECALL = 1500, 100_000, 8 << 20, 2700, 0.95
+RULED, NEGATIVES, MADE_WEIGHT = 20, 6, 0.05  # of a document; of a document, for training; of a made example, for calibration
+SPARE = 0.995  # share of made harmless tokens below `certain`
 EMBED, WIDTH, FILTERS, HIDDEN = 8, 5, 24, 24
 
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.IGNORECASE | re.ASCII)
@@ -99,8 +101,8 @@ class Network:
     slope: float = 1.0
     shift: float = 0.0
     threshold: float = 0.5
-    certain: float = 0.5  # above the scores of all harmless candidates of the sample
-    report: dict[str, float] | None = None  # of the documents held back: recall of rules' and made secrets, share of real and made harmless candidates taken
+    certain: float = 0.5  # above the scores of all harmless candidates of the sample and of SPARE of the made harmless tokens
+    report: dict[str, float] | None = None  # of the documents that set nothing: recall of rules' and made secrets, share of real and made harmless candidates taken
 
     @staticmethod
     def new(seed: int) -> Network:
@@ -166,16 +168,49 @@ def _made(rng: np.random.Generator, secret: bool) -> tuple[str, str]:
         ])
         lead = pick(["", "", "", "key: ", "auth=", "Bearer ", "credential = \"", "pwd=", "client_secret: ", "private_key = '", "export KEY="])
         if rng.random() < 0.25:  # passwords, app passwords and number keys are told by what stands before them
-            token = pick([f"{word()}{pick('$!%&*#@')}{take(num, 2)}{word()}{pick('$!%&*#@')}{take(num, 1)}", f"{word().title()}{take(num, 1)}{word()}{pick('&$#@!')}{take(num, 1)}{word()}{word().title()}!", take(low, 16), take(num, int(rng.integers(16, 28)))])
+            token = pick([f"{word()}{pick('$!%&*#@')}{take(num, 2)}{word()}{pick('$!%&*#@')}{take(num, 1)}", f"{word().title()}{take(num, 1)}{word()}{pick('&$#@!')}{take(num, 1)}{word()}{word().title()}!", take(low, 16)])
             lead = pick(["password: ", "pwd=", "pwd: ", "passwd: ", "secret key: ", "api key: ", "credential = \"", "auth="])
         return lead, token
-    word = lambda: take(low, int(rng.integers(2, 9)))
-    token = pick([
+    return pick(["", "", "", "", "http://x.example/", "id: ", "see ", "page=", "version ", "name: ", "file="]), _harmless(rng)
+
+
+def _ruled(rng: np.random.Generator) -> tuple[str, str]:
+    """Forms of the rules that tables hold by the dozen only: long numbers and digests are findings wherever they stand, shorter numbers are harmless."""
+    n = 16 if rng.random() < 0.7 else int(rng.integers(17, 41))
+    digits = "0123456789" if rng.random() < 0.8 else "0123456789abcdef"
+    return ("", "", "", "no. ", "id: ")[int(rng.integers(5))], "".join(digits[i] for i in rng.integers(0, len(digits), n))
+
+
+def _harmless(rng: np.random.Generator) -> str:
+    """Tokens as they stand in prose, code, logs and addresses: words that can be said or not, dates, numbers, names with dots, dashes and capitals."""
+    pick = lambda s: s[int(rng.integers(len(s)))]
+    take = lambda chars, n: "".join(chars[i] for i in rng.integers(0, len(chars), n))
+    low, up, num = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    said = rng.random() < 0.7
+
+    def word() -> str:
+        if not said:
+            return take(low, int(rng.integers(2, 9)))
+        return "".join(pick(["b", "c", "d", "f", "g", "h", "k", "l", "m", "n", "p", "r", "s", "t", "v", "st", "tr", "ch", "pr", "th", ""]) + pick(["a", "e", "i", "o", "u", "ei", "ou", "ie", "y"]) + pick(["", "", "n", "r", "s", "t", "l", "m", "ng", "ck", "ft"]) for _ in range(int(rng.integers(1, 4))))
+
+    many = lambda by, lo, hi, of=word: by.join(of() for _ in range(int(rng.integers(lo, hi))))
+    title = lambda: word().title()
+    two = lambda below: f"{int(rng.integers(below)):02d}"
+    day, clock = f"{take('12', 1)}{take(num, 3)}-{two(13)}-{two(32)}", f"{two(24)}:{two(60)}:{two(60)}"
+    part = lambda: str(int(rng.integers(256)))
+    if rng.random() < 0.5:
+        return pick([
+            f"{day}T{clock}{pick(['Z', '', '+02:00', '-0500', '.' + take(num, 3) + 'Z', '.' + take(num, 6)])}", f"{clock}.{take(num, 6)}", f"{pick(['Mon', 'Sat', 'Thu'])},{two(32)}{title()[:3]}20{two(99)}-{clock}", f"{two(32)}.{two(13)}.20{two(99)}-{clock}",
+            many("", 4, 10) + "ung", many("", 3, 8).title(), many(".", 3, 7), f"{many('.', 2, 6)}.{many('', 1, 5, title)}", f"{word()}{many('', 2, 6, title)}", many("", 3, 7, title), many("_", 3, 6).upper(), f"{many('_', 2, 5)}_{take(num, 2)}",
+            f"arn:aws:{word()[:4]}:::{many('-', 2, 4)}", f"arn:aws:{word()[:4]}:{word()[:2]}-{word()}-1:{take(num, 12)}:{word()}/{title()}", "-".join(take("0123456789abcdef", n) for n in (8, 4, 4, 4, 12)), f"{'.'.join(part() for _ in range(4))}:{take(num, 4)}", f"{many('.', 2, 4)}:{take(num, 4)}",
+            f"{pick(['~', '.', '$HOME', '/usr', '/var', 'C:'])}/{many('/', 2, 6)}.{word()[:4]}", f"https://{many('.', 2, 4)}/{many('/', 1, 4)}/{title()}.md#{many('-', 1, 4)}", f"https://{word()}.com/?{word()}={take(num, 3)}&{word()}={word()}", f"{many('-', 1, 4)}-{take(num, 1)}.{take(num, 2)}.{take(num, 1)}{pick(['', '-SNAPSHOT', '.tar.gz', '.jar'])}",
+            f"+{take(num, 2)}-{take(num, 3)}-{take(num, 7)}", f"97{take(num, 1)}-{take(num, 1)}-{take(num, 2)}-{take(num, 6)}-{take(num, 1)}", f"{many('-', 1, 3)}={many('-', 2, 5)}", f"{many('::', 2, 5)}", f"{title()}::{many('_', 2, 4)}", f"@{word()}/{many('-', 2, 4)}@{take(num, 1)}.{take(num, 1)}.{take(num, 1)}", many("-", 3, 7), many("+", 3, 5), f"{word()}.{many('_', 2, 4)}=={take(num, 1)}.{take(num, 2)}",
+        ])
+    return pick([
         f"{word()}-{word()}-{int(rng.integers(1, 2100))}", f"{word()}_{word()}_{int(rng.integers(10))}", f"{take(up, 2)}-{take(num, 10)}", f"{word()}/{word()}/{take(num, 4)}/{word()}", f"{word()}{word()}{word()}{word()}", f"{word()}-{word()}-{word()}-{word()}",
         f"{take(num, 4)}-{take(num, 2)}-{take(num, 2)}T{take(num, 2)}", f"{word()}{word()}{take(num, 2)}", f"{word().title()}{word().title()}{take(num, 1)}", f"{word()}+{take(num, 10)}", f"v{take(num, 1)}-{word()}-{word()}", f"{word()}={take(num, 8)}",
-        f"http://{word()}.example/{word()}/{word()}.html", f"https://www.{word()}.org/{word()}?page={take(num, 2)}", f"{word()}.{word()}@{word()}.com", take(num, int(rng.integers(12, 17))), pick("-=*#_.~") * int(rng.integers(12, 40)), f"{word()}.{word()}.{word()}{word()}()".rstrip("()"), f"{word().upper()}{word().upper()}{word().upper()}", f"/{word()}/{word()}/{word()}.{word()[:3]}",
+        f"http://{word()}.example/{word()}/{word()}.html", f"https://www.{word()}.org/{word()}?page={take(num, 2)}", f"{word()}.{word()}@{word()}.com", take(num, int(rng.integers(12, 16))), pick("-=*#_.~") * int(rng.integers(12, 40)), f"{word()}.{word()}.{word()}{word()}()".rstrip("()"), f"{word().upper()}{word().upper()}{word().upper()}", f"/{word()}/{word()}/{word()}.{word()[:3]}",
     ])
-    return pick(["", "", "", "", "http://x.example/", "id: ", "see ", "page=", "version ", "name: ", "file="]), token
 
 
 @dataclass
@@ -186,17 +221,18 @@ class Examples:
     labels: np.ndarray
     made: np.ndarray
     made_labels: np.ndarray
+    ruled: np.ndarray  # made ones of the rules' forms
     rest: np.ndarray  # harmless ones of the texts beyond those taken for training
 
 
-def examples(texts, seed: int = 11, share: tuple[int, int] = (1, 3)) -> tuple[Examples, Examples]:
-    """Of the documents for training and of those held back (``share``: one of three); texts are read once and not kept."""
+def examples(texts, seed: int = 11, deal: tuple[int, ...] = (1, 0, 0, 2, 0, 0)) -> list[Examples]:
+    """Of the documents for training, for thresholds and for the report, dealt in turn by ``deal``; texts are read once and not kept."""
     rng = np.random.default_rng(seed)
     parts = []
-    for _ in range(2):
+    for _ in range(3):
         parts.append({"x": [np.zeros((0, BEFORE + INSIDE + AFTER), dtype=np.uint8)], "y": [], "places": [], "rest": [np.zeros((0, BEFORE + INSIDE + AFTER), dtype=np.uint8)]})
     for n, t in enumerate(texts):
-        held = n % share[1] < share[0]
+        held = deal[n % len(deal)]
         own = parts[held]
         base = base_spans(t)
         others = more_candidates(t, base)
@@ -204,28 +240,31 @@ def examples(texts, seed: int = 11, share: tuple[int, int] = (1, 3)) -> tuple[Ex
             order = rng.permutation(len(others)).tolist()
             own["rest"].append(windows(t, [others[i] for i in order[NEGATIVES:]]))
             others = [others[i] for i in sorted(order[:NEGATIVES])]
-        own["x"].append(windows(t, base[:20] + others))
-        own["y"] += [1] * len(base[:20]) + [0] * len(others)
+        own["x"].append(windows(t, base[:RULED] + others))
+        own["y"] += [1] * len(base[:RULED]) + [0] * len(others)
         blanks = [m.start() for m in re.finditer(r"\s", t)] or [0]
         for at in rng.choice(blanks, 2):
             own["places"].append((t[max(0, at - 2 * BEFORE) : at], t[at : at + 2 * AFTER]))
     out = []
-    for part, made in zip(parts, (MADE, MADE // 2), strict=True):
-        places, x, y = part["places"] or [("of the", "of")], [np.zeros((0, BEFORE + INSIDE + AFTER), dtype=np.uint8)], []
-        for secret in (True, False):
-            for _ in range(made):
-                (before, after), (lead, token) = places[int(rng.integers(len(places)))], _made(rng, secret)
-                head = f"{before} {lead}"
-                x.append(windows(f"{head}{token} {after}", [(len(head), 3, len(head) + len(token))]))
-                y.append(int(secret))
-        out.append(Examples(np.concatenate(part["x"]), np.array(part["y"], dtype=np.float32), np.concatenate(x), np.array(y, dtype=np.float32), np.concatenate(part["rest"])))
-    return out[0], out[1]
+    for part, made in zip(parts, (MADE, MADE // 2, MADE // 2), strict=True):
+        places = part["places"] or [("of the", "of")]
+
+        def placed(token: tuple[str, str], places=places) -> np.ndarray:
+            (before, after), (lead, token) = places[int(rng.integers(len(places)))], token
+            head = f"{before} {lead}"
+            return windows(f"{head}{token} {after}", [(len(head), 3, len(head) + len(token))])
+
+        x, y = [placed(_made(rng, k < made)) for k in range(2 * made)], [1] * made + [0] * made
+        ruled = [placed(_ruled(rng)) for _ in range(made // 6)]
+        out.append(Examples(np.concatenate(part["x"]), np.array(part["y"], dtype=np.float32), np.concatenate(x), np.array(y, dtype=np.float32), np.concatenate(ruled), np.concatenate(part["rest"])))
+    return out
 
 
 def fit(texts, seed: int = 11, epochs: int = 7) -> Network:
     """A network of any iterable of texts."""
-    train_part, held = examples(texts, seed)
+    train_part, held, unseen = examples(texts, seed)
     ruled = np.repeat(train_part.real[train_part.labels == 1], 4, axis=0)  # few, so they count more
+    ruled = np.concatenate([ruled, train_part.ruled])
     x, y = np.concatenate([train_part.real, ruled, train_part.made]), np.concatenate([train_part.labels, np.ones(len(ruled), dtype=np.float32), train_part.made_labels])
     rng = np.random.default_rng(seed)
     used = rng.permutation(len(x))
@@ -253,16 +292,17 @@ def fit(texts, seed: int = 11, epochs: int = 7) -> Network:
         shift -= 0.5 * float((weight * (p - t)).sum())
     net.slope, net.shift = max(slope, 1e-3), shift
     p, n = net.calibrated(z), len(held.labels)
-    found = np.sort(p[t == 1])
-    net.threshold = float(found[int((1 - RECALL) * len(found))])
+    groups = [g for g in (p[:n][held.labels == 1], p[n:][held.made_labels == 1], net.probabilities(held.ruled)) if len(g)]
+    net.threshold = float(min(np.sort(g)[int((1 - RECALL) * len(g))] for g in groups))
     harmless = [train_part.real[train_part.labels == 0], train_part.rest, held.real[held.labels == 0]]
-    net.certain = max([net.threshold, *(float(np.nextafter(net.probabilities(x).max(), 2)) for x in harmless if len(x))])
-    taken = p >= net.threshold
-    mean = lambda v: float(v.mean()) if len(v) else 0.0
-    net.report = {
-        "rules": int((held.labels == 1).sum()), "recall_rules": mean(taken[:n][held.labels == 1]), "recall_made": mean(taken[n:][held.made_labels == 1]),
-        "harmless": int((held.labels == 0).sum()), "false_real": mean(taken[:n][held.labels == 0]), "false_made": mean(taken[n:][held.made_labels == 0]), "threshold": net.threshold,
-    }
+    spare = float(np.nextafter(np.quantile(p[n:][held.made_labels == 0], SPARE), 2))
+    net.certain = max([net.threshold, spare, *(float(np.nextafter(net.probabilities(x).max(), 2)) for x in harmless if len(x))])
+    real, made = net.probabilities(unseen.real), net.probabilities(unseen.made)
+    share = lambda v, least: float((v >= least).mean()) if len(v) else 0.0
+    net.report = {"rules": int((unseen.labels == 1).sum()), "harmless": int((unseen.labels == 0).sum()), "threshold": net.threshold, "certain": net.certain, "recall_ruled": share(net.probabilities(unseen.ruled), net.threshold)}
+    for name, least in (("", net.threshold), ("certain_", net.certain)):
+        for group, v, y in (("rules", real, unseen.labels), ("made", made, unseen.made_labels)):
+            net.report |= {f"{name}recall_{group}": share(v[y == 1], least), f"{name}false_{'real' if group == 'rules' else group}": share(v[y == 0], least)}
     return net
 
 
@@ -320,7 +360,7 @@ def scan(docs: DataFrame, net: Network) -> DataFrame:
 def redact(docs: DataFrame, net: Network, mark: str = "<secret>") -> DataFrame:
     """``docs`` with every finding in ``text`` replaced by ``mark`` (findings that overlap or touch by one) and n_chars, if it is there, of the new text.
 
-    What is replaced is lost, so the network's findings count only if they score higher than all harmless candidates of its sample.
+    What is replaced is lost, so the network's findings count only if they score higher than all harmless candidates of its sample and than nearly all made harmless tokens (``certain``).
     Texts without findings, null ones too, stay as they are, and so do their other columns, whatever their names. Whole texts are
     read, of any length; repeated rows are changed alike; an empty table gives no rows.
     """
