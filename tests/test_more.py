@@ -124,3 +124,29 @@ def test_blocks_of_series(spark, monkeypatch):
         pairs = [(v, at[p - lag]) for _, p, v in a if p - lag in at]
         u, v = np.array(pairs).T
         assert n == len(pairs) and c == pytest.approx(np.cov(u, v)[0, 1] / (u.std() * v.std()))
+
+
+@pytest.mark.parametrize("name", ["m5_all_pairs", "m5_pair_statistics"])
+def test_all_pairs_of_the_whole_table(spark, duck, name):  # noqa: F811
+    n = spark.read.parquet(f"{SF}/part.parquet").count()
+    df = QUERIES[name](spark, SF)
+    cur = duck.execute(ORACLES[name])
+    columns = [d[0] for d in cur.description]
+    rows = df.collect()
+    assert sorted(columns) == sorted(df.columns)
+    assert sorted(tuple(shown(r[c]) for c in columns) for r in rows) == sorted(tuple(map(shown, r)) for r in cur.fetchall())
+    assert len(rows) == n * (n - 1) if name == "m5_all_pairs" else sum(r.n for r in rows) == n * (n - 1)
+
+
+@pytest.mark.parametrize("odd", [[], [(3, [1.0], [2.0, 3.0])], [(3, None, [2.0, 3.0]), (4, [1.0, None], None)]])
+def test_differences_of_odd_vectors(spark, odd):
+    """Vectors of one length go by plain expressions, others by lambdas; nulls stay null."""
+    from spotframe.operators import embed as em
+
+    rows = [(1, [1.0, 2.0], [0.5, 4.0]), (2, [4.0, 8.0], [1.5, 2.0]), *odd]
+    less = lambda a, b, k: None if k >= len(a) or k >= len(b) or a[k] is None or b[k] is None else a[k] - b[k]
+    each = lambda a, b: None if a is None or b is None else [less(a, b, k) for k in range(max(len(a), len(b)))]
+    square = lambda d: None if d is None or None in d else sum(x * x for x in d)
+    want = [(i, j, each(f, g), square(each(p, q))) for i, f, p in rows for j, g, q in rows if i != j]
+    got = em.all_difference_pairs(spark.createDataFrame(rows, "id long, features array<double>, params array<double>")).collect()
+    assert sorted((r.id, r.other, r.difference, r.distance2) for r in got) == sorted(want)
