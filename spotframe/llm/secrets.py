@@ -5,31 +5,39 @@ candidate, whatever it is made of; so are the parts of such runs outside of the
 secret. A network with one convolution over the characters before, in and after a candidate gives a calibrated probability, and
 candidates above a threshold become findings of kind ``cnn``. The network gives the rules' findings a score too.
 
-It is fitted in numpy on the driver, on a sample of at most ``TRAIN_DOCS`` documents of at most ``TRAIN_CHARS`` characters each and
-``TRAIN_BYTES`` bytes together: the rules' findings there (``RULED`` a document) are the labelled findings, the other candidates, found as in a scan, the
-negatives (for training ``NEGATIVES`` a document); as rules see few forms, ``MADE`` secrets and ``MADE`` harmless tokens of other forms are set into places of the sample.
-Two of three documents train, with all that stands in them. Every sixth sets calibration (Platt, with candidates in the balance of real
-text) and threshold: the largest that keeps a recall of ``RECALL`` of the rules' findings, of made ones of their forms (a sixth of ``MADE``) and of the made secrets, each for itself. Every other
-sixth sets nothing: ``Network.report`` has what was measured there.
+It is fitted on all documents. Tasks read whole texts: the rules' findings are the labelled findings, the other candidates, found as in a
+scan, the negatives; as rules see few forms, about ``MADE`` secrets and ``MADE`` harmless tokens of other forms are made and set into places of
+documents from all over the table. Two of three documents train, by a hash of the text. Different examples are dealt into shards by a hash;
+a first chunk of one starts the weights, then every shard goes over all of its examples and the shards' weights are averaged, in ``ROUNDS`` rounds.
+Every sixth document sets calibration (Platt, with candidates in the balance of real text) and threshold: the largest step of 1 / ``STEPS`` of the
+network's output that keeps a recall of ``RECALL`` of the rules' findings, of made ones of their forms (a sixth of ``MADE``) and of the made
+secrets, each for itself. Every other sixth sets nothing: ``Network.report`` has what was measured there. All of these are counted by
+Spark over all documents, equal ones as often as they stand there.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spotframe.llm.common import sliced
+from spotframe.llm.common import discard, sliced, written
 
 KINDS = ("assign", "access", "hex", "cnn")
 LEAST, BEFORE, INSIDE, AFTER = 12, 28, 44, 12
-TRAIN_DOCS, TRAIN_CHARS, TRAIN_BYTES, MADE, RECALL = 1500, 100_000, 8 << 20, 2700, 0.95
-RULED, NEGATIVES, MADE_WEIGHT = 20, 6, 0.05  # of a document; of a document, for training; of a made example, for calibration
-SPARE = 0.995  # share of made harmless tokens below `certain`
+MADE, RECALL = 2700, 0.95
+MADE_WEIGHT = 0.05  # of a made example, for calibration
+SPARE, SPARE_REAL = 0.995, 0.9999  # shares of made harmless tokens and of harmless candidates below `certain`
+SHARDS, CHUNK, ROUNDS = 64, 20_000, (0.002, 0.0007)  # most shards; examples that make a further shard; rates of the rounds
+STEPS, FAR = 256, 40  # outputs are counted in steps, from -FAR to FAR
+DEAL = (1, 0, 0, 2, 0, 0)  # documents for training (0), thresholds (1) and the report (2)
+HARMLESS, RULE, MADE_HARMLESS, MADE_SECRET, MADE_RULE = range(5)  # groups of examples
 EMBED, WIDTH, FILTERS, HIDDEN = 8, 5, 24, 24
 
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.IGNORECASE | re.ASCII)
@@ -84,15 +92,18 @@ def more_candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[i
     return out
 
 
+PAD = "\udfff"  # stands in no text
+CODES = np.array([1] * 32 + [c - 30 for c in range(32, 127)] + [97], dtype=np.uint8)
+
+
 def windows(text: str, spans: list[tuple[int, int, int]]) -> np.ndarray:
     """Character numbers around each span: BEFORE, the first and last of INSIDE, AFTER; 0 where there are none, 97 for others."""
-    out = np.zeros((len(spans), BEFORE + INSIDE + AFTER), dtype=np.uint8)
-    for r, (a, _, b) in enumerate(spans):
+    parts = []
+    for a, _, b in spans:
         inside = text[a:b] if b - a <= INSIDE else text[a : a + INSIDE // 2] + text[b - INSIDE // 2 : b]
-        for part, at in ((text[max(0, a - BEFORE) : a], BEFORE - min(a, BEFORE)), (inside, BEFORE), (text[b : b + AFTER], BEFORE + INSIDE)):
-            codes = np.frombuffer(part.encode("utf-32-le", "replace"), dtype=np.uint32)
-            out[r, at : at + len(codes)] = np.where((codes >= 32) & (codes < 127), codes - 30, np.where(codes < 32, 1, 97))
-    return out
+        parts += [text[max(0, a - BEFORE) : a].rjust(BEFORE, PAD), inside.ljust(INSIDE, PAD), text[b : b + AFTER].ljust(AFTER, PAD)]
+    codes = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    return np.where(codes == ord(PAD), 0, CODES[np.minimum(codes, 127)]).astype(np.uint8).reshape(len(spans), BEFORE + INSIDE + AFTER)
 
 
 @dataclass
@@ -101,7 +112,7 @@ class Network:
     slope: float = 1.0
     shift: float = 0.0
     threshold: float = 0.5
-    certain: float = 0.5  # above the scores of all harmless candidates of the sample and of SPARE of the made harmless tokens
+    certain: float = 0.5  # above the scores of SPARE_REAL of the harmless candidates and of SPARE of the made harmless tokens
     report: dict[str, float] | None = None  # of the documents that set nothing: recall of rules' and made secrets, share of real and made harmless candidates taken
 
     @staticmethod
@@ -215,114 +226,273 @@ def _harmless(rng: np.random.Generator) -> str:
 
 @dataclass
 class Examples:
-    """Windows with labels of one part of the sample. Real ones stand in its texts, made ones are set into places of them."""
+    """Windows with labels of one part of the documents. Real ones stand in their texts, made ones are set into places of them."""
 
     real: np.ndarray
     labels: np.ndarray
     made: np.ndarray
     made_labels: np.ndarray
     ruled: np.ndarray  # made ones of the rules' forms
-    rest: np.ndarray  # harmless ones of the texts beyond those taken for training
 
+    def groups(self) -> dict[int, np.ndarray]:
+        return {HARMLESS: self.real[self.labels == 0], RULE: self.real[self.labels == 1], MADE_HARMLESS: self.made[self.made_labels == 0], MADE_SECRET: self.made[self.made_labels == 1], MADE_RULE: self.ruled}
+
+
+def found(text: str, most: int = 20_000):
+    """(groups, windows) of all that stands in a text, some thousands at a time."""
+    base = base_spans(text)
+    spans = base + more_candidates(text, base)
+    for k in range(0, len(spans), most):
+        some = spans[k : k + most]
+        yield np.where([x[1] == 3 for x in some], HARMLESS, RULE), windows(text, some)
 
-def examples(texts, seed: int = 11, deal: tuple[int, ...] = (1, 0, 0, 2, 0, 0)) -> list[Examples]:
-    """Of the documents for training, for thresholds and for the report, dealt in turn by ``deal``; texts are read once and not kept."""
-    rng = np.random.default_rng(seed)
-    parts = []
-    for _ in range(3):
-        parts.append({"x": [np.zeros((0, BEFORE + INSIDE + AFTER), dtype=np.uint8)], "y": [], "places": [], "rest": [np.zeros((0, BEFORE + INSIDE + AFTER), dtype=np.uint8)]})
-    for n, t in enumerate(texts):
-        held = deal[n % len(deal)]
-        own = parts[held]
-        base = base_spans(t)
-        others = more_candidates(t, base)
-        if not held:  # of those held back all count, as in real text
-            order = rng.permutation(len(others)).tolist()
-            own["rest"].append(windows(t, [others[i] for i in order[NEGATIVES:]]))
-            others = [others[i] for i in sorted(order[:NEGATIVES])]
-        own["x"].append(windows(t, base[:RULED] + others))
-        own["y"] += [1] * len(base[:RULED]) + [0] * len(others)
-        blanks = [m.start() for m in re.finditer(r"\s", t)] or [0]
-        for at in rng.choice(blanks, 2):
-            own["places"].append((t[max(0, at - 2 * BEFORE) : at], t[at : at + 2 * AFTER]))
-    out = []
-    for part, made in zip(parts, (MADE, MADE // 2, MADE // 2), strict=True):
-        places = part["places"] or [("of the", "of")]
 
-        def placed(token: tuple[str, str], places=places) -> np.ndarray:
-            (before, after), (lead, token) = places[int(rng.integers(len(places)))], token
+def set_in(text: str, n: int, rng: np.random.Generator) -> list[tuple[int, np.ndarray]]:
+    """(group, window) of ``n`` made tokens in places of a text, and of made ones of the rules' forms, one for twelve."""
+    out = []
+    for k in range(n):
+        at = int(rng.integers(len(text) + 1))
+        blank = max(text.rfind(c, max(0, at - 200), at) for c in " \t\n\r")
+        at = max(blank, 0)
+        before, after = text[max(0, at - 2 * BEFORE) : at], text[at : at + 2 * AFTER]
+        secret = rng.random() < 0.5
+        tokens = [(MADE_SECRET if secret else MADE_HARMLESS, _made(rng, secret))] + ([(MADE_RULE, _ruled(rng))] if rng.random() < 1 / 12 else [])
+        for group, (lead, token) in tokens:
             head = f"{before} {lead}"
-            return windows(f"{head}{token} {after}", [(len(head), 3, len(head) + len(token))])
+            out.append((group, windows(f"{head}{token} {after}", [(len(head), 3, len(head) + len(token))])))
+    return out
+
 
-        x, y = [placed(_made(rng, k < made)) for k in range(2 * made)], [1] * made + [0] * made
-        ruled = [placed(_ruled(rng)) for _ in range(made // 6)]
-        out.append(Examples(np.concatenate(part["x"]), np.array(part["y"], dtype=np.float32), np.concatenate(x), np.array(y, dtype=np.float32), np.concatenate(ruled), np.concatenate(part["rest"])))
+def made_share(documents: int) -> list[float]:
+    """Made tokens of a document of each part, so that parts have 2 MADE, MADE and MADE of them."""
+    return [(2 if not part else 1) * MADE / max(1.0, documents * DEAL.count(part) / len(DEAL)) for part in range(3)]
+
+
+EMPTY = np.zeros((0, BEFORE + INSIDE + AFTER), dtype=np.uint8)
+
+
+def examples(texts, seed: int = 11, deal: tuple[int, ...] = DEAL) -> list[Examples]:
+    """Of the documents for training, for thresholds and for the report, dealt in turn by ``deal``."""
+    rng = np.random.default_rng(seed)
+    texts = list(texts)
+    share = made_share(len(texts))
+    parts = [{g: [EMPTY] for g in range(5)} for _ in range(3)]
+    for n, t in enumerate(texts):
+        own = parts[deal[n % len(deal)]]
+        for groups, x in found(t):
+            for g in (HARMLESS, RULE):
+                own[g].append(x[groups == g])
+        for g, x in set_in(t, int(share[deal[n % len(deal)]] + rng.random()), rng):
+            own[g].append(x)
+    out = []
+    for part in parts:
+        w = {g: np.concatenate(x) for g, x in part.items()}
+        label = lambda no, yes: np.repeat(np.array([0, 1], dtype=np.float32), [len(no), len(yes)])
+        out.append(Examples(np.concatenate([w[HARMLESS], w[RULE]]), label(w[HARMLESS], w[RULE]), np.concatenate([w[MADE_HARMLESS], w[MADE_SECRET]]), label(w[MADE_HARMLESS], w[MADE_SECRET]), w[MADE_RULE]))
     return out
 
 
-def fit(texts, seed: int = 11, epochs: int = 7) -> Network:
-    """A network of any iterable of texts."""
-    train_part, held, unseen = examples(texts, seed)
-    ruled = np.repeat(train_part.real[train_part.labels == 1], 4, axis=0)  # few, so they count more
-    ruled = np.concatenate([ruled, train_part.ruled])
-    x, y = np.concatenate([train_part.real, ruled, train_part.made]), np.concatenate([train_part.labels, np.ones(len(ruled), dtype=np.float32), train_part.made_labels])
+def teach(net: Network, groups: dict[int, np.ndarray], rates, seed: int) -> Network:
+    """A pass of Adam over windows of all groups for each of the rates; the rules' findings are few, so they count more."""
+    x = np.concatenate([groups[HARMLESS], np.repeat(groups[RULE], 5, axis=0), *(groups[g] for g in (MADE_HARMLESS, MADE_SECRET, MADE_RULE))])
+    harmless = [len(groups[HARMLESS]), 5 * len(groups[RULE]), len(groups[MADE_HARMLESS])]
+    y = np.ones(len(x), dtype=np.float32)
+    y[: harmless[0]] = 0
+    y[sum(harmless[:2]) : sum(harmless)] = 0
     rng = np.random.default_rng(seed)
     used = rng.permutation(len(x))
-    net = Network.new(seed)
     m = {k: np.zeros_like(v) for k, v in net.weights.items()}
     v = {k: np.zeros_like(a) for k, a in net.weights.items()}
     step = 0
-    for epoch in range(epochs):
-        rate = 0.004 if epoch < epochs - 2 else 0.001
+    for rate in rates:
         for k in range(0, len(used), 64):
             at = rng.permutation(used)[:64] if k + 64 > len(used) else used[k : k + 64]
             step += 1
-            for name, g in net.gradients(x[at], y[at]).items():  # Adam
+            for name, g in net.gradients(x[at], y[at]).items():
                 m[name] = 0.9 * m[name] + 0.1 * g
                 v[name] = 0.999 * v[name] + 0.001 * g * g
                 net.weights[name] -= rate * (m[name] / (1 - 0.9**step)) / (np.sqrt(v[name] / (1 - 0.999**step)) + 1e-8)
         rng.shuffle(used)
-    z, t = net.logits(np.concatenate([held.real, held.made])), np.concatenate([held.labels, held.made_labels])
-    weight = np.concatenate([np.ones(len(held.labels)), np.full(len(held.made_labels), MADE_WEIGHT)])
-    weight /= weight.sum()
+    return net
+
+
+def first_rates(n: int) -> list[float]:
+    """Rates of the passes over the first ``n`` examples: more passes over few."""
+    return [0.004] * (min(7, max(3, math.ceil(90_000 / max(n, 1)))) - 2) + [0.001] * 2
+
+
+def steps(z: np.ndarray) -> np.ndarray:
+    return np.floor(np.clip(z, -FAR, FAR - 1 / STEPS) * STEPS).astype(np.int64) + FAR * STEPS
+
+
+def settle(net: Network, counts: dict[tuple[int, int], np.ndarray]) -> Network:
+    """Calibration, thresholds and report, of how many examples of each (part, group) have an output in each step."""
+    none = np.zeros(2 * FAR * STEPS)
+    of = lambda part, group: counts.get((part, group), none)
+    z = (np.arange(len(none)) + 0.5) / STEPS - FAR
+    real, made = of(1, HARMLESS) + of(1, RULE), of(1, MADE_HARMLESS) + of(1, MADE_SECRET)
+    weight, positive = real + MADE_WEIGHT * made, of(1, RULE) + MADE_WEIGHT * of(1, MADE_SECRET)
+    weight, positive = weight / weight.sum(), positive / weight.sum()
     slope, shift = 1.0, 0.0
     for _ in range(300):  # Platt scaling, by gradient on standardised scores
         p = 1 / (1 + np.exp(-np.clip(slope * z + shift, -30, 30)))
-        slope -= 0.5 * float((weight * (p - t) * z).sum()) / max(1.0, float((weight * z * z).sum()) / 4)
-        shift -= 0.5 * float((weight * (p - t)).sum())
+        slope -= 0.5 * float(((weight * p - positive) * z).sum()) / max(1.0, float((weight * z * z).sum()) / 4)
+        shift -= 0.5 * float((weight * p - positive).sum())
     net.slope, net.shift = max(slope, 1e-3), shift
-    p, n = net.calibrated(z), len(held.labels)
-    groups = [g for g in (p[:n][held.labels == 1], p[n:][held.made_labels == 1], net.probabilities(held.ruled)) if len(g)]
-    net.threshold = float(min(np.sort(g)[int((1 - RECALL) * len(g))] for g in groups))
-    harmless = [train_part.real[train_part.labels == 0], train_part.rest, held.real[held.labels == 0]]
-    spare = float(np.nextafter(np.quantile(p[n:][held.made_labels == 0], SPARE), 2))
-    net.certain = max([net.threshold, spare, *(float(np.nextafter(net.probabilities(x).max(), 2)) for x in harmless if len(x))])
-    real, made = net.probabilities(unseen.real), net.probabilities(unseen.made)
-    share = lambda v, least: float((v >= least).mean()) if len(v) else 0.0
-    net.report = {"rules": int((unseen.labels == 1).sum()), "harmless": int((unseen.labels == 0).sum()), "threshold": net.threshold, "certain": net.certain, "recall_ruled": share(net.probabilities(unseen.ruled), net.threshold)}
-    for name, least in (("", net.threshold), ("certain_", net.certain)):
-        for group, v, y in (("rules", real, unseen.labels), ("made", made, unseen.made_labels)):
-            net.report |= {f"{name}recall_{group}": share(v[y == 1], least), f"{name}false_{'real' if group == 'rules' else group}": share(v[y == 0], least)}
+    above = lambda c: np.append(c[::-1].cumsum()[::-1], 0)  # from each step on
+    keeps = [int(np.flatnonzero(above(c) >= RECALL * c.sum())[-1]) for c in (of(1, RULE), of(1, MADE_SECRET), of(1, MADE_RULE)) if c.sum()]
+    spares = [int(np.flatnonzero(above(c) <= (1 - share) * c.sum() + 1e-9)[0]) for c, share in ((of(0, HARMLESS) + of(1, HARMLESS), SPARE_REAL), (of(1, MADE_HARMLESS), SPARE))]
+    least = min(keeps)
+    certain = max(least, *spares)
+    net.threshold, net.certain = (float(net.calibrated(np.float64(k / STEPS - FAR))) for k in (least, certain))
+    share = lambda group, k: float(above(of(2, group))[k] / max(of(2, group).sum(), 1))
+    net.report = {"rules": int(of(2, RULE).sum()), "harmless": int(of(2, HARMLESS).sum()), "threshold": net.threshold, "certain": net.certain, "recall_ruled": share(MADE_RULE, least)}
+    for name, k in (("", least), ("certain_", certain)):
+        net.report |= {f"{name}recall_rules": share(RULE, k), f"{name}false_real": share(HARMLESS, k), f"{name}recall_made": share(MADE_SECRET, k), f"{name}false_made": share(MADE_HARMLESS, k)}
     return net
 
 
-def train(docs: DataFrame) -> Network:
-    """Fit on a sample, picked by a hash of text and id."""
-    known = docs.filter(F.col("text").isNotNull())
-    share = min(1.0, 1.5 * TRAIN_DOCS / max(known.count(), 1))
-    mark = F.xxhash64(F.length("text"), "text", "doc_id")
-    picked = known.filter((F.length("text") <= TRAIN_CHARS) & (F.pmod(mark, F.lit(1 << 20)) < int(share * (1 << 20)) + 1))
-    rows = picked.groupBy(mark.alias("mark")).agg(F.min("text").alias("text")).orderBy("mark").limit(TRAIN_DOCS)
+def fit(texts, seed: int = 11) -> Network:
+    """A network of any iterable of texts, in this process; ``train`` does the same for a table."""
+    parts = [x.groups() for x in examples(texts, seed)]
+    net = teach(Network.new(seed), parts[0], first_rates(sum(map(len, parts[0].values()))), seed)
+    return settle(net, {(k, g): np.bincount(steps(net.logits(x)), minlength=2 * FAR * STEPS) for k, part in enumerate(parts) for g, x in part.items()})
+
+
+def gathered(docs: DataFrame) -> DataFrame:
+    """(part, kind, x, n): the different windows of all documents by part and group, and how often they stand there."""
+    text = F.col("text").cast("string")
+    known = docs.filter(F.col("text").isNotNull()).select(text.alias("text"), F.xxhash64(text).alias("by"), F.xxhash64(text, "doc_id").alias("mark"))
+    n = known.count()
+    if n < 600:  # so few that a part may have no places: some for made tokens alone
+        more = docs.sparkSession.range(60).select(F.concat(F.lit("of the "), F.col("id").cast("string"), F.lit(" of")).alias("text"))
+        known, n = known.unionByName(more.select("text", F.xxhash64("text").alias("by"), F.xxhash64("text", F.lit(0)).alias("mark"))), n + 60
+    share = made_share(n)
+
+    def batch(part, kinds, x):
+        x = np.ascontiguousarray(x)
+        ends = pa.py_buffer(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32).tobytes())
+        return pa.RecordBatch.from_arrays([pa.array(np.asarray(part, dtype=np.int32)), pa.array(np.asarray(kinds, dtype=np.int32)), pa.Array.from_buffers(pa.binary(), len(x), [None, ends, pa.py_buffer(x.tobytes())])], names=["part", "kind", "x"])
+
+    def run(batches):
+        for b in sliced(batches):
+            parts, kinds, xs, held = [], [], [], 0
+            for t, by, mark in zip(b.column("text").to_pylist(), b.column("by").to_pylist(), b.column("mark").to_pylist(), strict=True):
+                part = DEAL[by % len(DEAL)]
+                rng = np.random.default_rng(mark & ((1 << 63) - 1))
+                made = set_in(t, int(share[part] + rng.random()), rng)
+                for groups, x in (*found(t), *(([g], x) for g, x in made)):
+                    parts.append(np.full(len(x), part))
+                    kinds.append(groups)
+                    xs.append(x)
+                    held += len(x)
+                    if held >= 20_000:
+                        yield batch(np.concatenate(parts), np.concatenate(kinds), np.concatenate(xs))
+                        parts, kinds, xs, held = [], [], [], 0
+            if held:
+                yield batch(np.concatenate(parts), np.concatenate(kinds), np.concatenate(xs))
+
+    return known.mapInArrow(run, "part int, kind int, x binary").groupBy("part", "kind", "x").agg(F.count("*").alias("n"))
+
+
+def as_windows(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, EMPTY.shape[1])
+
+
+def taught(rows: DataFrame, net: Network, made: dict[int, np.ndarray], rates) -> list[tuple[int, int, dict[str, np.ndarray]]]:
+    """(shard, examples, weights) of passes that each shard makes over its rows (shard, kind, x) from the same weights; a shard's rows stand together, chunks are learned one after the other."""
+    shared = rows.sparkSession.sparkContext.broadcast((net.weights, made))
+
+    def run(batches):
+        start, made = shared.value
+        now, n, own, kinds, xs = None, 0, None, [], []
+
+        def learn():
+            nonlocal kinds, xs
+            k, x = np.concatenate(kinds), np.concatenate(xs)
+            groups = {HARMLESS: x[k == HARMLESS], RULE: x[k == RULE]} | made
+            teach(own, groups, rates or first_rates(sum(map(len, groups.values()))), now + 1)
+            kinds, xs = [], []
+
+        def done():
+            if sum(map(len, xs)):
+                learn()
+            flat = b"".join(own.weights[k].tobytes() for k in sorted(own.weights))
+            return pa.RecordBatch.from_pydict({"shard": pa.array([now], pa.int32()), "n": pa.array([n], pa.int64()), "w": pa.array([flat], pa.binary())})
+
+        for b in batches:
+            shards, kind, x = b.column("shard").to_numpy(zero_copy_only=False), b.column("kind").to_numpy(zero_copy_only=False), as_windows(b.column("x"))
+            cuts = [0, *(np.flatnonzero(np.diff(shards)) + 1).tolist(), len(x)]
+            for a, z in zip(cuts, cuts[1:], strict=False):
+                if a == z:
+                    continue
+                if shards[a] != now:
+                    if now is not None:
+                        yield done()
+                    now, n, own = int(shards[a]), 0, Network({k: w.copy() for k, w in start.items()})
+                while a < z:
+                    to = min(z, a + 2 * CHUNK - sum(map(len, xs)))
+                    kinds.append(kind[a:to])
+                    xs.append(x[a:to])
+                    n, a = n + to - a, to
+                    if sum(map(len, xs)) == 2 * CHUNK:
+                        learn()
+        if now is not None:
+            yield done()
+
+    out = []
+    for r in sorted(rows.mapInArrow(run, "shard int, n long, w binary").collect(), key=lambda r: r["shard"]):  # sorted here, as a sort by ranges would learn twice
+        flat, weights, at = np.frombuffer(bytes(r["w"]), dtype=np.float32), {}, 0
+        for k in sorted(net.weights):
+            weights[k] = flat[at : at + net.weights[k].size].reshape(net.weights[k].shape).copy()
+            at += weights[k].size
+        out.append((r["shard"], r["n"], weights))
+    return out
+
+
+def counted(seen: DataFrame, net: Network) -> dict[tuple[int, int], np.ndarray]:
+    """How many examples of each (part, group) have an output in each step."""
+    shared = seen.sparkSession.sparkContext.broadcast(net)
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                yield pa.RecordBatch.from_arrays([b.column("part"), b.column("kind"), pa.array(steps(shared.value.logits(as_windows(b.column("x"))))), b.column("n")], names=["part", "kind", "step", "n"])
+
+    out = {}
+    for r in seen.mapInArrow(run, "part int, kind int, step long, n long").groupBy("part", "kind", "step").agg(F.sum("n").alias("n")).toLocalIterator():
+        out.setdefault((r["part"], r["kind"]), np.zeros(2 * FAR * STEPS))[r["step"]] = r["n"]
+    return out
 
-    def sample():
-        size = 0
-        for r in rows.toLocalIterator():
-            size += len(r["text"].encode("utf-8", "replace"))
-            if size > TRAIN_BYTES:
-                return
-            yield r["text"]
 
-    return fit(sample())
+def train(docs: DataFrame, seed: int = 11) -> Network:
+    """Fit on all documents; but for the last digits of sums, the result hangs on the rows alone, not on how they are partitioned."""
+    seen, path = written(gathered(docs), "secret-examples")
+    rows = None
+    try:
+        made = {g: EMPTY for g in (MADE_HARMLESS, MADE_SECRET, MADE_RULE)}
+        # some thousands, whatever the table
+        for g in made:
+            own = [bytes(r["x"]) for r in seen.filter((F.col("part") == 0) & (F.col("kind") == g)).select("x").orderBy("x").collect()]
+            made[g] = np.frombuffer(b"".join(own), dtype=np.uint8).reshape(-1, EMPTY.shape[1])
+        real = seen.filter((F.col("part") == 0) & (F.col("kind") <= RULE))
+        n = max(1, min(SHARDS, real.count() // CHUNK))
+        rows = real.select(F.pmod(F.xxhash64("x"), F.lit(n)).cast("int").alias("shard"), F.xxhash64("x", F.lit(seed)).alias("mark"), "kind", "x").repartition("shard").sortWithinPartitions("shard", "mark", "x", "kind").persist(StorageLevel.DISK_ONLY)
+        net = Network.new(seed)
+        first = taught(rows.filter("shard = 0").orderBy("mark", "x", "kind").limit(2 * CHUNK), net, made, None)
+        if first:
+            net.weights = first[0][2]
+        else:  # texts without candidates
+            teach(net, {HARMLESS: EMPTY, RULE: EMPTY} | made, first_rates(sum(map(len, made.values()))), seed)
+        for rate in ROUNDS if n > 1 else ():
+            each = taught(rows, net, made, [rate])
+            every = sum(k for _, k, _ in each)
+            net.weights = {name: sum(w[name].astype(np.float64) * (k / every) for _, k, w in each).astype(np.float32) for name in net.weights}
+        return settle(net, counted(seen, net))
+    finally:
+        if rows is not None:
+            rows.unpersist()
+        discard(docs.sparkSession, path)
 
 
 def findings_of(net: Network, texts: list[str | None], least: float | None = None) -> list[list[tuple[int, int, int, float]]]:
@@ -360,7 +530,7 @@ def scan(docs: DataFrame, net: Network) -> DataFrame:
 def redact(docs: DataFrame, net: Network, mark: str = "<secret>") -> DataFrame:
     """``docs`` with every finding in ``text`` replaced by ``mark`` (findings that overlap or touch by one) and n_chars, if it is there, of the new text.
 
-    What is replaced is lost, so the network's findings count only if they score higher than all harmless candidates of its sample and than nearly all made harmless tokens (``certain``).
+    What is replaced is lost, so the network's findings count only if they score higher than all but one of 10,000 harmless candidates and than nearly all made harmless tokens (``certain``).
     Texts without findings, null ones too, stay as they are, and so do their other columns, whatever their names. Whole texts are
     read, of any length; repeated rows are changed alike; an empty table gives no rows.
     """

@@ -163,3 +163,48 @@ def test_odd_rows(spark, net):
     assert [tuple(r) for r in secrets.redact(clash, net).collect()] == [(3, 'é <secret>"', "mine", 1)] * 2 and secrets.redact(clash.limit(0), net).collect() == []
     assert secrets.scan(spark.createDataFrame([], "doc_id long, text string"), net).collect() == []
     assert secrets.train(spark.createDataFrame([], "doc_id long, text string")).threshold > 0
+
+
+def test_fit_counts_all_documents(spark):
+    """Nothing is left out for the length of a text or the number of texts, findings or candidates."""
+    from pyspark.sql import functions as F
+
+    rows = [(i, f"text {i} of words_{i}_and_more " * 3) for i in range(1800)]
+    rows += [(10_000 + i, "".join(f"run {i}.{k}-abcdefghijklm and {k:04d}{i:012d} " for k in range(800))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    parts = {r.doc_id: secrets.DEAL[r.by] for r in docs.select("doc_id", F.pmod(F.xxhash64("text"), F.lit(6)).alias("by")).collect()}
+    base = {i: secrets.base_spans(t) for i, t in rows}
+    assert set(parts.values()) == {0, 1, 2} and len({parts[i] for i in range(10_000, 10_060)}) == 3
+    seen = {(r.part, r.kind): (r.n, r.different) for r in secrets.gathered(docs).groupBy("part", "kind").agg(F.sum("n").alias("n"), F.count("*").alias("different")).collect()}
+    for part in range(3):
+        assert seen[part, secrets.RULE][0] == sum(len(base[i]) for i, _ in rows if parts[i] == part)
+        assert seen[part, secrets.HARMLESS][0] == sum(len(secrets.more_candidates(t, base[i])) for i, t in rows if parts[i] == part)
+        assert abs(seen[part, secrets.MADE_HARMLESS][0] + seen[part, secrets.MADE_SECRET][0] - (5400, 2700, 2700)[part]) < 800
+
+
+def test_report_counts_long_texts_and_every_finding(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(i, f"see {i} " + "".join(f"a value {k:04d}{i:012d}, then word_{k}_of_{i}_here; " for k in range(60))) for i in range(40)]
+    rows += [(100 + i, "x " * 60_000 + f"long_text_{i}_of_words {i:016d}") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    held = [t for _, t in rows if t in {r.text for r in docs.filter(F.pmod(F.xxhash64("text"), F.lit(6)) == 3).collect()}]
+    assert any(len(t) > 100_000 for t in held) and any(len(t) < 100_000 for t in held)
+    report = secrets.train(docs).report
+    assert report["rules"] == sum(len(secrets.base_spans(t)) for t in held)
+    assert report["harmless"] == sum(len(secrets.more_candidates(t, secrets.base_spans(t))) for t in held)
+
+
+def test_every_shard_goes_over_all_its_examples(spark):
+    """Whatever the partitions, the same examples give the same weights."""
+    rng = np.random.default_rng(3)
+    rows = [(i % 3, int(rng.random() < 0.1), rng.integers(0, 98, 84).astype(np.uint8).tobytes()) for i in range(900)]
+    made = {g: rng.integers(0, 98, (20, 84)).astype(np.uint8) for g in (2, 3, 4)}
+    out = []
+    for n in (1, 5):
+        df = spark.createDataFrame([(s, k, bytearray(x)) for s, k, x in rows], "shard int, kind int, x binary").repartition(n, "shard").sortWithinPartitions("shard", "x")
+        out.append(secrets.taught(df, secrets.Network.new(2), made, [0.002]))
+    assert [(s, n) for s, n, _ in out[0]] == [(s, n) for s, n, _ in out[1]] == [(s, 300) for s in range(3)]
+    for (_, _, a), (_, _, b) in zip(*out, strict=True):
+        assert all(np.array_equal(a[k], b[k]) for k in a)
+        assert any(not np.array_equal(a[k], secrets.Network.new(2).weights[k]) for k in a)
