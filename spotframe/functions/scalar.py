@@ -37,6 +37,12 @@ def scaled_distance2(z1: Column, x1: Column, y1: Column, z2: Column, x2: Column,
     return F.pow((z1 - z2) * scale_z, F.lit(2.0)) + F.pow((x1 - x2) * scale_xy, F.lit(2.0)) + F.pow((y1 - y2) * scale_xy, F.lit(2.0))
 
 
+def round_signed(value: Column, digits: int) -> Column:
+    """Rounded double that keeps the sign of what rounds to zero (-0.0), as SQL engines that round in floating point have it; Spark's own ``round`` gives 0.0."""
+    out = F.round(value, digits)
+    return F.when(out == 0, value * 0.0).otherwise(out)
+
+
 def vector_distance(a: Column, b: Column, metric: str = "euclidean") -> Column:
     term = (lambda x, y: F.abs(x - y)) if metric == "manhattan" else (lambda x, y: (x - y) * (x - y))
     total = F.aggregate(F.zip_with(a, b, term), F.lit(0.0), lambda s, v: s + v)

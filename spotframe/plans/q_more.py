@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
+from spotframe.functions import scalar as sc
 from spotframe.operators import calib as cb
 from spotframe.operators import embed as em
 from spotframe.operators import frames as fr
@@ -179,7 +180,7 @@ def _(spark, sf):
 def _(spark, sf):
     e = tb.named_embeddings(spark, sf)
     part = lambda k, a: e.select(F.col("id").alias("sim_id"), F.lit(k).alias("sigma_no"), F.slice("embedding", a, 10).alias("hist"))
-    return cb.flatten_histograms(part(1, 21).unionByName(part(0, 1))).select("sim_id", F.transform("hist", lambda x: F.round(x, 6)).alias("hist"))
+    return cb.flatten_histograms(part(1, 21).unionByName(part(0, 1))).select("sim_id", F.transform("hist", lambda x: sc.round_signed(x, 6)).alias("hist"))
 
 
 @query("m4_regress", " SELECT round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 3) AS intercept FROM lineitem")
