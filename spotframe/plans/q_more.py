@@ -317,7 +317,7 @@ def _(spark, sf):
 def _(spark, sf):
     images = tb.named_embeddings(spark, sf).select("name", F.col("embedding").alias("pixels"))
     out = em.embed_images(images, lambda: lambda x: np.stack([x.mean(axis=1), x.max(axis=1), x.min(axis=1)], axis=1))
-    return out.select("name", F.transform("embedding", lambda v: F.round(v, 5)).alias("embedding"))
+    return out.select("name", F.transform("embedding", lambda v: sc.round_signed(v, 5)).alias("embedding"))
 
 
 # sources and sinks: written to a new folder and read back
