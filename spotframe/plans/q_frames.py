@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from spotframe.functions import scalar as sc
 from spotframe.operators import frames as fr
 from spotframe.operators import tiles as ti
 from spotframe.operators import tracks as tk
@@ -34,7 +35,7 @@ g3 AS (SELECT stack_id, c, t, g.sigma_no, z, x, i AS y, sum(v * w) AS v FROM g2
 @query("h1_gaussian_frames", with_tables("voxels") + blurred(1.0) + " SELECT stack_id * 2 + c AS stack_id, t, list(round(CAST(CAST(v AS FLOAT) AS DOUBLE), 1) ORDER BY z, x, y) AS pixels FROM g3 GROUP BY 1, 2")
 def _(spark, sf):
     out = fr.filter_frames(frames(spark, sf), "gaussian", 1.0)
-    return out.select("stack_id", "t", F.transform("pixels", lambda p: F.round(p.cast("double"), 1)).alias("pixels"))
+    return out.select("stack_id", "t", F.transform("pixels", lambda p: sc.round_signed(p.cast("double"), 1)).alias("pixels"))
 
 
 @query("h2_label_frames")

@@ -17,7 +17,7 @@ def tiny(spark, tmp_path_factory):
     return str(path)
 
 
-@pytest.mark.parametrize("name", ["g25_flatten", "h12_embed_images"])
+@pytest.mark.parametrize("name", ["g25_flatten", "h12_embed_images", "h1_gaussian_frames"])
 def test_sign_of_zero(spark, tiny, name):
     c = duckdb.connect()
     c.execute(f"create view embeddings as select * from read_parquet('{tiny}/embeddings.parquet/*.parquet')")
