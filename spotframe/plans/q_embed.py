@@ -100,7 +100,7 @@ def _(spark, sf):
 h AS (SELECT CAST(least(floor((abs(difference) - p0) * 6 / (p1 - p0)), 5) AS INTEGER) AS p_bin, CAST(least(floor((distance - e0) * 5 / (e1 - e0)), 4) AS INTEGER) AS e_bin, count(*) AS n FROM pairs, s GROUP BY 1, 2)
 SELECT p_bin, e_bin, n, round(n / sum(n) OVER (PARTITION BY p_bin), 6) AS share FROM h""")
 def _(spark, sf):
-    return em.joint_histogram(em.one_param_pairs(params(spark, sf), 4), 6, 5).select("p_bin", "e_bin", "n", r6("share"))
+    return em.joint_histogram(em.one_param_counts(params(spark, sf), 4), 6, 5).select("p_bin", "e_bin", "n", r6("share"))
 
 
 NAMED = ", n AS (SELECT id, string_split(name, '_')[1] AS sample, string_split(name, '_')[2] AS stack, string_split(name, '_')[3] AS nucleus, embedding FROM emb)"
