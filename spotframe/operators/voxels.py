@@ -460,7 +460,8 @@ def center_crop(images: DataFrame, keys: list[str], lengths: tuple[int, int], si
 def clicks_to_maximum(clicks: DataFrame, voxels: DataFrame, length: int = 5, z_rad: int = 1) -> DataFrame:
     """Clicks (stack_id, t, z, x, y) moved to the slice within ``z_rad`` whose box has the largest mean, there to the largest pixel of the box; each once."""
     ask = clicks.select(*POINT).distinct().select(*POINT, *[F.col(k).alias(f"at_{k}") for k in "zxy"])
-    near = around(ask, box(2 * z_rad + 1, length, length)).join(voxels.select(*POINT, "value"), POINT)
+    # Spark takes what is asked to be as small as before it was exploded and would broadcast it
+    near = around(ask, box(2 * z_rad + 1, length, length)).join(voxels.select(*POINT, "value").hint("merge"), POINT)
     key = ["stack_id", "t", "at_z", "at_x", "at_y"]
     slices = near.groupBy(*key, "z").agg(F.avg("value").alias("mean"), F.max_by(F.struct("x", "y"), F.struct("value", (-F.col("x")).alias("a"), (-F.col("y")).alias("b"))).alias("at"))
     best = slices.groupBy(*key).agg(F.max_by(F.struct("z", "at"), F.struct("mean", (-F.col("z")).alias("a"))).alias("b"))
