@@ -125,32 +125,30 @@ def link_by_nucleus(fits: DataFrame, labels: DataFrame, size: tuple[int, int, in
     Of two candidates the first stays while the track has at most one row, then the one nearer to the last kept position.
     """
     rows = nucleus_of(fits, labels, size).filter("nuc_id > 0")
-    per = rows.groupBy("stack_id", "nuc_id").agg(F.sort_array(F.collect_list(F.struct("t", "fit_no", "z", "x", "y"))).alias("spots"))
-    one = "struct<t:int,fit_no:bigint,z:double,x:double,y:double>"
+    place = ["fit_no", "z", "x", "y"]
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in ("stack_id", "nuc_id")}
+    given = rows.select("stack_id", "nuc_id", F.col("t").cast("int").alias("t"), F.col("fit_no").cast("long").alias("fit_no"), *[F.col(c).cast("double").alias(c) for c in "zxy"])
 
     def d2(a, b):
-        return sum(((a[k] - b[k]) * (a[k] - b[k]) for k in ("x", "y")), (a["z"] - b["z"]) * (a["z"] - b["z"]))
-
-    def step(acc, s):
-        last, n = F.element_at(acc, -1), F.size(acc)
-        before = F.element_at(acc, -2)
-        same = (n > 0) & (last["t"] == s["t"])
-        swap = same & (n > 2) & (d2(s, before) < d2(last, before))
-        return F.when(n == 0, F.array(s)).when(swap, F.concat(F.slice(acc, 1, F.greatest(n - 1, F.lit(0))), F.array(s))).when(same, acc).otherwise(F.concat(acc, F.array(s)))
-
-    seed = F.array().cast(f"array<{one}>")
-    guarded = F.aggregate(F.transform("spots", lambda s: s.cast(one)), seed, lambda acc, s: F.when(F.size(acc) < 2, _early(acc, s)).otherwise(step(acc, s)))
-    kept = per.select("stack_id", "nuc_id", F.explode(guarded).alias("s")).select("stack_id", "nuc_id", "s.*")
+        return (a[1] - b[1]) * (a[1] - b[1]) + (a[2] - b[2]) * (a[2] - b[2]) + (a[3] - b[3]) * (a[3] - b[3])
+
+    def step(state, held):
+        """One frame of a nucleus: only the last kept spot and the number of kept ones are held from the frames before."""
+        best, before = held[0][3:], state["last"]
+        if state["n"] >= 2:
+            for v in held[1:]:
+                if d2(v[3:], before) < d2(best, before):
+                    best = v[3:]
+        state["n"], state["last"] = state["n"] + 1, best
+        return [(*held[0][:3], *best)]
+
+    schema = f"stack_id {kinds['stack_id']}, nuc_id {kinds['nuc_id']}, t int, fit_no long, z double, x double, y double"
+    kept, _ = written(graph.walk(given, ["stack_id", "nuc_id"], ["t", *place], place, lambda: {"n": 0, "last": None}, step, schema), "kept-spots")
     first = kept.groupBy("stack_id", "nuc_id").agg(F.min(F.struct("t", "fit_no")).alias("first"))
     number = first.withColumn("spot_id", F.row_number().over(W.partitionBy("stack_id").orderBy("first"))).drop("first")
     return kept.join(number, ["stack_id", "nuc_id"])
 
 
-def _early(acc, s):
-    """While there are fewer than two kept spots: the first of a frame stays."""
-    return F.when(F.size(acc) == 0, F.array(s)).when(F.get(acc, F.size(acc) - 1)["t"] == s["t"], acc).otherwise(F.concat(acc, F.array(s)))
-
-
 def track_labels(labels: DataFrame, max_skip: int = 2, update: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Labels carried forward: an object takes the track of its reciprocal best overlap one frame back, else further, up to max_skip + 1.
 

@@ -3,6 +3,7 @@
 import contextlib
 import io
 
+from spotframe.operators import tracks as tk
 from spotframe.operators import voxels as vx
 
 
@@ -21,3 +22,12 @@ def test_clicks_are_never_broadcast(spark):
     out = vx.clicks_to_maximum(v.filter("x = 1 AND y = 1 AND z = 1"), v, 3, 1)
     assert "BroadcastHashJoin" not in plan(out)
     assert [tuple(r) for r in out.collect()] == [(0, 0, 2, 2, 2)]
+
+
+def test_long_tracks_stream(spark):
+    """Two spots a frame, the second always the nearer one from the third frame on; a frame is held at once, not the track."""
+    labels = spark.createDataFrame([(0, t, 0, x, 0, 1) for t in range(300) for x in range(9)], "stack_id long, t int, z int, x int, y int, label int")
+    fits = spark.createDataFrame([(0, t, 2 * t + i, 0.0, float(x), 0.0) for t in range(300) for i, x in enumerate((8, 1) if t > 1 else (0, 5))], "stack_id long, t int, fit_no long, z double, x double, y double")
+    out = tk.link_by_nucleus(fits, labels, (1, 9, 1))
+    assert "collect_list" not in plan(out)
+    assert [(r.t, r.x) for r in out.orderBy("t").collect()] == [(t, 0.0 if t < 2 else 1.0) for t in range(300)]
