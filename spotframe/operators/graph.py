@@ -20,9 +20,14 @@ def components(links: DataFrame, max_rounds: int = 100) -> DataFrame:
     least that a neighbour's pointer points to, and pointers are shortened. Chains take a logarithm of rounds in practice. Minima
     are aggregated before they are dealt out, so a node with very many links is no hot key. Up to ``ONE_TASK`` different links go through the same
     rounds in one task. An empty table gives no rows.
+
+    Two further columns may name the blocks that the two nodes lie in, if a block's links fit into a task: then each block is joined first, and only links between
+    what was joined there go through the rounds.
     """
     a, b = links.columns[:2]
     spark = links.sparkSession
+    if len(links.columns) == 4:
+        return _by_blocks(links.toDF("u", "v", "bu", "bv").filter("u IS NOT NULL AND v IS NOT NULL AND u <> v"), max_rounds)
     lower = links.select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v")).filter(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).distinct()
     lower, lower_path = written(lower, "links")
     if lower.count() <= ONE_TASK:
@@ -47,6 +52,26 @@ def components(links: DataFrame, max_rounds: int = 100) -> DataFrame:
     raise RuntimeError(f"no fixed point after {max_rounds} rounds")
 
 
+def _by_blocks(links: DataFrame, max_rounds: int) -> DataFrame:
+    links, links_path = written(links, "block-links")
+    inside = links.filter("bu = bv").select("bu", "u", "v")
+
+    def join(pdf):
+        return next(_in_one_task(iter([pdf[["u", "v"]]])))
+
+    local, local_path = written(inside.groupBy("bu").applyInPandas(join, "node long, root long"), "block-roots")
+    at = lambda name, to: local.select(F.col("node").alias(name), F.col("root").alias(to))
+    far = links.filter("bu <> bv").select("u", "v").join(at("u", "ru"), "u", "left").join(at("v", "rv"), "v", "left")
+    between, between_path = written(far.select(F.coalesce("ru", "u").alias("u"), F.coalesce("rv", "v").alias("v")).distinct(), "links-between")
+    top = components(between, max_rounds)
+    top, _ = written(top, "roots")
+    ends = local.join(top.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    # nodes that have links between blocks alone
+    alone = top.join(local.select("node"), "node", "left_anti")
+    discard(links.sparkSession, links_path, between_path)
+    return ends.unionByName(alone)
+
+
 def _in_one_task(parts: Iterator) -> Iterator:
     import numpy as np
     import pandas as pd

@@ -16,6 +16,7 @@ from spotframe.operators.voxels import nucleus_of
 from spotframe.sources.scratch import discard, written
 
 SPOT = ["stack_id", "spot_id"]
+BLOCK = 8  # frames whose links are joined in one task
 
 
 def link_nearest(fits: DataFrame, max_gap: int = 1, max_jump: float = 10.0, scale_xy: float = 1.0, scale_z: float = 1.0) -> DataFrame:
@@ -35,7 +36,8 @@ def link_nearest(fits: DataFrame, max_gap: int = 1, max_jump: float = 10.0, scal
     places = rows.filter("_z IS NOT NULL AND _x IS NOT NULL AND _y IS NOT NULL").groupBy(*same).agg(F.min("_id").alias("_pid")).join(frames, ["stack_id", "t"])
     places, places_path = written(places, "places")
     near, near_path = written(nearest_before(places, max_gap + 1, max_jump), "nearest")
-    roots = graph.components(near.select("_pid", F.explode("backs").alias("b")))
+    back = F.col("t") - F.col("lag")
+    roots = graph.components(near.select("_pid", F.explode("backs").alias("b"), F.struct("stack_id", F.floor(F.col("t") / BLOCK).alias("b")).alias("_u"), F.struct("stack_id", F.floor(back / BLOCK).alias("b")).alias("_v")))
     asks = near.groupBy("_pid").agg(F.array_sort(F.collect_list(F.struct("lag", "far", "backs"))).alias("n"))
     spots = rows.select("stack_id", "t", "fit_no", "_z", "_x", "_y", "_id").join(places.select(*same, "_pid"), same, "left")
     spots = spots.join(asks, "_pid", "left").join(roots.withColumnRenamed("node", "_pid"), "_pid", "left").withColumn("root", F.coalesce("root", "_id"))
@@ -78,7 +80,7 @@ TILE = 8  # largest jumps along the edge of a tile
 
 
 def nearest_before(places: DataFrame, lags: int, max_jump: float) -> DataFrame:
-    """(_pid, lag, far, backs): the nearest places lag frames before, all that are equally near, within ``max_jump``.
+    """(stack_id, t, _pid, lag, far, backs): the nearest places lag frames before, all that are equally near, within ``max_jump``.
 
     ``places`` has (stack_id, t, _z, _x, _y, _pid, _reach), each place of a frame once. A tile of a frame meets what lies in it and around it in the frames before, so
     distances never leave a task, and no task holds more than some tiles.
@@ -98,25 +100,23 @@ def nearest_before(places: DataFrame, lags: int, max_jump: float) -> DataFrame:
     def run(parts):
         for pdf in parts:
             out = []
-            for lag, pid, far_back, z, x, y in zip(*(pdf[c] for c in ("lag", "_pid", "_reach", *axes)), strict=True):
+            for stack, t, lag, pid, far_back, z, x, y in zip(*(pdf[c] for c in ("stack_id", "t", "lag", "_pid", "_reach", *axes)), strict=True):
                 order = np.argsort(lag, kind="stable")
                 at, pid, far_back = np.stack([z, x, y], axis=1)[order], pid[order], far_back[order]
                 cuts = np.searchsorted(lag[order], np.arange(lags + 2))
-                n = cuts[1]
                 for k in range(1, lags + 1):
                     b, ids = at[cuts[k] : cuts[k + 1]], pid[cuts[k] : cuts[k + 1]]
-                    if not len(b):
+                    ask = np.flatnonzero(far_back[: cuts[1]] >= k)
+                    if not len(b) or not len(ask):
                         continue
-                    some = max(1, (1 << 21) // len(b))
-                    for i in range(0, n, some):
-                        d = np.sqrt(((at[i : min(i + some, n), None] - b[None]) ** 2).sum(axis=2))
-                        best = d.min(axis=1)
-                        r, c = np.nonzero((d == best[:, None]) & (best <= max_jump)[:, None] & (far_back[i : min(i + some, n)] >= k)[:, None])
+                    r, c, far = kn.nearest_within(at[ask], b, max_jump)
+                    if len(r):
                         rows, starts = np.unique(r, return_index=True)
-                        out += [(int(pid[i + j]), k, float(best[j]), own.tolist()) for j, own in zip(rows.tolist(), np.split(ids[c], starts[1:]), strict=True)] if len(rows) else []
-            yield pd.DataFrame(out, columns=["_pid", "lag", "far", "backs"])
+                        out.append(pd.DataFrame({"stack_id": stack, "t": t, "_pid": pid[ask[rows]], "lag": k, "far": far[starts], "backs": np.split(ids[c], starts[1:])}))
+            yield pd.concat(out) if out else pd.DataFrame([], columns=["stack_id", "t", "_pid", "lag", "far", "backs"])
 
-    return tiles.select(*[F.col(f"s.{k}").alias(k) for k in ("lag", "_pid", "_reach", *axes)]).mapInPandas(run, "_pid long, lag int, far double, backs array<long>")
+    kinds = ", ".join(f"{c} {places.schema[c].dataType.simpleString()}" for c in ("stack_id", "t"))
+    return tiles.select("stack_id", "t", *[F.col(f"s.{k}").alias(k) for k in ("lag", "_pid", "_reach", *axes)]).mapInPandas(run, f"{kinds}, _pid long, lag int, far double, backs array<long>")
 
 
 def link_by_nucleus(fits: DataFrame, labels: DataFrame, size: tuple[int, int, int]) -> DataFrame:

@@ -134,3 +134,27 @@ def test_label_tracks_against_a_plain_version(spark):
     df = spark.createDataFrame([(0, t, 0, x, y, k) for t, x, y, k in labels], "stack_id long, t int, z int, x int, y int, label int")
     got = {(r.t, r.label): r.track for r in tk.track_labels(df, 2).collect()}
     assert got == literal_tracks(labels, 2)
+
+
+def test_components_by_blocks(spark):
+    rng = np.random.default_rng(3)
+    n = rng.integers(0, 400, size=(500, 2))
+    rows = [(int(a), int(b), int(a) // 50, int(b) // 50) for a, b in n]
+    links = spark.createDataFrame(rows, "a long, b long, x long, y long")
+    plain = {r.node: r.root for r in graph.components(links.select("a", "b")).collect()}
+    assert {r.node: r.root for r in graph.components(links).collect()} == plain
+
+
+@pytest.mark.parametrize("kind", ["lattice", "cloud", "line", "one place", "far"])
+def test_nearest_in_cells_is_the_nearest_of_all(kind):
+    from spotframe.functions import kernels as kn
+
+    rng = np.random.default_rng(7)
+    made = {"lattice": lambda n: rng.integers(0, 12, size=(n, 3)) * 1.0, "cloud": lambda n: rng.normal(size=(n, 3)) * 8, "line": lambda n: np.column_stack([rng.uniform(0, 50, n), np.ones((n, 2))])}
+    made |= {"one place": lambda n: np.ones((n, 3)), "far": lambda n: rng.choice([0.0, 1e6], size=(n, 3)) + rng.normal(size=(n, 3))}
+    a, b = made[kind](150), made[kind](200)
+    for most in (0.0, 1.0, 4.0, 1e7):
+        d = np.sqrt(((a[:, None] - b[None]) ** 2).sum(axis=2))
+        want = np.nonzero((d == d.min(axis=1)[:, None]) & (d <= most))
+        r, c, far = kn.nearest_within(a, b, most, pairs=500)
+        assert r.tolist() == want[0].tolist() and c.tolist() == want[1].tolist() and (far == d[r, c]).all()
