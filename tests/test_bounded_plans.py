@@ -3,6 +3,8 @@
 import contextlib
 import io
 
+import numpy as np
+
 from spotframe.operators import embed as em
 from spotframe.operators import tracks as tk
 from spotframe.operators import voxels as vx
@@ -39,3 +41,16 @@ def test_distances_of_a_stack_are_measured_by_blocks(spark):
     out = em.distance_classes(rows, 2)
     assert "zip_with" not in plan(out) and "zipwith" not in plan(out).lower()
     assert sorted((r.id, r.other, r["class"], r.distance) for r in out.collect()) == [(i, j, "nucleus" if i > 1 and (i - j) % 2 == 0 else "stack", float(j - i)) for i in range(6) for j in range(i + 1, 6)]
+
+
+def test_scores_are_never_shuffled(spark):
+    rng = np.random.default_rng(9)
+    v = rng.normal(size=(30, 2, 4))
+    rows = spark.createDataFrame([(i, k, v[i, k].tolist(), v[i, 0, :2].tolist()) for i in range(30) for k in range(2)], "id long, sigma_no int, hist array<double>, params array<double>")
+    out = em.score_by_sigma(rows, rows.filter("id % 10 = 0"))
+    assert "zip_with" not in plan(out) and "zipwith" not in plan(out).lower()
+    got = {(r.ref, r.id, r.sigma_no): (r.z, r.distance2) for r in out.collect()}
+    assert len(got) == 3 * 30 * 2
+    for (ref, i, k), (z, d) in got.items():
+        s = np.sqrt(((v[:, k] - v[ref, k]) ** 2).sum(axis=1))
+        assert abs(z - (s[i] - s.mean()) / s.std()) < 1e-9 and abs(d - ((v[i, 0, :2] - v[ref, 0, :2]) ** 2).sum()) < 1e-12
